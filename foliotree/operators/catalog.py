@@ -14,6 +14,13 @@ TITLE_CHARS = 50
 ELLIPSIS = "..."
 
 
+def _matching(df: DataFrame, key: str, wanted) -> DataFrame:
+    """Rows whose ``key`` is ``wanted``: one value, or a DataFrame with a column ``key`` of many."""
+    if isinstance(wanted, DataFrame):
+        return df.join(wanted.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
+    return df.where(F.col(key) == F.lit(wanted))
+
+
 # Documents
 
 def list_documents(catalog: DataFrame) -> DataFrame:
@@ -22,13 +29,13 @@ def list_documents(catalog: DataFrame) -> DataFrame:
 
 
 def get_document(catalog: DataFrame, doc_id) -> DataFrame:
-    """The document, or no row."""
-    return catalog.where(F.col("doc_id") == F.lit(doc_id)).drop("error_message")
+    """The document with this id, or no row; also the documents of a DataFrame of ids."""
+    return _matching(catalog, "doc_id", doc_id).drop("error_message")
 
 
 def index_status(catalog: DataFrame, doc_id=None) -> DataFrame:
     """Status and error message of one document, or of all."""
-    rows = catalog if doc_id is None else catalog.where(F.col("doc_id") == F.lit(doc_id))
+    rows = catalog if doc_id is None else _matching(catalog, "doc_id", doc_id)
     return rows.select("doc_id", F.col("index_status").alias("status"), "error_message")
 
 
@@ -127,9 +134,10 @@ def list_conversations(conversations: DataFrame, messages: DataFrame, document_i
     One row per message rather than one nested row per conversation: a
     conversation may be any share of all messages, and the global sort splits it
     like any other range of rows. Conversations without messages keep one row
-    with null message columns.
+    with null message columns. ``document_id`` keeps the conversations of one
+    document, or of a DataFrame of documents (document_id).
     """
-    chosen = conversations if document_id is None else conversations.where(F.col("document_id") == F.lit(document_id))
+    chosen = conversations if document_id is None else _matching(conversations, "document_id", document_id)
     texts = _message_columns(messages)
     return _listed(join_hot(texts, chosen, "conversation_id", ["message_id"]), chosen, texts)
 

@@ -135,7 +135,7 @@ def decode_toc(responses: DataFrame) -> DataFrame:
     """
     def section(s: Column) -> Column:
         subsections = _items(_field(s, "subsections"))
-        return _entry(s, F.transform(subsections, _entry).cast(f"array<struct<{_ENTRY}>>").alias("subsections"))
+        return _entry(s, F.transform(subsections, lambda t: _entry(t)).cast(f"array<struct<{_ENTRY}>>").alias("subsections"))
 
     def valid(s: Column) -> Column:
         subs = s["subsections"]

@@ -109,12 +109,11 @@ def doc_titles(i: Inputs) -> DataFrame:
     return by_id.withColumnRenamed("title", "stored_title").join(by_name.withColumnRenamed("title", "name_title"), "doc_id")
 
 
-@query(with_tables("SELECT doc_id, page_number, content FROM doc_pages WHERE page_number <= 5", "doc_pages"))
+@query(with_tables("SELECT doc_id, page_number, content, char_count FROM doc_pages", "doc_pages"))
 def stored_pages(i: Inputs) -> DataFrame:
     folder = run_folder(i.spark, "stored-pages")
     tables.save({"doc_pages": i.pages}, folder)
-    pages = tables.load(i.spark, folder, "doc_pages")["doc_pages"]
-    return pages.where(F.col("page_number") <= 5).select("doc_id", "page_number", "content")
+    return tables.load(i.spark, folder, "doc_pages")["doc_pages"]
 
 
 # Pagination
@@ -212,14 +211,13 @@ def dispatch_pages(i: Inputs) -> DataFrame:
     return pages.unionByName(errors, allowMissingColumns=True)
 
 
-@query(with_tables("""SELECT doc_id, count(*) AS pages, CAST(sum(char_count) AS BIGINT) AS chars FROM (
-    SELECT doc_id, length(substr(text, (k - 1) * 500 + 1, 500)) AS char_count
-    FROM decoded, unnest(range(1, CAST(ceil(length(text) / 500) AS BIGINT) + 1)) AS r(k) WHERE file_type = '.bin') GROUP BY doc_id""", "decoded"))
+@query("""SELECT doc_id, CAST(k AS INTEGER) AS page_number, substr(text, (k - 1) * 500 + 1, 500) AS content
+    FROM documents, unnest(range(1, CAST(ceil(length(text) / 500) AS BIGINT) + 1)) AS r(k)""")
 def custom_pager(i: Inputs) -> DataFrame:
     registry = pagers.PagerRegistry()
-    registry.register_pager(".bin", lambda df: pagers.page_fixed(df, width=500))
-    pages, _ = registry.paginate(i.decoded.where(F.col("file_type") == ".bin"))
-    return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("char_count").alias("chars"))
+    registry.register_pager(".log", lambda df: pagers.page_fixed(df, width=500))
+    pages, _ = registry.paginate(i.decoded.withColumn("file_type", F.lit(".log")))
+    return pages.select("doc_id", "page_number", "content")
 
 
 @query(with_tables("""SELECT doc_id, CAST(count(page_number) AS INTEGER) AS page_count FROM documents LEFT JOIN doc_pages USING (doc_id)
@@ -408,12 +406,10 @@ def child_counts(i: Inputs) -> DataFrame:
 
 
 @query(with_tables("""SELECT s.doc_id, array_to_string(s.path, '.') AS selected_path, array_to_string(n.path, '.') AS path, n.title, len(n.path) < len(s.path) AS highlighted
-    FROM model_nodes s JOIN model_nodes n ON n.doc_id = s.doc_id AND n.path = s.path[1:len(n.path)] AND len(n.path) <= len(s.path)
-    WHERE s.title LIKE '%1'""", "model_nodes"))
+    FROM model_nodes s JOIN model_nodes n ON n.doc_id = s.doc_id AND n.path = s.path[1:len(n.path)] AND len(n.path) <= len(s.path)""", "model_nodes"))
 def ancestor_path(i: Inputs) -> DataFrame:
     nodes = _model_nodes(i)
-    selected = nodes.where(F.col("title").endswith("1")).select("doc_id", "path")
-    return tree.ancestors(nodes, selected).select(
+    return tree.ancestors(nodes, nodes.select("doc_id", "path")).select(
         "doc_id", path_text("selected_path"), path_text(), "title", "highlighted"
     )
 
@@ -569,9 +565,10 @@ def list_documents(i: Inputs) -> DataFrame:
     return _seconds(cat.list_documents(i.catalog), "created_at", "updated_at").select(*_LISTED.split(", "))
 
 
-@query(with_tables(f"SELECT {_LISTED} FROM catalog WHERE doc_id = 17", "catalog"))
+@query(with_tables(f"SELECT {_LISTED} FROM catalog WHERE doc_id IN (SELECT document_id FROM convs)", "catalog", "convs"))
 def get_document(i: Inputs) -> DataFrame:
-    return _seconds(cat.get_document(i.catalog, 17), "created_at", "updated_at").select(*_LISTED.split(", "))
+    linked = i.conversations.select(F.col("document_id").alias("doc_id"))
+    return _seconds(cat.get_document(i.catalog, linked), "created_at", "updated_at").select(*_LISTED.split(", "))
 
 
 @query(with_tables("SELECT doc_id, index_status AS status, error_message FROM catalog", "catalog"))
@@ -598,14 +595,10 @@ def list_conversations(i: Inputs) -> DataFrame:
     return _listing(cat.list_conversations(i.conversations, i.messages))
 
 
-@query(with_tables(_LISTING + " WHERE document_id = 12", "convs", "messages"))
+@query(with_tables(_LISTING + " WHERE document_id IN (SELECT doc_id FROM catalog WHERE has_tree)", "convs", "messages", "catalog"))
 def document_conversations(i: Inputs) -> DataFrame:
-    return _listing(cat.list_conversations(i.conversations, i.messages, 12))
-
-
-@query(with_tables(_LISTING + " WHERE c.conversation_id = 'c3'", "convs", "messages"))
-def get_conversation(i: Inputs) -> DataFrame:
-    return _listing(cat.get_conversation(i.conversations, i.messages, "c3"))
+    ready = cat.ready_documents(i.catalog).select(F.col("doc_id").alias("document_id"))
+    return _listing(cat.list_conversations(i.conversations, i.messages, ready))
 
 
 def _requests(i: Inputs) -> DataFrame:
