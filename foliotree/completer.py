@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from foliotree.functions.durable import cut
-from foliotree.functions.skew import join_hot
+from foliotree.functions.skew import hot_counts, join_hot, shuffle_width
 
 RESPONSE_SCHEMA = "request_id string, response string"
 
@@ -32,9 +32,10 @@ def with_request_id(requests: DataFrame) -> DataFrame:
 
 
 def distinct_requests(requests: DataFrame) -> DataFrame:
-    return with_request_id(requests).where(F.col("request_id").isNotNull()).select(
-        "request_id", "system", "prompt"
-    ).dropDuplicates(["request_id"])
+    """(request_id, system, prompt, copies), one row per request; copies are combined before the shuffle."""
+    return with_request_id(requests).where(F.col("request_id").isNotNull()).groupBy("request_id").agg(
+        F.first("system").alias("system"), F.first("prompt").alias("prompt"), F.count("*").alias("copies")
+    )
 
 
 class NullCompleter:
@@ -45,15 +46,23 @@ class NullCompleter:
 
 
 class TableCompleter:
-    """Responses of an earlier run: (request_id, response), unique by request_id."""
+    """Responses of an earlier run: (request_id, response), unique by request_id.
+
+    ``copies`` (request_id, copies) tells how often each request occurs, if known.
+    """
 
-    def __init__(self, responses: DataFrame) -> None:
+    def __init__(self, responses: DataFrame, copies: DataFrame | None = None) -> None:
         self.responses = responses.select("request_id", "response")
+        self.copies = copies
 
     def attach(self, requests: DataFrame) -> DataFrame:
         asked = with_request_id(requests).drop("system", "prompt")
         spread = [c for c in requests.columns if c not in ("system", "prompt")]
-        return join_hot(asked, self.responses, "request_id", spread, "left").drop("request_id")
+        hot = None
+        if self.copies is not None:
+            counts = self.copies.select("request_id", F.col("copies").alias("__n"))
+            hot = hot_counts(counts, "request_id", shuffle_width(requests))
+        return join_hot(asked, self.responses, "request_id", spread, "left", hot).drop("request_id")
 
 
 class FunctionCompleter:
@@ -82,15 +91,16 @@ class FunctionCompleter:
 
             for batch in batches:
                 answers = [ask(s, p) for s, p in zip(batch["system"], batch["prompt"])]
-                yield pd.DataFrame({"request_id": batch["request_id"], "response": pd.Series(answers, dtype=object)})
+                yield pd.DataFrame({"request_id": batch["request_id"], "response": pd.Series(answers, dtype=object),
+                                    "copies": batch["copies"]})
 
         # Ids are unique here, so this evens out the calls whatever documents they come from.
         spread = unique.repartition(self.partitions, "request_id") if self.partitions else unique.repartition("request_id")
-        return spread.mapInPandas(run, RESPONSE_SCHEMA)
+        return spread.mapInPandas(run, RESPONSE_SCHEMA + ", copies long")
 
     def attach(self, requests: DataFrame) -> DataFrame:
         responses = cut(self.complete(distinct_requests(requests)))
-        return TableCompleter(responses).attach(requests)
+        return TableCompleter(responses, responses).attach(requests)
 
 
 class StoredCompleter:
@@ -110,5 +120,5 @@ class StoredCompleter:
     def attach(self, requests: DataFrame) -> DataFrame:
         missing = distinct_requests(requests).join(self._stored(requests), "request_id", "left_anti")
         answered = self.inner.complete(missing).where(F.col("response").isNotNull())
-        answered.write.mode("append").parquet(self.path)
+        answered.select("request_id", "response").write.mode("append").parquet(self.path)
         return TableCompleter(self._stored(requests)).attach(requests)

@@ -32,7 +32,7 @@ def page_fixed(df: DataFrame, text: str = "text", width: int = FIXED_WIDTH) -> D
     the text from its start for every page.
     """
     slices = F.regexp_extract_all(F.col(text), F.lit("(?s).{1,%d}" % width), F.lit(0))
-    return df.select("doc_id", F.posexplode(slices).alias("__pos", "content")).select(
+    return _exploded(df.select("doc_id", F.posexplode_outer(slices).alias("__pos", "content"))).select(
         "doc_id",
         (F.col("__pos") + 1).alias("page_number"),
         "content",
@@ -40,6 +40,15 @@ def page_fixed(df: DataFrame, text: str = "text", width: int = FIXED_WIDTH) -> D
     )
 
 
+def _exploded(df: DataFrame) -> DataFrame:
+    """Rows of an outer posexplode without those of empty arrays.
+
+    The inner posexplode would make the optimizer test the array for emptiness
+    below it, which computes an expensive array twice.
+    """
+    return df.where(F.col("__pos").isNotNull())
+
+
 _SPANS = "array<struct<first:int,n:int,chars:bigint>>"
 
 
@@ -47,6 +56,10 @@ def _span(first: Column, n: Column, chars: Column) -> Column:
     return F.array(F.struct(first.alias("first"), n.alias("n"), chars.alias("chars"))).cast(_SPANS)
 
 
+# Items folded before the list of spans is touched.
+_BLOCK = 512
+
+
 def _fold_spans(items: Column, size: Callable[[Column], Column], limit: int,
                 breaks_before: Callable[[Column], Column] | None = None,
                 holds_open: Callable[[Column], Column] | None = None) -> Column:
@@ -54,10 +67,14 @@ def _fold_spans(items: Column, size: Callable[[Column], Column], limit: int,
 
     A span closes as soon as its size reaches ``limit`` unless ``holds_open`` is
     true for the item; ``breaks_before`` closes a non-empty span ahead of the
-    item. The state holds indexes only: text is not copied per item, and the list
-    of spans is copied once per closed page.
+    item. The state holds indexes and sizes, no text. ``aggregate`` copies its
+    state for every item, so the items are folded in blocks with the few spans of
+    a block in the state, and the long list of all spans is copied per block.
     """
 
+    def state(at: Column, first: Column, chars: Column, spans: Column) -> Column:
+        return F.struct(at.alias("at"), first.alias("first"), chars.alias("chars"), spans.alias("spans"))
+
     def step(acc: Column, item: Column) -> Column:
         early = F.lit(False)
         if breaks_before is not None:
@@ -71,25 +88,26 @@ def _fold_spans(items: Column, size: Callable[[Column], Column], limit: int,
             full = full & ~holds_open(item)
         after = acc["at"] + 1
         return F.when(
-            full,
-            F.struct(after.alias("at"), after.alias("first"), F.lit(0).cast("bigint").alias("chars"),
-                     F.concat(spans, _span(first, after - first, chars)).alias("spans")),
-        ).otherwise(
-            F.struct(after.alias("at"), first.alias("first"), chars.alias("chars"), spans.alias("spans"))
-        )
+            full, state(after, after, F.lit(0).cast("bigint"), F.concat(spans, _span(first, after - first, chars)))
+        ).otherwise(state(after, first, chars, spans))
+
+    none = F.array().cast(_SPANS)
+
+    def block(acc: Column, start: Column) -> Column:
+        folded = F.aggregate(F.slice(items, start + 1, F.lit(_BLOCK)), state(acc["at"], acc["first"], acc["chars"], none), step)
+        # The one-element array gives the fold of the block a name, so that it is made once.
+        return F.get(F.transform(F.array(folded), lambda f: state(
+            f["at"], f["first"], f["chars"], F.concat(acc["spans"], f["spans"]))), F.lit(0))
 
     def finish(acc: Column) -> Column:
         rest = _span(acc["first"], acc["at"] - acc["first"], acc["chars"])
         return F.when(acc["at"] > acc["first"], F.concat(acc["spans"], rest)).otherwise(acc["spans"])
 
-    zero = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).cast("bigint").alias("chars"),
-        F.array().cast(_SPANS).alias("spans"),
-    )
-    return F.aggregate(items, zero, step, finish)
+    starts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(_BLOCK))
+    return F.aggregate(starts, state(F.lit(0), F.lit(0), F.lit(0).cast("bigint"), none), block, finish)
 
 
-def _line_spans(df: DataFrame, text: str, cap: int, *keep: str) -> DataFrame:
+def _line_spans(df: DataFrame, text: str, cap: int) -> DataFrame:
     def guarded(line: Column) -> Column:
         bare = strip(line)
         return bare.startswith(LIST_MARK) | bare.startswith(FENCE_MARK) | bare.endswith(FENCE_MARK)
@@ -103,9 +121,10 @@ def _line_spans(df: DataFrame, text: str, cap: int, *keep: str) -> DataFrame:
     )
     return (
         df.where(F.col(text).isNotNull())
-        .select("doc_id", *keep, F.split(F.col(text), "\n", -1).alias("__lines"))
+        .select("doc_id", F.split(F.col(text), "\n", -1).alias("__lines"))
         .withColumn("__spans", spans)
-        .select("doc_id", *keep, "__lines", F.posexplode("__spans").alias("__pos", "__span"))
+        .select("doc_id", "__lines", F.posexplode_outer("__spans").alias("__pos", "__span"))
+        .transform(_exploded)
     )
 
 
@@ -151,7 +170,8 @@ def page_paragraphs(df: DataFrame, paragraphs: str = "paragraphs", threshold: in
     return (
         df.select("doc_id", bare.alias("__items"))
         .withColumn("__spans", _fold_spans(F.col("__items"), size=lambda p: F.length(p), limit=threshold))
-        .select("doc_id", "__items", F.posexplode("__spans").alias("__pos", "__span"))
+        .select("doc_id", "__items", F.posexplode_outer("__spans").alias("__pos", "__span"))
+        .transform(_exploded)
         .select(
             "doc_id",
             (F.col("__pos") + 1).alias("page_number"),

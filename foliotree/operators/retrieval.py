@@ -83,7 +83,7 @@ def decode_ranges(responses: DataFrame, top_k: int = TOP_K) -> DataFrame:
 
 def explode_ranges(decoded: DataFrame) -> DataFrame:
     """Ranges as rows (question_id, doc_id, page_count, rank, page_start, page_end, reason)."""
-    return decoded.select("question_id", "doc_id", "page_count", F.inline("ranges"))
+    return decoded.select("question_id", "doc_id", "page_count", F.inline_outer("ranges")).where(F.col("rank").isNotNull())
 
 
 def ranges_to_pages(ranges: DataFrame, pages: DataFrame) -> DataFrame:

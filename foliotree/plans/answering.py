@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from foliotree.completer import Completer, NullCompleter
+from foliotree.functions.durable import cut
 from foliotree.functions.skew import join_hot
 from foliotree.operators.answers import answer, answer_requests, assemble, attach_context, resolve_documents
 from foliotree.operators.retrieval import first_pages, indexed_documents, retrieve
@@ -28,10 +29,14 @@ def fallback_context(questions: DataFrame, conversations: DataFrame, catalog: Da
 
 def question_context(questions: DataFrame, conversations: DataFrame, catalog: DataFrame, nodes: DataFrame,
                      pages: DataFrame, completer: Completer | None = None) -> DataFrame:
-    """Questions (question_id, conversation_id, message) with context and references."""
+    """Questions (question_id, conversation_id, message) with context and references.
+
+    With a model the resolved questions are read again and again (to find hot
+    documents, to ask, to attach), so they are made once.
+    """
     if completer is None or isinstance(completer, NullCompleter):
         return fallback_context(questions, conversations, catalog, pages)
-    resolved = resolve_documents(questions, conversations, catalog)
+    resolved = cut(resolve_documents(questions, conversations, catalog))
     retrieved = retrieve(resolved.where(F.col("doc_id").isNotNull()), catalog, tree_text(nodes), pages, completer)
     return attach_context(resolved.drop("page_count"), assemble(retrieved))
 

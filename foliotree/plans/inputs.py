@@ -137,7 +137,7 @@ def chunk_events(turns: DataFrame) -> DataFrame:
         F.transform(tagged, lambda c, i: F.struct(i.alias("seq"), c.alias("chunk"), F.lit(False).alias("done"))),
         F.array(F.struct(F.size(tagged).alias("seq"), F.lit(None).cast("string").alias("chunk"), F.lit(True).alias("done"))),
     )
-    return turns.where(F.col("role") == "assistant").select("message_id", "created_at", F.inline(events)).select(
+    return turns.where(F.col("role") == "assistant").select("message_id", "created_at", F.inline_outer(events)).select(
         "message_id", "seq", "chunk", "done", F.col("created_at").alias("ts")
     )
 

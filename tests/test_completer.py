@@ -1,0 +1,59 @@
+import glob
+
+from foliotree.completer import FunctionCompleter, NullCompleter, StoredCompleter, TableCompleter, with_request_id
+from foliotree.functions.durable import ensure_checkpoint_dir
+
+
+def requests(spark, prompts):
+    return spark.createDataFrame([(i, "sys", p) for i, p in enumerate(prompts)], "row int, system string, prompt string")
+
+
+def counting_client(log):
+    """A client that leaves a line per call."""
+    def make_client():
+        def client(system, prompt):
+            with open(f"{log}/calls", "a") as f:
+                f.write(prompt + "\n")
+            if prompt == "bad":
+                raise RuntimeError
+            return system + ":" + prompt
+        return client
+    return make_client
+
+
+def calls(log):
+    return sorted(line for name in glob.glob(f"{log}/calls") for line in open(name).read().split())
+
+
+def answered(df):
+    return {r.row: r.response for r in df.collect()}
+
+
+def test_null_completer_asks_nothing(spark):
+    assert answered(NullCompleter().attach(requests(spark, ["a", None]))) == {0: None, 1: None}
+
+
+def test_equal_prompts_are_asked_once_and_failures_are_null(spark, tmp_path):
+    out = FunctionCompleter(counting_client(tmp_path)).attach(requests(spark, ["a", "bad", "a", None, "b"]))
+    assert "prompt" not in out.columns
+    expected = {0: "sys:a", 1: None, 2: "sys:a", 3: None, 4: "sys:b"}
+    assert answered(out) == expected and answered(out) == expected
+    assert calls(tmp_path) == ["a", "b", "bad"]
+
+
+def test_table_completer(spark):
+    asked = requests(spark, ["a", "b"])
+    table = with_request_id(asked).where("prompt = 'b'").selectExpr("request_id", "'known' AS response")
+    assert answered(TableCompleter(table).attach(asked)) == {0: None, 1: "known"}
+
+
+def test_stored_responses_are_not_asked_for_again(spark, tmp_path):
+    stored = StoredCompleter(FunctionCompleter(counting_client(tmp_path), partitions=2), str(tmp_path / "store"))
+    assert answered(stored.attach(requests(spark, ["a", "b"]))) == {0: "sys:a", 1: "sys:b"}
+    assert answered(stored.attach(requests(spark, ["b", "c", "bad"]))) == {0: "sys:b", 1: "sys:c", 2: None}
+    assert answered(stored.attach(requests(spark, ["bad"]))) == {0: None}
+    assert calls(tmp_path) == ["a", "b", "bad", "bad", "c"]
+
+
+def test_checkpoints_go_where_the_session_says(spark):
+    assert ensure_checkpoint_dir(spark).removeprefix("file:").startswith(spark.conf.get("spark.checkpoint.dir"))

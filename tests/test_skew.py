@@ -1,0 +1,53 @@
+import pytest
+from pyspark.sql import functions as F
+
+from foliotree.functions.skew import hot_keys, join_hot, shuffle_width
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    """A third of the left rows has key 7, a tenth has no key, the others have one of 400 keys; right keys are unique."""
+    n = F.col("id")
+    left = spark.range(3000).select(
+        n.alias("row"), F.when(n % 3 == 0, F.lit(7)).when(n % 10 == 1, F.lit(None)).otherwise(n % 400).cast("int").alias("k")
+    )
+    right = spark.range(0, 300).select(n.cast("int").alias("k"), F.concat(F.lit("r"), n.cast("string")).alias("v"))
+    return left, right
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("broadcast", ["-1", "10MB"])
+def test_same_rows_as_a_plain_join(spark, sides, how, broadcast):
+    left, right = sides
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = join_hot(left, right, "k", ["row"], how)
+        plain = left.join(right, "k", how)
+        assert got.columns == plain.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_hot_keys_are_split_and_they_are_few(spark, sides):
+    left, _ = sides
+    shares = shuffle_width(left)
+    hot = {r.k: r["__splits"] for r in hot_keys(left, "k", shares).collect()}
+    assert set(hot) == {7} and hot[7] >= 2
+    many = {r.k for r in hot_keys(left, "k", 400).collect()}
+    assert 7 in many and len(many) < 400
+
+
+def test_a_hot_key_reaches_several_partitions(spark, sides):
+    left, right = sides
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        joined = join_hot(left, right, "k", ["row"], "inner").where("k = 7")
+        parts = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) > 10 and sum(r["count"] for r in parts) == left.where("k = 7").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
