@@ -45,6 +45,11 @@ class NullCompleter:
         return requests.drop("system", "prompt").withColumn("response", F.lit(None).cast("string"))
 
 
+def asks(completer: Completer | None) -> bool:
+    """False where no model is there: the plans then leave out prompts and parsing altogether."""
+    return completer is not None and not isinstance(completer, NullCompleter)
+
+
 class TableCompleter:
     """Responses of an earlier run: (request_id, response), unique by request_id.
 

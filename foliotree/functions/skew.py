@@ -9,6 +9,10 @@ def shuffle_width(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+# Rows a narrow table may have to be broadcast.
+SMALL_ROWS = 200_000
+
+
 def hot_counts(counts: DataFrame, key: str, shares: int) -> DataFrame:
     """From rows per key (``key``, ``__n``): the keys that hold more than 1/``shares`` of all rows, with their splits.
 

@@ -123,7 +123,7 @@ def _line_spans(df: DataFrame, text: str, cap: int) -> DataFrame:
         df.where(F.col(text).isNotNull())
         .select("doc_id", F.split(F.col(text), "\n", -1).alias("__lines"))
         .withColumn("__spans", spans)
-        .select("doc_id", "__lines", F.posexplode_outer("__spans").alias("__pos", "__span"))
+        .select("doc_id", "__lines", F.size("__spans").alias("last_page"), F.posexplode_outer("__spans").alias("__pos", "__span"))
         .transform(_exploded)
     )
 
@@ -147,12 +147,12 @@ def page_lines(df: DataFrame, text: str = "text", cap: int = LINE_CAP) -> DataFr
 
 
 def doc_lines(df: DataFrame, text: str = "text", cap: int = LINE_CAP) -> DataFrame:
-    """Every line with its number (from 0) and the page of :func:`page_lines` it is on."""
+    """Every line with its number (from 0), the page of :func:`page_lines` it is on, and the document's last page."""
     return (
         _line_spans(df, text, cap)
-        .select("doc_id", (F.col("__pos") + 1).alias("page_number"), F.col("__span.first").alias("__first"),
+        .select("doc_id", "last_page", (F.col("__pos") + 1).alias("page_number"), F.col("__span.first").alias("__first"),
                 F.posexplode(_span_items("__lines")).alias("__at", "line"))
-        .select("doc_id", (F.col("__first") + F.col("__at")).alias("line_no"), "page_number", "line")
+        .select("doc_id", (F.col("__first") + F.col("__at")).alias("line_no"), "page_number", "line", "last_page")
     )
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from foliotree.completer import Completer, NullCompleter
+from foliotree.completer import Completer, asks
 from foliotree.functions.durable import cut
-from foliotree.functions.skew import join_hot
+from foliotree.functions.skew import SMALL_ROWS, join_hot
 from foliotree.functions.text import (
     json_array_span, strip_think, variant_kind, variant_text, with_strict_json,
 )
@@ -86,12 +86,15 @@ def explode_ranges(decoded: DataFrame) -> DataFrame:
     return decoded.select("question_id", "doc_id", "page_count", F.inline_outer("ranges")).where(F.col("rank").isNotNull())
 
 
-def ranges_to_pages(ranges: DataFrame, pages: DataFrame) -> DataFrame:
+def ranges_to_pages(ranges: DataFrame, pages: DataFrame, small: bool = False) -> DataFrame:
     """The existing non-empty pages of each range, in (rank, page) order, overlaps repeated.
 
     A range is first cut to 1..page_count, then listed: that yields just the pages
     it will return, joined on (document, page). A range condition beside the
     document key would instead compare every range with every page of its document.
+    ``small`` says that the pages wanted are few (at most SMALL_ROWS): then their
+    keys are sent to the pages, and the corpus is not shuffled for a handful of
+    questions.
     """
     first = F.greatest(F.col("page_start"), F.lit(1).cast("bigint"))
     last = F.least(F.col("page_end"), F.col("page_count").cast("bigint"))
@@ -103,6 +106,8 @@ def ranges_to_pages(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     bodies = pages.where(F.col("content") != "").select(
         F.struct("doc_id", F.col("page_number").alias("page")).alias("__page_key"), "content", "char_count"
     )
+    if small:
+        bodies = bodies.join(F.broadcast(wanted.select("__page_key").distinct()), "__page_key", "left_semi")
     return join_hot(wanted, bodies, "__page_key", ["question_id", "rank"]).select(*RETRIEVED_COLUMNS)
 
 
@@ -118,17 +123,27 @@ def first_pages(pages: DataFrame, top_k: int = TOP_K) -> DataFrame:
     )
 
 
-def fallback_pages(questions: DataFrame, pages: DataFrame, top_k: int = TOP_K) -> DataFrame:
-    """The first pages of each question's document."""
-    return join_hot(questions.select("question_id", "doc_id"), first_pages(pages, top_k), "doc_id", ["question_id"]).select(
-        *RETRIEVED_COLUMNS
-    )
+def fallback_pages(questions: DataFrame, pages: DataFrame, top_k: int = TOP_K, small: bool = False) -> DataFrame:
+    """The first pages of each question's document. ``small`` as in :func:`ranges_to_pages`, of the questions."""
+    asked, heads = questions.select("question_id", "doc_id"), first_pages(pages, top_k)
+    if small:
+        heads = heads.join(F.broadcast(asked.select("doc_id").distinct()), "doc_id", "left_semi")
+    return join_hot(asked, heads, "doc_id", ["question_id"]).select(*RETRIEVED_COLUMNS)
 
 
 def choose_branch(decoded: DataFrame, pages: DataFrame, top_k: int = TOP_K) -> DataFrame:
-    """Pages of the ranges where they are usable, else of the fallback, per question."""
-    picked = ranges_to_pages(explode_ranges(decoded.where(F.col("ranges").isNotNull())), pages)
-    return picked.unionByName(fallback_pages(decoded.where(F.col("ranges").isNull()), pages, top_k))
+    """Pages of the ranges where they are usable, else of the fallback, per question.
+
+    ``decoded`` is read several times and should be a stored table: it is counted
+    first, to see whether few pages are wanted.
+    """
+    usable, rest = decoded.where(F.col("ranges").isNotNull()), decoded.where(F.col("ranges").isNull())
+    ranges = explode_ranges(usable)
+    first, last = F.greatest(F.col("page_start"), F.lit(1)), F.least(F.col("page_end"), F.col("page_count"))
+    listed = ranges.where(first <= last).agg(F.sum(last - first + 1)).first()[0] or 0
+    picked = ranges_to_pages(ranges, pages, small=listed <= SMALL_ROWS)
+    few_left = rest.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return picked.unionByName(fallback_pages(rest, pages, top_k, small=few_left))
 
 
 def retrieve(questions: DataFrame, catalog: DataFrame, tree_texts: DataFrame, pages: DataFrame,
@@ -142,8 +157,9 @@ def retrieve(questions: DataFrame, catalog: DataFrame, tree_texts: DataFrame, pa
     the plan that made them.
     """
     indexed = indexed_documents(catalog)
-    if completer is None or isinstance(completer, NullCompleter):
-        return fallback_pages(questions, pages.join(indexed.select("doc_id"), "doc_id", "left_semi"), top_k)
+    if not asks(completer):
+        read = indexed.select("doc_id").join(questions.select("doc_id"), "doc_id", "left_semi")
+        return fallback_pages(questions, pages.join(read, "doc_id", "left_semi"), top_k)
     asked = retrieval_requests(questions.select("question_id", "doc_id", "message"), tree_texts.join(indexed, "doc_id"))
     decoded = decode_ranges(completer.attach(asked), top_k)
     return choose_branch(cut(decoded.select("question_id", "doc_id", "page_count", "ranges")), pages, top_k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliotree.completer import Completer, NullCompleter
+from foliotree.completer import Completer, asks
 from foliotree.functions.text import (
     json_object_span, strip, strip_think, truncate, variant_kind, variant_text, with_strict_json,
 )
@@ -81,35 +81,43 @@ def decode_summary(responses: DataFrame) -> DataFrame:
     strings: harmless beside an empty summary, otherwise an error of the document.
     """
     parsed = with_strict_json(responses, json_object_span(strip_think(F.col("response"))), "__data")
-    fields = parsed.withColumn("__s", F.try_variant_get("__data", "$.summary", "variant")).withColumn(
-        "__t", F.try_variant_get("__data", "$.key_topics", "variant")
-    )
-    return (
-        fields.withColumn("decoded", F.col("__data").isNotNull())
-        .withColumn("summary", F.when(F.col("decoded"), _summary(F.col("__s"))))
-        .withColumn("key_topics", F.when(F.col("decoded"), _topics(F.col("__t"))))
-        .drop("__data", "__s", "__t")
-    )
+    fields = parsed.withColumns({
+        "decoded": F.col("__data").isNotNull(),
+        "__s": F.try_variant_get("__data", "$.summary", "variant"),
+        "__t": F.try_variant_get("__data", "$.key_topics", "variant"),
+    })
+    return fields.withColumns({
+        "summary": F.when(F.col("decoded"), _summary(F.col("__s"))),
+        "key_topics": F.when(F.col("decoded"), _topics(F.col("__t"))),
+    }).drop("__data", "__s", "__t")
 
 
 def with_summary_fallback(df: DataFrame) -> DataFrame:
-    """M8: where nothing was decoded, the opening, always followed by dots; '' if ineligible."""
+    """M8: where nothing was decoded, the opening, always followed by dots; '' if ineligible.
+
+    Rows without ``decoded`` were never asked about.
+    """
     none = F.array().cast("array<string>")
-    asked, decoded = F.col("opening").isNotNull(), F.coalesce("decoded", F.lit(False))
-    return df.withColumn(
-        "summary",
-        F.when(~asked, F.lit(""))
-        .when(decoded, F.col("summary"))
-        .otherwise(F.concat("opening", F.lit(ELLIPSIS))),
-    ).withColumn("key_topics", F.when(asked & decoded, F.col("key_topics")).otherwise(none))
+    asked = F.col("opening").isNotNull()
+    fallback = F.when(~asked, F.lit("")).otherwise(F.concat("opening", F.lit(ELLIPSIS)))
+    if "decoded" not in df.columns:
+        return df.withColumns({"summary": fallback, "key_topics": none})
+    used = asked & F.coalesce("decoded", F.lit(False))
+    return df.withColumns({
+        "summary": F.when(used, F.col("summary")).otherwise(fallback),
+        "key_topics": F.when(used, F.col("key_topics")).otherwise(none),
+    })
 
 
 def page_summaries(pages: DataFrame, completer: Completer | None = None) -> DataFrame:
     """M1-M8: (doc_id, page_number, summary, key_topics), one row per page, no shuffle by itself."""
-    completer = completer or NullCompleter()
-    asked = summary_requests(split_eligible(pages.select("doc_id", "page_number", "content")))
-    answered = completer.attach(asked.drop("content", "excerpt"))
-    return with_summary_fallback(decode_summary(answered)).select("doc_id", "page_number", "summary", "key_topics")
+    eligible = split_eligible(pages.select("doc_id", "page_number", "content"))
+    if asks(completer):
+        answered = completer.attach(summary_requests(eligible).drop("content", "excerpt"))
+        decided = with_summary_fallback(decode_summary(answered))
+    else:
+        decided = with_summary_fallback(eligible)
+    return decided.select("doc_id", "page_number", "summary", "key_topics")
 
 
 def rollup_summaries(summaries: DataFrame) -> DataFrame:

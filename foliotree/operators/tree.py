@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from foliotree.completer import Completer, NullCompleter
+from foliotree.completer import Completer, asks
 from foliotree.functions.durable import cut
 from foliotree.functions.text import (
     json_object_span, strip_think, truncate, variant_int, variant_kind, variant_text, with_strict_json,
@@ -48,17 +48,14 @@ def parent_path(path: Column) -> Column:
 
 
 def _nodes(df: DataFrame) -> DataFrame:
-    """Complete rows that have doc_id, path, level, title, page_start, page_end and optionally the texts."""
+    """Complete rows that have doc_id, path, level, title, page_start, page_end and optionally raw_content."""
     path = F.col("path")
-    for name in ("content_summary", "raw_content"):
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(""))
-    return (
-        df.withColumn("depth", F.size(path))
-        .withColumn("ord", F.coalesce(F.try_element_at(path, F.lit(-1)), F.lit(0)))
-        .withColumn("node_id", node_id(F.col("doc_id"), path))
-        .withColumn("parent_id", F.when(F.size(path) > 0, node_id(F.col("doc_id"), parent_path(path))))
-        .select(*NODE_COLUMNS)
+    raw = F.col("raw_content") if "raw_content" in df.columns else F.lit("").alias("raw_content")
+    return df.select(
+        "doc_id", node_id(F.col("doc_id"), path).alias("node_id"),
+        F.when(F.size(path) > 0, node_id(F.col("doc_id"), parent_path(path))).alias("parent_id"),
+        F.coalesce(F.try_element_at(path, F.lit(-1)), F.lit(0)).alias("ord"), F.size(path).alias("depth"), "path",
+        "level", "title", "page_start", "page_end", F.lit("").alias("content_summary"), raw,
     )
 
 
@@ -175,22 +172,20 @@ def plan_trees(docs: DataFrame, summaries: DataFrame, completer: Completer | Non
 
     ``tree_source`` is 'none' (no summary), 'toc' (model sections), 'error' (no
     usable model answer) or 'failed' (the roll-up itself failed: no tree). With a
-    model the plan has several readers and is cut off from what made it.
+    model the plan has several readers and is cut off from what made it; without
+    one there are no ``sections``.
     """
     rolled = docs.select("doc_id", "title", "page_count").join(rollup_summaries(summaries), "doc_id", "left")
     failed, has_summary = F.coalesce("failed", F.lit(False)), F.coalesce("has_summary", F.lit(False))
-    asking = completer is not None and not isinstance(completer, NullCompleter)
-    if asking:
-        asked = toc_requests(rolled.withColumn("rollup", F.when(~failed, F.col("rollup"))))
-        rolled = decode_toc(completer.attach(asked.drop("rollup")))
-    else:
-        rolled = rolled.withColumn("sections", F.lit(None).cast(f"array<struct<{_ENTRY},subsections:array<struct<{_ENTRY}>>>>"))
-    planned = rolled.select(
+    source = F.when(failed, "failed").when(~has_summary, "none")
+    if not asks(completer):
+        return rolled.select("doc_id", "title", "page_count", source.otherwise("error").alias("tree_source"))
+    asked = toc_requests(rolled.withColumn("rollup", F.when(~failed, F.col("rollup"))))
+    decoded = decode_toc(completer.attach(asked.drop("rollup")))
+    return cut(decoded.select(
         "doc_id", "title", "page_count", "sections",
-        F.when(failed, "failed").when(~has_summary, "none").when(F.col("sections").isNotNull(), "toc").otherwise("error")
-        .alias("tree_source"),
-    )
-    return cut(planned) if asking else planned
+        source.when(F.col("sections").isNotNull(), "toc").otherwise("error").alias("tree_source"),
+    ))
 
 
 def build_tree(planned: DataFrame, pages: DataFrame) -> DataFrame:
@@ -202,11 +197,10 @@ def build_tree(planned: DataFrame, pages: DataFrame) -> DataFrame:
     )
     leaves = heads.join(flat.select("doc_id", "tree_source"), "doc_id")
     raw = F.when(source == "none", truncate(F.col("content"), RAW_CHARS_NO_SUMMARY)).otherwise(F.col("content"))
-    return (
-        root_nodes(flat)
-        .unionByName(_leaf_nodes(leaves, raw))
-        .unionByName(toc_nodes(planned.where(source == "toc")))
-    )
+    nodes = root_nodes(flat).unionByName(_leaf_nodes(leaves, raw))
+    if "sections" in planned.columns:
+        nodes = nodes.unionByName(toc_nodes(planned.where(source == "toc")))
+    return nodes
 
 
 def tree_errors(planned: DataFrame) -> DataFrame:
@@ -352,17 +346,16 @@ def ancestors(nodes: DataFrame, selected: DataFrame, as_shipped: bool = False) -
 
 
 def heading_tree(lines: DataFrame, max_level: int = MAX_HEADING_LEVEL) -> DataFrame:
-    """Nodes of '#' headings from document lines (doc_id, line_no, page_number, line).
+    """Nodes of '#' headings from document lines (doc_id, line_no, page_number, line, last_page).
 
     The parent is the nearest earlier heading of a lower level, else the root (null).
     A heading ends on the page of the next heading of its own or a lower level, else
-    on the last page. Only headings and one last page per document are shuffled.
+    on the last page. Only headings are shuffled, once.
     """
     mark = r"^(#{1,%d})\s+(.*\S)\s*$" % max_level
-    last_page = lines.groupBy("doc_id").agg(F.max("page_number").alias("last_page"))
     heads = lines.where(F.col("line").rlike(mark)).select(
         "doc_id", "line_no", F.length(F.regexp_extract("line", mark, 1)).alias("level"),
-        F.regexp_extract("line", mark, 2).alias("title"), F.col("page_number").alias("page_start"),
+        F.regexp_extract("line", mark, 2).alias("title"), F.col("page_number").alias("page_start"), "last_page",
     )
     order = Window.partitionBy("doc_id").orderBy("line_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -376,7 +369,6 @@ def heading_tree(lines: DataFrame, max_level: int = MAX_HEADING_LEVEL) -> DataFr
     return (
         heads.withColumn("parent_line", parent)
         .withColumn("__end", end)
-        .join(last_page, "doc_id")
         .select("doc_id", "line_no", "parent_line", "level", "title", "page_start",
                 F.coalesce("__end", "last_page").alias("page_end"))
     )

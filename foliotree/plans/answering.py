@@ -4,24 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from foliotree.completer import Completer, NullCompleter
+from foliotree.completer import Completer, asks
 from foliotree.functions.durable import cut
 from foliotree.functions.skew import join_hot
-from foliotree.operators.answers import answer, answer_requests, assemble, attach_context, resolve_documents
+from foliotree.functions.text import truncate
+from foliotree.operators.answers import CONTEXT_CHARS, answer, answer_requests, assemble, attach_context, resolve_documents
 from foliotree.operators.retrieval import first_pages, indexed_documents, retrieve
 from foliotree.operators.tree import tree_text
 
 
+def page_heads(pages: DataFrame) -> DataFrame:
+    """Pages cut to what a context shows of them, so that no join moves more."""
+    return pages.withColumn("content", truncate(F.col("content"), CONTEXT_CHARS))
+
+
 def fallback_context(questions: DataFrame, conversations: DataFrame, catalog: DataFrame, pages: DataFrame) -> DataFrame:
     """Questions with context and references when no model chooses the pages.
 
     The first pages depend on the document only: the context is made once per
-    document, handed to its conversations and from there to their questions,
-    instead of being made again for every question.
+    document that a conversation is about, handed to those conversations and from
+    there to their questions, instead of being made again for every question.
     """
-    indexed = indexed_documents(catalog)
-    per_document = assemble(first_pages(pages).join(indexed.select("doc_id"), "doc_id", "left_semi"), "doc_id")
     linked = conversations.select("conversation_id", F.col("document_id").alias("doc_id")).where(F.col("doc_id").isNotNull())
+    read = indexed_documents(catalog).select("doc_id").join(linked.select("doc_id"), "doc_id", "left_semi")
+    per_document = assemble(page_heads(first_pages(pages)).join(read, "doc_id", "left_semi"), "doc_id")
     per_conversation = join_hot(linked, per_document, "doc_id", ["conversation_id"])
     answered = join_hot(questions, per_conversation, "conversation_id", ["question_id"], "left")
     return answered.withColumn("context", F.coalesce("context", F.lit("")))
@@ -34,10 +40,10 @@ def question_context(questions: DataFrame, conversations: DataFrame, catalog: Da
     With a model the resolved questions are read again and again (to find hot
     documents, to ask, to attach), so they are made once.
     """
-    if completer is None or isinstance(completer, NullCompleter):
+    if not asks(completer):
         return fallback_context(questions, conversations, catalog, pages)
     resolved = cut(resolve_documents(questions, conversations, catalog))
-    retrieved = retrieve(resolved.where(F.col("doc_id").isNotNull()), catalog, tree_text(nodes), pages, completer)
+    retrieved = retrieve(resolved.where(F.col("doc_id").isNotNull()), catalog, tree_text(nodes), page_heads(pages), completer)
     return attach_context(resolved.drop("page_count"), assemble(retrieved))
 
 

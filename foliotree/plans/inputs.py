@@ -7,11 +7,14 @@ DataFrame and once as SQL.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliotree.functions.text import WHITESPACE
 from foliotree.operators.catalog import conversation_title
 from foliotree.operators.pagers import page_fixed
+from foliotree.sources.tables import spread
 
 EPOCH = 1_700_000_000
 
@@ -25,9 +28,9 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @property
+    @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents").select("doc_id", "text")
+        return spread(self.table("documents").select("doc_id", "text"), "doc_id")
 
     @property
     def files(self) -> DataFrame:

@@ -37,9 +37,10 @@ def shuffles(df):
 
 
 def test_page_rows_and_summaries_are_narrow(inputs):
-    assert shuffles(inputs.pages) == 0
-    assert shuffles(summaries.page_summaries(inputs.pages)) == 0
-    assert shuffles(tree.fallback_tree(inputs.docs, inputs.pages)) == 0
+    pages = pagers.page_fixed(inputs.table("documents"))
+    assert shuffles(pages) == 0
+    assert shuffles(summaries.page_summaries(pages)) == 0
+    assert shuffles(tree.fallback_tree(inputs.docs, pages)) == 0
 
 
 def test_an_expensive_array_is_made_once(inputs):
@@ -61,6 +62,20 @@ def test_context_moves_prefixes_only(stored):
     assert "content" not in exchange.split("+- ")[0] and "substring(content" in exchange
 
 
+def test_headings_shuffle_once_and_page_the_text_once(inputs):
+    made = tree.heading_tree(pagers.doc_lines(inputs.table("documents")))
+    assert len(re.findall(r"Exchange hashpartitioning\(doc_id", plan(made))) == 1
+    assert plan(made).count("aggregate(slice(") == 1
+
+
+def test_few_wanted_pages_do_not_shuffle_the_corpus(spark, stored):
+    ranges = spark.createDataFrame([("q", 1, 9, 1, 1, 3, "")], "question_id string, doc_id long, page_count int, rank int, page_start long, page_end long, reason string")
+    ranges_plan = retrieval.ranges_to_pages(ranges, stored["doc_pages"], small=True)
+    # The keys of the pages wanted are made distinct, and what is left of the pages is joined; nothing else moves.
+    scan = plan(ranges_plan).split("FileScan parquet")[0].rsplit("Exchange", 1)[1]
+    assert "BroadcastHashJoin" in scan and "LeftSemi" in scan
+
+
 def test_counts_read_no_text(stored):
     text = plan(pagers.page_counts(stored["catalog"], stored["doc_pages"]))
     assert sorted(re.findall(r"ReadSchema: struct<([^>]*)>", text)) == ["doc_id:bigint", "doc_id:bigint"]
@@ -78,14 +93,15 @@ def test_whole_plans_have_no_cross_join_and_no_row_python(inputs):
 
 
 def test_only_bounded_tables_are_hinted_for_broadcast():
-    """A broadcast hint stands only beside hot keys (fewer than the shuffle partitions) and a single conversation."""
+    """A broadcast hint stands only beside hot keys (fewer than the shuffle partitions), a single conversation and
+    keys of wanted pages and documents that were counted before."""
     root = os.path.join(os.path.dirname(os.path.dirname(__file__)), "foliotree")
     found = {}
     for folder, _, names in os.walk(root):
         for name in names:
             if name.endswith(".py"):
                 with open(os.path.join(folder, name)) as f:
-                    hints = re.findall(r"broadcast\((\w+)\)", f.read())
+                    hints = re.findall(r"broadcast\((\w+)", f.read())
                 if hints:
                     found[name] = sorted(set(hints))
-    assert found == {"skew.py": ["hot"], "catalog.py": ["chosen"]}
+    assert found == {"skew.py": ["hot"], "catalog.py": ["chosen"], "retrieval.py": ["asked", "wanted"]}
