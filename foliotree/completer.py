@@ -99,8 +99,8 @@ class FunctionCompleter:
                 yield pd.DataFrame({"request_id": batch["request_id"], "response": pd.Series(answers, dtype=object),
                                     "copies": batch["copies"]})
 
-        # Ids are unique here, so this evens out the calls whatever documents they come from.
-        spread = unique.repartition(self.partitions, "request_id") if self.partitions else unique.repartition("request_id")
+        # Distinct requests come hashed by their id, which evens out the calls whatever documents they are from.
+        spread = unique.repartition(self.partitions, "request_id") if self.partitions else unique
         return spread.mapInPandas(run, RESPONSE_SCHEMA + ", copies long")
 
     def attach(self, requests: DataFrame) -> DataFrame:

@@ -12,16 +12,20 @@ def shuffle_width(df: DataFrame) -> int:
 # Rows a narrow table may have to be broadcast.
 SMALL_ROWS = 200_000
 
+# Sub-keys of a hot key per average shuffle partition that it fills.
+SPLITS_PER_SHARE = 4
+
 
 def hot_counts(counts: DataFrame, key: str, shares: int) -> DataFrame:
     """From rows per key (``key``, ``__n``): the keys that hold more than 1/``shares`` of all rows, with their splits.
 
     Fewer than ``shares`` keys can qualify, so the result is safe to broadcast
-    whatever the size of the data.
+    whatever the size of the data. Splits are finer than the shares, so that the
+    sub-keys of a hot key spread evenly although they are placed by hash.
     """
     total = counts.agg(F.sum("__n").alias("__t")).scalar()
     return counts.where(F.col("__n") * shares > total).select(
-        key, F.ceil(F.col("__n") * shares / total).cast("int").alias("__splits")
+        key, F.ceil(F.col("__n") * shares * SPLITS_PER_SHARE / total).cast("int").alias("__splits")
     )
 
 

@@ -13,6 +13,9 @@ CONTEXT_CHARS = 1500
 PREVIEW_CHARS = 200
 THINK_OPEN, THINK_CLOSE = "<think>", "</think>"
 
+# What stands around the page number before a page in the context.
+PAGE_HEADER = ("\n\n[Page ", "]\n")
+
 # Chunks in one part of a folded message.
 PART_CHUNKS = 4096
 
@@ -51,8 +54,8 @@ def _gather(retrieved: DataFrame, key: str, chars: int) -> DataFrame:
 
 
 def _context() -> Column:
-    return F.array_join(F.transform("__rows", lambda r: F.concat(
-        F.lit("\n\n[Page "), r["page"].cast("string"), F.lit("]\n"), r["head"])), "")
+    before, after = map(F.lit, PAGE_HEADER)
+    return F.array_join(F.transform("__rows", lambda r: F.concat(before, r["page"].cast("string"), after, r["head"])), "")
 
 
 def _references(n: int) -> Column:

@@ -13,6 +13,9 @@ from foliotree.functions.skew import join_hot
 TITLE_CHARS = 50
 ELLIPSIS = "..."
 
+# States of a document.
+PENDING, INDEXING, READY, ERROR = "pending", "indexing", "ready", "error"
+
 
 def _matching(df: DataFrame, key: str, wanted) -> DataFrame:
     """Rows whose ``key`` is ``wanted``: one value, or a DataFrame with a column ``key`` of many."""
@@ -41,7 +44,7 @@ def index_status(catalog: DataFrame, doc_id=None) -> DataFrame:
 
 def ready_documents(catalog: DataFrame) -> DataFrame:
     """C4."""
-    return catalog.where(F.col("index_status") == "ready")
+    return catalog.where(F.col("index_status") == READY)
 
 
 def _set_status(catalog: DataFrame, ids: DataFrame, status: str) -> DataFrame:
@@ -53,12 +56,12 @@ def _set_status(catalog: DataFrame, ids: DataFrame, status: str) -> DataFrame:
 
 def mark_reindex(catalog: DataFrame, ids: DataFrame) -> DataFrame:
     """Listed documents become pending; tree and error message stay."""
-    return _set_status(catalog, ids, "pending")
+    return _set_status(catalog, ids, PENDING)
 
 
 def mark_indexing(catalog: DataFrame, ids: DataFrame) -> DataFrame:
     """First step of C13: listed documents become indexing."""
-    return _set_status(catalog, ids, "indexing")
+    return _set_status(catalog, ids, INDEXING)
 
 
 def apply_status(catalog: DataFrame, results: DataFrame, now: Column | None = None) -> DataFrame:
@@ -74,7 +77,7 @@ def apply_status(catalog: DataFrame, results: DataFrame, now: Column | None = No
     ok, failed = F.col("__ok"), ~F.col("__ok")
     out = (
         catalog.join(found, "doc_id", "left")
-        .withColumn("index_status", F.when(ok, "ready").when(failed, "error").otherwise(F.col("index_status")))
+        .withColumn("index_status", F.when(ok, READY).when(failed, ERROR).otherwise(F.col("index_status")))
         .withColumn("page_count", F.when(ok, F.col("__pages")).otherwise(F.col("page_count")))
         .withColumn("has_tree", F.when(ok, F.lit(True)).otherwise(F.col("has_tree")))
         .withColumn("error_message", F.when(failed, F.col("__error")).otherwise(F.col("error_message")))

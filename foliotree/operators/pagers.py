@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliotree.functions.text import strip
+from foliotree.functions.text import WHITESPACE, strip
 
 # Page widths in characters, and the shortest usable layout extraction.
 FIXED_WIDTH = 3000
@@ -49,76 +49,45 @@ def _exploded(df: DataFrame) -> DataFrame:
     return df.where(F.col("__pos").isNotNull())
 
 
-_SPANS = "array<struct<first:int,n:int,chars:bigint>>"
-
-
-def _span(first: Column, n: Column, chars: Column) -> Column:
-    return F.array(F.struct(first.alias("first"), n.alias("n"), chars.alias("chars"))).cast(_SPANS)
-
-
 # Items folded before the list of spans is touched.
 _BLOCK = 512
 
 
-def _fold_spans(items: Column, size: Callable[[Column], Column], limit: int,
-                breaks_before: Callable[[Column], Column] | None = None,
-                holds_open: Callable[[Column], Column] | None = None) -> Column:
-    """Greedy packing of ``items`` into spans (first index, number of items, total size).
+def _fold_spans(items: str, size: str, limit: int, breaks_before: str = "false", holds_open: str = "false") -> Column:
+    """Greedy packing of the column ``items`` into spans (first index, number of items, total size).
 
-    A span closes as soon as its size reaches ``limit`` unless ``holds_open`` is
-    true for the item; ``breaks_before`` closes a non-empty span ahead of the
-    item. The state holds indexes and sizes, no text. ``aggregate`` copies its
-    state for every item, so the items are folded in blocks with the few spans of
-    a block in the state, and the long list of all spans is copied per block.
+    ``size``, ``breaks_before`` and ``holds_open`` are SQL expressions of one item
+    ``x``. A span closes as soon as its size reaches ``limit`` unless
+    ``holds_open``; ``breaks_before`` closes a non-empty span ahead of the item.
+    The state holds indexes and sizes, no text. ``aggregate`` copies its state for
+    every item, so the items are folded in blocks with the few spans of a block in
+    the state, and the long list of all spans is copied per block. A one-element
+    array under ``transform`` gives an intermediate result its name.
     """
-
-    def state(at: Column, first: Column, chars: Column, spans: Column) -> Column:
-        return F.struct(at.alias("at"), first.alias("first"), chars.alias("chars"), spans.alias("spans"))
-
-    def step(acc: Column, item: Column) -> Column:
-        early = F.lit(False)
-        if breaks_before is not None:
-            early = breaks_before(item) & (acc["at"] > acc["first"])
-        first = F.when(early, acc["at"]).otherwise(acc["first"])
-        spans = F.when(early, F.concat(acc["spans"], _span(acc["first"], acc["at"] - acc["first"], acc["chars"]))) \
-            .otherwise(acc["spans"])
-        chars = F.when(early, F.lit(0).cast("bigint")).otherwise(acc["chars"]) + size(item)
-        full = chars >= limit
-        if holds_open is not None:
-            full = full & ~holds_open(item)
-        after = acc["at"] + 1
-        return F.when(
-            full, state(after, after, F.lit(0).cast("bigint"), F.concat(spans, _span(first, after - first, chars)))
-        ).otherwise(state(after, first, chars, spans))
-
-    none = F.array().cast(_SPANS)
-
-    def block(acc: Column, start: Column) -> Column:
-        folded = F.aggregate(F.slice(items, start + 1, F.lit(_BLOCK)), state(acc["at"], acc["first"], acc["chars"], none), step)
-        # The one-element array gives the fold of the block a name, so that it is made once.
-        return F.get(F.transform(F.array(folded), lambda f: state(
-            f["at"], f["first"], f["chars"], F.concat(acc["spans"], f["spans"]))), F.lit(0))
-
-    def finish(acc: Column) -> Column:
-        rest = _span(acc["first"], acc["at"] - acc["first"], acc["chars"])
-        return F.when(acc["at"] > acc["first"], F.concat(acc["spans"], rest)).otherwise(acc["spans"])
-
-    starts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(_BLOCK))
-    return F.aggregate(starts, state(F.lit(0), F.lit(0), F.lit(0).cast("bigint"), none), block, finish)
+    none = "cast(array() AS array<struct<first:int,n:int,chars:bigint>>)"
+
+    def closed(at: str, acc: str) -> str:
+        return f"concat({acc}.spans, array(named_struct('first', {acc}.first, 'n', {at} - {acc}.first, 'chars', {acc}.chars)))"
+
+    opened = f"""transform(array(
+        if(a.at > a.first AND ({breaks_before}),
+           named_struct('first', a.at, 'chars', bigint({size}), 'spans', {closed('a.at', 'a')}),
+           named_struct('first', a.first, 'chars', a.chars + ({size}), 'spans', a.spans))), b ->
+        if(b.chars >= {limit} AND NOT ({holds_open}),
+           named_struct('at', a.at + 1, 'first', a.at + 1, 'chars', 0L, 'spans', {closed('a.at + 1', 'b')}),
+           named_struct('at', a.at + 1, 'first', b.first, 'chars', b.chars, 'spans', b.spans)))[0]"""
+    block = f"""transform(array(aggregate(slice({items}, start + 1, {_BLOCK}),
+        named_struct('at', s.at, 'first', s.first, 'chars', s.chars, 'spans', {none}), (a, x) -> {opened})), f ->
+        named_struct('at', f.at, 'first', f.first, 'chars', f.chars, 'spans', concat(s.spans, f.spans)))[0]"""
+    return F.expr(f"""aggregate(sequence(0, greatest(size({items}) - 1, 0), {_BLOCK}),
+        named_struct('at', 0, 'first', 0, 'chars', 0L, 'spans', {none}), (s, start) -> {block},
+        s -> if(s.at > s.first, {closed('s.at', 's')}, s.spans))""")
 
 
 def _line_spans(df: DataFrame, text: str, cap: int) -> DataFrame:
-    def guarded(line: Column) -> Column:
-        bare = strip(line)
-        return bare.startswith(LIST_MARK) | bare.startswith(FENCE_MARK) | bare.endswith(FENCE_MARK)
-
-    spans = _fold_spans(
-        F.col("__lines"),
-        size=lambda line: F.length(line) + 1,
-        limit=cap,
-        breaks_before=lambda line: F.length(line) > cap,
-        holds_open=guarded,
-    )
+    bare = f"btrim(x, '{WHITESPACE}')"
+    guarded = f"startswith({bare}, '{LIST_MARK}') OR startswith({bare}, '{FENCE_MARK}') OR endswith({bare}, '{FENCE_MARK}')"
+    spans = _fold_spans("__lines", "length(x) + 1", cap, breaks_before=f"length(x) > {cap}", holds_open=guarded)
     return (
         df.where(F.col(text).isNotNull())
         .select("doc_id", F.split(F.col(text), "\n", -1).alias("__lines"))
@@ -169,7 +138,7 @@ def page_paragraphs(df: DataFrame, paragraphs: str = "paragraphs", threshold: in
     chars = F.col("__span.chars")
     return (
         df.select("doc_id", bare.alias("__items"))
-        .withColumn("__spans", _fold_spans(F.col("__items"), size=lambda p: F.length(p), limit=threshold))
+        .withColumn("__spans", _fold_spans("__items", "length(x)", threshold))
         .select("doc_id", "__items", F.posexplode_outer("__spans").alias("__pos", "__span"))
         .transform(_exploded)
         .select(

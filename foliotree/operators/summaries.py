@@ -15,6 +15,11 @@ PROMPT_CHARS = 4000
 FALLBACK_CHARS = 200
 ELLIPSIS = "..."
 
+# The line of a page in the roll-up, around its number, summary and topics, and what separates topics and lines.
+PAGE_LINE = ("Page ", ": ", " (Topics: ", ")")
+TOPIC_SEPARATOR = ", "
+LINE_SEPARATOR = "\n"
+
 SYSTEM = "You analyse documents. Reply with one JSON value and nothing else."
 
 PAGE_PROMPT = (
@@ -128,16 +133,19 @@ def rollup_summaries(summaries: DataFrame) -> DataFrame:
     the concatenation altogether.
     """
     used = _truthy(F.col("summary"))
+    before, after, topics, end = map(F.lit, PAGE_LINE)
     line = F.when(used, F.concat(
-        F.lit("Page "), F.col("page_number").cast("string"), F.lit(": "), F.col("summary"),
-        F.lit(" (Topics: "), F.array_join("key_topics", ", "), F.lit(")"),
+        before, F.col("page_number").cast("string"), after, F.col("summary"),
+        topics, F.array_join("key_topics", TOPIC_SEPARATOR), end,
     ))
     return (
         summaries.select("doc_id", "page_number", used.alias("__used"), line.alias("__line"),
                          (used & F.col("key_topics").isNull()).alias("__bad"))
         .groupBy("doc_id")
         .agg(
-            F.coalesce(F.expr("listagg(__line, '\n') WITHIN GROUP (ORDER BY page_number)"), F.lit("")).alias("rollup"),
+            F.coalesce(
+                F.expr(f"listagg(__line, '{LINE_SEPARATOR}') WITHIN GROUP (ORDER BY page_number)"), F.lit("")
+            ).alias("rollup"),
             F.bool_or("__used").alias("has_summary"),
             F.bool_or("__bad").alias("failed"),
         )

@@ -21,6 +21,12 @@ RAW_CHARS_NO_SUMMARY = 500
 RAW_CHARS_ERROR = 1000
 MAX_HEADING_LEVEL = 3
 
+# Title of a fallback leaf, a line of the tree text around level, title and pages, and its indent.
+LEAF_TITLE = "Page "
+TREE_LINE = ("[L", "] ", " (pages ", "-", ")\n")
+INDENT = "  "
+NO_VALUE = "None"
+
 TOC_PROMPT = (
     "Arrange the document into main sections (level 1) with optional subsections (level 2), each with its title "
     "and its first and last page, judging by the page summaries.\n"
@@ -76,7 +82,7 @@ def _leaf_nodes(pages: DataFrame, raw: Column) -> DataFrame:
     number = F.col("page_number")
     return _nodes(pages.where(F.col("content") != "").select(
         "doc_id", F.array(number).alias("path"), F.lit(1).alias("level"),
-        F.concat(F.lit("Page "), number.cast("string")).alias("title"),
+        F.concat(F.lit(LEAF_TITLE), number.cast("string")).alias("title"),
         number.alias("page_start"), number.alias("page_end"), raw.alias("raw_content"),
     ))
 
@@ -295,11 +301,12 @@ def preorder(nodes: DataFrame) -> DataFrame:
 def tree_text(nodes: DataFrame) -> DataFrame:
     """The tree as indented text, one line per node in pre-order."""
     def shown(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("string"), F.lit("None"))
+        return F.coalesce(F.col(name).cast("string"), F.lit(NO_VALUE))
 
+    before, after, pages, to, end = map(F.lit, TREE_LINE)
     line = F.concat(
-        F.repeat(F.lit("  "), F.col("depth")), F.lit("[L"), shown("level"), F.lit("] "), shown("title"),
-        F.lit(" (pages "), shown("page_start"), F.lit("-"), shown("page_end"), F.lit(")\n"),
+        F.repeat(F.lit(INDENT), F.col("depth")), before, shown("level"), after, shown("title"),
+        pages, shown("page_start"), to, shown("page_end"), end,
     )
     return nodes.select("doc_id", "path", line.alias("__line")).groupBy("doc_id").agg(
         F.expr("listagg(__line, '') WITHIN GROUP (ORDER BY path)").alias("tree_text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -51,13 +51,8 @@ PATH_SQL = "array_to_string(path, '.') AS path"
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A new folder on the storage all executors see."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:/"):
-        base = base.removeprefix("file:")
-    if base.startswith("/"):
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
-    return f"{base}/{name}-{spark.sparkContext.applicationId}-{next(tempfile._get_candidate_names())}"
+    """Path of a new folder on the storage all executors see."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # Sources, admission, sinks

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliotree.functions.text import base_name, file_ext
+from foliotree.operators.catalog import PENDING
 
 # Accepted file types, and the largest accepted size (50 MiB).
 FILE_TYPES = [".pdf", ".docx", ".txt", ".md"]
@@ -63,7 +64,7 @@ def register(accepted: DataFrame, now: Column | None = None) -> DataFrame:
         "file_type",
         F.col("length").alias("file_size"),
         F.lit(0).alias("page_count"),
-        F.lit("pending").alias("index_status"),
+        F.lit(PENDING).alias("index_status"),
         F.lit(False).alias("has_tree"),
         F.lit(None).cast("string").alias("error_message"),
         now.alias("created_at"),
