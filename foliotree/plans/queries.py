@@ -11,7 +11,7 @@ from foliotree.completer import FunctionCompleter, NullCompleter
 from foliotree.functions.durable import cut, ensure_checkpoint_dir
 from foliotree.functions.text import file_ext, json_array_span, json_object_span, strip_think
 from foliotree.operators import answers, catalog as cat, pagers, retrieval, summaries, tree
-from foliotree.plans import answering, indexing
+from foliotree.plans import answering, chatting, indexing
 from foliotree.plans.inputs import BLANKS, EPOCH, Inputs, chunk_events, range_response, summary_response, toc_response, with_tables
 from foliotree.sources import files, tables
 from foliotree.streaming.chunk_stream import stream_fold_chunks
@@ -714,6 +714,26 @@ def build_index(i: Inputs) -> DataFrame:
     return indexing.build_index(fresh, decoded).catalog.select("doc_id", "index_status", "page_count", "error_message")
 
 
+_CHAT = f"""asked AS (SELECT r.question_id, message, CASE kind WHEN 0 THEN {_NEW_ID} ELSE r.conversation_id END AS conversation_id,
+        CASE kind WHEN 0 THEN r.conv_id + 1 ELSE document_id END AS doc_id
+        FROM (SELECT *, length(message) % 4 AS kind FROM questions) r JOIN convs v ON v.conversation_id = r.conversation_id WHERE kind <> 1),
+    found AS (SELECT question_id, page_number AS rank, page_number AS page, content FROM asked JOIN catalog USING (doc_id) JOIN doc_pages USING (doc_id)
+        WHERE has_tree AND page_number <= 5)"""
+
+
+@query(with_tables("", "questions", "convs", "catalog", "doc_pages").rstrip() + ",\n" + _CHAT + f""" SELECT conversation_id, 'user' AS role, message AS content,
+    CAST(0 AS BIGINT) AS n_references FROM asked
+    UNION ALL SELECT conversation_id, 'assistant', CASE WHEN context IS NULL THEN 'Question: ' || message ELSE 'Document:' || context || chr(10) || chr(10)
+        || 'Question: ' || message || chr(10) || chr(10) || '{answers.ANSWER_CLOSE["batch"]}' END, coalesce(n, 0)
+    FROM asked LEFT JOIN (SELECT question_id, {_CONTEXT} AS context, count(*) AS n FROM found GROUP BY question_id) USING (question_id)""")
+def chat_batch(i: Inputs) -> DataFrame:
+    done = chatting.chat_batch(_requests(i), i.conversations, i.messages, i.catalog, None, i.pages,
+                               NullCompleter(), ExpressionCompleter(F.col("prompt")))
+    return done.new_messages.select(
+        "conversation_id", "role", "content", F.coalesce(F.size("references"), F.lit(0)).cast("long").alias("n_references")
+    )
+
+
 # Streaming
 
 @query(with_tables(_NODE_SQL + "nodes", "nodes"))
