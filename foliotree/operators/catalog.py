@@ -47,21 +47,30 @@ def ready_documents(catalog: DataFrame) -> DataFrame:
     return catalog.where(F.col("index_status") == READY)
 
 
-def _set_status(catalog: DataFrame, ids: DataFrame, status: str) -> DataFrame:
+def _touched(catalog: DataFrame, changed: Column, now: Column | None) -> DataFrame:
+    """Every change of a document's row moves its ``updated_at``, if the table has one."""
+    if "updated_at" not in catalog.columns:
+        return catalog
+    now = F.current_timestamp() if now is None else now
+    return catalog.withColumn("updated_at", F.when(changed, now).otherwise(F.col("updated_at")))
+
+
+def _set_status(catalog: DataFrame, ids: DataFrame, status: str, now: Column | None) -> DataFrame:
     listed = ids.select("doc_id").distinct().withColumn("__listed", F.lit(True))
-    return catalog.join(listed, "doc_id", "left").withColumn(
+    marked = catalog.join(listed, "doc_id", "left").withColumn(
         "index_status", F.when(F.col("__listed"), F.lit(status)).otherwise(F.col("index_status"))
-    ).drop("__listed")
+    )
+    return _touched(marked, F.col("__listed"), now).drop("__listed")
 
 
-def mark_reindex(catalog: DataFrame, ids: DataFrame) -> DataFrame:
+def mark_reindex(catalog: DataFrame, ids: DataFrame, now: Column | None = None) -> DataFrame:
     """Listed documents become pending; tree and error message stay."""
-    return _set_status(catalog, ids, PENDING)
+    return _set_status(catalog, ids, PENDING, now)
 
 
-def mark_indexing(catalog: DataFrame, ids: DataFrame) -> DataFrame:
+def mark_indexing(catalog: DataFrame, ids: DataFrame, now: Column | None = None) -> DataFrame:
     """First step of C13: listed documents become indexing."""
-    return _set_status(catalog, ids, INDEXING)
+    return _set_status(catalog, ids, INDEXING, now)
 
 
 def apply_status(catalog: DataFrame, results: DataFrame, now: Column | None = None) -> DataFrame:
@@ -75,16 +84,13 @@ def apply_status(catalog: DataFrame, results: DataFrame, now: Column | None = No
         F.col("error_message").alias("__error"),
     )
     ok, failed = F.col("__ok"), ~F.col("__ok")
-    out = (
-        catalog.join(found, "doc_id", "left")
-        .withColumn("index_status", F.when(ok, READY).when(failed, ERROR).otherwise(F.col("index_status")))
-        .withColumn("page_count", F.when(ok, F.col("__pages")).otherwise(F.col("page_count")))
-        .withColumn("has_tree", F.when(ok, F.lit(True)).otherwise(F.col("has_tree")))
-        .withColumn("error_message", F.when(failed, F.col("__error")).otherwise(F.col("error_message")))
-    )
-    if now is not None:
-        out = out.withColumn("updated_at", F.when(ok.isNotNull(), now).otherwise(F.col("updated_at")))
-    return out.drop("__ok", "__pages", "__error")
+    changed = catalog.join(found, "doc_id", "left").withColumns({
+        "index_status": F.when(ok, READY).when(failed, ERROR).otherwise(F.col("index_status")),
+        "page_count": F.when(ok, F.col("__pages")).otherwise(F.col("page_count")),
+        "has_tree": F.when(ok, F.lit(True)).otherwise(F.col("has_tree")),
+        "error_message": F.when(failed, F.col("__error")).otherwise(F.col("error_message")),
+    })
+    return _touched(changed, ok.isNotNull(), now).drop("__ok", "__pages", "__error")
 
 
 def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:

@@ -360,7 +360,7 @@ def heading_tree(lines: DataFrame, max_level: int = MAX_HEADING_LEVEL) -> DataFr
     on the last page. Only headings are shuffled, once.
     """
     mark = r"^(#{1,%d})\s+(.*\S)\s*$" % max_level
-    heads = lines.where(F.col("line").rlike(mark)).select(
+    heads = lines.where(F.col("line").startswith("#") & F.col("line").rlike(mark)).select(
         "doc_id", "line_no", F.length(F.regexp_extract("line", mark, 1)).alias("level"),
         F.regexp_extract("line", mark, 2).alias("title"), F.col("page_number").alias("page_start"), "last_page",
     )

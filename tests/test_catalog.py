@@ -95,3 +95,13 @@ def test_status_changes(spark, tables):
     after = {r.doc_id: (r.index_status, r.page_count, r.has_tree, r.error_message) for r in c.apply_status(indexing, results).collect()}
     # An old error message outlives success; a failure keeps the tree.
     assert after == {1: ("ready", 0, True, None), 2: ("ready", 5, True, "old"), 3: ("pending", 0, False, None), 4: ("error", 0, True, "bad")}
+
+
+def test_changes_move_updated_at(spark):
+    catalog = spark.createDataFrame([(1, "ready", True, 1, None, T0), (2, "ready", True, 1, None, T0)],
+                                    "doc_id int, index_status string, has_tree boolean, page_count int, error_message string, updated_at timestamp")
+    now = F.lit(T0 + timedelta(days=1)).cast("timestamp")
+    marked = c.mark_reindex(catalog, spark.createDataFrame([(1,)], "doc_id int"), now)
+    assert {r.doc_id: r.updated_at for r in marked.collect()} == {1: T0 + timedelta(days=1), 2: T0}
+    results = spark.createDataFrame([(2, True, 3, None)], "doc_id int, success boolean, page_count int, error_message string")
+    assert {r.doc_id: r.updated_at > T0 for r in c.apply_status(catalog, results).collect()} == {1: False, 2: True}
