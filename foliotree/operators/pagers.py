@@ -206,7 +206,11 @@ class PagerRegistry:
         return list(self._pagers)
 
     def paginate(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(pages, errors): each type through its pager, unknown types as error rows."""
+        """(pages, errors): each type through its pager, unknown types as error rows.
+
+        Every pager filters ``df`` for its types: a table stored by file_type is read
+        once in all, see :func:`foliotree.plans.indexing.store_index`.
+        """
         by_pager: dict[Pager, list[str]] = {}
         for ext, pager in self._pagers.items():
             by_pager.setdefault(pager, []).append(ext)

@@ -68,18 +68,19 @@ def store_index(catalog: DataFrame, decoded: DataFrame, path: Callable[[str], st
                 registry: PagerRegistry = default_registry, title_from: str = "stored") -> None:
     """Index documents into Parquet directories ``path(table)``.
 
-    Each stage is written before the next one reads it, so files are decoded once
-    for their pages and the model is asked once for a summary, and the loss of an
-    executor costs at most the running stage.
+    Each stage is written before the next one reads it. So files are opened and
+    decoded once, and the decoded rows lie in a directory per file type, where
+    every pager reads its own types and columns only; the model is asked once for
+    a summary; and the loss of an executor costs at most the running stage.
     """
     spark = catalog.sparkSession
 
-    def written(name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(path(name))
+    def written(name: str, df: DataFrame, *by: str) -> DataFrame:
+        df.write.mode("overwrite").partitionBy(*by).parquet(path(name))
         return spark.read.schema(df.schema).parquet(path(name))
 
-    pages, errors = parse_documents(decoded, registry)
-    pages, errors = written("doc_pages", pages), written("parse_errors", errors)
+    pages, errors = parse_documents(written("decoded", decoded, "file_type"), registry)
+    pages = written("doc_pages", pages)
     summaries = written("page_summaries", page_summaries(pages, completer))
     indexed, nodes = index_pages(catalog, pages, errors, summaries, completer, title_from)
     written("nodes", nodes)

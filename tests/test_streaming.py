@@ -1,9 +1,11 @@
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from foliotree.operators.answers import fold_chunks
-from foliotree.plans.indexing import build_index
+from foliotree.plans.indexing import build_index, parse_documents, store_index
+from foliotree.schemas import CATALOG
 from foliotree.streaming.chunk_stream import stream_fold_chunks
 from foliotree.streaming.index_stream import decode_files, stream_index
 from foliotree.sources.files import admit, scan_files
@@ -44,6 +46,28 @@ def test_files_are_indexed_in_batches_as_at_once(spark, tmp_path):
             assert sorted(map(repr, df.collect())) == sorted(map(repr, read[name].drop("batch").select(*df.columns).collect()))
 
 
+def test_a_batch_without_any_admitted_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "foreign.bin").write_bytes(b"x")
+    stream_index(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out" / "rejected")).count() == 1
+    assert spark.read.schema(CATALOG).parquet(str(tmp_path / "out" / "catalog")).count() == 0
+
+
+def test_each_pager_reads_its_types_only(spark, tmp_path):
+    schema = "doc_id int, file_type string, text string, rich_text string, raw_pages array<string>, paragraphs array<string>, error_message string"
+    decoded = spark.createDataFrame([(1, ".txt", "t", None, None, None, None), (2, ".docx", None, None, None, ["d"], None)], schema)
+    catalog = spark.createDataFrame([(d, f"n{d}", "pending", 0, False, None) for d in (1, 2)],
+                                    "doc_id int, name string, index_status string, page_count int, has_tree boolean, error_message string")
+    store_index(catalog, decoded, lambda table: str(tmp_path / table))
+    assert {r.doc_id: r.index_status for r in spark.read.parquet(str(tmp_path / "catalog")).collect()} == {1: "ready", 2: "ready"}
+    pages, _ = parse_documents(spark.read.schema(decoded.schema).parquet(str(tmp_path / "decoded")))
+    scans = [line for line in pages._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line]
+    assert scans and all(re.search(r"PartitionFilters: \[[^\]]*file_type", line) for line in scans)
+    by_text = [line for line in scans if "ReadSchema: struct<doc_id:int,text:string,error_message:string>" in line]
+    assert len(by_text) == 1
+
+
 def events(spark, rows):
     return spark.createDataFrame(
         [(m, s, c, d, T0 + timedelta(seconds=t)) for m, s, c, d, t in rows],
