@@ -10,15 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliotree.functions.durable import new_folder
-from foliotree.llm import chunk_dedup, mixing, packing
+from foliotree.llm import chunk_dedup, minmax_dedup, mixing, packing, quality
 from foliotree.llm.queries import vocabulary
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it is fitted on the documents it gets."""
+    return quality.kept_rows(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays: the one with the smallest id."""
     return chunk_dedup.kept_rows(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    return minmax_dedup.kept_rows(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights by whole and fractional repetitions."""
     return mixing.copies(mixing.mix(docs, mixing.cyclic_weights, keep=True))
@@ -29,9 +39,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary())
 
 
-STAGES = [("exact", exact), ("mixing", mixed), ("packing", packed)]
+STAGES = [("quality", clean), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("packing", packed)]
 
-# Packing is not expressible in SQL.
+# Signatures, trained weights and token ids are not expressible in SQL.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliotree.llm import chat_parts, chunk_dedup, iso_media, mixing, packing
+from foliotree.llm import (
+    chat_parts, chunk_dedup, html_consensus, iso_media, minmax_dedup, mixing, packing, pii_boost, quality, secrets_crf,
+)
 
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -34,6 +36,23 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its votes, the scorer's probability of junk and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
+@query("op2_secrets")
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_crf.digests(secrets_crf.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op3_html")
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.extract(table(spark, sf_dir, "pages"))
+
+
 CONTROL = "</s>[INST] ok [/INST]"
 
 
@@ -76,6 +95,27 @@ def op5_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iso_media.digests(iso_media.store_texts(table(spark, sf_dir, "documents")))
 
 
+@query("op6_minmax_dedup", r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)
+), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+named AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN named m ON m.doc_id = d.doc_id""")
+def op6_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op7_chunk_dedup", rf"""
 WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{BLANK}+', ' ', 'g') AS norm FROM documents),
 grouped AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY norm)
@@ -85,6 +125,11 @@ def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boost.digests(pii_boost.find(table(spark, sf_dir, "documents")))
+
+
 @query("op9_mixing", r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
