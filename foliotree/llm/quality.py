@@ -1,15 +1,17 @@
 """Quality classifier from weak labels.
 
-Seven overlapping heuristics look at a text and vote clean, junk or not at all.
-Expectation-maximisation over the counts of all vote patterns estimates each
-one's accuracy on either class, without any given labels, and so the
-probability of junk behind every pattern. These posterior labels train a linear
+Ten overlapping heuristics look at a text and vote clean, junk or not at all.
+Expectation-maximisation over the counts of all vote patterns estimates how
+often each one votes which way on either class, without any given labels, and
+so the probability of junk behind every pattern. These posterior labels train a linear
 scorer on hashed features (four-grams of character classes, repetition), which
 scores all texts, those with contradicting or missing votes too.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -24,11 +26,11 @@ for _chars, _kind in ((range(97, 123), LOWER), (range(65, 91), UPPER), (range(48
                       (b"!", SHOUT), (b"|", PIPE)):
     for _c in _chars:
         _CLASS[_c] = _kind
-LABELLERS = ("symbols", "capitals", "shouts", "pipes", "repeats", "variety", "sentences")
+LABELLERS = ("symbols", "endings", "capitals", "shouts", "pipes", "marks", "repeats", "runs", "plain", "sentences")
 JUNK, CLEAN, ABSTAIN = 0, 1, 2
 DIMENSIONS = 1 << 12
 #: Rows that the scorer is trained on, at most twice as many.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 #: A text is rejected if junk is at least this likely.
 REJECT_AT = 0.5
 
@@ -37,41 +39,48 @@ _HALF = DIMENSIONS >> 1
 
 
 def _facts(data: bytes) -> tuple[np.ndarray, np.ndarray, int, float, float]:
-    """Character classes, their counts, words, share of words equal to the one before, share of distinct words."""
+    """Character classes, their counts, words, share of words equal to the one before, and to either neighbour."""
     classes = _CLASS[np.frombuffer(data, np.uint8)]
     counts = np.bincount(classes, minlength=8)
     words = data.split()
     n = len(words)
-    repeats = sum(map(bytes.__eq__, words, words[1:])) / n if n else 0.0
-    return classes, counts, n, repeats, len(set(words)) / n if n else 1.0
-
-
-def _pick(value: float, clean_below: float, junk_above: float) -> int:
-    return CLEAN if value < clean_below else JUNK if value > junk_above else ABSTAIN
+    same = [False, *map(bytes.__eq__, words, words[1:]), False]
+    return classes, counts, n, sum(same) / n if n else 0.0, sum(map(bool.__or__, same[1:], same)) / n if n else 0.0
 
 
 def votes(data: bytes) -> tuple[int, ...]:
-    """One vote a labeller. A text without words gets none; texts of few words only those that few words can show."""
-    _, counts, n, repeats, variety = _facts(data)
+    """One vote a labeller. A text without words gets none; texts of few words only those that few words can show.
+
+    Most labellers know one sort of junk and say nothing about other texts; the
+    last two also know prose. Each sort of junk is seen by two labellers or more.
+    """
+    classes, counts, n, repeats, runs = _facts(data)
     if not n:
         return (ABSTAIN,) * len(LABELLERS)
     letters = max(1, counts[LOWER] + counts[UPPER])
+    shown = len(data) - counts[BLANK]
+    plain = letters + counts[DIGIT] + counts[PROSE]
+    varied = counts[UPPER] < max(3, 0.3 * letters) and repeats < 0.2 and runs < 0.35
+    # What stands before a blank or the end, and marks that stand between blanks.
+    blank = np.concatenate([[True], classes == BLANK, [True]])
+    last = classes[blank[2:] & ~blank[1:-1]]
+    odd = float((last >= SHOUT).mean())
+    lone = blank[:-2] & blank[2:] & ~blank[1:-1]
+    marks = int((classes[lone] >= PROSE).sum()) / n
     sentences = data.count(b". ") + data.count(b".\n") + data.endswith(b".")
+    junk = lambda sign: JUNK if sign else ABSTAIN
     return (
-        _pick(counts[SYMBOL] / n, 0.1, 0.4),
-        _pick(counts[UPPER] / letters, 0.15, 0.4),
-        _pick(counts[SHOUT] / n, 0.05, 0.3),
-        _pick(counts[PIPE] / n, 0.05, 0.3),
-        ABSTAIN if n < 8 else _pick(repeats, 0.1, 0.3),
-        ABSTAIN if n < 30 else _pick(1 - variety, 0.6, 0.8),
-        ABSTAIN if n < 30 else JUNK if not sentences else CLEAN if n / sentences < 60 else ABSTAIN,
+        junk(counts[SYMBOL] > 0.4 * n), junk(odd > 0.3), junk(counts[UPPER] > 0.4 * letters), junk(counts[SHOUT] > 0.3 * n),
+        junk(counts[PIPE] > 0.3 * n), junk(marks > 0.2), junk(n >= 8 and repeats > 0.3), junk(n >= 8 and runs > 0.45),
+        CLEAN if plain > 0.95 * shown and varied else junk(plain < 0.85 * shown),
+        ABSTAIN if n < 30 else CLEAN if n < 40 * sentences and varied else junk(n > 100 * sentences),
     )
 
 
 def features(data: bytes) -> np.ndarray:
-    """Dense hashed features of length one; a text without words has none."""
+    """Dense hashed features of at most length one, shorter for few bytes, which say little; a text without words has none."""
     out = np.zeros(DIMENSIONS, np.float32)
-    classes, _, n, repeats, variety = _facts(data)
+    classes, _, n, repeats, runs = _facts(data)
     if not n:
         return out
     if len(classes) >= 4:
@@ -80,48 +89,45 @@ def features(data: bytes) -> np.ndarray:
         counts = np.bincount(grams, minlength=1 << 12)
         seen = np.flatnonzero(counts)
         np.add.at(out, _SLOT[seen], np.sqrt(counts[seen] / len(grams)))
-    for kind, value in ((0, repeats), (1, 1 - variety if n >= 30 else 0.0)):
+    for kind, value in ((0, repeats), (1, runs)):
         out[_HALF + kind * 16 + int(min(value, 0.999) * 16)] += 1.0
-    return out / np.sqrt((out * out).sum())
+    return out * np.float32(math.sqrt(len(data) / (len(data) + 32.0) / float(out @ out)))
 
 
-def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM over vote patterns: (posterior of junk per pattern, accuracies [labeller, class], prior of junk).
+def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+    """EM over vote patterns: (posterior of junk per pattern, P(vote | class) [labeller, class, vote], prior of junk).
 
-    Accuracies are those of votes that were cast; not voting says nothing. The
-    start is the share of junk among the votes, which tells the classes apart.
+    Not voting is a third vote. The start takes texts with a vote for junk for
+    likely junk, which tells the classes apart.
     """
-    cast = patterns != ABSTAIN
-    junk_votes = (patterns == JUNK).sum(1)
-    post = np.where(cast.any(1), (junk_votes + 0.1) / (cast.sum(1) + 1.0), 0.1)
-    post = np.where(junk_votes * 2 > cast.sum(1), 0.9, post)
-    prior, accuracy = 0.1, np.full((patterns.shape[1], 2), 0.8)
+    post = np.array([0.02, 0.6, 0.95])[np.minimum((patterns == JUNK).sum(1), 2)]
+    prior, rates = 0.1, np.full((patterns.shape[1], 2, 3), 1 / 3)
     for _ in range(rounds):
         before = post
+        odds = np.full(len(patterns), math.log(prior / (1 - prior)))
         for j in range(patterns.shape[1]):
             for k, weight in ((JUNK, post * counts), (CLEAN, (1 - post) * counts)):
-                hit, all_cast = (weight * (patterns[:, j] == k)).sum(), (weight * cast[:, j]).sum()
-                accuracy[j, k] = min(0.99, max(0.05, (hit + 2.0) / (all_cast + 3.0)))
-        prior = min(0.9, max(0.01, (post * counts).sum() / max(1, counts.sum())))
-        odds = np.log(prior / (1 - prior)) + np.where(patterns == JUNK, np.log(accuracy[:, JUNK] / (1 - accuracy[:, CLEAN])), 0).sum(1) + np.where(
-            patterns == CLEAN, np.log((1 - accuracy[:, JUNK]) / accuracy[:, CLEAN]), 0).sum(1)
+                rates[j, k] = (np.bincount(patterns[:, j], weight, minlength=3) + 0.05) / (weight.sum() + 0.15)
+            odds += np.log(rates[j, JUNK] / rates[j, CLEAN])[patterns[:, j]]
+        prior = min(0.9, max(0.01, (post * counts).sum() / max(1.0, counts.sum())))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(post - before).max(initial=0) < 1e-6:
             break
-    return post, accuracy, prior
+    return post, rates, prior
+
 
+def fit_scorer(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 300, rate: float = 4.0, decay: float = 1e-5) -> np.ndarray:
+    """Weights, and the bias behind them, of a logistic regression on soft labels, by gradient descent with momentum.
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 4.0, decay: float = 1e-5) -> np.ndarray:
-    """Weights and bias of a logistic regression on soft labels, by gradient descent with momentum; both classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    The bias is the prior's log-odds and stays: a text that says nothing is as likely junk as any.
+    """
+    bias = np.float32(math.log(prior / (1 - prior)))
     w, v = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
-    junk = float(y.sum())
-    weight = np.where(y > 0.5, 0.5 / max(junk, 1.0), 0.5 / max(len(y) - junk, 1.0)).astype(np.float32)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        v = 0.9 * v - rate * (x.T @ (weight * (p - y)).astype(np.float32) + decay * w)
+        p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
+        v = 0.9 * v - rate * (x.T @ ((p - y) / np.float32(len(y))) + decay * w)
         w = w + v
-    return w
+    return np.append(w, bias)
 
 
 def _bytes(batch, at: int) -> list[bytes]:
@@ -142,9 +148,9 @@ def vote_patterns(texts: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> dict:
-    """The scorer's weights, the labellers' accuracies and the prior.
+    """The scorer's weights, the labellers' rates and the prior.
 
-    Vote patterns are counted over all rows; at most 3 ** 7 counts come to the
+    Vote patterns are counted over all rows; at most 3 ** 10 counts come to the
     driver. The scorer is trained on a sample of about ``train_rows`` rows by a hash
     of the id, at most twice as many. Without rows the scorer keeps everything.
     """
@@ -152,7 +158,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = np.array([tuple(r) for r in vote_patterns(texts).groupBy("pattern").count().orderBy("pattern").collect()], np.int64).reshape(-1, 2)
     patterns = found[:, :1] // 3 ** np.arange(len(LABELLERS)) % 3
-    post, accuracy, prior = fit_labellers(patterns, found[:, 1].astype(float))
+    post, rates, prior = fit_labellers(patterns, found[:, 1].astype(float))
     total = int(found[:, 1].sum())
     lookup = dict(zip(found[:, 0].tolist(), post.tolist()))
     slots = 1 << 24
@@ -171,8 +177,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
         weights[-1] = -5.0
     else:
         x = np.vstack([np.frombuffer(b, np.float16) for b in rows["x"].to_pylist()]).astype(np.float32)
-        weights = fit_scorer(x, y)
-    return {"weights": weights, "accuracy": accuracy, "prior": prior}
+        weights = fit_scorer(x, y, prior)
+    return {"weights": weights, "rates": rates, "prior": prior}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:

@@ -1,0 +1,69 @@
+"""Chat formatting: parts, escapes, masks."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from foliotree.llm import chat_parts as chat
+
+SCHEMA = f"conv_id long, turn long, role string, parts array<{chat.PART}>, refs int"
+
+
+def part(kind, text=None, ref=None, units=None):
+    return (kind, text, ref, units)
+
+
+def read_back(df):
+    out = chat.with_loss_texts(df).withColumn("turns", chat.parse(F.col("formatted")))
+    return {r.conv_id: r for r in out.collect()}
+
+
+def test_parts_become_placeholders(spark):
+    rows = [
+        (1, 0, "user", [part("text", "see "), part("image", ref="a.png", units=3), part("text", " and "), part("audio", ref=None, units=10), None,
+                        part("document", "ignored", "b.pdf")], 0),
+        (1, 1, "assistant", [part("text", "ok <image 1>")], 0),
+        (2, 0, None, None, 0), (2, 1, "assistant", [part("video", "clip"), part(None, "x")], 0),
+    ]
+    got = read_back(chat.format_conversations(spark.createDataFrame(rows, SCHEMA)))
+    one = got[1]
+    assert one.formatted == "<|user|>see <image 1> and <audio 2><document 3></s><|assistant|>ok \\limage 1></s>"
+    assert [tuple(r) for r in one.refs] == [(1, 1, "image", "a.png", 768), (1, 2, "audio", None, 250), (1, 3, "document", "b.pdf", 512)]
+    assert (one.attachment_tokens, one.unknown) == (1530, 0)
+    assert one.loss_texts == ["ok <image 1>"] and [one.formatted[m.start : m.end] for m in one["mask"]] == ["ok \\limage 1>"]
+    assert [(t.role, t.text) for t in got[2].turns] == [("", ""), ("assistant", "clipx")] and got[2].unknown == 2
+
+
+def test_any_text_comes_back(spark):
+    draw = random.Random(1)
+    bits = ["</s>", "[INST]", "<|user|>", "|>", "\\", "\\l", "\\b", "<", "[", "|", "\n", " ", "é😀", "\\p", "s", ""]
+    rows, said = [], {}
+    for conv in range(80):
+        for turn in range(draw.randint(1, 6)):
+            role = draw.choice(["user", "assistant", "tool|>x", "<|", "\\p"])
+            text = "".join(draw.choice(bits) for _ in range(draw.randint(0, 9)))
+            said.setdefault(conv, []).append((role, text))
+            rows.append((conv, turn, role, [part("text", text)], 0))
+    draw.shuffle(rows)
+    got = read_back(chat.format_conversations(spark.createDataFrame(rows, SCHEMA)))
+    for conv, turns in said.items():
+        assert [(t.role, t.text) for t in got[conv].turns] == turns
+        assert got[conv].loss_texts == [t for r, t in turns if r == "assistant"]
+
+
+def test_ties_repeats_nulls_and_no_rows(spark):
+    a = [part("text", "a")]
+    rows = [(1, 1, "user", a, 0), (1, 1, "assistant", a, 0), (1, None, "user", a, 0), (1, 1, "user", a, 0), (None, 0, "user", a, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = read_back(chat.format_conversations(df))
+    assert [t.role for t in got[1].turns] == ["user", "assistant", "user", "user"] and len(got[None].turns) == 1
+    assert chat.format_conversations(df.limit(0)).count() == 0
+    plan = chat.format_conversations(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_conversation(spark):
+    df = spark.range(3000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                  chat.text_part(F.concat(F.lit("é[x "), F.col("id"))).alias("parts"))
+    got = read_back(chat.format_conversations(df))[1]
+    assert [t.text for t in got.turns] == [f"é[x {i}" for i in range(3000)] and got.loss_texts == [f"é[x {i}" for i in range(1, 3000, 2)]

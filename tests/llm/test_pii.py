@@ -1,0 +1,81 @@
+"""Personal data: strict spans by plain loops, trees, thresholds, edges."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from foliotree.llm import pii_boost as p
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def plain(text):
+    digits = lambda h: re.sub(r"[^0-9]", "", h)
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m[0])) <= 15]
+
+
+def texts():
+    draw = random.Random(4)
+    bits = ["a", "b.c", "@", ".", "x-y", "%", "+", "1", "42", "255", "256", "4", " ", "-", "(", ")", "é😀", "4111111111111111", "+1 (386) 555-3733", "\n", "00012",
+            "1.2.3.4", "me@host.org", "_"]
+    out = ["".join(draw.choice(bits) for _ in range(draw.randint(0, 14))) for _ in range(3000)]
+    number = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    out += [f"word {number(draw.randint(15, 20))} and {number(4)} {number(4)}-{number(4)} {number(4)}" for _ in range(400)]
+    out += [f"é mail ab{i}@host{i % 9}.example.com, at 10.{i % 256}.3.{i % 300} call +1 ({200 + i}) 555-{1000 + i}." for i in range(300)]
+    return out + ["1" * 20000, "a" * 20000, "+1" + " " * 20000, "x@" * 3000, " ".join(f"10.0.{i % 250}.7" for i in range(3000)), None, ""]
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    given = texts()
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(given)], "doc_id long, text string, email string, proposed int").repartition(4)
+    return given, p.digests(p.find(docs)).collect()
+
+
+def test_strict_spans(found):
+    given, rows = found
+    assert len(rows) == len(given)
+    for r in rows:
+        spans = plain(given[r.doc_id] or "")
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest(), (given[r.doc_id], r.spans, base)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in spans) for k in p.KINDS)
+        assert r.spans.startswith(base)
+
+
+def test_added_spans_touch_nothing(found):
+    given, rows = found
+    for r in rows:
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        extra = sorted((a, b) for k, a, b in spans if k == p.EXTRA)
+        assert len(extra) == r.n_extra and all(b <= c for (_, b), (c, _) in zip(extra, extra[1:]))
+        assert not any(a < y and x < b for a, b in extra for k, x, y in spans if k != p.EXTRA)
+
+
+def test_trees_learn_and_thresholds_hold():
+    rows = [((0, d, 0, 0, s, 0, 0, 0, 0, 0, 0), 50.0, 50.0 * (d > 3 and s == 1)) for d in range(8) for s in (0, 1)]
+    trees = p.fit_trees(rows)
+    score = lambda x: sum(p.value_of(t, x) for t in trees)
+    assert min(score(x) for x, n, y in rows if y) > max(score(x) for x, n, y in rows if not y)
+    least = p.threshold(trees, rows)
+    assert all((score(x) >= least) == (y > 0) for x, n, y in rows)
+    assert p.threshold(trees, [(x, n, 0.0) for x, n, _ in rows]) == float("inf") == p.threshold([], rows)
+
+
+def test_repeats_nulls_and_no_rows(spark):
+    docs = spark.createDataFrame([(1, "me@host.org"), (1, "me@host.org"), (None, "+1 555 444 333")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.spans) for r in p.digests(p.find(docs)).collect()) == [("1", "email:0:11"), ("1", "email:0:11"), ("None", "phone:0:14")]
+    assert p.find(docs.limit(0)).count() == 0
+    plan = p.analysed(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
