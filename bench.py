@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from foliotree.plans.queries import QUERIES
@@ -35,8 +36,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
+    scratch = tempfile.TemporaryDirectory(prefix="foliotree-bench-", ignore_cleanup_errors=True)
     spark = build_session("bench", f"local[{cpus}]", int(cpus), **{
         "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"), "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": scratch.name,
     })
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
@@ -48,6 +51,7 @@ def main() -> None:
         "queries": times, "sf": sf_dir.rsplit("sf", 1)[-1], "cpus": int(cpus),
     }))
     spark.stop()
+    scratch.cleanup()
 
 
 if __name__ == "__main__":

@@ -63,8 +63,10 @@ def with_strict_json(df: DataFrame, span: Column, out: str) -> DataFrame:
 
     Spark's JSON parser accepts text after the first value. The span is put in an
     array before its own digest; only a span that is exactly one value leaves an
-    array of two whose last element is that digest.
+    array of two whose last element is that digest. Of a key that occurs twice
+    the last value counts.
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text, pair = f"__{out}_text", f"__{out}_pair"
     mark = F.md5(F.col(text))
     wrapped = F.concat(F.lit("["), F.col(text), F.lit(',"'), mark, F.lit('"]'))

@@ -110,12 +110,22 @@ def filter_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def fold_chunks(chunks: DataFrame, part_chunks: int = PART_CHUNKS) -> DataFrame:
-    """Chunks (message_id, seq, chunk) → (message_id, part, content).
+    """Chunks (message_id, seq, chunk) → (message_id, content), one row per message. Replayed rows count once.
 
-    A message is the concatenation of its parts, and a part covers ``part_chunks``
-    sequence numbers, so an endless message grows in parts rather than in one
-    task. Replayed rows count once.
+    Chunks are joined to parts of ``part_chunks`` sequence numbers first, so that
+    the chunks of a long message are spread, and then the parts to the message.
     """
+    return join_parts(_fold_parts(chunks, part_chunks))
+
+
+def join_parts(parts: DataFrame) -> DataFrame:
+    """Messages (message_id, content) of their parts (message_id, part, content), each part there once."""
+    return parts.groupBy("message_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda p: p["content"]), "").alias("content")
+    )
+
+
+def _fold_parts(chunks: DataFrame, part_chunks: int) -> DataFrame:
     part = F.floor(F.col("seq") / part_chunks).cast("int")
     once = F.array_sort(F.collect_set(F.struct("seq", "chunk")))
     return (

@@ -168,7 +168,7 @@ def get_or_create(requests: DataFrame, conversations: DataFrame, style: str = "b
 
     A known conversation brings its own document; an unknown one is rejected; no
     conversation makes a new one with an id derived from the request. An empty id
-    counts as none.
+    counts as none. A request that is run again does not create its conversation again.
     """
     now = F.current_timestamp() if now is None else now
     given = requests.withColumn("conversation_id", F.nullif(F.col("conversation_id").cast("string"), F.lit("")))
@@ -185,7 +185,7 @@ def get_or_create(requests: DataFrame, conversations: DataFrame, style: str = "b
     opened = given.where(F.col("conversation_id").isNull()).withColumn(
         "conversation_id", F.sha2(F.concat_ws("|", F.lit("conversation"), F.col("question_id").cast("string")), 256)
     )
-    created = opened.select(
+    created = opened.join(conversations.select(F.col("conversation_id").cast("string").alias("conversation_id")), "conversation_id", "left_anti").select(
         "conversation_id", conversation_title(F.col("message"), style).alias("title"), "document_id",
         now.alias("created_at"), now.alias("updated_at"),
     )
@@ -193,12 +193,17 @@ def get_or_create(requests: DataFrame, conversations: DataFrame, style: str = "b
 
 
 def append_messages(messages: DataFrame, conversations: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables after new messages; a conversation is as recent as its newest new message."""
+    """Both tables after new messages; a conversation is as recent as its newest message.
+
+    A message that is there already, by its id, is not stored again, and an older
+    one does not move its conversation back: a job that runs again changes nothing.
+    """
+    fresh = new.join(messages.select("message_id"), "message_id", "left_anti")
     touched = new.groupBy("conversation_id").agg(F.max("created_at").alias("__at"))
     newer = conversations.join(touched, "conversation_id", "left").withColumn(
-        "updated_at", F.coalesce("__at", "updated_at")
+        "updated_at", F.greatest("updated_at", "__at")
     ).drop("__at")
-    return messages.unionByName(new, allowMissingColumns=True), newer
+    return messages.unionByName(fresh, allowMissingColumns=True), newer
 
 
 def delete_conversations(conversations: DataFrame, messages: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

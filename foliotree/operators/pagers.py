@@ -88,11 +88,13 @@ def _line_spans(df: DataFrame, text: str, cap: int) -> DataFrame:
     bare = f"btrim(x, '{WHITESPACE}')"
     guarded = f"startswith({bare}, '{LIST_MARK}') OR startswith({bare}, '{FENCE_MARK}') OR endswith({bare}, '{FENCE_MARK}')"
     spans = _fold_spans("__lines", "length(x) + 1", cap, breaks_before=f"length(x) > {cap}", holds_open=guarded)
+    fences = f"filter(sequence(0, size(__lines) - 1), i -> startswith(btrim(__lines[i], '{WHITESPACE}'), '{FENCE_MARK}'))"
     return (
         df.where(F.col(text).isNotNull())
         .select("doc_id", F.split(F.col(text), "\n", -1).alias("__lines"))
         .withColumn("__spans", spans)
-        .select("doc_id", "__lines", F.size("__spans").alias("last_page"), F.posexplode_outer("__spans").alias("__pos", "__span"))
+        .withColumn("__fences", F.expr(fences))
+        .select("doc_id", "__lines", "__fences", F.size("__spans").alias("last_page"), F.posexplode_outer("__spans").alias("__pos", "__span"))
         .transform(_exploded)
     )
 
@@ -116,23 +118,27 @@ def page_lines(df: DataFrame, text: str = "text", cap: int = LINE_CAP) -> DataFr
 
 
 def doc_lines(df: DataFrame, text: str = "text", cap: int = LINE_CAP) -> DataFrame:
-    """Every line with its number (from 0), the page of :func:`page_lines` it is on, and the document's last page."""
+    """Every line with its number (from 0), the page of :func:`page_lines` it is on, the document's last page, and whether
+    it stands between code fences (an odd number of fence lines before it) or is one."""
+    line_no = F.col("__first") + F.col("__at")
+    fenced = F.expr("size(__fences) > 0 AND (size(filter(__fences, f -> f < line_no)) % 2 = 1 OR array_contains(__fences, line_no))")
     return (
         _line_spans(df, text, cap)
-        .select("doc_id", "last_page", (F.col("__pos") + 1).alias("page_number"), F.col("__span.first").alias("__first"),
+        .select("doc_id", "last_page", "__fences", (F.col("__pos") + 1).alias("page_number"), F.col("__span.first").alias("__first"),
                 F.posexplode(_span_items("__lines")).alias("__at", "line"))
-        .select("doc_id", (F.col("__first") + F.col("__at")).alias("line_no"), "page_number", "line", "last_page")
+        .withColumn("line_no", line_no)
+        .select("doc_id", "line_no", "page_number", "line", "last_page", fenced.alias("fenced"))
     )
 
 
 def page_paragraphs(df: DataFrame, paragraphs: str = "paragraphs", threshold: int = PARAGRAPH_THRESHOLD,
-                    exact: bool = False) -> DataFrame:
+                    exact: bool = False, with_exact: bool = False) -> DataFrame:
     """Pack non-blank stripped paragraphs, each followed by a newline.
 
     ``df`` holds one row per document with its paragraphs in an array, the way a
     decoder emits them, so nothing has to be gathered. By default only a last,
     unfilled page carries a ``char_count`` and all others 0; ``exact`` counts every
-    page. The count leaves the newlines out.
+    page, and ``with_exact`` adds that as ``exact_count``. The count leaves the newlines out.
     """
     bare = F.filter(F.transform(F.col(paragraphs), lambda p: strip(p)), lambda p: p != "")
     chars = F.col("__span.chars")
@@ -146,6 +152,7 @@ def page_paragraphs(df: DataFrame, paragraphs: str = "paragraphs", threshold: in
             (F.col("__pos") + 1).alias("page_number"),
             F.concat(F.array_join(_span_items("__items"), "\n"), F.lit("\n")).alias("content"),
             (chars if exact else F.when(chars >= threshold, 0).otherwise(chars)).cast("int").alias("char_count"),
+            *([chars.cast("int").alias("exact_count")] if with_exact else []),
         )
     )
 

@@ -6,7 +6,7 @@ third child, [3, 1] a child of that. Sorting by path is the pre-order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foliotree.completer import Completer, asks
 from foliotree.functions.durable import cut
@@ -14,7 +14,6 @@ from foliotree.functions.text import (
     json_object_span, strip_think, truncate, variant_int, variant_kind, variant_text, with_strict_json,
 )
 from foliotree.operators.summaries import SYSTEM, TOPICS_ERROR, rollup_summaries
-from foliotree.schemas import tree_struct
 
 # Characters of page text kept in a fallback leaf, without any summary and after an error.
 RAW_CHARS_NO_SUMMARY = 500
@@ -53,7 +52,7 @@ def parent_path(path: Column) -> Column:
     return F.when(depth > 0, F.slice(path, F.lit(1), F.greatest(depth - 1, F.lit(0))))
 
 
-def _nodes(df: DataFrame) -> DataFrame:
+def node_rows(df: DataFrame) -> DataFrame:
     """Complete rows that have doc_id, path, level, title, page_start, page_end and optionally raw_content."""
     path = F.col("path")
     raw = F.col("raw_content") if "raw_content" in df.columns else F.lit("").alias("raw_content")
@@ -71,7 +70,7 @@ def _empty_path() -> Column:
 
 def root_nodes(docs: DataFrame) -> DataFrame:
     """Root rows of documents (doc_id, title, page_count)."""
-    return _nodes(docs.select(
+    return node_rows(docs.select(
         "doc_id", "title", _empty_path().alias("path"), F.lit(0).alias("level"),
         F.lit(1).alias("page_start"), F.col("page_count").alias("page_end"),
     ))
@@ -80,7 +79,7 @@ def root_nodes(docs: DataFrame) -> DataFrame:
 def _leaf_nodes(pages: DataFrame, raw: Column) -> DataFrame:
     """One level-1 leaf per non-empty page; the page number serves as its place among the children."""
     number = F.col("page_number")
-    return _nodes(pages.where(F.col("content") != "").select(
+    return node_rows(pages.where(F.col("content") != "").select(
         "doc_id", F.array(number).alias("path"), F.lit(1).alias("level"),
         F.concat(F.lit(LEAF_TITLE), number.cast("string")).alias("title"),
         number.alias("page_start"), number.alias("page_end"), raw.alias("raw_content"),
@@ -170,7 +169,7 @@ def toc_nodes(decoded: DataFrame) -> DataFrame:
         "doc_id", F.concat("path", F.array(F.col("__i") + 1)).alias("path"), given("level", F.lit(2)).alias("level"), "e.title",
         given("start", F.col("page_start")).alias("page_start"), given("end", F.col("page_end")).alias("page_end"),
     )
-    return root_nodes(docs).unionByName(_nodes(sections.drop("subsections"))).unionByName(_nodes(subsections))
+    return root_nodes(docs).unionByName(node_rows(sections.drop("subsections"))).unionByName(node_rows(subsections))
 
 
 def plan_trees(docs: DataFrame, summaries: DataFrame, completer: Completer | None = None) -> DataFrame:
@@ -218,79 +217,80 @@ _TREE_FIELDS = ("id", "title", "page_start", "page_end", "level", "content_summa
 
 
 def nest_tree(nodes: DataFrame) -> DataFrame:
-    """One JSON tree (root, sections, subsections) per document, children in their order.
+    """One JSON tree per document of any depth, children in their order: (doc_id, index_tree, error_message).
 
-    One pass over the nodes: subsections are gathered with their section, then
-    sections with their root.
+    A document's nodes stand in one row, sorted by path, which is the pre-order;
+    each writes its own fields behind the brackets that its depth closes or opens
+    after the node before it. A document with a node whose parent is missing, with
+    two nodes at one path, or without a root has an error in place of a tree.
     """
-    path, depth = F.col("path"), F.col("depth")
-    fields = [F.col("node_id").alias("id"), *_TREE_FIELDS[1:]]
-    leaf = F.struct(*fields, F.array().cast("array<string>").alias("children"))
-    by_section = nodes.groupBy("doc_id", F.try_element_at(path, F.lit(1)).alias("section")).agg(
-        F.max(F.when(depth < 2, F.struct(*fields))).alias("head"),
-        F.collect_list(F.when(depth == 2, F.struct("ord", leaf.alias("node")))).alias("__subs"),
+    fields = F.struct(F.col("node_id").alias("id"), *_TREE_FIELDS[1:])
+    listed = nodes.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("path", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json")))).alias("__n")
     )
 
-    def in_order(collected: str) -> Column:
-        return F.transform(F.array_sort(collected), lambda c: c["node"])
-
-    head = [F.col(f"head.{f}").alias(f) for f in _TREE_FIELDS]
-    section = F.struct(*head, in_order("__subs").alias("children"))
-    by_document = by_section.groupBy("doc_id").agg(
-        F.max(F.when(F.col("section").isNull(), F.col("head"))).alias("head"),
-        F.collect_list(F.when(F.col("section").isNotNull(), F.struct("section", section.alias("node")))).alias("__sections"),
-    )
-    root = F.struct(*head, in_order("__sections").alias("children"))
-    return by_document.select("doc_id", F.to_json(root, {"ignoreNullFields": "false"}).alias("index_tree"))
-
-
-def parse_trees(trees: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Add ``tree``: (doc_id, index_tree JSON) parsed; null for malformed JSON."""
-    return trees.withColumn("tree", F.from_json("index_tree", tree_struct(max_depth)))
-
-
-def _subtree(node: Column, path: Column, parent_id: Column, depth: int) -> Column:
-    """Array of the node and everything below it, in pre-order."""
-    own_id = F.coalesce(node["id"], node_id(F.col("doc_id"), path))
-    own = F.array(F.struct(
-        own_id.alias("node_id"), parent_id.alias("parent_id"), path.alias("path"), node["level"].alias("level"),
-        node["title"].alias("title"), node["page_start"].alias("page_start"), node["page_end"].alias("page_end"),
-        F.coalesce(node["content_summary"], F.lit("")).alias("content_summary"),
-        F.coalesce(node["raw_content"], F.lit("")).alias("raw_content"),
-    ))
-    if depth == 1:
-        return own
-    below = F.transform(node["children"], lambda c, i: _subtree(c, F.concat(path, F.array(i + 1)), own_id, depth - 1))
-    return F.concat(own, F.coalesce(F.flatten(below), F.array().cast(_subtree_type())))
-
-
-def _subtree_type() -> str:
-    return (
-        "array<struct<node_id:string,parent_id:string,path:array<int>,level:int,title:string,page_start:int,"
-        "page_end:int,content_summary:string,raw_content:string>>"
+    def depth(i: Column) -> Column:
+        """Depth of the node at place ``i``, -1 before the first one."""
+        return F.when(i < 0, F.lit(-1)).otherwise(F.size(F.get("__n", i)["path"]))
+
+    def written(n: Column, i: Column) -> Column:
+        before, own = depth(i - 1), F.size(n["path"])
+        up = F.when(i == 0, F.lit("")).when(own > before, F.lit("")).otherwise(F.concat(F.repeat(F.lit("]}"), before - own + 1), F.lit(",")))
+        return F.concat(up, F.substring(n["json"], F.lit(1), F.length(n["json"]) - 1), F.lit(',"children":['))
+
+    def placed(n: Column, i: Column) -> Column:
+        """Whether the node's parent is on the way to the node before it, and the node is another one."""
+        own, last = n["path"], F.get("__n", i - 1)["path"]
+        above = F.greatest(F.size(own) - 1, F.lit(0))
+        return F.when(i == 0, F.size(own) == 0).otherwise(
+            (F.size(own) > 0) & (own != last) & (F.slice(last, F.lit(1), above) == F.slice(own, F.lit(1), above)) & (above <= F.size(last)))
+
+    whole = F.forall(F.transform("__n", placed), lambda ok: ok)
+    json = F.concat(F.array_join(F.transform("__n", written), ""), F.repeat(F.lit("]}"), depth(F.size("__n") - 1) + 1))
+    return listed.select(
+        "doc_id", F.when(whole, json).alias("index_tree"), F.when(~whole, F.lit("a node without its parent")).alias("error_message")
     )
 
 
-def unnest_tree(trees: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Nodes of JSON trees (doc_id, index_tree); a missing id is made, missing texts are ''.
+def unnest_tree(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, errors) of JSON trees (doc_id, index_tree) of any depth; a missing id is made, missing texts are ''.
 
-    A tree with a node that lacks its title, pages or level is left out as a
-    whole. A tree is one row, so neither the check nor the parent ids need a join.
+    One narrow step per level, until a level is empty; each is stored, and parent
+    ids come down with the children, so nothing is joined on the way. A tree that
+    is no JSON object, or one of whose nodes lacks its title, pages or level, has
+    no nodes but a row (doc_id, error_message).
     """
-    listed = parse_trees(trees, max_depth).where(F.col("tree").isNotNull()).select(
-        "doc_id", _subtree(F.col("tree"), _empty_path(), F.lit(None).cast("string"), max_depth).alias("__nodes")
-    )
-
-    def complete(n: Column) -> Column:
-        return n["title"].isNotNull() & n["page_start"].isNotNull() & n["page_end"].isNotNull() & n["level"].isNotNull()
-
-    return (
-        listed.select("doc_id", F.inline_outer(F.when(F.forall("__nodes", complete), F.col("__nodes"))))
-        .where(F.col("node_id").isNotNull())
+    none = F.lit(None).cast("string")
+    level = trees.select("doc_id", F.try_parse_json(F.col("index_tree")).alias("v"), _empty_path().alias("path"), none.alias("parent_id"))
+    listed, errors = None, None
+    while True:
+        own = F.coalesce(variant_text(_field(F.col("v"), "id")), node_id(F.col("doc_id"), F.col("path")))
+        typed = cut(level.select(
+            "doc_id", "path", "parent_id", own.alias("node_id"), variant_int(_field(F.col("v"), "level")).alias("level"),
+            variant_text(_field(F.col("v"), "title")).alias("title"), variant_int(_field(F.col("v"), "page_start")).alias("page_start"),
+            variant_int(_field(F.col("v"), "page_end")).alias("page_end"),
+            F.coalesce(variant_text(_field(F.col("v"), "content_summary")), F.lit("")).alias("content_summary"),
+            F.coalesce(variant_text(_field(F.col("v"), "raw_content")), F.lit("")).alias("raw_content"),
+            F.try_variant_get(F.col("v"), "$.children", "array<variant>").alias("__children"),
+            F.coalesce(variant_kind(F.col("v")) == "OBJECT", F.lit(False)).alias("__object"),
+        ))
+        complete = F.col("__object") & F.col("title").isNotNull() & F.col("page_start").isNotNull() & F.col("page_end").isNotNull() & F.col("level").isNotNull()
+        bad = typed.where(~complete).select("doc_id")
+        listed = typed if listed is None else listed.unionByName(typed)
+        errors = bad if errors is None else errors.unionByName(bad)
+        below = typed.select("doc_id", "path", "node_id", F.posexplode_outer("__children").alias("__i", "v")).where(F.col("__i").isNotNull()).select(
+            "doc_id", "v", F.concat("path", F.array(F.col("__i") + 1)).alias("path"), F.col("node_id").alias("parent_id"))
+        if below.isEmpty():
+            break
+        level = below
+    failed = errors.groupBy("doc_id").agg(F.lit("the tree is no JSON, or a node lacks its title, pages or level").alias("error_message"))
+    nodes = (
+        listed.join(failed.select("doc_id"), "doc_id", "left_anti")
         .withColumn("depth", F.size("path"))
         .withColumn("ord", F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(0)))
         .select(*NODE_COLUMNS)
     )
+    return nodes, failed
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
@@ -352,30 +352,32 @@ def ancestors(nodes: DataFrame, selected: DataFrame, as_shipped: bool = False) -
     )
 
 
-def heading_tree(lines: DataFrame, max_level: int = MAX_HEADING_LEVEL) -> DataFrame:
-    """Nodes of '#' headings from document lines (doc_id, line_no, page_number, line, last_page).
+def heading_tree(lines: DataFrame, docs: DataFrame, max_level: int = MAX_HEADING_LEVEL) -> DataFrame:
+    """The tree of '#' headings as nodes, from lines (doc_id, line_no, page_number, line, last_page, fenced) and documents (doc_id, title, page_count).
 
-    The parent is the nearest earlier heading of a lower level, else the root (null).
-    A heading ends on the page of the next heading of its own or a lower level, else
-    on the last page. Only headings are shuffled, once.
+    Every document has its root. The parent of a heading is the nearest earlier
+    one of a lower level, else the root. A heading ends on the page of the next
+    heading of its own or a lower level, else on the last page. Lines between code
+    fences are no headings. Only headings are shuffled, once, and a document's
+    headings are folded in its row: the state is the way from the root to the last one.
     """
     mark = r"^(#{1,%d})\s+(.*\S)\s*$" % max_level
-    heads = lines.where(F.col("line").startswith("#") & F.col("line").rlike(mark)).select(
+    heads = lines.where(~F.col("fenced") & F.col("line").startswith("#") & F.col("line").rlike(mark)).select(
         "doc_id", "line_no", F.length(F.regexp_extract("line", mark, 1)).alias("level"),
         F.regexp_extract("line", mark, 2).alias("title"), F.col("page_number").alias("page_start"), "last_page",
     )
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    # Looking ahead is looking back in the opposite order, which stays a running aggregate.
-    ahead = Window.partitionBy("doc_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
-    parent, end = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for level in range(1, max_level + 1):
-        is_lower, closes = F.col("level") < level, F.col("level") <= level
-        parent = F.when(F.col("level") == level, F.last(F.when(is_lower, F.col("line_no")), ignorenulls=True).over(before)).otherwise(parent)
-        end = F.when(F.col("level") == level, F.last(F.when(closes, F.col("page_start")), ignorenulls=True).over(ahead)).otherwise(end)
-    return (
-        heads.withColumn("parent_line", parent)
-        .withColumn("__end", end)
-        .select("doc_id", "line_no", "parent_line", "level", "title", "page_start",
-                F.coalesce("__end", "last_page").alias("page_end"))
+    listed = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "level", "title", "page_start", "last_page"))).alias("h"))
+    # The way is one entry per open heading: its level, its place, and how many children it has had; the first is the root.
+    opened = "filter(a.way, w -> w.level < x.level)"
+    step = f"""transform(array({opened}), o -> transform(array(element_at(o, -1).had + 1), k -> named_struct(
+        'way', concat(slice(o, 1, size(o) - 1), array(named_struct('level', element_at(o, -1).level, 'place', element_at(o, -1).place, 'had', k),
+            named_struct('level', x.level, 'place', k, 'had', 0))),
+        'paths', concat(a.paths, array(concat(transform(slice(o, 2, size(o)), w -> w.place), array(k))))))[0])[0]"""
+    folded = listed.withColumn("paths", F.expr(f"""aggregate(h, named_struct('way', array(named_struct('level', 0, 'place', 0, 'had', 0)),
+        'paths', cast(array() AS array<array<int>>)), (a, x) -> {step}, a -> a.paths)"""))
+    rows = folded.select("doc_id", F.posexplode(F.arrays_zip("h", "paths")).alias("__i", "e"), "h").select(
+        "doc_id", F.col("e.paths").alias("path"), F.col("e.h.level").alias("level"), F.col("e.h.title").alias("title"),
+        F.col("e.h.page_start").alias("page_start"),
+        F.expr("coalesce(get(filter(slice(h, __i + 2, size(h)), n -> n.level <= e.h.level), 0).page_start, e.h.last_page)").alias("page_end"),
     )
+    return root_nodes(docs).unionByName(node_rows(rows))

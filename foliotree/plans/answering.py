@@ -57,10 +57,15 @@ def answer_questions(questions: DataFrame, conversations: DataFrame, catalog: Da
 
 
 def answer_messages(answers: DataFrame, now=None) -> DataFrame:
-    """Assistant messages of answers, ready to be appended."""
+    """Assistant messages of answers, ready to be appended. Questions without an answer are in :func:`failed_answers`."""
     now = F.current_timestamp() if now is None else now
     return answers.where(F.col("answer").isNotNull()).select(
         F.sha2(F.concat_ws("|", F.lit("answer"), F.col("question_id").cast("string")), 256).alias("message_id"),
         "conversation_id", F.lit("assistant").alias("role"), F.col("answer").alias("content"), "references",
         now.alias("created_at"),
     )
+
+
+def failed_answers(answers: DataFrame) -> DataFrame:
+    """Questions that got no answer: (question_id, conversation_id, reason)."""
+    return answers.where(F.col("answer").isNull()).select("question_id", "conversation_id", F.lit("no answer").alias("reason"))

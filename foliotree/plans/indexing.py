@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foliotree.completer import Completer
+from foliotree.functions.durable import cut, stored
 from foliotree.functions.text import doc_title
-from foliotree.operators.catalog import apply_status
+from foliotree.operators.catalog import PENDING, READY, apply_status, mark_indexing
 from foliotree.operators.pagers import PagerRegistry, default_registry, page_counts
 from foliotree.operators.summaries import page_summaries
 from foliotree.operators.tree import build_tree, plan_trees, tree_errors
@@ -27,12 +28,16 @@ class Index:
                 "page_summaries": self.page_summaries, "nodes": self.nodes}
 
 
-def titles(catalog: DataFrame, title_from: str = "stored") -> DataFrame:
-    """(doc_id, title). Stored files are called by their id, so the default title is the id;
+def title(title_from: str = "stored") -> Column:
+    """Title of a catalog row. Stored files are called by their id, so the default title is the id;
     ``title_from="name"`` takes the stem of the uploaded name."""
     if title_from == "name":
-        return catalog.select("doc_id", doc_title(F.col("name")).alias("title"))
-    return catalog.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("Untitled")).alias("title"))
+        return doc_title(F.col("name"))
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("Untitled"))
+
+
+def titles(catalog: DataFrame, title_from: str = "stored") -> DataFrame:
+    return catalog.select("doc_id", title(title_from).alias("title"))
 
 
 def parse_documents(decoded: DataFrame, registry: PagerRegistry = default_registry) -> tuple[DataFrame, DataFrame]:
@@ -42,11 +47,15 @@ def parse_documents(decoded: DataFrame, registry: PagerRegistry = default_regist
     return pages, bad.unionByName(unknown)
 
 
-def index_pages(catalog: DataFrame, pages: DataFrame, parse_errors: DataFrame, summaries: DataFrame,
+def index_pages(catalog: DataFrame, handed: DataFrame, pages: DataFrame, parse_errors: DataFrame, summaries: DataFrame,
                 completer: Completer | None = None, title_from: str = "stored") -> tuple[DataFrame, DataFrame]:
-    """(catalog after indexing, nodes). Shuffles page counts, summary lines and page heads, never whole pages."""
-    parsed = catalog.select("doc_id").join(parse_errors, "doc_id", "left_anti")
-    docs = page_counts(parsed, pages).join(titles(catalog, title_from), "doc_id")
+    """(catalog after indexing, nodes) of the documents handed in (doc_id); all others keep their row.
+
+    Shuffles page counts, summary lines and page heads, never whole pages.
+    """
+    own = catalog.join(handed.select("doc_id").distinct(), "doc_id", "left_semi")
+    parsed = own.select("doc_id").join(parse_errors, "doc_id", "left_anti")
+    docs = page_counts(parsed, pages).join(titles(own, title_from), "doc_id")
     planned = plan_trees(docs, summaries, completer)
     errors = parse_errors.unionByName(tree_errors(planned))
     results = docs.select("doc_id", "page_count").join(errors, "doc_id", "full").select(
@@ -57,13 +66,34 @@ def index_pages(catalog: DataFrame, pages: DataFrame, parse_errors: DataFrame, s
 
 def build_index(catalog: DataFrame, decoded: DataFrame, completer: Completer | None = None,
                 registry: PagerRegistry = default_registry, title_from: str = "stored") -> Index:
-    """Index catalog documents from their decoded rows, as one lazy plan."""
+    """Index those catalog documents that have decoded rows, as one lazy plan. Documents without one are left alone."""
     pages, parse_errors = parse_documents(decoded, registry)
     summaries = page_summaries(pages, completer)
-    indexed, nodes = index_pages(catalog, pages, parse_errors, summaries, completer, title_from)
+    indexed, nodes = index_pages(catalog, decoded, pages, parse_errors, summaries, completer, title_from)
     return Index(indexed, pages, summaries, nodes)
 
 
+def reindex(index: Index, decoded: DataFrame, completer: Completer | None = None, registry: PagerRegistry = default_registry,
+            title_from: str = "stored") -> Index:
+    """Index anew the pending documents that have decoded rows, and replace their pages, summaries and nodes.
+
+    They are marked as indexing before anything is built. A document that fails
+    keeps the pages and the tree that it had, beside its error. The ids are a
+    stored table, so that its size, and not the whole tables', decides the joins.
+    """
+    pending = index.catalog.where(F.col("index_status") == PENDING).select("doc_id")
+    ids = stored(pending.join(decoded.select("doc_id").distinct(), "doc_id", "left_semi"), "reindex")
+    fresh = build_index(mark_indexing(index.catalog, ids), decoded.join(ids, "doc_id", "left_semi"), completer, registry, title_from)
+    catalog = cut(fresh.catalog)
+    done = stored(catalog.where(F.col("index_status") == READY).select("doc_id").join(ids, "doc_id", "left_semi"), "reindexed")
+
+    def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(done, "doc_id", "left_anti").unionByName(new.join(done, "doc_id", "left_semi"))
+
+    return Index(catalog, replaced(index.doc_pages, fresh.doc_pages), replaced(index.page_summaries, fresh.page_summaries),
+                 replaced(index.nodes, fresh.nodes))
+
+
 def store_index(catalog: DataFrame, decoded: DataFrame, path: Callable[[str], str], completer: Completer | None = None,
                 registry: PagerRegistry = default_registry, title_from: str = "stored") -> None:
     """Index documents into Parquet directories ``path(table)``.
@@ -79,9 +109,10 @@ def store_index(catalog: DataFrame, decoded: DataFrame, path: Callable[[str], st
         df.write.mode("overwrite").partitionBy(*by).parquet(path(name))
         return spark.read.schema(df.schema).parquet(path(name))
 
-    pages, errors = parse_documents(written("decoded", decoded, "file_type"), registry)
+    handed = written("decoded", decoded, "file_type")
+    pages, errors = parse_documents(handed, registry)
     pages = written("doc_pages", pages)
     summaries = written("page_summaries", page_summaries(pages, completer))
-    indexed, nodes = index_pages(catalog, pages, errors, summaries, completer, title_from)
+    indexed, nodes = index_pages(catalog, handed, pages, errors, summaries, completer, title_from)
     written("nodes", nodes)
     written("catalog", indexed)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliotree.completer import FunctionCompleter, NullCompleter
 from foliotree.functions.durable import cut, ensure_checkpoint_dir
-from foliotree.functions.text import file_ext, json_array_span, json_object_span, strip_think
+from foliotree.functions.text import file_ext, json_array_span, json_object_span, strip_think, with_strict_json
 from foliotree.operators import answers, catalog as cat, pagers, retrieval, summaries, tree
 from foliotree.plans import answering, chatting, indexing
 from foliotree.plans.inputs import BLANKS, EPOCH, Inputs, chunk_events, range_response, summary_response, toc_response, with_tables
@@ -57,9 +57,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 # Sources, admission, sinks
 
-@query()
+@query("SELECT lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL GROUP BY lang")
 def scan_files(i: Inputs) -> DataFrame:
-    return files.scan_files(i.spark, i.sf_dir, "*.parquet").select("name", "length")
+    """The texts stored as text files, a folder per language, and the sizes that a scan finds there."""
+    folder = run_folder(i.spark, "scan-files")
+    i.table("documents").where("text IS NOT NULL").select("lang", "text").write.partitionBy("lang").text(folder)
+    found = files.scan_files(i.spark, folder, "*.txt")
+    return found.groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")).agg(F.sum("length").alias("bytes"))
 
 
 @query("SELECT doc_id, name, lower('.' || list_extract(string_split(name, '.'), -1)) AS file_type FROM (" + with_tables("SELECT * FROM files", "files") + ")")
@@ -100,8 +104,7 @@ def decode_text(i: Inputs) -> DataFrame:
 
 @query("SELECT doc_id, CAST(doc_id AS VARCHAR) AS stored_title, source || '_' || doc_id AS name_title FROM documents")
 def doc_titles(i: Inputs) -> DataFrame:
-    by_id, by_name = indexing.titles(i.catalog), indexing.titles(i.catalog, "name")
-    return by_id.withColumnRenamed("title", "stored_title").join(by_name.withColumnRenamed("title", "name_title"), "doc_id")
+    return i.catalog.select("doc_id", indexing.title().alias("stored_title"), indexing.title("name").alias("name_title"))
 
 
 @query(with_tables("SELECT doc_id, page_number, content, char_count FROM doc_pages", "doc_pages"))
@@ -164,9 +167,7 @@ def _paragraph_fold(source: str, threshold: int) -> str:
 @query("WITH RECURSIVE " + _paragraph_fold("SELECT doc_id, text FROM documents", 3000)
        + " SELECT doc_id, page_number, content, char_count, exact_count FROM paragraph_pages")
 def page_paragraphs(i: Inputs) -> DataFrame:
-    exact = pagers.page_paragraphs(i.decoded, exact=True).withColumnRenamed("char_count", "exact_count")
-    shipped = pagers.page_paragraphs(i.decoded).drop("content")
-    return exact.join(shipped, ["doc_id", "page_number"])
+    return pagers.page_paragraphs(i.decoded, with_exact=True)
 
 
 @query(with_tables(f"""SELECT doc_id, page_number, CASE WHEN page_number % 7 = 0 THEN '' ELSE trim(content, {BLANKS}) END AS content,
@@ -361,7 +362,30 @@ def node_ids(i: Inputs) -> DataFrame:
 
 @query(with_tables(_NODE_SQL + "nodes", "nodes"))
 def nest_and_unnest(i: Inputs) -> DataFrame:
-    return _node_rows(tree.unnest_tree(tree.nest_tree(_fallback_nodes(i))))
+    nodes, _ = tree.unnest_tree(tree.nest_tree(_fallback_nodes(i)))
+    return _node_rows(nodes)
+
+
+_DEEP_PATHS = ([], [1], [1, 1], [1, 1, 1], [1, 1, 1, 1], [1, 1, 2], [2], [2, 1])
+
+
+@query(f"""SELECT doc_id, array_to_string(path, '.') AS path, len(path) AS depth, 'node ' || array_to_string(path, '.') AS title, n AS page_end,
+    CAST(NULL AS VARCHAR) AS error_message FROM (SELECT doc_id, CAST(length(text) AS INTEGER) AS n, unnest(CAST({[list(p) for p in _DEEP_PATHS]} AS INTEGER[][])) AS path
+    FROM documents WHERE doc_id % 6 <> 5)
+    UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'the tree is no JSON, or a node lacks its title, pages or level' FROM documents WHERE doc_id % 6 = 5""")
+def deep_trees(i: Inputs) -> DataFrame:
+    """Trees of five levels, nested and read back; of every sixth the JSON is cut off."""
+    paths = F.array(*[F.array(*map(F.lit, p)).cast("array<int>") for p in _DEEP_PATHS])
+    rows = i.documents.select("doc_id", F.length("text").alias("page_end"), F.explode(paths).alias("path")).select(
+        "doc_id", "path", F.size("path").alias("level"), F.concat(F.lit("node "), F.array_join(F.col("path").cast("array<string>"), ".")).alias("title"),
+        F.lit(1).alias("page_start"), "page_end",
+    )
+    whole = F.col("index_tree")
+    trees = tree.nest_tree(tree.node_rows(rows)).select(
+        "doc_id", F.when(F.col("doc_id") % 6 == 5, F.substring(whole, F.lit(1), F.length(whole) - 3)).otherwise(whole).alias("index_tree"))
+    nodes, errors = tree.unnest_tree(trees)
+    return nodes.select("doc_id", path_text(), F.col("depth").cast("long").alias("depth"), "title", "page_end", F.lit(None).cast("string").alias("error_message")).unionByName(
+        errors, allowMissingColumns=True)
 
 
 @query(with_tables(f"SELECT doc_id, {PATH_SQL}, title FROM model_nodes ORDER BY doc_id, model_nodes.path", "model_nodes"))
@@ -409,21 +433,45 @@ def ancestor_path(i: Inputs) -> DataFrame:
     )
 
 
-_HEADED = r"regexp_replace(text, '(\.\s)([A-Z])', '.' || chr(10) || '## \2', 'g')"
+_FENCED = "chr(96) || chr(96) || chr(96) || chr(10)"
+_HEADED = rf"""CASE WHEN doc_id % 3 = 0 THEN {_FENCED} || '# hidden' || chr(10) || {_FENCED} ELSE '' END || '# '
+    || regexp_replace(text, '(\.\s)([A-Z])', '.' || chr(10) || '## \2', 'g')"""
+_HEADING = r"'^(#{1,3})\s+(.*\S)\s*$'"
+_HEADING_SQL = "WITH RECURSIVE " + _line_fold(f"SELECT doc_id, {_HEADED} AS text FROM documents", 1000) + rf""",
+    marked AS (SELECT *, starts_with(trim(line, {BLANKS}), repeat(chr(96), 3)) AS fence FROM fold),
+    shown AS (SELECT *, coalesce(sum(CASE WHEN fence THEN 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 0
+        AND NOT fence AS outside FROM marked),
+    heads AS (SELECT doc_id, i AS line_no, page AS page_start, length(regexp_extract(line, {_HEADING}, 1)) AS level,
+        regexp_extract(line, {_HEADING}, 2) AS title FROM shown WHERE outside AND regexp_matches(line, {_HEADING})),
+    last AS (SELECT doc_id, max(page) AS last_page FROM fold GROUP BY doc_id),
+    ranged AS (SELECT doc_id, line_no, level, title, page_start,
+        (SELECT max(p.line_no) FROM heads p WHERE p.doc_id = h.doc_id AND p.line_no < h.line_no AND p.level < h.level) AS parent_line,
+        coalesce((SELECT arg_min(n.page_start, n.line_no) FROM heads n WHERE n.doc_id = h.doc_id AND n.line_no > h.line_no AND n.level <= h.level),
+            last_page) AS page_end FROM heads h JOIN last USING (doc_id)),
+    placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, parent_line ORDER BY line_no) AS INTEGER) AS place FROM ranged),
+    pathed AS (SELECT doc_id, line_no, [place] AS path, level, title, page_start, page_end FROM placed WHERE parent_line IS NULL
+        UNION ALL SELECT c.doc_id, c.line_no, list_append(p.path, c.place), c.level, c.title, c.page_start, c.page_end
+        FROM placed c JOIN pathed p ON p.doc_id = c.doc_id AND p.line_no = c.parent_line),
+    heading_nodes AS (SELECT doc_id, path, CAST(level AS INTEGER) AS level, title, CAST(page_start AS INTEGER) AS page_start, CAST(page_end AS INTEGER) AS page_end FROM pathed
+        UNION ALL SELECT doc_id, CAST([] AS INTEGER[]), 0, CAST(doc_id AS VARCHAR), 1, CAST(ceil(length(text) / 3000) AS INTEGER) FROM documents)"""
+
+
+def _heading_nodes(i: Inputs) -> DataFrame:
+    hidden = F.when(F.col("doc_id") % 3 == 0, F.lit("```\n# hidden\n```\n")).otherwise(F.lit(""))
+    headed = F.concat(hidden, F.lit("# "), F.regexp_replace("text", r"(\.\s)([A-Z])", ".\n## $2"))
+    return tree.heading_tree(pagers.doc_lines(i.documents.withColumn("text", headed), cap=1000), i.docs)
+
+
+@query(_HEADING_SQL + f" SELECT doc_id, {PATH_SQL}, level, title, page_start, page_end FROM heading_nodes")
+def heading_tree(i: Inputs) -> DataFrame:
+    return _heading_nodes(i).select("doc_id", path_text(), "level", "title", "page_start", "page_end")
 
 
-@query("WITH RECURSIVE " + _line_fold(f"SELECT doc_id, '# ' || {_HEADED} AS text FROM documents", 1000) + r""",
-    heads AS (SELECT doc_id, i AS line_no, page AS page_start, length(regexp_extract(line, '^(#{1,3})\s+(.*\S)\s*$', 1)) AS level,
-        regexp_extract(line, '^(#{1,3})\s+(.*\S)\s*$', 2) AS title FROM fold WHERE regexp_matches(line, '^(#{1,3})\s+(.*\S)\s*$')),
-    last AS (SELECT doc_id, max(page) AS last_page FROM fold GROUP BY doc_id)
-    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(level AS INTEGER) AS level, title, CAST(page_start AS INTEGER) AS page_start,
-        CAST((SELECT max(p.line_no) FROM heads p WHERE p.doc_id = h.doc_id AND p.line_no < h.line_no AND p.level < h.level) AS INTEGER) AS parent_line,
-        CAST(coalesce((SELECT arg_min(n.page_start, n.line_no) FROM heads n WHERE n.doc_id = h.doc_id AND n.line_no > h.line_no AND n.level <= h.level),
-            last_page) AS INTEGER) AS page_end
-    FROM heads h JOIN last USING (doc_id)""")
-def heading_tree(i: Inputs) -> DataFrame:
-    headed = F.concat(F.lit("# "), F.regexp_replace("text", r"(\.\s)([A-Z])", ".\n## $2"))
-    return tree.heading_tree(pagers.doc_lines(i.documents.withColumn("text", headed), cap=1000))
+@query(_HEADING_SQL + " " + _TEXT_SQL.format(nodes="heading_nodes"))
+def heading_tree_text(i: Inputs) -> DataFrame:
+    """The tree of headings through nesting, reading back and the tree text."""
+    nodes, _ = tree.unnest_tree(tree.nest_tree(_heading_nodes(i)))
+    return tree.tree_text(nodes)
 
 
 # Retrieval
@@ -520,13 +568,13 @@ def answer_requests(i: Inputs) -> DataFrame:
     return answers.answer_requests(made).select("question_id", "system", "prompt")
 
 
-@query(with_tables(f"""SELECT question_id, conversation_id, CAST(length(message) + 10 + coalesce(sum(length(left(content, 1500)) + length(CAST(page AS VARCHAR)) + 10), 0)
-    + CASE WHEN count(page) > 0 THEN {len("Document:") + len(answers.ANSWER_CLOSE["stream"]) + 4} ELSE 0 END AS BIGINT) AS answer_chars, count(page) AS n_references
-    FROM questions LEFT JOIN retrieved USING (question_id) GROUP BY question_id, conversation_id, message""", "retrieved"))
+@query(with_tables(f"""SELECT question_id, conversation_id, CASE WHEN count(page) = 0 THEN 'Question: ' || message
+    ELSE 'Document:' || {_CONTEXT} || chr(10) || chr(10) || 'Question: ' || message || chr(10) || chr(10) || '{answers.ANSWER_CLOSE["stream"]}' END AS answer,
+    count(page) AS n_references FROM questions LEFT JOIN retrieved USING (question_id) GROUP BY question_id, conversation_id, message""", "retrieved"))
 def answer_batch(i: Inputs) -> DataFrame:
     echo = ExpressionCompleter(F.col("prompt"))
     made = answering.answer_questions(i.questions, i.conversations, i.catalog, None, i.pages, NullCompleter(), echo, "stream")
-    return made.select("question_id", "conversation_id", F.length("answer").cast("long").alias("answer_chars"),
+    return made.select("question_id", "conversation_id", "answer",
                        F.coalesce(F.size("references"), F.lit(0)).cast("long").alias("n_references"))
 
 
@@ -538,8 +586,7 @@ def chunk_filter(i: Inputs) -> DataFrame:
     return answers.filter_chunks(i.chunks)
 
 
-@query(with_tables(f"""SELECT message_id, CAST(seq // 64 AS INTEGER) AS part, string_agg(chunk, '' ORDER BY seq) AS content FROM chunks
-    WHERE {_KEPT_CHUNK} GROUP BY message_id, seq // 64""", "chunks"))
+@query(with_tables(f"SELECT message_id, string_agg(chunk, '' ORDER BY seq) AS content FROM chunks WHERE {_KEPT_CHUNK} GROUP BY message_id", "chunks"))
 def chunk_fold(i: Inputs) -> DataFrame:
     return answers.fold_chunks(answers.filter_chunks(i.chunks), part_chunks=64)
 
@@ -590,6 +637,13 @@ def list_conversations(i: Inputs) -> DataFrame:
     return _listing(cat.list_conversations(i.conversations, i.messages))
 
 
+@query(with_tables(_LISTING + " WHERE c.conversation_id = (SELECT max(conversation_id) FROM convs)", "convs", "messages"))
+def get_conversation(i: Inputs) -> DataFrame:
+    """The conversation whose id comes last."""
+    wanted = i.conversations.agg(F.max("conversation_id")).first()[0]
+    return _listing(cat.get_conversation(i.conversations, i.messages, wanted))
+
+
 @query(with_tables(_LISTING + " WHERE document_id IN (SELECT doc_id FROM catalog WHERE has_tree)", "convs", "messages", "catalog"))
 def document_conversations(i: Inputs) -> DataFrame:
     ready = cat.ready_documents(i.catalog).select(F.col("doc_id").alias("document_id"))
@@ -629,15 +683,17 @@ def conv_title(i: Inputs) -> DataFrame:
 
 
 def _new_messages(i: Inputs) -> DataFrame:
-    """An echo of every third message, a day later."""
-    later = F.col("created_at") + F.expr("INTERVAL 1 DAY")
-    return i.messages.where(F.length("content") % 3 == 0).withColumn("created_at", later).withColumn(
-        "message_id", F.concat("message_id", F.lit("-again"))
-    )
+    """An echo of every third message, a day later; one of every fourth, a day earlier; and every fifth once more as it is."""
+    def echo(every: int, days: int, mark: str) -> DataFrame:
+        at = F.col("created_at") + F.make_dt_interval(F.lit(days))
+        return i.messages.where(F.length("content") % every == 0).withColumn("created_at", at).withColumn("message_id", F.concat("message_id", F.lit(mark)))
+
+    return echo(3, 1, "-again").unionByName(echo(4, -1, "-before")).unionByName(i.messages.where(F.length("content") % 5 == 0))
 
 
 _APPENDED = """appended AS (SELECT * FROM messages UNION ALL SELECT message_id || '-again', conversation_id, role, content, created_s + 86400 FROM messages
-    WHERE length(content) % 3 = 0)"""
+    WHERE length(content) % 3 = 0 UNION ALL SELECT message_id || '-before', conversation_id, role, content, created_s - 86400 FROM messages
+    WHERE length(content) % 4 = 0)"""
 
 
 @query(with_tables("", "convs", "messages").rstrip() + ",\n" + _APPENDED + """ SELECT c.conversation_id,
@@ -714,6 +770,48 @@ def build_index(i: Inputs) -> DataFrame:
     return indexing.build_index(fresh, decoded).catalog.select("doc_id", "index_status", "page_count", "error_message")
 
 
+@query(with_tables("""SELECT c.doc_id, CASE WHEN c.doc_id % 3 <> 0 THEN index_status WHEN c.doc_id % 12 = 0 THEN 'error' ELSE 'ready' END AS index_status,
+    CASE WHEN c.doc_id % 3 = 0 AND c.doc_id % 12 <> 0 THEN CAST(ceil(2 * length(text) / 3000) AS INTEGER) ELSE page_count END AS page_count,
+    has_tree OR (c.doc_id % 3 = 0 AND c.doc_id % 12 <> 0) AS has_tree,
+    CASE WHEN c.doc_id % 12 = 0 THEN 'Unsupported file type: .bin' ELSE error_message END AS error_message,
+    CASE WHEN c.doc_id % 3 = 0 AND c.doc_id % 12 <> 0 THEN CAST(ceil(2 * length(text) / 3000) AS BIGINT) ELSE 0 END AS new_pages,
+    CASE WHEN c.doc_id % 3 = 0 AND c.doc_id % 12 <> 0 THEN 1 + CAST(ceil(2 * length(text) / 3000) AS BIGINT) ELSE 0 END AS new_nodes
+    FROM catalog c JOIN documents d ON d.doc_id = c.doc_id""", "catalog"))
+def build_index_partial(i: Inputs) -> DataFrame:
+    """A third of the catalog handed in, with texts twice as long and some of a foreign type; all others must come back as they were."""
+    made = indexing.build_index(i.catalog, _handed_in(i, 3))
+    pages = made.doc_pages.groupBy("doc_id").agg(F.count("*").alias("new_pages"))
+    nodes = made.nodes.groupBy("doc_id").agg(F.count("*").alias("new_nodes"))
+    return made.catalog.join(pages, "doc_id", "left").join(nodes, "doc_id", "left").select(
+        "doc_id", "index_status", "page_count", "has_tree", "error_message",
+        F.coalesce("new_pages", F.lit(0)).alias("new_pages"), F.coalesce("new_nodes", F.lit(0)).alias("new_nodes"),
+    )
+
+
+def _handed_in(i: Inputs, every: int) -> DataFrame:
+    """Decoded rows of every so many documents: the text twice, of every fourth of them a foreign type."""
+    kind = F.when(F.col("doc_id") % (4 * every) == 0, F.lit(".bin")).otherwise(F.lit(".txt"))
+    return files.with_decoder_columns(i.documents.where(F.col("doc_id") % every == 0).select(
+        "doc_id", kind.alias("file_type"), F.concat("text", "text").alias("text"), F.lit(None).cast("string").alias("error_message")))
+
+
+@query(with_tables("""SELECT c.doc_id, CASE WHEN asked AND c.doc_id % 4 = 0 THEN 'error' WHEN asked THEN 'ready' ELSE index_status END AS index_status,
+    CASE WHEN asked AND c.doc_id % 4 <> 0 THEN twice ELSE page_count END AS page_count, CASE WHEN asked AND c.doc_id % 4 <> 0 THEN twice ELSE page_count END AS n_pages,
+    1 + CASE WHEN asked AND c.doc_id % 4 <> 0 THEN twice ELSE page_count END AS n_nodes,
+    CASE WHEN asked AND c.doc_id % 4 <> 0 THEN 2 ELSE 1 END * length(text) AS chars, CASE WHEN asked AND c.doc_id % 4 = 0 THEN 'Unsupported file type: .bin' ELSE error_message END AS error_message
+    FROM (SELECT *, CAST(doc_id % 7 = 0 OR doc_id % 10 = 8 AS BOOLEAN) AS asked FROM catalog) c
+    JOIN (SELECT doc_id, text, CAST(ceil(2 * length(text) / 3000) AS INTEGER) AS twice FROM documents) d ON d.doc_id = c.doc_id""", "catalog"))
+def reindex_documents(i: Inputs) -> DataFrame:
+    """Every seventh document is marked again and joins those that were pending; some of them fail and keep what they had."""
+    marked = cat.mark_reindex(i.catalog, i.catalog.where(F.col("doc_id") % 7 == 0))
+    before = indexing.Index(marked, i.pages, summaries.page_summaries(i.pages), _fallback_nodes(i))
+    made = indexing.reindex(before, _handed_in(i, 1))
+    pages = made.doc_pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_pages"), F.sum("char_count").alias("chars"))
+    nodes = made.nodes.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_nodes"))
+    return made.catalog.join(pages, "doc_id", "left").join(nodes, "doc_id", "left").select(
+        "doc_id", "index_status", "page_count", "n_pages", "n_nodes", "chars", "error_message")
+
+
 _CHAT = f"""asked AS (SELECT r.question_id, message, CASE kind WHEN 0 THEN {_NEW_ID} ELSE r.conversation_id END AS conversation_id,
         CASE kind WHEN 0 THEN r.conv_id + 1 ELSE document_id END AS doc_id
         FROM (SELECT *, length(message) % 4 AS kind FROM questions) r JOIN convs v ON v.conversation_id = r.conversation_id WHERE kind <> 1),
@@ -721,17 +819,26 @@ _CHAT = f"""asked AS (SELECT r.question_id, message, CASE kind WHEN 0 THEN {_NEW
         WHERE has_tree AND page_number <= 5)"""
 
 
-@query(with_tables("", "questions", "convs", "catalog", "doc_pages").rstrip() + ",\n" + _CHAT + f""" SELECT conversation_id, 'user' AS role, message AS content,
-    CAST(0 AS BIGINT) AS n_references FROM asked
-    UNION ALL SELECT conversation_id, 'assistant', CASE WHEN context IS NULL THEN 'Question: ' || message ELSE 'Document:' || context || chr(10) || chr(10)
-        || 'Question: ' || message || chr(10) || chr(10) || '{answers.ANSWER_CLOSE["batch"]}' END, coalesce(n, 0)
-    FROM asked LEFT JOIN (SELECT question_id, {_CONTEXT} AS context, count(*) AS n FROM found GROUP BY question_id) USING (question_id)""")
+@query(with_tables("", "questions", "convs", "catalog", "doc_pages").rstrip() + ",\n" + _CHAT + f""",
+    answered AS (SELECT *, CASE WHEN context IS NULL THEN 'Question: ' || message ELSE 'Document:' || context || chr(10) || chr(10)
+        || 'Question: ' || message || chr(10) || chr(10) || '{answers.ANSWER_CLOSE["batch"]}' END AS answer
+        FROM asked LEFT JOIN (SELECT question_id, {_CONTEXT} AS context, count(*) AS n FROM found GROUP BY question_id) USING (question_id))
+    SELECT conversation_id, 'user' AS role, message AS content, CAST(0 AS BIGINT) AS n_references FROM answered WHERE length(answer) % 5 <> 0
+    UNION ALL SELECT conversation_id, 'assistant', answer, coalesce(n, 0) FROM answered WHERE length(answer) % 5 <> 0
+    UNION ALL SELECT conversation_id, 'failed', question_id || ': no answer', 0 FROM answered WHERE length(answer) % 5 = 0""")
 def chat_batch(i: Inputs) -> DataFrame:
-    done = chatting.chat_batch(_requests(i), i.conversations, i.messages, i.catalog, None, i.pages,
-                               NullCompleter(), ExpressionCompleter(F.col("prompt")))
+    """Every prompt is its answer, but for those whose length is a multiple of five, which fail."""
+    echo = ExpressionCompleter(F.when(F.length("prompt") % 5 != 0, F.col("prompt")))
+    done = chatting.chat_batch(_requests(i), i.conversations, i.messages, i.catalog, None, i.pages, NullCompleter(), echo)
+    return _chat_rows(done)
+
+
+def _chat_rows(done: chatting.Chat) -> DataFrame:
     return done.new_messages.select(
         "conversation_id", "role", "content", F.coalesce(F.size("references"), F.lit(0)).cast("long").alias("n_references")
-    )
+    ).unionByName(done.failed.select(
+        "conversation_id", F.lit("failed").alias("role"), F.concat("question_id", F.lit(": "), "reason").alias("content"), F.lit(0).cast("long").alias("n_references")
+    ))
 
 
 # Streaming
@@ -739,7 +846,7 @@ def chat_batch(i: Inputs) -> DataFrame:
 @query(with_tables(_NODE_SQL + "nodes", "nodes"))
 def stream_index(i: Inputs) -> DataFrame:
     folder = run_folder(i.spark, "stream-index")
-    stream = i.spark.readStream.schema(i.table("documents").schema).option("pathGlobFilter", "documents.parquet").parquet(i.sf_dir)
+    stream = i.spark.readStream.schema(i.table("documents").schema).parquet(f"{i.sf_dir}/documents.parquet*")
 
     def decode(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         ids = batch.select("doc_id", F.lit(".txt").alias("file_type"), "text", F.lit(None).cast("string").alias("error_message"))
@@ -753,18 +860,71 @@ def stream_index(i: Inputs) -> DataFrame:
     return _node_rows(i.spark.read.parquet(f"{folder}/out/nodes"))
 
 
-@query(with_tables(f"""SELECT message_id, CAST(p AS INTEGER) AS part, coalesce((SELECT string_agg(chunk, '' ORDER BY seq) FROM chunks c
-    WHERE c.message_id = m.message_id AND seq // 64 = p AND {_KEPT_CHUNK}), '') AS content, p = n // 64 AS final
-    FROM (SELECT message_id, count(*) AS n FROM chunks GROUP BY message_id) m, unnest(range(n // 64 + 1)) AS r(p)""", "chunks"))
-def stream_fold(i: Inputs) -> DataFrame:
+_LATE = 1800  # seconds
+
+# Every fifth length has no end; such a message is expired if it is older than the bound when the stream has been read.
+_STREAMED = f"""sized AS (SELECT t.message_id, count(*) AS n, count(*) % 5 = 0 AS broken,
+        min(t.created_s) + {_LATE} < (SELECT max(created_s) FROM turns WHERE role = 'assistant') AS late
+        FROM chunks JOIN turns t USING (message_id) GROUP BY t.message_id),
+    streamed AS (SELECT message_id, CAST(p AS INTEGER) AS part, CASE WHEN NOT (broken AND p = n // 64) THEN coalesce((SELECT string_agg(chunk, '' ORDER BY seq)
+        FROM chunks c WHERE c.message_id = m.message_id AND seq // 64 = p AND {_KEPT_CHUNK}), '') END AS content,
+        p = n // 64 AND NOT broken AS final, p = n // 64 AND broken AS expired
+        FROM sized m, unnest(range(n // 64 + 1)) AS r(p) WHERE NOT (broken AND p = n // 64) OR (late AND n % 64 <> 0))"""
+
+
+def _streamed_parts(i: Inputs) -> DataFrame:
     folder = run_folder(i.spark, "stream-fold")
-    turns = i.spark.readStream.schema(i.table("conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(i.sf_dir)
+    turns = i.spark.readStream.schema(i.table("conversations").schema).parquet(f"{i.sf_dir}/conversations.parquet*")
     named = turns.select(
         "role", "text", F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("message_id"),
         F.timestamp_seconds(F.col("conv_id") * 100 + F.col("turn") + EPOCH).alias("created_at"),
     )
-    # The derived times say nothing about arrival, so nothing is ever late.
-    folded = stream_fold_chunks(chunk_events(named), filtered=True, part_chunks=64, late="36500 days")
+    events = chunk_events(named).where(~(F.col("done") & (F.col("seq") % 5 == 0)))
+    folded = stream_fold_chunks(events, filtered=True, part_chunks=64, late=f"{_LATE} seconds")
     folded.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint") \
         .trigger(availableNow=True).start().awaitTermination()
     return i.spark.read.schema(folded.schema).parquet(f"{folder}/out")
+
+
+@query(with_tables("", "chunks", "turns").rstrip() + ",\n" + _STREAMED + " SELECT message_id, part, content, final, expired FROM streamed")
+def stream_fold(i: Inputs) -> DataFrame:
+    return _streamed_parts(i)
+
+
+_ASKED = """requested AS (SELECT message_id AS question_id, left(text, 60) AS message, r.conv_id, length(text) % 4 AS kind, r.conversation_id, document_id
+    FROM turns r JOIN convs v ON v.conversation_id = r.conversation_id WHERE role = 'assistant')"""
+
+
+@query(with_tables("", "chunks", "turns", "convs").rstrip() + ",\n" + _STREAMED + ",\n" + _ASKED + f""",
+    told AS (SELECT message_id AS question_id, string_agg(content, '' ORDER BY part) AS answer, bool_or(final) AS whole, bool_or(expired) AS broke FROM streamed GROUP BY message_id),
+    both_sides AS (SELECT CASE kind WHEN 0 THEN {_NEW_ID} ELSE conversation_id END AS conversation_id, question_id, message, answer, whole, broke
+        FROM requested JOIN told USING (question_id) WHERE kind <> 1)
+    SELECT conversation_id, 'user' AS role, message AS content, CAST(0 AS BIGINT) AS n_references FROM both_sides WHERE whole
+    UNION ALL SELECT conversation_id, 'assistant', answer, 0 FROM both_sides WHERE whole
+    UNION ALL SELECT conversation_id, 'failed', question_id || ': the answer broke off', 0 FROM both_sides WHERE broke
+    UNION ALL SELECT 'all', 'messages', 'after one run and after two', 2 * count(*) + (SELECT count(*) FROM turns WHERE role IN ('user', 'assistant')) FROM both_sides WHERE whole""")
+def chat_stream(i: Inputs) -> DataFrame:
+    """Streamed answers recorded, and recorded once more, which must change nothing."""
+    kind = F.length("text") % 4
+    named = F.when(kind == 1, F.concat(F.lit("x"), "conversation_id")).when(kind != 0, F.col("conversation_id"))
+    requests = i.turns.where("role = 'assistant'").select(
+        F.col("message_id").alias("question_id"), named.alias("conversation_id"), (F.col("conv_id") + 1).alias("document_id"), F.substring("text", 1, 60).alias("message"))
+    parts = cut(_streamed_parts(i))
+    none = requests.select("question_id", F.lit(None).cast("array<struct<page:int,reason:string,preview:string>>").alias("references"))
+    now = F.timestamp_seconds(F.lit(EPOCH * 2))
+    once = chatting.chat_stream(requests, parts, none, i.conversations, i.messages, now)
+    twice = chatting.chat_stream(requests, parts, none, once.conversations, once.messages, now)
+    counts = [chat.messages.agg(F.count("*").alias("n_references")) for chat in (once, twice)]
+    total = counts[0].intersect(counts[1]).select(
+        F.lit("all").alias("conversation_id"), F.lit("messages").alias("role"), F.lit("after one run and after two").alias("content"), "n_references")
+    return _chat_rows(once).unionByName(total)
+
+
+# JSON
+
+@query("""SELECT doc_id, CAST(length(text) AS VARCHAR) AS kept FROM documents""")
+def duplicate_keys(i: Inputs) -> DataFrame:
+    """Of a key that occurs twice in a response the last value counts."""
+    response = F.concat(F.lit('{"summary": "first", "summary": "'), F.length("text").cast("string"), F.lit('"}'))
+    parsed = with_strict_json(i.documents.select("doc_id", response.alias("response")), json_object_span(F.col("response")), "v")
+    return parsed.select("doc_id", F.try_variant_get("v", "$.summary", "string").alias("kept"))

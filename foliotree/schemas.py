@@ -75,18 +75,3 @@ CHUNKS = T.StructType([
     T.StructField("done", T.BooleanType()),
     T.StructField("ts", T.TimestampType()),
 ])
-
-
-def tree_struct(max_depth: int = 3) -> T.StructType:
-    """Nested tree of at most ``max_depth`` levels (a StructType cannot recurse)."""
-    children: T.DataType = T.StringType() if max_depth <= 1 else tree_struct(max_depth - 1)
-    return T.StructType([
-        T.StructField("id", T.StringType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("page_start", T.IntegerType()),
-        T.StructField("page_end", T.IntegerType()),
-        T.StructField("level", T.IntegerType()),
-        T.StructField("content_summary", T.StringType()),
-        T.StructField("raw_content", T.StringType()),
-        T.StructField("children", T.ArrayType(children)),
-    ])

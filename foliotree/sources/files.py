@@ -30,9 +30,9 @@ def named(files: DataFrame) -> DataFrame:
 
 def reject_reason(name: Column, length: Column, max_size: int = MAX_FILE_SIZE) -> Column:
     """Why a file is refused, null if it is not. The type is judged before the size."""
-    return F.when(~file_ext(name).isin(FILE_TYPES), F.lit("unsupported file type")).when(
+    return F.when(~F.coalesce(file_ext(name).isin(FILE_TYPES), F.lit(False)), F.lit("unsupported file type")).when(
         length > max_size, F.lit("file too large")
-    )
+    ).when(length.isNull(), F.lit("unknown file size"))
 
 
 def admit(files: DataFrame, max_size: int = MAX_FILE_SIZE) -> tuple[DataFrame, DataFrame]:

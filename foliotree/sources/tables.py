@@ -34,13 +34,3 @@ def save(tables: dict[str, DataFrame], path: str, mode: str = "errorifexists", f
 
 def load(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
-
-
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Spread a scan by the hash of a unique ``key`` if it has fewer splits than there are cores, else leave it alone.
-
-    A small file of one row group is one task whatever the cluster. Large data has
-    more splits than cores and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, F.xxhash64(*key)) if df.rdd.getNumPartitions() < cores else df

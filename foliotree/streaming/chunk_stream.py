@@ -8,23 +8,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from foliotree.operators.answers import PART_CHUNKS, kept_chunk
+from foliotree.operators.answers import PART_CHUNKS, join_parts, kept_chunk
 
-FOLDED = "message_id string, part int, content string, final boolean"
+FOLDED = "message_id string, part int, content string, final boolean, expired boolean"
 STATE = "seqs array<int>, chunks array<string>, last int, emitted boolean"
 
 
 def stream_fold_chunks(events: DataFrame, filtered: bool = False, part_chunks: int = PART_CHUNKS,
                        late: str = "10 minutes") -> DataFrame:
-    """Streaming (message_id, seq, chunk, done, ts) → finished parts (message_id, part, content, final).
+    """Streaming (message_id, seq, chunk, done, ts) → finished parts (message_id, part, content, final, expired).
 
     Sequence numbers count from 0; the ``done`` event takes the number after the
     last chunk. A part covers ``part_chunks`` numbers and is emitted once, when all
     of them, or all up to the end, are there, in whatever order and however often
     they came; a message is complete with its ``final`` part. State is bounded by
-    the part. A part still unfinished ``late`` after its last event is given up,
-    as a broken-off answer is never stored. ``filtered`` drops chunks like
-    :func:`~foliotree.operators.answers.filter_chunks`.
+    the part. A part still unfinished ``late`` after its last event is emitted once
+    as ``expired``, without content: its message is broken off, and the parts that
+    came before are not to be used. ``filtered`` drops chunks like
+    :func:`~foliotree.operators.answers.filter_chunks`. See :func:`finished_messages`.
     """
     kept = F.when(F.coalesce("done", F.lit(False)), F.lit("")).otherwise(
         F.when(kept_chunk(F.col("chunk")), F.col("chunk")).otherwise(F.lit("")) if filtered else F.col("chunk")
@@ -36,10 +37,13 @@ def stream_fold_chunks(events: DataFrame, filtered: bool = False, part_chunks: i
     )
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        message_id, part = key
         if state.hasTimedOut:
+            emitted = state.get[3]
             state.remove()
+            if not emitted:
+                yield pd.DataFrame({"message_id": [message_id], "part": [part], "content": [None], "final": [False], "expired": [True]})
             return
-        message_id, part = key
         seqs, chunks, last, emitted = state.get if state.exists else ([], [], None, False)
         held = dict(zip(seqs, chunks))
         newest = None
@@ -54,7 +58,7 @@ def stream_fold_chunks(events: DataFrame, filtered: bool = False, part_chunks: i
         if not emitted and len(held) == end - first:
             yield pd.DataFrame({
                 "message_id": [message_id], "part": [part],
-                "content": ["".join(held[s] for s in range(first, end))], "final": [last is not None],
+                "content": ["".join(held[s] for s in range(first, end))], "final": [last is not None], "expired": [False],
             })
             emitted = True
         # A finished part only remembers that it is finished, until replays of it are too late to count.
@@ -66,3 +70,18 @@ def stream_fold_chunks(events: DataFrame, filtered: bool = False, part_chunks: i
     return rows.groupBy("message_id", "part").applyInPandasWithState(
         fold, FOLDED, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def finished_messages(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages (message_id, content), broken-off ones (message_id, error_message)) of the stored parts of a stream.
+
+    A message is finished when its final part and all before it are there. One
+    with an expired part is broken off; one that is merely unfinished is in neither.
+    """
+    state = parts.groupBy("message_id").agg(
+        F.max(F.when(F.col("final"), F.col("part"))).alias("last"), F.count(F.when(~F.col("expired"), 1)).alias("n"),
+        F.max("expired").alias("expired"),
+    )
+    whole = state.where((F.col("n") == F.col("last") + 1) & ~F.col("expired")).select("message_id")
+    broken = state.where("expired").select("message_id", F.lit("the answer broke off").alias("error_message"))
+    return join_parts(parts.join(whole, "message_id", "left_semi")), broken

@@ -70,6 +70,17 @@ def test_append_moves_only_touched_conversations(spark, tables):
     assert at["a"] == T0 + timedelta(days=10) and at["b"] == T0 + timedelta(hours=5)
 
 
+def test_older_and_replayed_messages_move_nothing_back(spark, tables):
+    schema = "message_id string, conversation_id string, role string, content string, created_at timestamp"
+    new = spark.createDataFrame([("old", "a", "user", "x", T0 - timedelta(days=9)), ("b0", "b", "user", "t0", T0)], schema)
+    messages, conversations = c.append_messages(tables["messages"], tables["conversations"], new)
+    assert messages.count() == 10
+    at = {r.conversation_id: r.updated_at for r in conversations.collect()}
+    assert at["a"] == T0 + timedelta(hours=3) and at["b"] == T0 + timedelta(hours=5)
+    again, same = c.append_messages(messages, conversations, new)
+    assert again.count() == 10 and sorted(map(tuple, same.collect()), key=repr) == sorted(map(tuple, conversations.collect()), key=repr)
+
+
 def test_deleting_a_conversation(spark, tables):
     ids = spark.createDataFrame([("a",), ("a",), ("nope",)], "conversation_id string")
     conversations, messages = c.delete_conversations(tables["conversations"], tables["messages"], ids)

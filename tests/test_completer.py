@@ -41,6 +41,30 @@ def test_equal_prompts_are_asked_once_and_failures_are_null(spark, tmp_path):
     assert calls(tmp_path) == ["a", "b", "bad"]
 
 
+def test_failures_have_their_reason_and_calls_run_side_by_side(spark, tmp_path):
+    def make_client():
+        import threading
+        met = threading.Barrier(4, timeout=20)
+
+        def client(system, prompt):
+            met.wait()  # passes only if four calls of the task are under way at once
+            if prompt == "p3":
+                raise ValueError("no luck")
+            return None if prompt == "p2" else prompt
+        return client
+
+    completer = FunctionCompleter(make_client, partitions=1, parallel=4)
+    assert answered(completer.attach(requests(spark, ["p0", "p1", "p2", "p3"]))) == {0: "p0", 1: "p1", 2: None, 3: None}
+    assert sorted(r.error for r in completer.failed.collect()) == ["ValueError: no luck", "no response"]
+
+
+def test_responses_are_committed_in_slices(spark, tmp_path):
+    stored = StoredCompleter(FunctionCompleter(counting_client(tmp_path)), str(tmp_path / "store"), commits=3)
+    prompts = [f"p{i}" for i in range(9)]
+    assert set(answered(stored.attach(requests(spark, prompts))).values()) == {f"sys:{p}" for p in prompts}
+    assert calls(tmp_path) == prompts
+
+
 def test_table_completer(spark):
     asked = requests(spark, ["a", "b"])
     table = with_request_id(asked).where("prompt = 'b'").selectExpr("request_id", "'known' AS response")

@@ -63,7 +63,7 @@ def test_context_moves_prefixes_only(stored):
 
 
 def test_headings_shuffle_once_and_page_the_text_once(inputs):
-    made = tree.heading_tree(pagers.doc_lines(inputs.table("documents")))
+    made = tree.heading_tree(pagers.doc_lines(inputs.table("documents")), inputs.docs)
     assert len(re.findall(r"Exchange hashpartitioning\(doc_id", plan(made))) == 1
     assert plan(made).count("aggregate(slice(") == 1
 

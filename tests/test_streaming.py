@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from foliotree.operators.answers import fold_chunks
 from foliotree.plans.indexing import build_index, parse_documents, store_index
 from foliotree.schemas import CATALOG
-from foliotree.streaming.chunk_stream import stream_fold_chunks
+from foliotree.streaming.chunk_stream import finished_messages, stream_fold_chunks
 from foliotree.streaming.index_stream import decode_files, stream_index
 from foliotree.sources.files import admit, scan_files
 
@@ -82,7 +82,7 @@ def run_fold(spark, batches, folder, **options):
         stream = spark.readStream.schema(schema).parquet(str(source))
         stream_fold_chunks(stream, **options).writeStream.format("parquet").option("path", str(folder / "out")).option(
             "checkpointLocation", str(folder / "cp")).trigger(availableNow=True).start().awaitTermination()
-    return sorted(map(tuple, spark.read.parquet(str(folder / "out")).select("message_id", "part", "content", "final").collect()))
+    return sorted(map(tuple, spark.read.parquet(str(folder / "out")).select("message_id", "part", "content", "final", "expired").collect()))
 
 
 MESSAGE = ["Hel", "lo ", "<think>", "  ", "w</think>x", "!"]
@@ -96,22 +96,23 @@ def test_chunks_fold_out_of_order_and_replayed(spark, tmp_path):
     rows = whole("m", MESSAGE) + whole("n", ["only"])
     batches = [rows[4:6] + rows[7:8], rows[:2] + rows[4:5], rows[2:4] + rows[6:7], rows[:3] + rows[7:9], rows[6:]]
     got = run_fold(spark, batches, tmp_path, filtered=True)
-    assert got == [("m", 0, "Hello !", True), ("n", 0, "only", True)]
+    assert got == [("m", 0, "Hello !", True, False), ("n", 0, "only", True, False)]
 
 
 def test_unfinished_messages_are_not_emitted_and_parts_are(spark, tmp_path):
     rows = whole("m", list("abcdefg"))
     open_end = [("u", 0, "x", False, 0)]
     got = run_fold(spark, [rows[:5] + open_end, rows[5:]], tmp_path, part_chunks=3)
-    assert got == [("m", 0, "abc", False), ("m", 1, "def", False), ("m", 2, "g", True)]
+    assert got == [("m", 0, "abc", False, False), ("m", 1, "def", False, False), ("m", 2, "g", True, False)]
 
 
 def test_stream_equals_batch(spark, tmp_path):
     rows = [r for k in range(20) for r in whole(f"m{k}", [f"{k}.{i} " for i in range(k)])]
     got = run_fold(spark, [rows[::3], rows[1::3], rows[2::3]], tmp_path, part_chunks=8)
     chunks = events(spark, rows).where(~F.col("done"))
-    batch = sorted(map(tuple, fold_chunks(chunks, part_chunks=8).collect()))
-    assert [g[:3] for g in got if g[2] != ""] == batch
+    batch = {r.message_id: r.content for r in fold_chunks(chunks, part_chunks=8).collect()}
+    finished, broken = finished_messages(spark.read.parquet(str(tmp_path / "out")))
+    assert {r.message_id: r.content for r in finished.collect() if r.content} == batch and broken.count() == 0
     assert sorted(g[0] for g in got if g[3]) == sorted(f"m{k}" for k in range(20))
 
 
@@ -119,6 +120,8 @@ def test_state_of_abandoned_messages_goes(spark, tmp_path):
     first = [("u", 0, "x", False, 0)]
     later = whole("m", ["a"], t=4000)
     last = whole("n", ["b"], t=9000)
-    # The end of u comes after its part was given up: nothing is emitted for it.
+    # The end of u comes after its part was given up, which was said.
     got = run_fold(spark, [first, later, last, [("u", 1, None, True, 1)]], tmp_path, late="1 minute")
-    assert got == [("m", 0, "a", True), ("n", 0, "b", True)]
+    assert got == [("m", 0, "a", True, False), ("n", 0, "b", True, False), ("u", 0, None, False, True)]
+    finished, broken = finished_messages(spark.read.parquet(str(tmp_path / "out")))
+    assert sorted(r.message_id for r in finished.collect()) == ["m", "n"] and [r.message_id for r in broken.collect()] == ["u"]

@@ -126,7 +126,9 @@ def test_nest_and_unnest(spark):
     assert [c["title"] for c in one["children"]] == ["A", "B"]
     assert [c["title"] for c in one["children"][0]["children"]] == ["A1", "A2"]
     assert one["children"][1]["children"] == []
-    back = tree.unnest_tree(trees).select(*nodes.columns)
+    back, errors = tree.unnest_tree(trees)
+    back = back.select(*nodes.columns)
+    assert errors.count() == 0
     # Fallback leaves are numbered by their page before nesting and by their place after it.
     key = ["doc_id", "node_id", "parent_id", "level", "title", "page_start", "page_end", "raw_content"]
     assert sorted(map(repr, back.select(key).collect())) == sorted(map(repr, nodes.select(key).collect()))
@@ -135,10 +137,27 @@ def test_nest_and_unnest(spark):
 def test_unnest_defaults_and_required_fields(spark):
     whole = {"title": "R", "page_start": 1, "page_end": 2, "level": 0, "children": [{"id": "abc", "title": "C", "page_start": 1, "page_end": 1, "level": 1}]}
     lacking = {**whole, "children": [{"title": "C", "page_start": 1, "level": 1}]}
-    df = spark.createDataFrame([(1, json.dumps(whole)), (2, json.dumps(lacking)), (3, "{"), (4, None)], "doc_id int, index_tree string")
-    got = tree.unnest_tree(df).orderBy("path").collect()
+    df = spark.createDataFrame([(1, json.dumps(whole)), (2, json.dumps(lacking)), (3, "{"), (4, None), (5, "[1]"), (6, '{"a": 1} x')], "doc_id int, index_tree string")
+    nodes, errors = tree.unnest_tree(df)
+    got = nodes.orderBy("path").collect()
     assert [(r.doc_id, r.title, r.content_summary, r.raw_content) for r in got] == [(1, "R", "", ""), (1, "C", "", "")]
     assert got[1].node_id == "abc" and got[1].parent_id == got[0].node_id and len(got[0].node_id) == 8
+    assert sorted(r.doc_id for r in errors.collect())[:4] == [2, 3, 4, 5]
+
+
+def test_trees_of_any_depth(spark):
+    paths = [[]] + [[1] * n for n in range(1, 13)] + [[1, 2], [2], [2, 1], [10]] + [[3] * 1]
+    rows = [(d, p, len(p), f'"{p}" \\ é', 1, 9) for d in (1, 2) for p in paths]
+    nodes = tree.node_rows(spark.createDataFrame(rows, "doc_id int, path array<int>, level int, title string, page_start int, page_end int"))
+    trees = tree.nest_tree(nodes.repartition(7))
+    one = json.loads(trees.where("doc_id = 1").first().index_tree)
+    assert [c["title"] for c in one["children"]] == [f'"[{k}]" \\ é' for k in (1, 2, 3, 10)]
+    back, errors = tree.unnest_tree(trees)
+    key = ["doc_id", "node_id", "parent_id", "level", "title"]
+    assert sorted(map(repr, back.select(key).collect())) == sorted(map(repr, nodes.select(key).collect())) and errors.count() == 0
+    # A lost ancestor, no root, or a node twice: no tree, but a reason.
+    for broken in (nodes.where("path <> array(1, 1)"), nodes.where("size(path) > 0"), nodes.unionByName(nodes.where("path = array(2)"))):
+        assert [(r.index_tree, r.error_message) for r in tree.nest_tree(broken).collect()] == [(None, "a node without its parent")] * 2
 
 
 def test_ancestors(spark):
@@ -150,12 +169,18 @@ def test_ancestors(spark):
 
 
 def test_headings(spark):
-    text = "intro\n# One\naaa\n## Sub a\nb\n### Deep\n## Sub b\n#### too deep\n#nothing\n# Two\nend"
-    df = spark.createDataFrame([(1, text), (2, "no headings")], "doc_id int, text string")
+    text = "intro\n# One\naaa\n## Sub a\nb\n### Deep\n## Sub b\n#### too deep\n#nothing\n# Two\n```\n# code\n ```\n### End"
+    df = spark.createDataFrame([(1, text), (2, "no headings"), (3, "## A\n# B\n## C\n```\n# open end")], "doc_id int, text string")
     lines = doc_lines(df, cap=15)
     page = {r.line_no: r.page_number for r in lines.where("doc_id = 1").collect()}
-    got = {r.title: (r.level, r.line_no, r.parent_line, r.page_start, r.page_end) for r in tree.heading_tree(lines).collect()}
-    assert got == {
-        "One": (1, 1, None, page[1], page[9]), "Sub a": (2, 3, 1, page[3], page[6]), "Deep": (3, 5, 3, page[5], page[6]),
-        "Sub b": (2, 6, 1, page[6], page[9]), "Two": (1, 9, None, page[9], page[10]),
-    }
+    assert [r.line_no for r in lines.where("doc_id = 1 AND fenced").orderBy("line_no").collect()] == [10, 11, 12]
+    got = listed(tree.heading_tree(lines, documents(spark, [1, 2, 3])))
+    last = page[13]
+    assert got[1] == [
+        ([], 0, "t1", 1, 9), ([1], 1, "One", page[1], page[9]), ([1, 1], 2, "Sub a", page[3], page[6]), ([1, 1, 1], 3, "Deep", page[5], page[6]),
+        ([1, 2], 2, "Sub b", page[6], page[9]), ([2], 1, "Two", page[9], last), ([2, 1], 3, "End", page[13], last),
+    ]
+    assert got[2] == [([], 0, "t2", 1, 9)]
+    assert [(p, lv, t) for p, lv, t, *_ in got[3]] == [([], 0, "t3"), ([1], 2, "A"), ([2], 1, "B"), ([2, 1], 2, "C")]
+    nodes, errors = tree.unnest_tree(tree.nest_tree(tree.heading_tree(lines, documents(spark, [1, 2, 3]))))
+    assert listed(nodes) == got and errors.count() == 0
