@@ -84,10 +84,14 @@ def _fold_spans(items: str, size: str, limit: int, breaks_before: str = "false",
         s -> if(s.at > s.first, {closed('s.at', 's')}, s.spans))""")
 
 
-def _line_spans(df: DataFrame, text: str, cap: int) -> DataFrame:
+def _line_fold(lines: str, cap: int) -> Column:
     bare = f"btrim(x, '{WHITESPACE}')"
     guarded = f"startswith({bare}, '{LIST_MARK}') OR startswith({bare}, '{FENCE_MARK}') OR endswith({bare}, '{FENCE_MARK}')"
-    spans = _fold_spans("__lines", "length(x) + 1", cap, breaks_before=f"length(x) > {cap}", holds_open=guarded)
+    return _fold_spans(lines, "length(x) + 1", cap, breaks_before=f"length(x) > {cap}", holds_open=guarded)
+
+
+def _line_spans(df: DataFrame, text: str, cap: int) -> DataFrame:
+    spans = _line_fold("__lines", cap)
     fences = f"filter(sequence(0, size(__lines) - 1), i -> startswith(btrim(__lines[i], '{WHITESPACE}'), '{FENCE_MARK}'))"
     return (
         df.where(F.col(text).isNotNull())
@@ -167,6 +171,38 @@ def page_physical(raw_pages: DataFrame) -> DataFrame:
     )
 
 
+def _case_pages(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Pages of rows (doc_id, file_type, …) in one pass: ``kinds`` says which of fixed, paragraphs and extraction a type takes.
+
+    A document's pages are one array, made by the expression of its type and
+    exploded once, so the rows are read once whatever types they have.
+    """
+    def of(kind: str) -> Column:
+        return F.col("file_type").isin([ext for ext, k in kinds.items() if k == kind])
+
+    rich = of("extraction") & F.coalesce(F.length(strip(F.col("rich_text"))) >= MIN_EXTRACTION, F.lit(False))
+    bare = F.filter(F.transform("paragraphs", lambda p: strip(p)), lambda p: p != "")
+    page = lambda content, chars: F.struct(content.alias("content"), chars.cast("int").alias("char_count"))
+    staged = df.where(F.col("file_type").isin(list(kinds))).select(
+        "doc_id", of("fixed").alias("__fixed"), of("paragraphs").alias("__para"), "text", "raw_pages",
+        F.when(rich, F.split("rich_text", "\n", -1)).alias("__lines"), F.when(of("paragraphs"), bare).alias("__items"),
+    )
+    staged = staged.withColumn("__lspans", F.when(F.col("__lines").isNotNull(), _line_fold("__lines", LINE_CAP))).withColumn(
+        "__pspans", F.when(F.col("__items").isNotNull(), _fold_spans("__items", "length(x)", PARAGRAPH_THRESHOLD)))
+
+    def items(name: str, span: Column) -> Column:
+        return F.slice(F.col(name), span["first"] + 1, span["n"])
+
+    fixed = F.transform(F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % FIXED_WIDTH), F.lit(0)), lambda t: page(t, F.length(t)))
+    lines = F.transform("__lspans", lambda s: page(F.array_join(items("__lines", s), "\n"), s["chars"]))
+    paragraphs = F.transform("__pspans", lambda s: page(
+        F.concat(F.array_join(items("__items", s), "\n"), F.lit("\n")), F.when(s["chars"] >= PARAGRAPH_THRESHOLD, 0).otherwise(s["chars"])))
+    physical = F.transform("raw_pages", lambda t: page(F.coalesce(strip(t), F.lit("")), F.coalesce(F.length(t), F.lit(0))))
+    pages = F.when(F.col("__fixed"), fixed).when(F.col("__para"), paragraphs).when(F.col("__lines").isNotNull(), lines).otherwise(physical)
+    return _exploded(staged.select("doc_id", F.posexplode_outer(pages).alias("__pos", "__page"))).select(
+        "doc_id", (F.col("__pos") + 1).alias("page_number"), "__page.content", "__page.char_count")
+
+
 def prefer_extraction(df: DataFrame, rich: str = "rich_text", plain: str = "raw_pages",
                       min_chars: int = MIN_EXTRACTION, cap: int = LINE_CAP) -> DataFrame:
     """Line pages of the layout extraction when it is long enough, else the plain pages.
@@ -215,15 +251,18 @@ class PagerRegistry:
     def paginate(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(pages, errors): each type through its pager, unknown types as error rows.
 
-        Every pager filters ``df`` for its types: a table stored by file_type is read
-        once in all, see :func:`foliotree.plans.indexing.store_index`.
+        The pagers of this module read ``df`` once together; each pager that was
+        registered on top filters ``df`` for its types.
         """
         by_pager: dict[Pager, list[str]] = {}
         for ext, pager in self._pagers.items():
             by_pager.setdefault(pager, []).append(ext)
-        parts = [
+        together = {page_fixed: "fixed", page_paragraphs: "paragraphs", prefer_extraction: "extraction"}
+        kinds = {ext: together[pager] for pager, exts in by_pager.items() if pager in together for ext in exts}
+        parts = [_case_pages(df, kinds).select(*PAGE_COLUMNS)] if kinds else []
+        parts += [
             pager(df.where(F.col("file_type").isin(exts))).select(*PAGE_COLUMNS)
-            for pager, exts in by_pager.items()
+            for pager, exts in by_pager.items() if pager not in together
         ]
         pages = parts[0]
         for part in parts[1:]:

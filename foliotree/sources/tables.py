@@ -34,3 +34,18 @@ def save(tables: dict[str, DataFrame], path: str, mode: str = "errorifexists", f
 
 def load(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+# Input up to this size may be dealt out anew; anything larger stays as it is read.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Deal a small scan out over the cores by the hash of a unique ``key``; leave a large one alone.
+
+    A small file of one row group is one task whatever the cluster. What is moved
+    is at most ``SPREAD_BYTES``, by the size that the planner knows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, F.xxhash64(*key)) if size <= SPREAD_BYTES else df
