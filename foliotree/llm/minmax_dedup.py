@@ -9,10 +9,9 @@ on their full sets.
 
 Copies with equal sets are one node from the start. In a band's bucket every
 member is compared with one pivot, not with all others. Where that leaves a
-bucket with more than one component, pairs across components are compared, by
-further pivots while they are many, and then one by one: no pair that might
-still join two components is left out, and pairs within a component are never
-made.
+bucket with more than one component, its smaller components are looked up in
+blocks of the others, inside tasks: no pair that might still join two components
+is left out, and no table of pairs within a group is ever made.
 """
 
 from __future__ import annotations
@@ -28,10 +27,10 @@ from foliotree.llm.components import components
 WIDTH, BANDS, ROWS, PERCENT = 5, 64, 7, 75
 #: Ids at or above this stand for rows without an id.
 NO_ID = 1 << 62
-MAX_WORDS = 300_000
+MAX_WORDS = 150_000
 TILE = 2048
-#: Further pivots are tried while more than so many pairs a member are left across components, at most so often.
-PAIRS_PER_MEMBER, MAX_PIVOTS = 4, 6
+#: A block or chunk of nodes that are compared inside one task.
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 20
 
 _U = np.uint64
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=_U)
@@ -128,6 +127,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
                 pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32),
                                          pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64))),
             ], names=["doc_id", "row_id", "n_shingles", "set_key", "bands"])
+        _WORDS.clear()  # a worker outlives its tasks
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, row_id long, n_shingles long, set_key string, bands array<bigint>")
@@ -146,6 +146,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
             ids, keys, sets = zip(*out) if out else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(sets, pa.binary())],
                                              names=["row_id", "set_key", "shingles"])
+        _WORDS.clear()
 
     return texts.mapInArrow(run, "row_id long, set_key string, shingles binary")
 
@@ -172,6 +173,61 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _across(nodes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Labels after all links between different components that share a bucket.
+
+    Where a bucket holds several components, the nodes outside its largest one
+    are queries against all its nodes. Nodes are dealt to blocks (neighbours by
+    the smallest node of their buckets, at most about ``BLOCK_NODES`` nodes and
+    ``BLOCK_SHINGLES`` shingles) and queries to chunks of the same size, so a row
+    is a query and a block, never a pair; a task looks a chunk's shingles up in
+    the sorted shingles of a block and reports one link for a query and component.
+    """
+    exploded = nodes.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.explode_outer("bands").alias("key"))
+    mixed = exploded.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("node").alias("low")).where("l0 < l1").select("key", "low")
+    still = stored(exploded.join(stored(mixed, "mixed"), "key"), "open")
+    if still.isEmpty():
+        return labels
+
+    def split(df: DataFrame, by: str, out: str) -> DataFrame:
+        """Rows (by, node, n) with ``out``, so many parts of a ``by`` that none is larger than a block."""
+        sizes = df.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("__parts"))
+        return df.join(sizes, by).withColumn(out, F.pmod(F.xxhash64("node"), F.col("__parts")).cast("int")).drop("__parts")
+
+    near = still.groupBy("node", "n", "label").agg(F.min("low").alias("g"))
+    blocks = stored(split(near, "g", "part").withColumn("block", F.xxhash64("g", "part")).select("block", "node", "n", "label"), "blocks")
+    # Of a bucket's components the one with most nodes asks nothing.
+    largest = still.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"))
+    asking = still.join(largest, "key").where(F.col("label") != F.col("top.label")).select("key", "node", "n", "label")
+    asked = still.select("key", "node").join(blocks.select("node", "block"), "node").select("key", "block").distinct()
+    queries = stored(split(asking.join(asked, "key").select("block", "node", "n", "label").distinct(), "block", "chunk"), "queries")
+    members = blocks.join(queries.select("block", "chunk").distinct(), "block").join(sets, "node").select("block", "chunk", "node", "label", "shingles")
+    asking_sets = queries.join(sets, "node").select(*[F.col(c).alias(f"q_{c}") for c in ("block", "chunk", "node", "label", "shingles")])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = [np.frombuffer(x.as_buffer(), _U) for x in left.column("shingles")]
+        out: list[tuple[int, int]] = []
+        if held and right.num_rows:
+            sizes = np.array([len(x) for x in held])
+            values = np.concatenate(held)
+            order = np.argsort(values, kind="stable")
+            values, owners = values[order], np.repeat(np.arange(len(held)), sizes)[order]
+            ids, own = left.column("node").to_numpy(), left.column("label").to_numpy()
+            for node, label, x in zip(*(right.column(f"q_{c}").to_pylist() for c in ("node", "label")), right.column("q_shingles")):
+                x = np.frombuffer(x.as_buffer(), _U)
+                first, last = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+                counts = last - first
+                hits = np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+                common = np.bincount(owners[hits], minlength=len(held))
+                linked = np.flatnonzero((100 * common >= percent * (len(x) + sizes - common)) & (own != label))
+                _, one = np.unique(own[linked], return_index=True)
+                out += [(node, int(ids[k])) for k in linked[one]]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    links = members.groupBy("block", "chunk").cogroup(asking_sets.groupBy("q_block", "q_chunk")).applyInArrow(meet, "a long, b long")
+    return components(stored(links, "links"), labels)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                     width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
@@ -188,54 +244,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row_id").alias("node")), "classes")
     banded = stored(
         signed.join(classes.select("set_key", F.col("node").alias("row_id")), ["set_key", "row_id"])
-        .select(F.col("row_id").alias("node"), "set_key", F.col("n_shingles").alias("n"), "bands"), "banded"
+        .select(F.col("row_id").alias("node"), "set_key", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node", "set_key"]), "banded"
     )
-    entries = banded.select("node", "n", F.explode_outer("bands").alias("key"))
-    buckets = stored(
-        entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"), "buckets"
+    entries = banded.select("node", F.explode_outer("bands").alias("key"))
+    buckets = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    checked = stored(
+        entries.join(stored(buckets, "buckets"), "key").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "pairs"
     )
-    members = stored(entries.join(buckets, "key").select("key", "node", "n", "low"), "members")
-    checked = stored(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
 
-    nodes = stored(members.select("node").distinct().join(banded.select("node", "set_key"), "node").distinct(), "nodes")
+    nodes = stored(checked.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(banded, "node"), "nodes")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    wanted = texts.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    # The nodes grow with the documents, so this is a shuffle at every size.
+    wanted = texts.join(nodes.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(
         _sets(wanted.unionByName(texts.where("doc_id IS NULL")), width)
-        .join(nodes.withColumnRenamed("node", "row_id"), ["row_id", "set_key"], "left_semi")
+        .join(nodes.select(F.col("node").alias("row_id"), "set_key"), ["row_id", "set_key"], "left_semi")
         .select(F.col("row_id").alias("node"), "shingles").dropDuplicates(["node"]), "sets"
     )
-    links = stored(_confirmed(checked, sets, percent), "links")
-    labels = components(links)
-
-    pivots = 0
-    while True:
-        labelled = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
-        still = stored(labelled.join(mixed, "key", "left_semi").distinct(), "open")
-        per = still.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(
-            F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left, size = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-        if not left:
-            break
-        last = left <= PAIRS_PER_MEMBER * size or pivots >= MAX_PIVOTS
-        x, y = still.alias("x"), still.alias("y")
-        fits = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.col("x.label") != F.col("y.label"))
-        if last:
-            met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & fits)
-        else:
-            chosen = still.groupBy("key").agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(pivots))).alias("p"))
-            x = chosen.select("key", "p.node", "p.n", "p.label").alias("x")
-            met = x.join(y, (F.col("x.key") == F.col("y.key")) & fits)
-        fresh = stored(
-            met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-            .join(checked, ["a", "b"], "left_anti"), "pairs"
-        )
-        checked = checked.unionByName(fresh)
-        labels = components(stored(_confirmed(fresh, sets, percent), "links"), labels)
-        pivots += 1
-        if last:
-            break
+    labels = components(stored(_confirmed(checked, sets, percent), "links"))
+
+    labels = _across(nodes, labels, sets, percent)
 
     placed = signed.select("doc_id", "row_id", "n_shingles", "set_key").join(
         classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label")), "set_key", "left"

@@ -77,10 +77,10 @@ def test_equals_all_pairs(spark, rows):
     assert got == brute(rows)
 
 
-def test_pivots_and_blocks_find_the_same(spark, rows, monkeypatch):
-    """With bands that bring everything together, further pivots and the last comparison across components do the work."""
-    monkeypatch.setattr(near, "PAIRS_PER_MEMBER", 0)
-    monkeypatch.setattr(near, "MAX_PIVOTS", 2)
+def test_blocks_find_what_the_pivots_missed(spark, rows, monkeypatch):
+    """With bands that bring nearly everything together and small blocks, queries against blocks do the work."""
+    monkeypatch.setattr(near, "BLOCK_NODES", 20)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 3000)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((tuple(r) for r in near.near_duplicates(docs, bands=40, rows=1).collect()), key=str)
     assert got == brute(rows)
