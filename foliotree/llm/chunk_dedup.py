@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from foliotree.functions.durable import stored
 
 BLANKS = r"[\x20\x09-\x0D]+"
-MIN_CHUNK, MAX_CHUNK = 1024, 8192
-# A cut stands behind four code points that all are of this class: about every 400 code points of prose.
-CUT = "[ .,aehilnorstuéè]{3}[ .,]"
+MIN_CHUNK, MAX_CHUNK = 512, 8192
+# What stands before a cut: in prose of Latin letters every few hundred code points, so that two texts that differ
+# in front soon cut at the same places again. Scripts without it are cut every MAX_CHUNK code points.
+CUT = "[a-h][n-z][a-m][ .,][a-h]"
 
 
 def normalised(text: Column) -> Column:
