@@ -28,14 +28,15 @@ for _chars, _kind in ((range(97, 123), LOWER), (range(65, 91), UPPER), (range(48
         _CLASS[_c] = _kind
 LABELLERS = ("symbols", "endings", "capitals", "shouts", "pipes", "marks", "repeats", "runs", "plain", "sentences")
 JUNK, CLEAN, ABSTAIN = 0, 1, 2
-DIMENSIONS = 1 << 12
+# Slots of the hashed four-grams, and levels of each of the two repetition features behind them.
+GRAM_SLOTS, LEVELS = 1 << 11, 16
+DIMENSIONS = GRAM_SLOTS + 2 * LEVELS
 #: Rows that the scorer is trained on, at most twice as many.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 #: A text is rejected if junk is at least this likely.
 REJECT_AT = 0.5
 
 _SLOT = ((np.arange(1 << 12, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)).astype(np.int64)  # 11 bits
-_HALF = DIMENSIONS >> 1
 
 
 def _facts(data: bytes) -> tuple[np.ndarray, np.ndarray, int, float, float]:
@@ -77,21 +78,26 @@ def votes(data: bytes) -> tuple[int, ...]:
     )
 
 
-def features(data: bytes) -> np.ndarray:
-    """Dense hashed features of at most length one, shorter for few bytes, which say little; a text without words has none."""
-    out = np.zeros(DIMENSIONS, np.float32)
+def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values of hashed features, as a vector of at most length one, shorter for few bytes, which say little.
+
+    A text without words has none.
+    """
     classes, _, n, repeats, runs = _facts(data)
     if not n:
-        return out
+        return np.empty(0, np.uint16), np.empty(0, np.float32)
+    out = np.zeros(DIMENSIONS)
     if len(classes) >= 4:
         c = classes.astype(np.uint16)
-        grams = c[:-3] << 9 | c[1:-2] << 6 | c[2:-1] << 3 | c[3:]
-        counts = np.bincount(grams, minlength=1 << 12)
+        counts = np.bincount(c[:-3] << 9 | c[1:-2] << 6 | c[2:-1] << 3 | c[3:], minlength=1 << 12)
         seen = np.flatnonzero(counts)
-        np.add.at(out, _SLOT[seen], np.sqrt(counts[seen] / len(grams)))
+        out[:GRAM_SLOTS] = np.bincount(_SLOT[seen], np.sqrt(counts[seen] / (len(c) - 3)), minlength=GRAM_SLOTS)
     for kind, value in ((0, repeats), (1, runs)):
-        out[_HALF + kind * 16 + int(min(value, 0.999) * 16)] += 1.0
-    return out * np.float32(math.sqrt(len(data) / (len(data) + 32.0) / float(out @ out)))
+        out[GRAM_SLOTS + kind * LEVELS + int(min(value, 0.999) * LEVELS)] = 1.0
+    slots = np.flatnonzero(out)
+    values = out[slots]
+    scale = math.sqrt(len(data) / (len(data) + 32.0) / float(values @ values))
+    return slots.astype(np.uint16), (values * scale).astype(np.float32)
 
 
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -166,21 +172,34 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
 
     def run(batches):
         for batch in batches:
-            rows = [(lookup.get(_code(votes(t)), prior), features(t).astype(np.float16).tobytes()) for t in _bytes(batch, 1)]
-            y, x = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.float64()), pa.array(x, pa.binary())], names=["y", "x"])
+            rows = [(lookup.get(_code(votes(t)), prior), *(x.tobytes() for x in features(t))) for t in _bytes(batch, 1)]
+            y, slots, values = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.float64()), pa.array(slots, pa.binary()), pa.array(values, pa.binary())],
+                                             names=["y", "slots", "values"])
 
-    rows = sample.limit(2 * train_rows).mapInArrow(run, "y double, x binary").toArrow()
-    y = np.array(rows["y"].to_pylist(), np.float32)
+    rows = sample.limit(2 * train_rows).mapInArrow(run, "y double, slots binary, values binary").toArrow()
+    y = rows["y"].to_numpy().astype(np.float32)
     if not len(y):
         weights = np.zeros(DIMENSIONS + 1, np.float32)
         weights[-1] = -5.0
     else:
-        x = np.vstack([np.frombuffer(b, np.float16) for b in rows["x"].to_pylist()]).astype(np.float32)
+        x = np.zeros((len(y), DIMENSIONS), np.float32)
+        for i, (slots, values) in enumerate(zip(rows["slots"], rows["values"])):
+            x[i, np.frombuffer(slots.as_buffer(), np.uint16)] = np.frombuffer(values.as_buffer(), np.float32)
         weights = fit_scorer(x, y, prior)
     return {"weights": weights, "rates": rates, "prior": prior}
 
 
+def junk_scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """Probability of junk of every text; 0 without words."""
+    raw = np.full(len(texts), -np.inf)
+    for i, text in enumerate(texts):
+        slots, values = features(text)
+        if len(slots):
+            raw[i] = float(weights[slots] @ values) + float(weights[-1])
+    return np.round(1 / (1 + np.exp(-np.clip(raw, -30, 30))), 6) * np.isfinite(raw)
+
+
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
     """One row per row: ``doc_id, n_words, junk_votes, clean_votes, junk_score, kept``.
 
@@ -189,15 +208,14 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     results, null ids stay. Other columns are not read.
     """
     small_batches(docs.sparkSession)
-    weights, bias = model["weights"][:-1], float(model["weights"][-1])
+    weights = model["weights"]
 
     def run(batches):
         for batch in batches:
             texts = _bytes(batch, 1)
             cast = [votes(t) for t in texts]
             n = [len(t.split()) for t in texts]
-            raw = [float(features(t) @ weights) + bias if k else -30.0 for t, k in zip(texts, n)]
-            s = np.round(1 / (1 + np.exp(-np.clip(np.array(raw, float), -30, 30))), 6)
+            s = junk_scores(texts, weights)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(n, pa.int64()), pa.array([v.count(JUNK) for v in cast], pa.int64()),
                 pa.array([v.count(CLEAN) for v in cast], pa.int64()), pa.array(s), pa.array(s < reject_at),
@@ -212,15 +230,9 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     The scorer sees the text column only and its answer stays beside the row, so nothing is joined.
     """
-    model = fit(docs, id_col, text_col)
-    weights, bias = model["weights"][:-1], float(model["weights"][-1])
-
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
+    weights = fit(docs, id_col, text_col)["weights"]
 
-        data = [t.encode() if isinstance(t, str) else b"" for t in texts]
-        raw = np.array([float(features(t) @ weights) + bias if t.split() else -30.0 for t in data], float)
-        return pd.Series(np.round(1 / (1 + np.exp(-np.clip(raw, -30, 30))), 6) < reject_at)
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array(junk_scores([t or b"" for t in texts.cast(pa.binary()).to_pylist()], weights) < reject_at)
 
-    return docs.where(clean(F.col(text_col)))
+    return docs.where(F.arrow_udf(clean, "boolean")(F.col(text_col)))
