@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliotree.functions.durable import stored
+from foliotree.llm.keep import undecided_and_one_each
 
 BLANKS = r"[\x20\x09-\x0D]+"
 MIN_CHUNK, MAX_CHUNK = 512, 8192
@@ -93,10 +94,13 @@ def _with_verified_ids(read: DataFrame, recipes: DataFrame, collisions: DataFram
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that repeat an earlier text; columns as before.
+    """``docs`` with exactly one row of each group of equal texts, one of the smallest id; columns as before.
 
-    The ids to drop are a stored table: Spark broadcasts it if it is small and
-    shuffles otherwise. Rows with a null id are never dropped by id.
+    Rows are told apart by id and text, so a row goes or stays by its own text
+    where ids are shared. Of rows that share both, and of rows without an id
+    whose text no id has, one stays. The decisions are a stored table: Spark
+    broadcasts it if it is small and shuffles otherwise.
     """
-    dropped = stored(deduplicate(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__drop")).distinct(), "dropped")
-    return docs.join(dropped, docs[id_col] == F.col("__drop"), "left_anti")
+    rows = deduplicate(docs, id_col, text_col).groupBy("doc_id", F.col("text_sha256").alias("digest"), "kept").agg(F.count("*").alias("n"))
+    decided = stored(rows.where("NOT kept OR n > 1").select("doc_id", "digest", F.col("kept").alias("again")), "decided")
+    return undecided_and_one_each(docs, id_col, F.sha2(normalised(F.col(text_col)), 256), decided)

@@ -18,15 +18,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foliotree.functions.durable import stored
 from foliotree.llm.batches import small_batches
 from foliotree.llm.components import components
+from foliotree.llm.keep import undecided_and_one_each
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 64, 7, 75
 #: Ids at or above this stand for rows without an id.
 NO_ID = 1 << 62
+#: From here on nodes are numbered whose smallest id another set has as well.
+OWN_NUMBER = NO_ID + (1 << 61)
 MAX_WORDS = 150_000
 TILE = 2048
 #: A block or chunk of nodes that are compared inside one task.
@@ -100,6 +103,11 @@ def _texts(batch, at: int) -> list:
     return batch.column(at).cast(pa.binary()).to_pylist()
 
 
+def _digest(text: Column) -> Column:
+    """Of a text as it is, null as empty."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
 def _key(shingles: np.ndarray) -> str:
     import xxhash
 
@@ -107,7 +115,7 @@ def _key(shingles: np.ndarray) -> str:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, row_id, n_shingles, set_key, bands`` of every row; an empty set has neither key nor bands."""
+    """``doc_id, row_id, n_shingles, set_key, bands, digest`` (of the text) of every row; an empty set has neither key nor bands."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -126,11 +134,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
                 pa.array(ids, pa.int64()), pa.array(row_ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()),
                 pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32),
                                          pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64))),
-            ], names=["doc_id", "row_id", "n_shingles", "set_key", "bands"])
+                batch.column(2),
+            ], names=["doc_id", "row_id", "n_shingles", "set_key", "bands", "digest"])
         _WORDS.clear()  # a worker outlives its tasks
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, row_id long, n_shingles long, set_key string, bands array<bigint>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _digest(F.col(text_col)).alias("digest")).mapInArrow(
+        run, "doc_id long, row_id long, n_shingles long, set_key string, bands array<bigint>, digest binary")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -240,11 +249,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id has a null one, and its rows are kept. Ids must be below 2 ** 62. No rows
     give no rows. Other columns of ``docs`` are not read.
     """
+    named = _placed(docs, id_col, text_col, percent, width, bands, rows).withColumn("component_id", F.when(F.col("least") < F.lit(NO_ID), F.col("least")))
+    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, row_id, n_shingles, digest, label, least``.
+
+    ``label`` is a number of the row's component alone, null without shingles;
+    ``least`` the smallest ``row_id`` in it.
+    """
     signed = stored(signatures(docs, id_col, text_col, width, bands, rows), "signatures")
-    classes = stored(signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row_id").alias("node")), "classes")
+    classes = stored(signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row_id").alias("row_id")), "classes")
+    # A set is a node, named by its smallest id. Of sets that share that id all but one get a number of their own.
+    shared = stored(classes.groupBy("row_id").agg(F.count("*").alias("n"), F.min("set_key").alias("first")).where("n > 1").select("row_id", "first"), "shared")
+    unique = shared.isEmpty()
+    if unique:
+        classes = classes.withColumn("node", F.col("row_id"))
+    else:
+        own = F.lit(OWN_NUMBER) + F.monotonically_increasing_id()
+        classes = stored(classes.join(shared, "row_id", "left").select(
+            "set_key", "row_id", F.when(F.coalesce(F.col("set_key") != F.col("first"), F.lit(False)), own).otherwise(F.col("row_id")).alias("node")), "numbered")
     banded = stored(
-        signed.join(classes.select("set_key", F.col("node").alias("row_id")), ["set_key", "row_id"])
-        .select(F.col("row_id").alias("node"), "set_key", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node", "set_key"]), "banded"
+        signed.join(classes, ["set_key", "row_id"])
+        .select("node", "row_id", "set_key", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node", "set_key"]), "banded"
     )
     entries = banded.select("node", F.explode_outer("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
@@ -255,25 +283,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(checked.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(banded, "node"), "nodes")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # The nodes grow with the documents, so this is a shuffle at every size.
-    wanted = texts.join(nodes.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
+    wanted = texts.join(nodes.select(F.col("row_id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(
         _sets(wanted.unionByName(texts.where("doc_id IS NULL")), width)
-        .join(nodes.select(F.col("node").alias("row_id"), "set_key"), ["row_id", "set_key"], "left_semi")
-        .select(F.col("row_id").alias("node"), "shingles").dropDuplicates(["node"]), "sets"
+        .join(nodes.select("node", "row_id", "set_key"), ["row_id", "set_key"])
+        .select("node", "shingles").dropDuplicates(["node"]), "sets"
     )
     labels = components(stored(_confirmed(checked, sets, percent), "links"))
 
     labels = _across(nodes, labels, sets, percent)
 
-    placed = signed.select("doc_id", "row_id", "n_shingles", "set_key").join(
-        classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label")), "set_key", "left"
-    )
-    label = F.coalesce("label", "row_id")
-    named = placed.withColumn("component_id", F.when(label < F.lit(NO_ID), label))
-    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    labelled = classes.join(labels, "node", "left").select("set_key", "row_id", F.coalesce("label", "node").alias("label"))
+    if unique:
+        labelled = labelled.withColumn("least", F.col("label"))
+    else:
+        labelled = stored(labelled, "labelled")
+        labelled = labelled.join(labelled.groupBy("label").agg(F.min("row_id").alias("least")), "label")
+    placed = signed.select("doc_id", "row_id", "n_shingles", "set_key", "digest").join(labelled.select("set_key", "label", "least"), "set_key", "left")
+    return placed.select("doc_id", "row_id", "n_shingles", "digest", "label", F.coalesce("least", "row_id").alias("least"))
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component; columns as before. Rows with a null id stay."""
-    dropped = stored(near_duplicates(docs, id_col, text_col, percent).where("NOT kept").select(F.col("doc_id").alias("__drop")).distinct(), "dropped")
-    return docs.join(dropped, docs[id_col] == F.col("__drop"), "left_anti")
+    """``docs`` with exactly one row of each component, one of its smallest id; columns as before.
+
+    Rows are told apart by id and text, so a row goes or stays by its own text
+    where ids are shared. Rows without shingles stay, but of those that share id
+    and text only one.
+    """
+    placed = stored(_placed(docs, id_col, text_col, percent).select("doc_id", "row_id", "digest", "label", "least"), "placed")
+    dropped = placed.where("row_id <> least").select("doc_id", "digest", F.lit(False).alias("again")).distinct()
+    # Where several rows have the smallest id of a component, one of their texts stays.
+    first = placed.where("row_id = least").withColumn("alone", F.when(F.col("label").isNull(), F.struct(F.col("row_id"), F.col("digest"))))
+    texts = first.groupBy("label", "alone", "doc_id", "digest").agg(F.count("*").alias("n"))
+    several = stored(texts.groupBy("label", "alone").agg(F.sum("n").alias("n"), F.min("digest").alias("top")).where("n > 1"), "several").select(
+        F.col("label").alias("l"), F.col("alone").alias("a"), "top")
+    contested = texts.join(several, F.col("label").eqNullSafe(F.col("l")) & F.col("alone").eqNullSafe(F.col("a")))
+    decided = stored(dropped.unionByName(contested.select("doc_id", "digest", (F.col("digest") == F.col("top")).alias("again"))), "decided")
+    return undecided_and_one_each(docs, id_col, _digest(F.col(text_col)), decided)
