@@ -30,7 +30,7 @@ CONTAINERS = _words("article main section div td body blockquote center table")
 HEADINGS = _words("h1 h2 h3 h4 h5 h6")
 # Never part of an article.
 DROPPED_TAGS = _words(
-    "nav footer aside form script style noscript template iframe object embed svg math canvas audio video map button select textarea "
+    "nav footer aside script style noscript template iframe object embed svg math canvas audio video map button select textarea "
     "input dialog menu head title xmp noembed noframes search"
 )
 DROPPED_ROLES = _words("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tooltip")
@@ -42,6 +42,13 @@ DROPPED_NAMES = _words(
     "respond discussion share sharing social related recommended recommendations widget widgets toolbar pagination pager skip hidden "
     "copyright legal disclaimer"
 )
+# What may hold a whole page, so that an article or main inside is one all the same.
+SOFT_TAGS = _words("nav footer aside header")
+SOFT_ROLES = _words("navigation banner contentinfo complementary search form menu toolbar")
+# Names are a vote: what they or a form enclose is dropped if it has at most such a share of the page's text.
+SMALL, MOST = 0.2, 0.5
+# A class says by these that something is or isn't beside it.
+_STATE = re.compile("(?:has|no|not|with|without|is)[-_]", re.I)
 COMMENT_NAMES = _words("comment comments commentlist reply replies disqus")
 GOOD_NAMES = _words("article content entry post story main body text page")
 # A start tag of one of these ends an open element of those.
@@ -50,6 +57,7 @@ CLOSES = {
     "option": _words("option"), "tbody": _words("tr td th thead tbody"), "tfoot": _words("tr td th tbody thead"), "body": _words("head"),
 }
 SCOPES = _words("table ul ol dl div section article main body td th blockquote nav aside header footer form figure")
+HARD, SOFT = 2, 1  # dropped for good, and but for an article inside
 MAX_DEPTH = 2000  # of open elements; deeper ones are read as text of the last one
 
 _TOKEN = re.compile(
@@ -61,7 +69,7 @@ _RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
 
 
 # Dropped with all that is in them, without looking inside.
-WHOLLY_DROPPED = _words("nav footer aside form svg math select button dialog menu object")
+WHOLLY_DROPPED = _words("nav footer aside svg math select button dialog menu object")
 _PAIRS = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])|<(?:article|main)(?=[\s/>])", re.I) for tag in WHOLLY_DROPPED}
 
 
@@ -82,10 +90,10 @@ def _names(*values: str) -> set[str]:
 
 
 class _Element:
-    __slots__ = ("tag", "path", "dropped", "container", "inside", "heading_only")
+    __slots__ = ("tag", "path", "dropped", "container", "inside", "heading_only", "region")
 
-    def __init__(self, tag, path, dropped, container, inside, heading_only):
-        self.tag, self.path, self.dropped, self.container, self.inside, self.heading_only = tag, path, dropped, container, inside, heading_only
+    def __init__(self, tag, path, dropped, container, inside, heading_only, region):
+        self.tag, self.path, self.dropped, self.container, self.inside, self.heading_only, self.region = tag, path, dropped, container, inside, heading_only, region
 
 
 class Page:
@@ -96,7 +104,13 @@ class Page:
         self.paths: list[str] = ["html>body"]  # of each container
         self.parents: list[int] = [-1]
         self.good: list[bool] = [False]
+        # Of each element that its name or a form speaks against: the one around it, the share up to which it goes, whether an article is in it.
+        self._around: list[int] = [-1]
+        self._most: list[float] = [-1.0]
+        self._holds: list[bool] = [True]
+        self._pieces: list[tuple[list[tuple[int, str, bool]], int]] = []  # of a block: region, text, whether in a link; its container
         self._parse(source)
+        self._judge()
 
     def _open(self, tag: str, raw: str, above: _Element) -> _Element:
         attributes = {}
@@ -106,15 +120,36 @@ class Page:
         classes = attributes.get("class", "")
         names = _names(classes, attributes.get("id", "")) if classes or "id" in attributes else set()
         whole = tag in ("html", "body", "main")
-        dropped = above.dropped or tag in DROPPED_TAGS or (not whole and (
-            attributes.get("role", "").lower() in DROPPED_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
-            or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-            or bool(names & (COMMENT_NAMES if tag == "article" else DROPPED_NAMES))))
-        heading_only = above.heading_only
+        role = attributes.get("role", "").lower()
+        hidden = not whole and ("hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+                                or "display:none" in attributes.get("style", "").replace(" ", "").lower())
+        hard = hidden or (tag in DROPPED_TAGS and tag not in SOFT_TAGS) or (not whole and role in DROPPED_ROLES - SOFT_ROLES)
+        soft = tag in SOFT_TAGS - {"header"} or (not whole and role in SOFT_ROLES)
+        dropped, heading_only = (HARD if hard else above.dropped or (SOFT if soft else 0)), above.heading_only
+        if above.dropped == SOFT and tag in ("article", "main") and not above.inside and not hard:
+            dropped, heading_only = 0, False
         if not dropped and not whole and (tag == "header" or ("header" in names and tag in ("div", "section"))):
             # The head of an article has its title; that of the page does not.
-            dropped, heading_only = not above.inside, True
-        inside = above.inside or tag in ("article", "main")
+            dropped, heading_only = 0 if above.inside else SOFT, True
+        region = above.region
+        if not dropped and not whole:
+            told = names if not _STATE.search(classes) else _names(*(c for c in classes.split() if not _STATE.match(c)), attributes.get("id", ""))
+            comment = bool(told & COMMENT_NAMES)
+            if tag in HEADINGS or tag == "p" or tag == "article" or (tag == "section" and above.inside):
+                against = comment and tag in ("article", "section")
+            else:
+                against = bool(told & DROPPED_NAMES) or tag == "form"
+            if against:
+                self._around.append(region)
+                self._most.append(MOST if comment or tag == "form" else SMALL)
+                self._holds.append(False)
+                region = len(self._around) - 1
+        if not dropped and tag in ("article", "main") and region == above.region:
+            at = region
+            while at > 0 and not self._holds[at]:
+                self._holds[at] = True
+                at = self._around[at]
+        inside = above.inside or (tag in ("article", "main") and not dropped)
         path = above.path
         container = above.container
         if tag in CONTAINERS and tag != "body":
@@ -125,33 +160,50 @@ class Page:
                 self.parents.append(container)
                 self.good.append(tag in ("article", "main") or attributes.get("role", "").lower() == "main" or bool(names & GOOD_NAMES))
                 container = len(self.paths) - 1
-        return _Element(tag, path, dropped, container, inside, heading_only)
+        return _Element(tag, path, dropped, container, inside, heading_only, region)
+
+    def _judge(self) -> None:
+        """Blocks of all text but that of the small or link-heavy elements that a name or a form speaks against."""
+        sizes, linked = [0] * len(self._around), [0] * len(self._around)
+        for pieces, _ in self._pieces:
+            for region, piece, link in pieces:
+                n = len(piece.strip())
+                sizes[region] += n
+                linked[region] += n * link
+        for at in range(len(sizes) - 1, 0, -1):  # what is inside comes later
+            around = max(self._around[at], 0)
+            sizes[around] += sizes[at]
+            linked[around] += linked[at]
+        gone = [False] * len(sizes)
+        for at in range(1, len(sizes)):
+            n = sizes[at]
+            gone[at] = gone[max(self._around[at], 0)] or (
+                not self._holds[at] and n <= MOST * sizes[0] and (n <= self._most[at] * sizes[0] or 2 * linked[at] > n))
+        for pieces, container in self._pieces:
+            block = " ".join(html.unescape("".join([piece for region, piece, _ in pieces if not gone[region]])).split())
+            if block:
+                chain, at = [], container
+                while at >= 0:
+                    chain.append(at)
+                    at = self.parents[at]
+                self.blocks.append((block, sum([len(piece) for region, piece, link in pieces if link and not gone[region]]), tuple(reversed(chain))))
+        self._pieces.clear()
 
     def _parse(self, source: str) -> None:
-        stack = [_Element("", "html>body", False, 0, False, False)]
-        text: list[str] = []
-        linked, links = 0, 0
+        stack = [_Element("", "html>body", 0, 0, False, False, 0)]
+        text: list[tuple[int, str, bool]] = []
+        links = 0
 
         def end_block() -> None:
-            nonlocal linked
+            nonlocal text
             if text:
-                block = " ".join(html.unescape("".join(text)).split())
-                if block:
-                    chain, at = [], stack[-1].container
-                    while at >= 0:
-                        chain.append(at)
-                        at = self.parents[at]
-                    self.blocks.append((block, linked, tuple(reversed(chain))))
-                text.clear()
-            linked = 0
+                self._pieces.append((text, stack[-1].container))
+                text = []
 
         def add(piece: str) -> None:
-            nonlocal linked
             top = stack[-1]
             if not top.dropped and (not top.heading_only or any(e.tag in HEADINGS for e in stack[-4:])):
-                text.append(piece)
-                if links:
-                    linked += len(piece)
+                text.append((top.region, piece, links > 0))
 
         def close_to(at: int) -> None:
             nonlocal links
@@ -195,7 +247,7 @@ class Page:
                     end_block()
                 continue
             if tag in CELLS:
-                text.append(" ") if text else None
+                text.append((stack[-1].region, " ", False)) if text else None
             if tag in BLOCKS:
                 end_block()
                 at = find(("p",), SCOPES)
