@@ -3,8 +3,8 @@
 1. On every page each container is scored by the text blocks below it, and the
    page votes for the generalised tag-class path of its best one.
 2. Spark counts the votes per host; paths with a fifth of a host's votes win.
-3. Every page is extracted again from what stands at its host's winning paths,
-   or, where none of them is on it, from its own best container.
+3. Every page is extracted again from the winning path with most text on it, or,
+   where none of them has a fair share of its text, from its own best container.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ SOFT_TAGS = _words("nav footer aside header")
 SOFT_ROLES = _words("navigation banner contentinfo complementary search form menu toolbar")
 # Names are a vote: what they or a form enclose is dropped if it has at most such a share of the page's text.
 SMALL, MOST = 0.2, 0.5
+# A share of text or of links that is small, and the mean length of blocks that are prose.
+FEW, PROSE = 0.2, 40
 # A class says by these that something is or isn't beside it.
 _STATE = re.compile("(?:has|no|not|with|without|is)[-_]", re.I)
 COMMENT_NAMES = _words("comment comments commentlist reply replies disqus")
@@ -294,14 +296,43 @@ class Page:
     def text_of(self, wanted: set[int]) -> str:
         return "\n\n".join(text for text, _, chain in self.blocks if not wanted.isdisjoint(chain))
 
-    def extract(self, winners: list[str] | None) -> tuple[str, str | None]:
-        """(text, path used): of the first winning path that has text here, else of the page's best container."""
-        for path in winners or ():
-            wanted = {at for at, own in enumerate(self.paths) if own == path}
-            if wanted and (text := self.text_of(wanted)):
-                return text, path
+    def raised(self, wanted: set[int]) -> set[int]:
+        """``wanted`` or what it stands in, as long as that adds prose: long blocks with few links. Never the whole body, never beyond an article."""
+        while True:
+            up = {self.parents[at] for at in wanted}
+            if min(up) <= 0 or any(self.paths[at].rsplit(">", 1)[1].split(".")[0] in ("article", "main") for at in wanted):
+                return wanted
+            rest = [(len(text), linked) for text, linked, chain in self.blocks if not up.isdisjoint(chain) and wanted.isdisjoint(chain)]
+            size = sum(n for n, _ in rest)
+            if size < PROSE * max(1, len(rest)) or sum(n for _, n in rest) > FEW * size:
+                return wanted
+            wanted = up
+
+    def extract(self, winners: list[str] | None, known: list[str] | None = None) -> tuple[str, str | None]:
+        """(text, path used): of the winning path with most unlinked text here, or of the page's best container.
+
+        The latter where no winner is on the page, and where the winner has less
+        than ``FEW`` of its text, unless only this page speaks for it: its path is
+        not among the ``known`` ones, it has no name of an article's, and the
+        winner's path ends in a class.
+        """
+        unlinked = lambda wanted: sum([max(0, len(text) - linked) for text, linked, chain in self.blocks if not wanted.isdisjoint(chain)])
         top, score = self.best()
-        return (self.text_of({top}), self.paths[top]) if score > 0 else (self.text_of({0}), None)
+        found = []
+        for place, path in enumerate(winners or ()):
+            wanted = {at for at, own in enumerate(self.paths) if own == path}
+            if wanted and self.text_of(wanted):
+                found.append((-unlinked(wanted), place, wanted))
+        if found:
+            size, place, wanted = min(found, key=lambda f: f[:2])
+            told = self.good[top] or self.paths[top] in (known or ()) or "." not in winners[place].rsplit(">", 1)[1]
+            if not (told and score > 0 and -size < FEW * unlinked({top})):
+                wanted = self.raised(wanted)
+                return self.text_of(wanted), self.paths[min(wanted)]
+        if score <= 0:
+            return self.text_of({0}), None
+        wanted = self.raised({top})
+        return self.text_of(wanted), self.paths[min(wanted)]
 
 
 def host_of(url: Column) -> Column:
@@ -331,15 +362,18 @@ def page_votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def winning_paths(votes: DataFrame, share: float = 0.2) -> DataFrame:
-    """``host, winners``: the paths with at least ``share`` of the host's votes, most votes first; ties by path.
+    """``host, winners, known``: the paths with at least ``share`` of the host's votes, most votes first, ties by path.
 
+    ``known`` are those with at least two votes and a hundredth of the host's.
     Votes are counted before the shuffle, so a host with most of the pages is a few rows; at most ``1 / share`` paths win.
+    The host '' is no host: its pages speak for themselves only.
     """
-    counts = votes.groupBy("host", "path").agg(F.count("*").alias("n"))
+    counts = votes.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
     totals = counts.groupBy("host").agg(F.sum("n").alias("total"))
-    won = counts.join(totals, "host").where(F.col("n") >= F.col("total") * share)
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("path").alias("path"))))
-    return won.groupBy("host").agg(ordered.alias("w")).select("host", F.col("w.path").alias("winners"))
+    wins, heard = F.col("n") >= F.col("total") * share, (F.col("n") >= 2) & (F.col("n") * 100 >= F.col("total"))
+    ordered = lambda of: F.sort_array(F.collect_list(F.when(of, F.struct((-F.col("n")).alias("n"), F.col("path").alias("path")))))
+    told = counts.join(totals, "host").where(wins | heard).groupBy("host").agg(ordered(wins).alias("w"), ordered(heard).alias("k"))
+    return told.select("host", F.col("w.path").alias("winners"), F.col("k.path").alias("known"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.2) -> DataFrame:
@@ -347,7 +381,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     ``text`` is the article's blocks joined by an empty line, '' for a null or
     empty page; ``path`` is the path that it was taken from. A null or malformed
-    URL counts to the host ''. Repeated rows vote and are extracted each for
+    URL has no host, and its page is extracted by itself. Repeated rows vote and are extracted each for
     itself. Other columns of ``pages`` are not read. The winners are a stored table that
     Spark broadcasts if it is small and joins by shuffle otherwise.
     """
@@ -359,13 +393,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def run(batches):
         for batch in batches:
             texts, used = [], []
-            for source, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                text, path = Page(source or "").extract(paths)
+            for source, paths, known in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                text, path = Page(source or "").extract(paths, known)
                 texts.append(text)
                 used.append(path)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64()), pa.array(used, pa.string())],
                                              names=["page_id", "url", "text", "n_chars", "path"])
 
-    return read.join(winners, "host", "left").select("page_id", "url", "html", "winners").mapInArrow(
+    return read.join(winners, "host", "left").select("page_id", "url", "html", "winners", "known").mapInArrow(
         run, "page_id long, url string, text string, n_chars long, path string")
