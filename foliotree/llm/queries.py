@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliotree.llm import (
-    chat_parts, chunk_dedup, html_consensus, iso_media, minmax_dedup, mixing, packing, pii_boost, quality, secrets_crf,
+    chat_parts, chunk_dedup, html_consensus, iso_media, minmax_dedup, mixing, packing, periodic_runs, pii_boost, quality, secrets_crf,
 )
 
 BLANK = r"[\x20\x09-\x0D]"
@@ -163,3 +163,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document; a tenth of the documents is made periodic beforehand."""
+    return periodic_runs.digests(periodic_runs.find_runs(table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted_period))
