@@ -189,8 +189,8 @@ def stretches(numbers: np.ndarray) -> list[tuple[int, int]]:
 
 def word_runs(words: list[bytes]) -> list[tuple[int, int, int]]:
     """``(start, length, period)`` of the runs of a document, by start and period."""
-    seen: dict[bytes, int] = {}
-    numbers = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    numbers = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
     out = []
     for a, b in stretches(numbers):
         _, dense = np.unique(numbers[a:b], return_inverse=True)
