@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliotree.llm import (
-    chat_parts, chunk_dedup, html_consensus, iso_media, minmax_dedup, mixing, packing, periodic_runs, pii_boost, quality, secrets_crf,
+    chat_parts, chunk_dedup, html_consensus, iso_media, minmax_dedup, mixing, packing, periodic_runs, phrases, pii_boost, quality, secrets_crf,
 )
 
 BLANK = r"[\x20\x09-\x0D]"
@@ -169,3 +169,36 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The periodic runs of every document; a tenth of the documents is made periodic beforehand."""
     return periodic_runs.digests(periodic_runs.find_runs(table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted_period))
+
+
+@query("op12_phrases", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?
+-]+')) AS piece FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places, range(1, 6) t(k) WHERE i + k - 1 <= len(w)),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, k, phrase, f AS a, cut, string_split(phrase, ' ') AS w FROM counts, range(1, 5) t(cut) WHERE cut < k
+), scores AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, n,
+    ((1000::HUGEINT * c.a::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT))::BIGINT AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+    JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+    JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:c.k], ' ')
+), candidates AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), kept AS (
+  SELECT * FROM candidates c WHERE NOT EXISTS (
+    SELECT 1 FROM candidates d WHERE d.lang = c.lang AND d.k > c.k AND 100 * d.a >= 100 * c.a
+      AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+) WHERE rank <= 2000""")
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
