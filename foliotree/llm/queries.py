@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliotree.llm import (
-    chat_parts, chunk_dedup, html_consensus, iso_media, minmax_dedup, mixing, packing, periodic_runs, phrases, pii_boost, quality, secrets_crf,
+    chat_parts, chunk_dedup, html_consensus, iso_media, minmax_dedup, mixing, packing, periodic_runs, phrases, pii_boost, quality, rlz_spans, secrets_crf,
 )
 
 BLANK = r"[\x20\x09-\x0D]"
@@ -175,7 +175,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?
--]+')) AS piece FROM documents
+-
+]+')) AS piece FROM documents
 ), words AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
 totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
 places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
@@ -202,3 +203,21 @@ SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM (
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of every language."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_repeated_spans", r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts WHERE len(w) >= 50),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g FROM places),
+holders AS (SELECT g, min(doc_id) AS holder FROM windows GROUP BY g),
+hits AS (SELECT doc_id, i FROM windows JOIN holders USING (g) WHERE holder < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM hits, range(0, 50) t(o)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id""")
+def op13_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that a smaller id has as well."""
+    return rlz_spans.digests(rlz_spans.without_repeats(table(spark, sf_dir, "documents")))
