@@ -24,6 +24,7 @@ from foliotree.functions.durable import stored
 from foliotree.llm.batches import small_batches
 from foliotree.llm.components import components
 from foliotree.llm.keep import undecided_and_one_each
+from foliotree.llm.key_filter import flagged, folded
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 64, 7, 75
 #: Ids at or above this stand for rows without an id.
@@ -260,7 +261,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
     ``least`` the smallest ``row_id`` in it.
     """
     signed = stored(signatures(docs, id_col, text_col, width, bands, rows), "signatures")
-    classes = stored(signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row_id").alias("row_id")), "classes")
+    classes = stored(signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row_id").alias("row_id"), F.count("*").alias("rows")), "classes")
     # A set is a node, named by its smallest id. Of sets that share that id all but one get a number of their own.
     shared = stored(classes.groupBy("row_id").agg(F.count("*").alias("n"), F.min("set_key").alias("first")).where("n > 1").select("row_id", "first"), "shared")
     unique = shared.isEmpty()
@@ -269,21 +270,26 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
     else:
         own = F.lit(OWN_NUMBER) + F.monotonically_increasing_id()
         classes = stored(classes.join(shared, "row_id", "left").select(
-            "set_key", "row_id", F.when(F.coalesce(F.col("set_key") != F.col("first"), F.lit(False)), own).otherwise(F.col("row_id")).alias("node")), "numbered")
-    banded = stored(
-        signed.join(classes, ["set_key", "row_id"])
-        .select("node", "row_id", "set_key", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node", "set_key"]), "banded"
-    )
+            "set_key", "row_id", "rows", F.when(F.coalesce(F.col("set_key") != F.col("first"), F.lit(False)), own).otherwise(F.col("row_id")).alias("node")), "numbered")
+    # Bands are wide: only rows that may not be alone with their set are moved to choose one of them.
+    told = flagged(signed.where("set_key IS NOT NULL"), folded(classes.where((F.col("rows") > 1) | (F.col("node") != F.col("row_id"))), F.col("set_key")),
+                   "several", F.col("set_key")).withColumn("n", F.col("n_shingles"))
+    alone = told.where("NOT several").select(F.col("row_id").alias("node"), "row_id", "set_key", "n", "bands")
+    first = told.where("several").join(classes.hint("merge"), ["set_key", "row_id"]).select("node", "row_id", "set_key", "n", "bands")
+    banded = stored(alone.unionByName(first.dropDuplicates(["node", "set_key"])), "banded")
     entries = banded.select("node", F.explode_outer("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    buckets = stored(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"), "buckets")
+    met = flagged(entries, folded(buckets, F.col("key")), "met", F.col("key")).where("met")
     checked = stored(
-        entries.join(stored(buckets, "buckets"), "key").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "pairs"
+        met.join(buckets.hint("merge"), "key").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "pairs"
     )
 
     nodes = stored(checked.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(banded, "node"), "nodes")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # The nodes grow with the documents, so this is a shuffle at every size.
-    wanted = texts.join(nodes.select(F.col("row_id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
+    # The nodes grow with the documents, so this is a shuffle at every size, but only of texts that may be wanted.
+    ids = stored(nodes.select(F.col("row_id").alias("doc_id")).distinct(), "ids")
+    likely = flagged(texts, folded(ids, F.col("doc_id")), "likely", F.col("doc_id")).where("likely")
+    wanted = likely.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(
         _sets(wanted.unionByName(texts.where("doc_id IS NULL")), width)
         .join(nodes.select("node", "row_id", "set_key"), ["row_id", "set_key"])
