@@ -91,18 +91,26 @@ def _line_fold(lines: str, cap: int) -> Column:
 
 
 def _line_spans(df: DataFrame, text: str, cap: int) -> DataFrame:
-    spans = _line_fold("__lines", cap)
-    fences = f"filter(sequence(0, size(__lines) - 1), i -> startswith(btrim(__lines[i], '{WHITESPACE}'), '{FENCE_MARK}'))"
+    """``doc_id``, the lines of each text and their spans, one row per document."""
     return (
         df.where(F.col(text).isNotNull())
         .select("doc_id", F.split(F.col(text), "\n", -1).alias("__lines"))
-        .withColumn("__spans", spans)
-        .withColumn("__fences", F.expr(fences))
-        .select("doc_id", "__lines", "__fences", F.size("__spans").alias("last_page"), F.posexplode_outer("__spans").alias("__pos", "__span"))
-        .transform(_exploded)
+        .withColumn("__spans", _line_fold("__lines", cap))
     )
 
 
+def _fenced(lines: str) -> Column:
+    """Of every line whether it is a fence or stands behind an odd number of them.
+
+    Stretches between fences alternate, so one pass over the fences writes them
+    all: what a text costs does not grow with lines times fences.
+    """
+    fences = f"filter(sequence(0, size({lines}) - 1), i -> startswith(btrim({lines}[i], '{WHITESPACE}'), '{FENCE_MARK}'))"
+    ends = f"transform(array({fences}), f -> concat(array(-1), f, array(size({lines}))))[0]"
+    return F.expr(f"""transform(array({ends}), e -> flatten(transform(sequence(0, size(e) - 2), j ->
+        if(j = size(e) - 2, array_repeat(j % 2 = 1, e[j + 1] - e[j] - 1), concat(array_repeat(j % 2 = 1, e[j + 1] - e[j] - 1), array(true))))))[0]""")
+
+
 def _span_items(items: str) -> Column:
     return F.slice(F.col(items), F.col("__span.first") + 1, F.col("__span.n"))
 
@@ -113,7 +121,8 @@ def page_lines(df: DataFrame, text: str = "text", cap: int = LINE_CAP) -> DataFr
     ``char_count`` counts one newline per line, so it is one more than the
     length of the content.
     """
-    return _line_spans(df, text, cap).select(
+    spans = _line_spans(df, text, cap).select("doc_id", "__lines", F.posexplode_outer("__spans").alias("__pos", "__span"))
+    return _exploded(spans).select(
         "doc_id",
         (F.col("__pos") + 1).alias("page_number"),
         F.array_join(_span_items("__lines"), "\n").alias("content"),
@@ -124,15 +133,13 @@ def page_lines(df: DataFrame, text: str = "text", cap: int = LINE_CAP) -> DataFr
 def doc_lines(df: DataFrame, text: str = "text", cap: int = LINE_CAP) -> DataFrame:
     """Every line with its number (from 0), the page of :func:`page_lines` it is on, the document's last page, and whether
     it stands between code fences (an odd number of fence lines before it) or is one."""
-    line_no = F.col("__first") + F.col("__at")
-    fenced = F.expr("size(__fences) > 0 AND (size(filter(__fences, f -> f < line_no)) % 2 = 1 OR array_contains(__fences, line_no))")
-    return (
-        _line_spans(df, text, cap)
-        .select("doc_id", "last_page", "__fences", (F.col("__pos") + 1).alias("page_number"), F.col("__span.first").alias("__first"),
-                F.posexplode(_span_items("__lines")).alias("__at", "line"))
-        .withColumn("line_no", line_no)
-        .select("doc_id", "line_no", "page_number", "line", "last_page", fenced.alias("fenced"))
+    pages = F.flatten(F.transform("__spans", lambda s, p: F.array_repeat(p + 1, s["n"])))
+    lined = _line_spans(df, text, cap).select(
+        "doc_id", F.size("__spans").alias("last_page"),
+        F.arrays_zip(F.col("__lines").alias("line"), pages.alias("page_number"), _fenced("__lines").alias("fenced")).alias("__all"),
     )
+    return lined.select("doc_id", "last_page", F.posexplode_outer("__all").alias("__pos", "__l")).transform(_exploded).select(
+        "doc_id", F.col("__pos").alias("line_no"), "__l.page_number", "__l.line", "last_page", "__l.fenced")
 
 
 def page_paragraphs(df: DataFrame, paragraphs: str = "paragraphs", threshold: int = PARAGRAPH_THRESHOLD,

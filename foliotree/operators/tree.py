@@ -6,7 +6,7 @@ third child, [3, 1] a child of that. Sorting by path is the pre-order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from foliotree.completer import Completer, asks
 from foliotree.functions.durable import cut
@@ -358,26 +358,43 @@ def heading_tree(lines: DataFrame, docs: DataFrame, max_level: int = MAX_HEADING
     Every document has its root. The parent of a heading is the nearest earlier
     one of a lower level, else the root. A heading ends on the page of the next
     heading of its own or a lower level, else on the last page. Lines between code
-    fences are no headings. Only headings are shuffled, once, and a document's
-    headings are folded in its row: the state is the way from the root to the last one.
+    fences are no headings. Only headings are shuffled, once, by document; all else
+    are running maxima and minima of one number or pair per level, over windows
+    that are sorted within that partitioning and spill, so a document of very many
+    headings takes time and memory in proportion.
     """
     mark = r"^(#{1,%d})\s+(.*\S)\s*$" % max_level
     heads = lines.where(~F.col("fenced") & F.col("line").startswith("#") & F.col("line").rlike(mark)).select(
         "doc_id", "line_no", F.length(F.regexp_extract("line", mark, 1)).alias("level"),
         F.regexp_extract("line", mark, 2).alias("title"), F.col("page_number").alias("page_start"), "last_page",
     )
-    listed = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "level", "title", "page_start", "last_page"))).alias("h"))
-    # The way is one entry per open heading: its level, its place, and how many children it has had; the first is the root.
-    opened = "filter(a.way, w -> w.level < x.level)"
-    step = f"""transform(array({opened}), o -> transform(array(element_at(o, -1).had + 1), k -> named_struct(
-        'way', concat(slice(o, 1, size(o) - 1), array(named_struct('level', element_at(o, -1).level, 'place', element_at(o, -1).place, 'had', k),
-            named_struct('level', x.level, 'place', k, 'had', 0))),
-        'paths', concat(a.paths, array(concat(transform(slice(o, 2, size(o)), w -> w.place), array(k))))))[0])[0]"""
-    folded = listed.withColumn("paths", F.expr(f"""aggregate(h, named_struct('way', array(named_struct('level', 0, 'place', 0, 'had', 0)),
-        'paths', cast(array() AS array<array<int>>)), (a, x) -> {step}, a -> a.paths)"""))
-    rows = folded.select("doc_id", F.posexplode(F.arrays_zip("h", "paths")).alias("__i", "e"), "h").select(
-        "doc_id", F.col("e.paths").alias("path"), F.col("e.h.level").alias("level"), F.col("e.h.title").alias("title"),
-        F.col("e.h.page_start").alias("page_start"),
-        F.expr("coalesce(get(filter(slice(h, __i + 2, size(h)), n -> n.level <= e.h.level), 0).page_start, e.h.last_page)").alias("page_end"),
-    )
-    return root_nodes(docs).unionByName(node_rows(rows))
+    levels = range(1, max_level + 1)
+    level = F.col("level")
+
+    def down(*order: Column) -> WindowSpec:
+        return Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def at(k: int, value: Column) -> Column:
+        return F.when(level == k, value)
+
+    def over_levels(pick, columns: list[Column]) -> Column:
+        return pick(F.lit(None), F.lit(None), *columns)
+
+    # The nearest following heading of each level, seen from the end, and the nearest one before.
+    following, before = down(F.col("line_no").desc()), down(F.col("line_no"))
+    ended = heads.withColumns({f"__next{k}": F.min(at(k, F.struct("line_no", "page_start"))).over(following) for k in levels})
+    ended = ended.withColumn("page_end", F.coalesce(
+        over_levels(F.least, [F.when(level >= k, F.col(f"__next{k}")) for k in levels])["page_start"], F.col("last_page")))
+    parents = ended.select("doc_id", "line_no", "level", "title", "page_start", "page_end", *[F.max(at(k, F.col("line_no"))).over(before).alias(f"__line{k}") for k in levels])
+    parents = parents.withColumn("__parent", over_levels(F.greatest, [F.when(level > k, F.col(f"__line{k}")) for k in levels]))
+    placed = parents.withColumn("__place", F.row_number().over(Window.partitionBy("doc_id", "__parent").orderBy("line_no")))
+    # A heading is still open if no lower level has come since; the open ones are the way to the next heading.
+    way = placed.withColumns({f"__last{k}": F.max(at(k, F.struct("line_no", "__place"))).over(before) for k in levels})
+
+    def open_at(k: int) -> Column:
+        lower = over_levels(F.greatest, [F.col(f"__last{j}.line_no") for j in range(1, k)])
+        return F.coalesce((level > k) & (F.col(f"__last{k}.line_no") > F.coalesce(lower, F.lit(-1))), F.lit(False))
+
+    steps = [F.when(open_at(k), F.array(F.col(f"__last{k}.__place"))).otherwise(_empty_path()) for k in levels]
+    path = F.concat(*steps, F.array("__place"))
+    return root_nodes(docs).unionByName(node_rows(way.select("doc_id", path.alias("path"), "level", "title", "page_start", "page_end")))

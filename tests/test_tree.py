@@ -184,3 +184,50 @@ def test_headings(spark):
     assert [(p, lv, t) for p, lv, t, *_ in got[3]] == [([], 0, "t3"), ([1], 2, "A"), ([2], 1, "B"), ([2, 1], 2, "C")]
     nodes, errors = tree.unnest_tree(tree.nest_tree(tree.heading_tree(lines, documents(spark, [1, 2, 3]))))
     assert listed(nodes) == got and errors.count() == 0
+
+
+def slow_headings(lines, last_page):
+    """Headings (level, title, page) in order → rows, by looking at all other headings."""
+    heads = [(k, lv, t, p) for k, (lv, t, p) in enumerate(lines)]
+    parent = {k: max((j for j, lw, *_ in heads if j < k and lw < lv), default=None) for k, lv, *_ in heads}
+    place = {k: 1 + sum(parent[j] == parent[k] for j in range(k)) for k in parent}
+
+    def path(k):
+        return [] if k is None else path(parent[k]) + [place[k]]
+    ends = {k: next((p for j, lw, _, p in heads if j > k and lw <= lv), last_page) for k, lv, *_ in heads}
+    return sorted((path(k), lv, t, p, ends[k]) for k, lv, t, p in heads)
+
+
+def test_random_headings(spark):
+    import random
+    draw = random.Random(2)
+    given = {d: [(draw.randint(1, 6), f"h{k}", 1 + k // 3) for k in range(draw.randint(0, 25))] for d in range(40)}
+    rows = [(d, 2 * k, p, "#" * lv + f" {t}", 9, False) for d, heads in given.items() for k, (lv, t, p) in enumerate(heads)]
+    lines = spark.createDataFrame(rows, "doc_id int, line_no int, page_number int, line string, last_page int, fenced boolean").repartition(3)
+    for max_level in (6, 3, 1):
+        got = listed(tree.heading_tree(lines, documents(spark, list(given)), max_level))
+        for d, heads in given.items():
+            assert got[d][1:] == slow_headings([h for h in heads if h[0] <= max_level], 9)
+
+
+def test_headings_are_shuffled_once(spark):
+    lines = spark.createDataFrame([(1, 0, 1, "# a", 1, False)], "doc_id int, line_no int, page_number int, line string, last_page int, fenced boolean")
+    plan = tree.heading_tree(lines, documents(spark, [1]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_document_of_very_many_headings_and_fences(spark):
+    """Time in proportion: four times the headings and fences, well below sixteen times the time."""
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"{'#' * (1 + k % 3)} heading {k}\n```\n# code\n```" for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+        begin = time.perf_counter()
+        top = tree.heading_tree(doc_lines(df), documents(spark, [1])).where("level = 1").agg({"page_end": "max", "ord": "max"}).first()
+        assert top["max(ord)"] == -(-n // 3)
+        return time.perf_counter() - begin
+
+    seconds(1000)
+    small, large = seconds(50_000), seconds(200_000)
+    assert large < 10 * small + 5 and large < 90
