@@ -10,10 +10,9 @@ phrase of up to five words lies whole in the chunk where it begins; one that
 begins in the trailing overlap belongs to the next chunk.
 
 Phrases are counted level by level, as one can be frequent only if its parts are:
-words, pairs of frequent words, then longer phrases of frequent pairs. These
-counts go by hash; what was frequent is passed on as a bitmap of fixed size, which
-lets some others through where it is full but keeps nothing back. A last pass
-counts the phrases that came through by their words, exactly.
+words, pairs of frequent words, then longer phrases of frequent pairs. Counts go
+by the words themselves. What was frequent is passed on as a bitmap of hashes, of
+fixed size, which lets some others through where it is full but keeps nothing back.
 """
 
 from __future__ import annotations
@@ -154,11 +153,11 @@ class Spread:
         self.lang = np.array([by_lang[x] for x in langs], _U)[self.rows]
         self.inside = self.word != 0
 
-    def levels(self):
-        """``(words, hash, whole)`` of each length: whether a phrase that begins here meets no end of a piece."""
+    def levels(self, last: int):
+        """``(words, hash, whole)`` of each length up to ``last``; ``whole``: whether a phrase that begins here meets no end of a piece."""
         hashes, whole = _mixed(self.word + self.lang), self.inside
         yield 1, hashes, whole
-        for k in range(1, LONGEST):
+        for k in range(1, last):
             further, inside = np.zeros_like(self.word), np.zeros_like(self.inside)
             further[:-k], inside[:-k] = self.word[k:], self.inside[k:]
             hashes, whole = _mixed(hashes * _MIX[0] + further), whole & inside
@@ -187,32 +186,11 @@ def _after(mask: np.ndarray) -> np.ndarray:
 
 
 def _frequent(chunks: DataFrame, frequent: Bitmap, first: int, last: int, least: int) -> DataFrame:
-    """Hashes of the phrases of ``first`` to ``last`` words that occur ``least`` times, if all their parts of ``first - 1`` words are frequent."""
-    shared = chunks.sparkSession.sparkContext.broadcast(frequent.bits)
+    """``lang, phrase, words, f, h`` of the phrases of ``first`` to ``last`` words that occur ``least`` times.
 
-    def run(batches):
-        known = Bitmap(shared.value)
-        for spread in _spreads(batches):
-            keys, weights, likely = [], [], None
-            for words, hashes, whole in spread.levels():
-                if words == first - 1:
-                    likely = whole & known.has(hashes)
-                if first <= words <= last:
-                    likely = whole if likely is None else likely & _after(likely) & whole
-                    here = np.flatnonzero(likely & spread.own)
-                    keys.append(hashes[here])
-                    weights.append(spread.weight[here])
-            found, place = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.zeros(len(found), np.int64)
-            np.add.at(total, place, np.concatenate(weights))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(total)], names=["h", "n"])
-
-    counts = chunks.select("lang", "chunk", "n").mapInArrow(run, "h long, n long")
-    return counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
-
-
-def _exact(chunks: DataFrame, frequent: Bitmap, least: int) -> DataFrame:
-    """``lang, phrase, words, f`` of all phrases that occur ``least`` times, counted by their words."""
+    Only those are counted whose parts of ``first - 1`` words the bitmap knows. A
+    buffer's phrases are told apart by the numbers of their words, not by hashes.
+    """
     shared = chunks.sparkSession.sparkContext.broadcast(frequent.bits)
 
     def run(batches):
@@ -220,36 +198,42 @@ def _exact(chunks: DataFrame, frequent: Bitmap, least: int) -> DataFrame:
         for spread in _spreads(batches):
             number = {t: k for k, t in enumerate(dict.fromkeys(spread.tokens))}
             plain = np.fromiter(map(number.__getitem__, spread.tokens), np.int64, len(spread.tokens))
-            # A code stands for a language and words, exactly; only what the bitmap knows gets one.
             _, codes = np.unique(spread.lang, return_inverse=True)
-            out_lang, out_phrase, out_words, out_n = [], [], [], []
-            for words, hashes, whole in spread.levels():
-                here = np.flatnonzero(whole & known.has(hashes) & (codes >= 0))
-                _, first, same = np.unique(codes[here] * len(number) + plain[here + words - 1], return_index=True, return_inverse=True)
-                codes = np.full(len(plain), -1)
+            likely = None
+            for words, hashes, whole in spread.levels(last):
+                if words < first:
+                    likely = whole & known.has(hashes) if words == first - 1 else None
+                    continue
+                likely = whole if likely is None else likely & _after(likely) & whole
+                here = np.flatnonzero(spread.own & likely)
+                code = codes[here]
+                for k in range(words - 1 if words == first else 0):
+                    code = np.unique(code * len(number) + plain[here + k], return_inverse=True)[1]
+                _, at, same = np.unique(code * len(number) + plain[here + words - 1], return_index=True, return_inverse=True)
                 codes[here] = same
-                total = np.zeros(len(first), np.int64)
-                np.add.at(total, same, np.where(spread.own[here], spread.weight[here], 0))
-                for k in np.flatnonzero(total).tolist():
-                    at = int(here[first[k]])
-                    out_lang.append(spread.langs[spread.rows[at]])
-                    out_phrase.append(b" ".join(spread.tokens[at : at + words]))
-                    out_words.append(words)
-                    out_n.append(int(total[k]))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(out_lang, pa.string()), pa.array(out_phrase, pa.binary()).cast(pa.string()), pa.array(out_words, pa.int32()), pa.array(out_n, pa.int64()),
-            ], names=["lang", "phrase", "words", "n"])
+                total = np.bincount(same, spread.weight[here], len(at)).astype(np.int64)
+                at = here[at]
+                rows = spread.rows[at].tolist()
+                tokens_ = spread.tokens
+                texts = [tokens_[k] for k in at.tolist()] if words == 1 else [b" ".join(tokens_[k : k + words]) for k in at.tolist()]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([spread.langs[r] for r in rows], pa.string()), pa.array(texts, pa.binary()).cast(pa.string()),
+                    pa.array(np.full(len(at), words, np.int32)), pa.array(total), pa.array(hashes[at].view(np.int64)),
+                ], names=["lang", "phrase", "words", "n", "h"])
 
-    counts = chunks.select("lang", "chunk", "n").mapInArrow(run, "lang string, phrase string, words int, n long")
-    return counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    counts = chunks.select("lang", "chunk", "n").mapInArrow(run, "lang string, phrase string, words int, n long, h long")
+    return counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"), F.min("h").alias("h")).where(F.col("f") >= least)
 
 
 def frequent_phrases(chunks: DataFrame, least: int = LEAST, bits: int = BITMAP_BITS) -> DataFrame:
     """``lang, phrase, words, f`` of all phrases of up to ``LONGEST`` words that occur ``least`` times. ``chunks`` is a stored dictionary."""
-    frequent = Bitmap.empty(bits)
-    for first, last in ((1, 1), (2, 2), (3, LONGEST)):
-        frequent = frequent.with_keys(_frequent(chunks, frequent, first, last, least))
-    return _exact(chunks, frequent, least)
+    known = Bitmap.empty(bits)
+    words = stored(_frequent(chunks, known, 1, 1, least), "words")
+    known = known.with_keys(words)
+    pairs = stored(_frequent(chunks, known, 2, 2, least), "pairs")
+    known = known.with_keys(pairs)
+    longer = stored(_frequent(chunks, known, 3, LONGEST, least), "longer")
+    return words.unionByName(pairs).unionByName(longer).drop("h")
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
@@ -307,6 +291,6 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     chunks = stored(dictionary(docs, text_col, lang_col, modulus), "chunks")
     totals = stored(chunks.groupBy("lang").agg(F.sum(F.col("words") * F.col("n")).alias("n")), "totals")
-    phrases = stored(frequent_phrases(chunks, least, bits), "phrases")
+    phrases = frequent_phrases(chunks, least, bits)
     candidates = stored(scored(phrases, totals), "candidates")
     return ranked(without_parts(candidates), top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
