@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliotree.functions.skew import join_hot
+from foliotree.functions.durable import stored
+from foliotree.functions.skew import SMALL_ROWS, join_hot
 
 # Length of a conversation title, and the mark of a cut one.
 TITLE_CHARS = 50
@@ -24,6 +25,17 @@ def _matching(df: DataFrame, key: str, wanted) -> DataFrame:
     return df.where(F.col(key) == F.lit(wanted))
 
 
+def _counted(keys: DataFrame) -> tuple[DataFrame, bool]:
+    """A stored table of keys, and whether it is small enough to be sent to the rows instead of moving them."""
+    table = stored(keys, "keys")
+    return table, table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
+def _joined(rows: DataFrame, keys: DataFrame, small: bool, key: str, id_col: str, how: str) -> DataFrame:
+    """A semi or anti join with distinct keys: where the rows are, or by a shuffle that splits hot keys."""
+    return rows.join(F.broadcast(keys), key, how) if small else join_hot(rows, keys, key, [id_col], how)
+
+
 # Documents
 
 def list_documents(catalog: DataFrame) -> DataFrame:
@@ -97,22 +109,23 @@ def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str,
     """C11: ``tables`` without the listed documents and everything that hangs on them.
 
     ``catalog``, ``conversations`` and ``messages`` are needed; any other table is
-    taken to be derived from documents and to have a doc_id.
+    taken to be derived from documents and to have a doc_id. Up to ``SMALL_ROWS``
+    counted ids are sent to the rows, which then stay where they are. (Tables that
+    are stored by :mod:`foliotree.sources.versions` needn't be rewritten at all.)
     """
-    gone = ids.select("doc_id").distinct()
+    gone, few = _counted(ids.select("doc_id").distinct())
     by_document = gone.withColumnRenamed("doc_id", "document_id")
     conversations = tables["conversations"]
-    gone_conversations = join_hot(
-        conversations.select("conversation_id", "document_id"), by_document, "document_id", ["conversation_id"], "left_semi"
-    ).select("conversation_id")
+    of_documents = _joined(conversations.select("conversation_id", "document_id"), by_document, few, "document_id", "conversation_id", "left_semi")
+    gone_conversations, few_conversations = _counted(of_documents.select("conversation_id"))
     kept = {
-        "catalog": tables["catalog"].join(gone, "doc_id", "left_anti"),
-        "conversations": join_hot(conversations, by_document, "document_id", ["conversation_id"], "left_anti"),
-        "messages": join_hot(tables["messages"], gone_conversations, "conversation_id", ["message_id"], "left_anti"),
+        "catalog": _joined(tables["catalog"], gone, few, "doc_id", "doc_id", "left_anti"),
+        "conversations": _joined(conversations, by_document, few, "document_id", "conversation_id", "left_anti"),
+        "messages": _joined(tables["messages"], gone_conversations, few_conversations, "conversation_id", "message_id", "left_anti"),
     }
     for name, table in tables.items():
         if name not in kept:
-            kept[name] = table.join(gone, "doc_id", "left_anti")
+            kept[name] = table.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
     return kept
 
 
@@ -197,10 +210,13 @@ def append_messages(messages: DataFrame, conversations: DataFrame, new: DataFram
 
     A message that is there already, by its id, is not stored again, and an older
     one does not move its conversation back: a job that runs again changes nothing.
+    New ids are sent to the old messages, whose ids alone are read, if they are few.
     """
-    fresh = new.join(messages.select("message_id"), "message_id", "left_anti")
-    touched = new.groupBy("conversation_id").agg(F.max("created_at").alias("__at"))
-    newer = conversations.join(touched, "conversation_id", "left").withColumn(
+    new_ids, few = _counted(new.select("message_id").distinct())
+    held = stored(_joined(messages.select("message_id"), new_ids, few, "message_id", "message_id", "left_semi").distinct(), "held")
+    fresh = new.join(held, "message_id", "left_anti")
+    touched, few_touched = _counted(new.groupBy("conversation_id").agg(F.max("created_at").alias("__at")))
+    newer = conversations.join(F.broadcast(touched) if few_touched else touched, "conversation_id", "left").withColumn(
         "updated_at", F.greatest("updated_at", "__at")
     ).drop("__at")
     return messages.unionByName(fresh, allowMissingColumns=True), newer
@@ -208,8 +224,8 @@ def append_messages(messages: DataFrame, conversations: DataFrame, new: DataFram
 
 def delete_conversations(conversations: DataFrame, messages: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the listed conversations."""
-    gone = ids.select("conversation_id").distinct()
+    gone, few = _counted(ids.select("conversation_id").distinct())
     return (
-        conversations.join(gone, "conversation_id", "left_anti"),
-        join_hot(messages, gone, "conversation_id", ["message_id"], "left_anti"),
+        _joined(conversations, gone, few, "conversation_id", "conversation_id", "left_anti"),
+        _joined(messages, gone, few, "conversation_id", "message_id", "left_anti"),
     )

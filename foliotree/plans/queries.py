@@ -15,7 +15,9 @@ from foliotree.plans import answering, chatting, indexing
 from foliotree.plans.inputs import BLANKS, EPOCH, Inputs, chunk_events, range_response, summary_response, toc_response, with_tables
 from foliotree.sources import files, tables
 from foliotree.streaming.chunk_stream import stream_fold_chunks
-from foliotree.streaming.index_stream import stream_index_documents
+from foliotree.sources.log import UpsertLog
+from foliotree.sources.versions import changed_tables, delete_documents as delete_stored_documents
+from foliotree.streaming.index_stream import current_index, stream_index_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -737,6 +739,60 @@ def delete_document(i: Inputs) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@query(ORACLE["append_messages"])
+def append_stored(i: Inputs) -> DataFrame:
+    """The same into stored tables, in two batches of which the first is handed in twice."""
+    table = changed_tables(i.spark, run_folder(i.spark, "stored"))["messages"]
+    table.create(i.messages)
+    new = _new_messages(i)
+    for name, batch in (("even", 0), ("odd", 1), ("even", 0)):
+        table.append(new.where(F.length("content") % 2 == batch), name)
+    counts = table.read().groupBy("conversation_id").agg(F.count("*").alias("n"), F.max("created_at").alias("last"))
+    return i.conversations.join(counts, "conversation_id", "left").select(
+        "conversation_id", F.unix_seconds(F.greatest("updated_at", "last")).alias("updated_s"), F.coalesce("n", F.lit(0)).alias("n_messages"))
+
+
+@query(ORACLE["delete_document"])
+def delete_stored(i: Inputs) -> DataFrame:
+    """The same in stored tables: ids are written, rows are left out when read, and two tables compacted."""
+    given = {"catalog": i.catalog, "doc_pages": i.pages, "conversations": i.conversations, "messages": i.messages}
+    kinds = changed_tables(i.spark, run_folder(i.spark, "stored"))
+    kept = {name: kinds[name] for name in given}
+    for name, df in given.items():
+        kept[name].create(df)
+    delete_stored_documents(kept, i.catalog.where(F.col("file_size") % 3 == 0), "gone")
+    for name in ("messages", "catalog"):
+        kept[name].compact()
+    texts = {"catalog": ("document", F.col("doc_id").cast("string")), "doc_pages": ("page", F.concat_ws("/", "doc_id", "page_number")),
+             "conversations": ("conversation", F.col("conversation_id")), "messages": ("message", F.col("message_id"))}
+    parts = [kept[name].read().select(F.lit(kind).alias("kind"), text.alias("id")) for name, (kind, text) in texts.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(with_tables("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ready' WHEN doc_id % 2 = 0 THEN 'indexing' ELSE 'pending' END AS index_status,
+    CASE WHEN doc_id % 3 = 0 THEN 3 WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN doc_id % 3 = 0 THEN page_count END AS page_count
+    FROM catalog WHERE doc_id % 5 <> 0""", "catalog"))
+def catalog_log(i: Inputs) -> DataFrame:
+    """Status changes in batches out of order, one handed in twice with other content, compaction, deletions, and changes that come after them."""
+    log = UpsertLog(i.spark, run_folder(i.spark, "log"), "doc_id", ("version",), gone="gone")
+
+    def batch(name: str, version: int, status: str, every: int, gone: bool = False) -> None:
+        rows = i.catalog.where(F.col("doc_id") % every == 0).select(
+            "doc_id", F.lit(status).alias("index_status"), F.lit(version).alias("version"),
+            F.when(F.lit(status) == "ready", F.col("page_count")).alias("page_count"), F.lit(gone).alias("gone"))
+        log.commit(name, rows)
+
+    batch("b1", 1, "pending", 1)
+    batch("b3", 3, "ready", 3)
+    batch("b2", 2, "indexing", 2)
+    batch("b3", 9, "error", 1)
+    log.compact("c1")
+    batch("b4", 4, "deleted", 5, gone=True)
+    batch("b5", 3, "error", 10)
+    log.compact("c2")
+    return log.current()
+
+
 @query(with_tables("""SELECT doc_id, CASE WHEN file_size % 3 = 0 THEN 'pending' ELSE index_status END AS index_status, has_tree, error_message
     FROM catalog""", "catalog"))
 def mark_reindex(i: Inputs) -> DataFrame:
@@ -860,6 +916,34 @@ def stream_index(i: Inputs) -> DataFrame:
     return _node_rows(i.spark.read.parquet(f"{folder}/out/nodes"))
 
 
+@query("""WITH pages AS (SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 AND doc_id % 12 <> 0 THEN ceil(2 * length(text) / 3000) ELSE ceil(length(text) / 3000) END AS INTEGER) AS n
+    FROM documents) SELECT doc_id, CASE WHEN doc_id % 12 = 0 THEN 'error' ELSE 'ready' END AS index_status, n AS page_count, true AS has_tree,
+    CASE WHEN doc_id % 12 = 0 THEN 'Unsupported file type: .bin' END AS error_message, CAST(n AS BIGINT) AS n_pages, CAST(1 + n AS BIGINT) AS n_nodes FROM pages""")
+def stream_catalog(i: Inputs) -> DataFrame:
+    """The catalog of a stream and what belongs to it, after a third of the documents came once more, some of a foreign type."""
+    folder = run_folder(i.spark, "stream-catalog")
+    again = F.col("doc_id") % 3 == 0
+    kind = F.when(F.col("doc_id") % 12 == 0, F.lit(".bin")).otherwise(F.lit(".txt"))
+    documents = i.table("documents").select("doc_id", "text", F.lit(".txt").alias("file_type"))
+    rounds = [documents, documents.where(again).select("doc_id", F.concat("text", "text").alias("text"), kind.alias("file_type"))]
+
+    def decode(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        none = F.lit(None).cast("string").alias("error_message")
+        fresh = batch.select("doc_id", F.col("doc_id").cast("string").alias("name"), F.lit("pending").alias("index_status"), F.lit(0).alias("page_count"),
+                             F.lit(False).alias("has_tree"), none)
+        return fresh, files.with_decoder_columns(batch.select("doc_id", "file_type", "text", none))
+
+    for rows in rounds:
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = i.spark.readStream.schema(documents.schema).parquet(f"{folder}/in")
+        stream_index_documents(stream, decode, f"{folder}/out", f"{folder}/checkpoint", compact_every=2).awaitTermination()
+    index = current_index(i.spark, f"{folder}/out")
+    n_pages = index.doc_pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+    n_nodes = index.nodes.groupBy("doc_id").agg(F.count("*").alias("n_nodes"))
+    return index.catalog.join(n_pages, "doc_id", "left").join(n_nodes, "doc_id", "left").select(
+        "doc_id", "index_status", "page_count", "has_tree", "error_message", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"))
+
+
 _LATE = 1800  # seconds
 
 # Every fifth length has no end; such a message is expired if it is older than the bound when the stream has been read.

@@ -49,3 +49,13 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores, F.xxhash64(*key)) if size <= SPREAD_BYTES else df
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path`` whose table is complete, in order; none if there is no such path."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    found = [s.getPath() for s in fs.listStatus(top) if s.isDirectory()]
+    return sorted(p.getName() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))

@@ -7,8 +7,8 @@ from foliotree.operators.answers import fold_chunks
 from foliotree.plans.indexing import build_index, parse_documents, store_index
 from foliotree.schemas import CATALOG
 from foliotree.streaming.chunk_stream import finished_messages, stream_fold_chunks
-from foliotree.streaming.index_stream import decode_files, stream_index
-from foliotree.sources.files import admit, scan_files
+from foliotree.streaming.index_stream import catalog_log, current_catalog, current_index, decode_files, stream_index, stream_index_documents
+from foliotree.sources.files import admit, scan_files, with_decoder_columns
 
 T0 = datetime(2024, 1, 1)
 
@@ -124,3 +124,59 @@ def test_state_of_abandoned_messages_goes(spark, tmp_path):
     assert got == [("m", 0, "a", True, False), ("n", 0, "b", True, False), ("u", 0, None, False, True)]
     finished, broken = finished_messages(spark.read.parquet(str(tmp_path / "out")))
     assert sorted(r.message_id for r in finished.collect()) == ["m", "n"] and [r.message_id for r in broken.collect()] == ["u"]
+
+
+def documents_of(spark, batch):
+    none = F.lit(None).cast("string").alias("error_message")
+    fresh = batch.select("doc_id", F.col("doc_id").cast("string").alias("name"), F.lit("pending").alias("index_status"), F.lit(0).alias("page_count"),
+                         F.lit(False).alias("has_tree"), none)
+    return fresh, with_decoder_columns(batch.select("doc_id", "file_type", "text", none))
+
+
+def test_one_current_row_per_document(spark, tmp_path):
+    """Documents that come again replace their pages; one that fails later keeps what it had; a batch that breaks off is made again."""
+    schema = "doc_id long, text string, file_type string"
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    broken = []
+
+    def decode(batch):
+        if broken and broken.pop():
+            raise RuntimeError("the driver dies")
+        return documents_of(spark, batch)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        return stream_index_documents(spark.readStream.schema(schema).parquet(source), decode, out, checkpoint, compact_every=2)
+
+    arrive([(1, "a" * 3500, ".txt"), (2, "b", ".txt"), (3, "c", ".bin")]).awaitTermination()
+    state = lambda: {r.doc_id: (r.index_status, r.page_count, r.has_tree, r.index_batch) for r in current_catalog(spark, out).collect()}
+    assert state() == {1: ("ready", 2, True, 0), 2: ("ready", 1, True, 0), 3: ("error", 0, False, None)}
+    broken.append(True)
+    second = arrive([(1, "z", ".txt"), (2, "x", ".bin"), (4, "d", ".txt")])
+    try:
+        second.awaitTermination()
+    except Exception:
+        pass
+    assert state()[1] == ("ready", 2, True, 0) and 4 not in state()
+    arrive([(5, "e", ".txt")]).awaitTermination()
+    assert state() == {1: ("ready", 1, True, 1), 2: ("error", 1, True, 0), 3: ("error", 0, False, None), 4: ("ready", 1, True, 1), 5: ("ready", 1, True, 2)}
+    index = current_index(spark, out)
+    assert sorted((r.doc_id, r.content) for r in index.doc_pages.collect()) == [(1, "z"), (2, "b"), (4, "d"), (5, "e")]
+    assert sorted({r.doc_id for r in index.nodes.collect()}) == [1, 2, 4, 5] and index.page_summaries.count() == 4
+    assert len(catalog_log(spark, out).live()) == 3  # a compacted one and the two of the last batch
+
+
+def test_status_while_a_batch_is_indexed(spark, tmp_path):
+    schema, out = "doc_id long, text string, file_type string", str(tmp_path / "out")
+    seen = []
+
+    class Watching:
+        def attach(self, requests):
+            seen.append({r.doc_id: r.index_status for r in current_catalog(spark, out).collect()})
+            return requests.drop("system", "prompt").withColumn("response", F.lit(None).cast("string"))
+
+    spark.createDataFrame([(1, "some text " * 40, ".txt")], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    stream_index_documents(stream, lambda b: documents_of(spark, b), out, str(tmp_path / "cp"), Watching()).awaitTermination()
+    assert seen and seen[0] == {1: "indexing"}
+    assert [r.index_status for r in current_catalog(spark, out).collect()] == ["ready"]
