@@ -210,13 +210,12 @@ def append_messages(messages: DataFrame, conversations: DataFrame, new: DataFram
 
     A message that is there already, by its id, is not stored again, and an older
     one does not move its conversation back: a job that runs again changes nothing.
-    New ids are sent to the old messages, whose ids alone are read, if they are few.
+    Of the old messages only the ids are read; a table that is stored by
+    :mod:`foliotree.sources.versions` is opened only where a repeat may be.
     """
-    new_ids, few = _counted(new.select("message_id").distinct())
-    held = stored(_joined(messages.select("message_id"), new_ids, few, "message_id", "message_id", "left_semi").distinct(), "held")
-    fresh = new.join(held, "message_id", "left_anti")
-    touched, few_touched = _counted(new.groupBy("conversation_id").agg(F.max("created_at").alias("__at")))
-    newer = conversations.join(F.broadcast(touched) if few_touched else touched, "conversation_id", "left").withColumn(
+    fresh = new.join(messages.select("message_id"), "message_id", "left_anti")
+    touched = new.groupBy("conversation_id").agg(F.max("created_at").alias("__at"))
+    newer = conversations.join(touched, "conversation_id", "left").withColumn(
         "updated_at", F.greatest("updated_at", "__at")
     ).drop("__at")
     return messages.unionByName(fresh, allowMissingColumns=True), newer

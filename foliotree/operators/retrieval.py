@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foliotree.completer import Completer, asks
-from foliotree.functions.durable import cut
-from foliotree.functions.skew import SMALL_ROWS, join_hot
+from foliotree.functions.durable import cut, stored
+from foliotree.functions.skew import SMALL_ROWS, hot_keys, join_hot, shuffle_width
 from foliotree.functions.text import (
     json_array_span, strip_think, variant_kind, variant_text, with_strict_json,
 )
 from foliotree.operators.summaries import SYSTEM
+from foliotree.sources.layout import slice_of
 
 # Ranges or pages per question, and the reason given for fallback pages.
 TOP_K = 5
@@ -111,6 +112,40 @@ def ranges_to_pages(ranges: DataFrame, pages: DataFrame, small: bool = False) ->
     return join_hot(wanted, bodies, "__page_key", ["question_id", "rank"]).select(*RETRIEVED_COLUMNS)
 
 
+def _clustered(pages: DataFrame) -> bool:
+    """Whether pages come from the layout that is bucketed by document and slice."""
+    return "slice" in pages.columns
+
+
+def _join_slices(wanted: DataFrame, pages: DataFrame, which: Column) -> DataFrame:
+    """Rows wanted (doc_id, slice, …) with the non-empty pages of their slice for which ``which`` holds.
+
+    Pages stay in their buckets; what is wanted is dealt out to them. Documents
+    that hold more than their share of what is wanted are joined apart, where
+    their rows are spread and only their pages are moved.
+    """
+    bodies = pages.where(F.col("content") != "").select("doc_id", "slice", "page_number", "content", "char_count")
+    hot = stored(hot_keys(wanted, "doc_id", shuffle_width(wanted)).select("doc_id"), "hot")
+    if hot.isEmpty():
+        return wanted.join(bodies, ["doc_id", "slice"]).where(which)
+    plain = wanted.join(F.broadcast(hot), "doc_id", "left_anti").join(bodies, ["doc_id", "slice"])
+    key = F.struct("doc_id", "slice")
+    asked = wanted.join(F.broadcast(hot), "doc_id", "left_semi").withColumn("__key", key)
+    held = bodies.join(F.broadcast(hot), "doc_id", "left_semi").withColumn("__key", key).drop("doc_id", "slice")
+    return plain.unionByName(join_hot(asked, held, "__key", ["question_id", "rank"]).drop("__key")).where(which)
+
+
+def ranges_to_slices(ranges: DataFrame, pages: DataFrame) -> DataFrame:
+    """R4 on the bucketed layout: a range is listed by its slices, and joined with the pages of each that it covers."""
+    first = F.greatest(F.col("page_start"), F.lit(1).cast("bigint"))
+    last = F.least(F.col("page_end"), F.col("page_count").cast("bigint"))
+    wanted = ranges.where(first <= last).select(
+        "question_id", "doc_id", "rank", "reason", first.alias("first"), last.alias("last"),
+        F.explode(F.sequence(slice_of(first), slice_of(last))).alias("slice"))
+    found = _join_slices(wanted, pages, F.col("page_number").between(F.col("first"), F.col("last")))
+    return found.withColumnRenamed("page_number", "page").select(*RETRIEVED_COLUMNS)
+
+
 def first_pages(pages: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """The document half of R5: first ``top_k`` pages, then the empty ones dropped.
 
@@ -125,6 +160,10 @@ def first_pages(pages: DataFrame, top_k: int = TOP_K) -> DataFrame:
 
 def fallback_pages(questions: DataFrame, pages: DataFrame, top_k: int = TOP_K, small: bool = False) -> DataFrame:
     """The first pages of each question's document. ``small`` as in :func:`ranges_to_pages`, of the questions."""
+    if _clustered(pages):
+        wanted = questions.select("question_id", "doc_id", F.lit(0).alias("rank"), F.explode(F.sequence(F.lit(0), slice_of(F.lit(top_k)))).alias("slice"))
+        found = _join_slices(wanted, pages.where(F.col("page_number") <= top_k), F.lit(True))
+        return found.withColumns({"rank": F.col("page_number"), "page": F.col("page_number"), "reason": F.lit(FALLBACK_REASON)}).select(*RETRIEVED_COLUMNS)
     asked, heads = questions.select("question_id", "doc_id"), first_pages(pages, top_k)
     if small:
         heads = heads.join(F.broadcast(asked.select("doc_id").distinct()), "doc_id", "left_semi")
@@ -141,7 +180,8 @@ def choose_branch(decoded: DataFrame, pages: DataFrame, top_k: int = TOP_K) -> D
     ranges = explode_ranges(usable)
     first, last = F.greatest(F.col("page_start"), F.lit(1)), F.least(F.col("page_end"), F.col("page_count"))
     listed = ranges.where(first <= last).agg(F.sum(last - first + 1)).first()[0] or 0
-    picked = ranges_to_pages(ranges, pages, small=listed <= SMALL_ROWS)
+    picked = ranges_to_pages(ranges, pages, small=True) if listed <= SMALL_ROWS else (
+        ranges_to_slices if _clustered(pages) else ranges_to_pages)(ranges, pages)
     few_left = rest.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     return picked.unionByName(fallback_pages(rest, pages, top_k, small=few_left))
 
@@ -158,6 +198,8 @@ def retrieve(questions: DataFrame, catalog: DataFrame, tree_texts: DataFrame, pa
     """
     indexed = indexed_documents(catalog)
     if not asks(completer):
+        if _clustered(pages):
+            return fallback_pages(join_hot(questions.select("question_id", "doc_id"), indexed.select("doc_id"), "doc_id", ["question_id"], "left_semi"), pages, top_k)
         read = indexed.select("doc_id").join(questions.select("doc_id"), "doc_id", "left_semi")
         return fallback_pages(questions, pages.join(read, "doc_id", "left_semi"), top_k)
     asked = retrieval_requests(questions.select("question_id", "doc_id", "message"), tree_texts.join(indexed, "doc_id"))

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foliotree.completer import Completer
 from foliotree.functions.durable import cut, stored
+from foliotree.functions.skew import shuffle_width
 from foliotree.functions.text import doc_title
 from foliotree.operators.catalog import PENDING, READY, apply_status, mark_indexing
 from foliotree.operators.pagers import PagerRegistry, default_registry, page_counts
 from foliotree.operators.summaries import page_summaries
 from foliotree.operators.tree import build_tree, plan_trees, tree_errors
+from foliotree.sources.layout import save_clustered
 
 
 @dataclass
@@ -95,9 +97,14 @@ def reindex(index: Index, decoded: DataFrame, completer: Completer | None = None
 
 
 def store_index(catalog: DataFrame, decoded: DataFrame, path: Callable[[str], str], completer: Completer | None = None,
-                registry: PagerRegistry = default_registry, title_from: str = "stored") -> None:
+                registry: PagerRegistry = default_registry, title_from: str = "stored", clustered: str | None = None,
+                buckets: int | None = None) -> None:
     """Index documents into Parquet directories ``path(table)``.
 
+    With ``clustered`` (a new directory) pages, summaries and nodes are also laid
+    out in ``buckets`` for questions that come again and again, see
+    :mod:`foliotree.sources.layout`; without a number there are as many as shuffle partitions.
+
     Each stage is written before the next one reads it. So files are opened and
     decoded once, and the decoded rows lie in a directory per file type, where
     every pager reads its own types and columns only; the model is asked once for
@@ -114,5 +121,7 @@ def store_index(catalog: DataFrame, decoded: DataFrame, path: Callable[[str], st
     pages = written("doc_pages", pages)
     summaries = written("page_summaries", page_summaries(pages, completer))
     indexed, nodes = index_pages(catalog, handed, pages, errors, summaries, completer, title_from)
-    written("nodes", nodes)
+    nodes = written("nodes", nodes)
     written("catalog", indexed)
+    if clustered:
+        save_clustered({"doc_pages": pages, "page_summaries": summaries, "nodes": nodes}, clustered, buckets or shuffle_width(pages))

@@ -14,6 +14,7 @@ from foliotree.operators import answers, catalog as cat, pagers, retrieval, summ
 from foliotree.plans import answering, chatting, indexing
 from foliotree.plans.inputs import BLANKS, EPOCH, Inputs, chunk_events, range_response, summary_response, toc_response, with_tables
 from foliotree.sources import files, tables
+from foliotree.sources.layout import open_clustered, save_clustered
 from foliotree.streaming.chunk_stream import stream_fold_chunks
 from foliotree.sources.log import UpsertLog
 from foliotree.sources.versions import changed_tables, delete_documents as delete_stored_documents
@@ -525,6 +526,35 @@ def retrieve_model(i: Inputs) -> DataFrame:
     return retrieval.retrieve(i.document_questions, i.catalog, texts, i.pages, completer).select(*_RETRIEVED_COLUMNS)
 
 
+def _clustered_pages(i: Inputs) -> DataFrame:
+    path = run_folder(i.spark, "clustered")
+    save_clustered({"doc_pages": i.pages}, path, 8)
+    return open_clustered(i.spark, path)["doc_pages"]
+
+
+@query(ORACLE["retrieve_ranges"])
+def retrieve_ranges_clustered(i: Inputs) -> DataFrame:
+    """The same from pages that are stored in buckets."""
+    return retrieval.ranges_to_slices(retrieval.explode_ranges(_answered_ranges(i)), _clustered_pages(i)).select(*_RETRIEVED_COLUMNS)
+
+
+@query(ORACLE["retrieve_fallback"])
+def retrieve_clustered(i: Inputs) -> DataFrame:
+    return retrieval.retrieve(i.document_questions, i.catalog, None, _clustered_pages(i)).select(*_RETRIEVED_COLUMNS)
+
+
+@query(with_tables(_TEXT_SQL.format(nodes="nodes"), "nodes"))
+def stored_index_clustered(i: Inputs) -> DataFrame:
+    """Documents indexed into the bucketed layout; the tree text of their stored nodes, for documents whose pages and summaries tally."""
+    folder = run_folder(i.spark, "index")
+    none = F.lit(None).cast("string").alias("error_message")
+    decoded = files.with_decoder_columns(i.documents.select("doc_id", F.lit(".txt").alias("file_type"), "text", none))
+    indexing.store_index(i.catalog, decoded, lambda table: f"{folder}/{table}", clustered=f"{folder}/clustered", buckets=8)
+    held = open_clustered(i.spark, f"{folder}/clustered")
+    lone = held["doc_pages"].join(held["page_summaries"].where("summary IS NOT NULL"), ["doc_id", "slice", "page_number"], "left_anti")
+    return tree.tree_text(held["nodes"]).join(lone.where("content <> ''").select("doc_id"), "doc_id", "left_anti")
+
+
 # Context and answers
 
 _CONTEXT = "string_agg(chr(10) || chr(10) || '[Page ' || page || ']' || chr(10) || left(content, 1500), '' ORDER BY rank, page)"
