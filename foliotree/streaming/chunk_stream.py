@@ -5,13 +5,83 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from foliotree.operators.answers import PART_CHUNKS, join_parts, kept_chunk
 
 FOLDED = "message_id string, part int, content string, final boolean, expired boolean"
-STATE = "seqs array<int>, chunks array<string>, last int, emitted boolean"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """State of several values a key needs this provider; a session that names another one for itself is told so by Spark."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+
+
+class FoldPart(StatefulProcessor):
+    """One part of a message. An event is appended to the part's list, nothing that is there is written again.
+
+    Beside the list the state holds one bit per sequence number of the part, so
+    that a replayed event is known without reading the list, which is read once,
+    when the part is whole.
+    """
+
+    def __init__(self, part_chunks: int) -> None:
+        self.part_chunks = part_chunks
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chunks = handle.getListState("chunks", "seq int, chunk string")
+        self.progress = handle.getValueState("progress", "bits binary, n int, last int, emitted boolean, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        message_id, part = key
+        first = part * self.part_chunks
+        bits, n, last, emitted, timer = self.progress.get() or (bytes(-(-self.part_chunks // 8)), 0, None, False, None)
+        seen, newest = bytearray(bits), None
+        for batch in rows:
+            newest = batch["ts"].max() if newest is None else max(newest, batch["ts"].max())
+            ends = batch.loc[batch["done"], "seq"]
+            if len(ends):
+                last = int(ends.iloc[0])
+            fresh = []
+            for seq, chunk in zip(batch["seq"].tolist() if not emitted else [], batch["chunk"].tolist()):
+                at, bit = divmod(seq - first, 8)
+                if not seen[at] >> bit & 1:
+                    seen[at] |= 1 << bit
+                    fresh.append((seq, chunk))
+            if fresh:
+                self.chunks.appendList(fresh)
+                n += len(fresh)
+        end = last + 1 if last is not None else first + self.part_chunks
+        if not emitted and n == end - first:
+            held = dict(self.chunks.get())
+            yield pd.DataFrame({
+                "message_id": [message_id], "part": [part],
+                "content": ["".join(held[s] for s in range(first, end))], "final": [last is not None], "expired": [False],
+            })
+            # A finished part only remembers that it is finished, until replays of it are too late to count.
+            emitted, seen = True, bytearray()
+            self.chunks.clear()
+        at = max(int(newest.timestamp() * 1000), timerValues.getCurrentWatermarkInMs() + 1) + 1
+        if timer is None or at > timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+            timer = at
+        self.progress.update((bytes(seen), n, last, emitted, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        message_id, part = key
+        progress = self.progress.get()
+        self.chunks.clear()
+        self.progress.clear()
+        if progress and not progress[3]:
+            yield pd.DataFrame({"message_id": [message_id], "part": [part], "content": [None], "final": [False], "expired": [True]})
+
+    def close(self) -> None:
+        pass
 
 
 def stream_fold_chunks(events: DataFrame, filtered: bool = False, part_chunks: int = PART_CHUNKS,
@@ -22,9 +92,10 @@ def stream_fold_chunks(events: DataFrame, filtered: bool = False, part_chunks: i
     last chunk. A part covers ``part_chunks`` numbers and is emitted once, when all
     of them, or all up to the end, are there, in whatever order and however often
     they came; a message is complete with its ``final`` part. State is bounded by
-    the part. A part still unfinished ``late`` after its last event is emitted once
-    as ``expired``, without content: its message is broken off, and the parts that
-    came before are not to be used. ``filtered`` drops chunks like
+    the part, and what is written to it by the events that are new. A part still
+    unfinished ``late`` after its last event is emitted once as ``expired``,
+    without content: its message is broken off, and the parts that came before are
+    not to be used. A null chunk is empty. ``filtered`` drops chunks like
     :func:`~foliotree.operators.answers.filter_chunks`. See :func:`finished_messages`.
     """
     kept = F.when(F.coalesce("done", F.lit(False)), F.lit("")).otherwise(
@@ -33,43 +104,10 @@ def stream_fold_chunks(events: DataFrame, filtered: bool = False, part_chunks: i
     rows = events.withWatermark("ts", late).select(
         F.col("message_id").cast("string").alias("message_id"),
         F.floor(F.col("seq") / part_chunks).cast("int").alias("part"),
-        F.col("seq").cast("int").alias("seq"), kept.alias("chunk"), F.coalesce("done", F.lit(False)).alias("done"), "ts",
-    )
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        message_id, part = key
-        if state.hasTimedOut:
-            emitted = state.get[3]
-            state.remove()
-            if not emitted:
-                yield pd.DataFrame({"message_id": [message_id], "part": [part], "content": [None], "final": [False], "expired": [True]})
-            return
-        seqs, chunks, last, emitted = state.get if state.exists else ([], [], None, False)
-        held = dict(zip(seqs, chunks))
-        newest = None
-        for batch in batches:
-            newest = batch["ts"].max() if newest is None else max(newest, batch["ts"].max())
-            held.update(zip(batch["seq"], batch["chunk"]))
-            ends = batch.loc[batch["done"], "seq"]
-            if len(ends):
-                last = int(ends.iloc[0])
-        first = part * part_chunks
-        end = last + 1 if last is not None else first + part_chunks
-        if not emitted and len(held) == end - first:
-            yield pd.DataFrame({
-                "message_id": [message_id], "part": [part],
-                "content": ["".join(held[s] for s in range(first, end))], "final": [last is not None], "expired": [False],
-            })
-            emitted = True
-        # A finished part only remembers that it is finished, until replays of it are too late to count.
-        kept_seqs = [] if emitted else [int(s) for s in held]
-        state.update((kept_seqs, [] if emitted else list(held.values()), last, emitted))
-        at = max(int(newest.timestamp() * 1000), state.getCurrentWatermarkMs() + 1)
-        state.setTimeoutTimestamp(at + 1)
-
-    return rows.groupBy("message_id", "part").applyInPandasWithState(
-        fold, FOLDED, STATE, "append", GroupStateTimeout.EventTimeTimeout
+        F.col("seq").cast("int").alias("seq"), F.coalesce(kept, F.lit("")).alias("chunk"), F.coalesce("done", F.lit(False)).alias("done"), "ts",
     )
+    keep_state_in_rocksdb(events.sparkSession)
+    return rows.groupBy("message_id", "part").transformWithStateInPandas(FoldPart(part_chunks), FOLDED, "append", "eventTime")
 
 
 def finished_messages(parts: DataFrame) -> tuple[DataFrame, DataFrame]:

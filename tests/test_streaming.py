@@ -180,3 +180,67 @@ def test_status_while_a_batch_is_indexed(spark, tmp_path):
     stream_index_documents(stream, lambda b: documents_of(spark, b), out, str(tmp_path / "cp"), Watching()).awaitTermination()
     assert seen and seen[0] == {1: "indexing"}
     assert [r.index_status for r in current_catalog(spark, out).collect()] == ["ready"]
+
+
+class FakeHandle:
+    """State of one key in memory, with what is written to it."""
+
+    def __init__(self):
+        self.appended, self.updates, self.timers, self.value = [], 0, set(), None
+
+    def getListState(self, *_):
+        outer = self
+
+        class Listed:
+            def appendList(self, rows):
+                outer.appended += rows
+
+            def get(self):
+                return iter(outer.appended)
+
+            def clear(self):
+                outer.cleared = True
+        return Listed()
+
+    def getValueState(self, *_):
+        outer = self
+
+        class Value:
+            def get(self):
+                return outer.value
+
+            def update(self, value):
+                outer.value = value
+                outer.updates += 1
+        return Value()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_an_event_writes_itself_only():
+    """Of a part of 4,096 chunks in 400 batches, each with replays, every chunk is written once; beside it there are 512 bytes."""
+    import random
+
+    import pandas as pd
+
+    from foliotree.streaming.chunk_stream import FoldPart
+
+    class Values:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    handle, fold, draw = FakeHandle(), FoldPart(4096), random.Random(1)
+    fold.init(handle)
+    order = draw.sample(range(4096), 4096)
+    out = []
+    for k in range(0, 4096, 11):
+        seqs = order[k : k + 11] + draw.sample(order[: k + 1], min(5, k + 1))
+        batch = pd.DataFrame({"seq": seqs, "chunk": [f"{s} " for s in seqs], "done": False, "ts": pd.Timestamp(T0 + timedelta(seconds=k))})
+        out += list(fold.handleInputRows(("m", 0), iter([batch]), Values()))
+        assert len(handle.value[0]) <= 512 and len(handle.timers) == 1
+    assert sorted(s for s, _ in handle.appended) == list(range(4096)) and handle.cleared
+    assert len(out) == 1 and out[0]["content"][0] == "".join(f"{s} " for s in range(4096))
