@@ -70,7 +70,12 @@ def mix(docs: DataFrame, weights, seed: str = "mix", budget_factor: float = 1.5,
     counted; ``taken // size`` times the document is taken whole, ``taken %
     size`` words of it once more. A null source is a source. Rows without words
     are taken as 0 words. Repeated rows are rows like others. With ``keep`` the
-    columns of ``docs`` come first, and the new ones are a struct ``__mix``.
+    columns of ``docs`` come first, and the new ones are a struct ``__mix`` behind
+    them (with more underscores if ``docs`` has a column of that name).
+
+    Documents are taken in the order of the seeded hash of their id; where ids are
+    shared or null the size and then a hash of the text decide. Rows that are equal
+    in all of this are numbered, so a source meets its target with any ties.
 
     Sums per source are combined before they are shuffled, the documents
     themselves are only joined with one narrow row per source, which Spark
@@ -79,15 +84,13 @@ def mix(docs: DataFrame, weights, seed: str = "mix", budget_factor: float = 1.5,
     size = word_count(F.col(text_col))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     slot = lambda at: F.conv(F.substring("__order", at, 3), 16, 10).cast("int")
+    own = [F.col(source_col).alias("source"), F.col(id_col).alias("doc_id"), size.alias("size"), order.alias("__order"),
+           F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__text")]
     if keep:
-        base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__doc"), F.col(source_col).alias("source"),
-                           F.col(id_col).alias("doc_id"), size.alias("size"), order.alias("__order"))
+        base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__doc"), *own)
+        narrow = stored(base.select("source", "size", "__order", "__text"), "sizes")
     else:
-        base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), order.alias("__order"))
-        base = stored(base, "sizes")  # texts are read once; what follows reads four narrow columns
-    narrow = base.select("source", "doc_id", "size", "__order")
-    if keep:
-        narrow = stored(narrow, "sizes")
+        base = narrow = stored(docs.select(*own), "sizes")  # texts are read once; what follows reads narrow columns
     by_slot = stored(
         narrow.groupBy("source", slot(1).alias("slot")).agg(F.sum("size").alias("words")), "slots"
     )
@@ -96,72 +99,85 @@ def mix(docs: DataFrame, weights, seed: str = "mix", budget_factor: float = 1.5,
     ), "targets")
     whole = F.floor(F.coalesce(F.floor(F.col("target") + 0.5), F.lit(0)) / F.greatest("source_size", F.lit(1))).cast("long")
     rest = (F.floor(F.col("target") + 0.5) - whole * F.col("source_size")).cast("long")
-    plan = sources.select(F.col("source").alias("s"), "source_size", "target", whole.alias("whole"), rest.alias("rest"))
-
-    def cut(sums: DataFrame, slot_col: str, before: Column) -> DataFrame:
-        """Of rows (source, slot, words, rest): the first slot at whose end the words reach what is left of ``rest``."""
-        running = F.sum("words").over(Window.partitionBy("s").orderBy(slot_col)) + before
-        return sums.withColumn("__to", running).where("__to >= rest AND __to - words < rest")
-
-    # The slots of a source are few and fixed in number, so these windows are small whatever the data.
-    named = by_slot.withColumnRenamed("source", "s0")
-    first = stored(cut(
-        plan.where("rest > 0").join(named, F.col("s").eqNullSafe(F.col("s0"))), "slot", F.lit(0)
-    ).select("s", F.col("slot").alias("slot1"), (F.col("__to") - F.col("words")).alias("before1")), "cut1")
-    plan1 = plan.join(first.withColumnRenamed("s", "s1"), F.col("s").eqNullSafe(F.col("s1")), "left").drop("s1")
-    inner = (
-        narrow.join(plan1.where("rest > 0"), F.col("source").eqNullSafe(F.col("s")))
-        .where(slot(1) == F.col("slot1")).withColumn("slot2", slot(4))
-    )
-    fine = inner.groupBy("s", "rest", "before1", "slot2").agg(F.sum("size").alias("words"))
-    second = stored(cut(fine, "slot2", F.col("before1")).select(
-        "s", "slot2", (F.col("__to") - F.col("words")).alias("before2")
-    ), "cut2")
-    last = inner.join(
-        second.select(F.col("s").alias("s2"), F.col("slot2").alias("t2"), "before2"),
-        F.col("s").eqNullSafe(F.col("s2")) & (F.col("slot2") == F.col("t2")),
-    )
-    by_order = Window.partitionBy("s").orderBy("__order", "size")
-    exact = stored(
-        last.withColumn("__end", F.col("before2") + F.sum("size").over(by_order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("__n", F.row_number().over(by_order))
-        .where("__end >= rest AND __end - size < rest")
-        .select("s", F.col("__order").alias("cut_order"), F.col("size").alias("cut_size"), (F.col("rest") - F.col("__end") + F.col("size")).alias("cut_words")),
-        "cut3",
-    )
-    plan2 = plan.join(exact.withColumnRenamed("s", "s1"), F.col("s").eqNullSafe(F.col("s1")), "left").drop("s1")
-    plan2 = stored(plan2, "plan")
-    before_cut = (F.col("__order") < F.col("cut_order")) | (
-        (F.col("__order") == F.col("cut_order")) & (F.col("size") < F.col("cut_size"))
-    )
-    at_cut = (F.col("__order") == F.col("cut_order")) & (F.col("size") == F.col("cut_size"))
-    extra = F.when(before_cut, F.col("size")).when(at_cut, F.col("cut_words")).otherwise(0)
-    taken = F.coalesce(F.col("whole") * F.col("size") + extra, F.lit(0)).cast("long")
-    out = base.join(plan2, F.col("source").eqNullSafe(F.col("s")), "left")
+    plan = stored(sources.select(F.col("source").alias("s"), "source_size", "target", whole.alias("whole"), rest.alias("rest")), "plan")
+    cuts = _cuts(narrow, by_slot, plan.where("rest > 0").select("s", "rest"), slot)
+    plan = stored(plan.join(cuts.withColumnRenamed("s", "s1"), F.col("s").eqNullSafe(F.col("s1")), "left").drop("s1"), "plan")
+    told = base.join(plan, F.col("source").eqNullSafe(F.col("s")), "left")
+    ordered = lambda order, size, text: F.struct(F.col(order), F.col(size), F.pmod(text, F.lit(SLOTS)).alias("slot"), F.col(text))
+    place, cut = ordered("__order", "size", "__text"), ordered("cut_order", "cut_size", "cut_text")
+    cut_here = F.coalesce(F.col("cut_order").isNotNull() & (place == cut), F.lit(False))
+    before = F.col("cut_order").isNotNull() & (place < cut)
+    rest_of_plan = told.where(~cut_here).withColumn("__extra", F.when(before, F.col("size")).otherwise(0))
+    numbered = _numbered(stored(told.where(cut_here).withColumn("__row", F.monotonically_increasing_id()), "tied"))
+    at_cut = numbered.withColumn("__extra", F.greatest(F.least(F.col("cut_words") - F.col("__n") * F.col("size"), F.col("size")), F.lit(0))).drop("__n", "__row")
+    out = rest_of_plan.unionByName(at_cut)
+    taken = F.coalesce(F.col("whole") * F.col("size") + F.col("__extra"), F.lit(0)).cast("long")
     columns = {"doc_id": F.col("doc_id"), "size": F.col("size"), "source_size": F.col("source_size"),
                "target": F.round("target", 6), "taken": taken}
     if keep:
-        return out.select("__doc.*", F.struct(*[c.alias(k) for k, c in columns.items()]).alias("__mix"))
+        name = "__mix"
+        while name in docs.columns:
+            name += "_"
+        return out.select("__doc.*", F.struct(*[c.alias(k) for k, c in columns.items()]).alias(name))
     return out.select(*[c.alias(k) for k, c in columns.items()])
 
 
+def _cuts(narrow: DataFrame, by_slot: DataFrame, wanted: DataFrame, slot) -> DataFrame:
+    """``s, cut_order, cut_size, cut_text, cut_words``: of each source in ``wanted (s, rest)`` the place where its rest ends.
+
+    The place is sought by one key after another: two slots of the hash of the id,
+    that hash, the size, a slot of the text's hash and that hash. What is summed up
+    one after another is the few values of a key within those before it, so no
+    window grows with the rows of a source, whatever they share.
+    """
+    keys = [slot(1), slot(4), F.col("__order"), F.col("size"), F.pmod("__text", F.lit(SLOTS)), F.col("__text")]
+    rows, path = narrow, wanted.withColumn("before", F.lit(0).cast("bigint"))
+    for level, key in enumerate(keys):
+        held = path.withColumnRenamed("s", "s0")
+        if level:
+            sums = rows.groupBy("source", key.alias("key")).agg(F.sum("size").alias("words"))
+        else:
+            sums = by_slot.withColumnRenamed("slot", "key")
+        named = sums.join(held, F.col("source").eqNullSafe(F.col("s0")))
+        running = F.sum("words").over(Window.partitionBy("source").orderBy("key")) + F.col("before")
+        found = named.withColumn("to", running).where("to >= rest AND to - words < rest")
+        path = stored(found.select(F.col("source").alias("s"), "rest", (F.col("to") - F.col("words")).alias("before"), "key"), "cut")
+        on = F.col("source").eqNullSafe(F.col("s")) & (key == F.col("key"))
+        rows = rows.join(path.select("s", "key"), on, "left_semi")
+        if level == 1:
+            rows = stored(rows, "near-cut")  # about one row in SLOTS ** 2, or rows that share an id
+        path = path.drop("key")
+    place = rows.groupBy("source").agg(F.first("__order").alias("cut_order"), F.first("size").alias("cut_size"), F.first("__text").alias("cut_text"))
+    return place.join(path, F.col("source").eqNullSafe(F.col("s"))).select("s", "cut_order", "cut_size", "cut_text", (F.col("rest") - F.col("before")).alias("cut_words"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Stored ``rows`` with ``__n``, their number within ``source`` from 0 in the order of ``__row``; counted by partitions, so no window holds a source."""
+    part = F.shiftright("__row", 33)
+    counts = rows.groupBy("source", part.alias("p")).agg(F.count("*").alias("n"))
+    sums = counts.withColumn("first", F.sum("n").over(Window.partitionBy("source").orderBy("p")) - F.col("n")).select(F.col("source").alias("s2"), "p", "first")
+    within = F.row_number().over(Window.partitionBy("source", "__p").orderBy("__row")) - 1
+    placed = rows.withColumn("__p", part).withColumn("__i", within)
+    return placed.join(sums, F.col("source").eqNullSafe(F.col("s2")) & (F.col("__p") == F.col("p"))).withColumn(
+        "__n", F.col("first") + F.col("__i")).drop("s2", "p", "first", "__p", "__i")
+
+
 def copies(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """The mixed documents: one row per repetition, the columns as before.
 
     Of a fractional repetition the row's text is its first words, joined by one
     space; there is about one such row per source.
     """
-    columns = [c for c in mixed.columns if c != "__mix"]
-    words = F.split(F.regexp_replace(F.col(text_col), f"^{BLANKS}+", ""), f"{BLANKS}+")
-    parts = F.col("__mix.taken") % F.col("__mix.size")
-    times = (F.col("__mix.taken") / F.col("__mix.size")).cast("int")
-    repeats = mixed.where("__mix.size > 0 AND __mix.taken > 0").withColumn(
-        "__words", F.explode(F.concat(
-            F.array_repeat(F.lit(-1).cast("long"), times),
-            F.when(parts > 0, F.array(parts)).otherwise(F.array().cast("array<bigint>")),
-        ))
-    )
-    text = F.when(F.col("__words") < 0, F.col(text_col)).otherwise(
-        F.array_join(F.slice(words, F.lit(1), F.col("__words").cast("int")), " ")
+    *columns, mix_col = mixed.columns  # the mix stands behind the given columns
+    doc = mixed.select(F.struct(*columns).alias("doc"), F.col(mix_col).alias("mix"))
+    words = F.split(F.regexp_replace(F.col("doc")[text_col], f"^{BLANKS}+", ""), f"{BLANKS}+")
+    parts = F.col("mix.taken") % F.col("mix.size")
+    times = (F.col("mix.taken") / F.col("mix.size")).cast("int")
+    repeats = doc.where("mix.size > 0 AND mix.taken > 0").select("doc", F.explode(F.concat(
+        F.array_repeat(F.lit(-1).cast("long"), times),
+        F.when(parts > 0, F.array(parts)).otherwise(F.array().cast("array<bigint>")),
+    )).alias("words"))
+    text = F.when(F.col("words") < 0, F.col("doc")[text_col]).otherwise(
+        F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")
     )
-    return repeats.select(*[text.alias(c) if c == text_col else F.col(c) for c in columns])
+    return repeats.select(*[(text if c == text_col else F.col("doc")[c]).alias(c) for c in columns])

@@ -74,3 +74,27 @@ def test_no_rows_no_words_and_zero_weights(spark):
     docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "y z")], "doc_id long, source string, text string")
     only = lambda s: s.withColumn("weight", mixing.F.when(mixing.F.col("source") == "a", 1.0))
     assert {r.doc_id: r.taken for r in mixing.mix(docs, only).collect()} == {1: 2, 2: 0}
+
+
+def test_ties_meet_their_target(spark):
+    """Null and shared ids, equal sizes, equal texts: every source takes exactly its rounded target."""
+    data = [(None, "a", "w w w w w w w w w w") for _ in range(500)] + [(None, "a", f"x{i} w w w") for i in range(300)]
+    data += [(7, "b", f"v{i % 3} w w w w") for i in range(400)] + [(i % 5, None, "u u u") for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string").repartition(5)
+    for factor in (0.37, 0.8, 1.5, 1.93):
+        rows = mixing.mix(docs, mixing.cyclic_weights, budget_factor=factor).collect()
+        assert len(rows) == len(data)
+        by_source = defaultdict(list)
+        for r in rows:
+            by_source[r.source_size, r.target].append(r.taken)
+            assert 0 <= r.taken <= 2 * r.size
+        assert len(by_source) == 3
+        for (_, target), taken in by_source.items():
+            assert sum(taken) == int(target + 0.5)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a", "x y z", 5, "k", 2)], "doc_id long, source string, text string, __mix int, __words string, __doc int")
+    out = mixing.copies(mixing.mix(docs, mixing.cyclic_weights, keep=True))
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", "x y", 5, "k", 2)] or sum(len(r.text.split()) for r in out.collect()) == 5
