@@ -3,10 +3,10 @@
 Tokens are tagged as begin of, inside or outside a secret, from their shape,
 their neighbours and features of the whole file, and decoded by Viterbi. The
 field is trained here, on texts of the corpus into which seeded secrets and
-harmless look-alikes are put. Only a token that has a digit or is long, or
-that stands behind an assignment, may be tagged at all; stretches without
-such a token are outside in every labelling, so decoding the windows around them
-is exact. Patterns of known secrets (the base spans) are always reported.
+harmless look-alikes are put. Only a token that has a digit, is long or of mixed
+case, or stands behind an assignment or a word such as password may be tagged at
+all; stretches without such a token are outside in every labelling, so decoding
+the windows around them is exact. Patterns of known secrets (the base spans) are always reported.
 """
 
 from __future__ import annotations
@@ -32,6 +32,13 @@ _TOKEN = re.compile(r"[A-Za-z0-9_+/-]+(?:\.+[A-Za-z0-9_+/-]+)*|[^\sA-Za-z0-9_+/-
 _DIGIT = re.compile(r"[0-9]")
 _LONG = re.compile(r"[A-Za-z0-9_+/=-]{32,}")
 _SET = re.compile(r"[:=](?=[\"'\x20]{0,4}[A-Za-z0-9+/_.-]{6})")
+_MIXED = re.compile(r"[a-z][A-Z]")
+# Words behind which even plain letters may be a secret, and how many tokens behind.
+TOLD = ("passw", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "bearer", "credential")
+_TOLD = re.compile("|".join(TOLD), re.I | re.A)
+_BEHIND = 3
+_PART = 1 << 20  # characters that are lower-cased at once
+_VOWEL = re.compile("[aeiouyAEIOUYà-ÿ]")
 _SIDE = 4  # tokens of a window on either side of a candidate
 _REACH = 160  # characters on either side of a hit that are tokenised
 OUT, BEGIN, INSIDE = range(3)
@@ -40,11 +47,20 @@ TRAIN_ROWS = 200
 TRAIN_WIDTH = 64  # tokens of a training window; longer ones are left out of the training
 
 
+def says(text: str, words: tuple[str, ...]) -> bool:
+    """Whether one of the words, plain lower-case letters, is in the text in either case; part by part, whatever its size."""
+    reach = max(map(len, words))
+    for at in range(0, max(1, len(text)), _PART):
+        low = text[at : at + _PART + reach].lower()
+        if any(w in low for w in words):
+            return True
+    return False
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the patterns of known secrets, code points, by start and then kind."""
-    low = text.lower() if len(text) < 1 << 27 else text
     out = []
-    if "passw" in low or "secret" in low or "token" in low or "key" in low or not low.isascii():
+    if says(text, ("passw", "secret", "token", "key")):
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
@@ -58,6 +74,11 @@ def _entropy(word: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(word).values())
 
 
+def _hard(word: str) -> int:
+    """The longest run of consonants, digits and marks: words can be spoken, secrets can't."""
+    return max(map(len, _VOWEL.split(word)))
+
+
 def _shape(word: str) -> str:
     if len(word) == 1 and not word.isalnum():
         return word if word in "=:\"'@.,|()+" else "sym"
@@ -91,23 +112,29 @@ def token_features(words: list[str], file: _File) -> list[list[str]]:
             f"s:{shapes[i]}", f"s:{shapes[i]},l:{length}", f"l:{length},e:{int(_entropy(word) * 2)}",
             f"p:{shapes[i - 1] if i else '^'}", f"n:{shapes[i + 1] if i + 1 < len(words) else '$'}",
             f"set:{assigned},key:{key}", f"set:{assigned},s:{shapes[i]}", f"key:{key},l:{length}", f"akia:{word.startswith('AKIA')}",
+            f"key:{key},hard:{min(5, _hard(word))}", f"hard:{min(5, _hard(word))},l:{length},s:{shapes[i]}",
             *(f"{f},s:{shapes[i]}" for f in file.found),
         ])
     return out
 
 
 def may_be_secret(words: list[str]) -> list[bool]:
-    """Tokens that may be tagged: of six characters and more, and with a digit, long, or behind an assignment."""
-    out = []
+    """Tokens that may be tagged: of six characters and more, and with a digit, long, of mixed case, or behind an assignment or a telling word."""
+    out, told = [], -_BEHIND - 1
     for i, w in enumerate(words):
-        behind = any(x in ("=", ":") for x in words[max(0, i - 2) : i])
-        out.append(len(w) >= 6 and (behind or len(w) >= 32 or _DIGIT.search(w) is not None))
+        ok = len(w) >= 6 and (
+            i - told <= _BEHIND or len(w) >= 32 or _DIGIT.search(w) is not None or any(x in ("=", ":") for x in words[max(0, i - 2) : i])
+            or (len(w) >= 12 and _MIXED.search(w) is not None))
+        out.append(ok)
+        if _TOLD.search(w):
+            told = i
     return out
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
     """Token spans of the stretches around everything that may be a secret."""
-    hits = [(m.start(), m.end()) for pattern in (_DIGIT, _LONG, _SET) for m in pattern.finditer(text)]
+    patterns = [_DIGIT, _LONG, _SET, _MIXED, *([_TOLD] if says(text, TOLD) else [])]
+    hits = [(m.start(), m.end()) for pattern in patterns for m in pattern.finditer(text)]
     hits.sort()
     stretches: list[list[int]] = []
     for a, b in hits:
@@ -184,20 +211,34 @@ def _fake(draw: np.random.Generator) -> tuple[str, str, bool]:
     """Text around a made-up value, the value, and whether it is a secret. Look-alikes are mail, numbers, dates and paths."""
     pick = lambda letters, n: "".join(letters[k] for k in draw.integers(0, len(letters), n))
     hexa, alnum, digits = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789"
-    n, kind = int(draw.integers(16, 44)), int(draw.integers(0, 12))
+    n, kind = int(draw.integers(16, 44)), int(draw.integers(0, 20))
     value = (pick(hexa, n), pick(alnum, n), "AKIA" + pick(alnum[26:], 16), pick(alnum, n) + "_" + pick(alnum, 6))[int(draw.integers(0, 4))]
     key = ("password", "passwd", "pwd", "secret", "token", "api_key", "auth_token", "client_secret", "apikey")[int(draw.integers(0, 9))]
     around = (f"{key}={{}}", f'{key} = "{{}}"', f"{key}: {{}}", "{}")[int(draw.integers(0, 4))]
     if kind < 6:
         return around, value, True
+    if kind < 9:  # letters only, behind a word that tells
+        telling = ("my password is {}", "the password was {}", "bearer {}", "password {}", "token: {}", "secret is {}")[int(draw.integers(0, 6))]
+        return telling, pick(alnum[:26] if kind == 6 else alnum[:52], int(draw.integers(9, 24))), True
+    if kind < 12:  # a telling word, and then any word
+        telling = ("the password is {}", "password {}", "a secret {}", "the token was {}", "secrets of {}")[int(draw.integers(0, 5))]
+        return telling, _spoken(draw), False
     phone = f"+{pick(digits, 1)} ({pick(digits, 3)}) {pick(digits, 3)}-{pick(digits, 4)}"
+    upper = alnum[26:52]
     harmless = (f"{pick(alnum[:26], 6)}.{pick(digits, 2)}@mail{pick(digits, 1)}.example.com", pick(digits, 16), phone,
                 f"{pick(digits, 2)}.{pick(digits, 3)}.{pick(digits, 2)}.{pick(digits, 3)}", f"20{pick(digits, 2)}-0{pick('123456789', 1)}-1{pick(digits, 1)}",
-                f"https://{pick(alnum[:26], 8)}.example.com/{pick(alnum[:26], 6)}/{pick(digits, 4)}")[kind - 6]
+                f"https://{pick(alnum[:26], 8)}.example.com/{pick(alnum[:26], 6)}/{pick(digits, 4)}",
+                f"{('room', 'order', 'flight', 'part', 'model', 'No.')[int(draw.integers(0, 6))]} {pick(upper, int(draw.integers(1, 4)))}{pick(digits, int(draw.integers(4, 9)))}",
+                f"{pick(upper, 2)}-{pick(digits, 4)}-{pick(upper, 2)}")[kind - 12]
     return "{}", harmless, False
 
 
-def training_windows(texts: list[str], seed: int = 7, each: int = 6) -> tuple[list, list]:
+def _spoken(draw: np.random.Generator) -> str:
+    """A made-up word that can be spoken."""
+    return "".join("bcdfglmnprst"[int(draw.integers(0, 12))] + "aeiou"[int(draw.integers(0, 5))] for _ in range(int(draw.integers(3, 6)))) + ("", "n", "r", "s")[int(draw.integers(0, 4))]
+
+
+def training_windows(texts: list[str], seed: int = 7, each: int = 9) -> tuple[list, list]:
     """Feature lists and tags of windows: seeded values are put between words of the texts; what the base patterns find counts too."""
     draw = np.random.Generator(np.random.PCG64(seed))
     found, tags = [], []

@@ -61,3 +61,31 @@ def test_scan(spark):
         assert r.base_sha256 == __import__("hashlib").sha256(",".join(base).encode()).hexdigest()
         assert r.n_assign + r.n_access + r.n_hex == len(base)
     assert s.scan(docs.limit(0)).count() == 0
+
+
+def test_letters_behind_a_telling_word_and_look_alikes(field):
+    found = lambda text: [text[a:b] for a, b in s.tagged_spans(text, field)]
+    assert found("my password is hunterxqzwvb") == ["hunterxqzwvb"]
+    assert found("send it as bearer QxZvTrbKpWlmNqd to the host") == ["QxZvTrbKpWlmNqd"]
+    for text in ("we meet in room B12345 today", "order AB123456 has left", "part XK-4711-AA is out of stock", "the password is required", "a token of remembrance",
+                 "the secret garden and the secretary", "flight LH1234567 leaves"):
+        assert found(text) == [], text
+
+
+def test_seeded_secrets_that_the_field_has_not_seen(field):
+    """Held-out draws of the same makers: most secrets are found, few look-alikes are."""
+    draw = np.random.Generator(np.random.PCG64(991))
+    hits, secrets, wrong, harmless = 0, 0, 0, 0
+    for _ in range(1500):
+        around, value, secret = s._fake(draw)
+        text = "and so the sea was " + around.replace("{}", value) + " of that time"
+        touched = any(text[a:b] in value or value in text[a:b] for a, b in s.tagged_spans(text, field)) or bool(s.base_spans(text))
+        secrets, hits = secrets + secret, hits + (secret and touched)
+        harmless, wrong = harmless + (not secret), wrong + (not secret and bool(s.tagged_spans(text, field)))
+    assert hits / secrets > 0.9 and wrong / harmless < 0.05, (hits / secrets, wrong / harmless)
+
+
+def test_the_size_of_a_text_changes_nothing():
+    text = "x" * (s._PART - 4) + " PASSWORD=Abc123def " + "y" * (2 * s._PART)
+    assert s.base_spans(text) == plain(text) and len(s.base_spans(text)) == 1
+    assert s.says("x" * (s._PART - 3) + "toKen", ("token",)) and not s.says("x" * (3 * s._PART), ("token",))
