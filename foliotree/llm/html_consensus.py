@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -60,7 +61,8 @@ CLOSES = {
 }
 SCOPES = _words("table ul ol dl div section article main body td th blockquote nav aside header footer form figure")
 HARD, SOFT = 2, 1  # dropped for good, and but for an article inside
-MAX_DEPTH = 2000  # of open elements; deeper ones are read as text of the last one
+MAX_DEPTH = 2000  # of containers with a path of their own; what is deeper belongs to the last of them
+DOUBT = 0.2  # what a container that a name speaks against counts beside one with a good name
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)|<[!?][^>]*+>""", re.S)
@@ -87,6 +89,17 @@ def _beyond(source: str, tag: str, position: int) -> int:
     return 0
 
 
+def _unclosed(source: str, tag: str, position: int) -> bool:
+    """Whether an element that was opened before ``position`` never ends."""
+    depth = 1
+    for m in _PAIRS[tag].finditer(source, position):
+        if m[1] is not None:
+            depth += -1 if m[1] else 1
+            if not depth:
+                return False
+    return True
+
+
 def _names(*values: str) -> set[str]:
     return {w.lower() for v in values for w in _NAME.findall(v)}
 
@@ -106,15 +119,17 @@ class Page:
         self.paths: list[str] = ["html>body"]  # of each container
         self.parents: list[int] = [-1]
         self.good: list[bool] = [False]
+        self.doubtful: list[bool] = [False]  # whether it stands in an element that a name speaks against
         # Of each element that its name or a form speaks against: the one around it, the share up to which it goes, whether an article is in it.
         self._around: list[int] = [-1]
         self._most: list[float] = [-1.0]
         self._holds: list[bool] = [True]
+        self._comment: list[bool] = [False]
         self._pieces: list[tuple[list[tuple[int, str, bool]], int]] = []  # of a block: region, text, whether in a link; its container
         self._parse(source)
         self._judge()
 
-    def _open(self, tag: str, raw: str, above: _Element) -> _Element:
+    def _open(self, tag: str, raw: str, above: _Element, deep: bool) -> _Element:
         attributes = {}
         if len(raw) > 1 and _TOLD.search(raw):
             for m in _ATTRIBUTE.finditer(raw):
@@ -145,6 +160,7 @@ class Page:
                 self._around.append(region)
                 self._most.append(MOST if comment or tag == "form" else SMALL)
                 self._holds.append(False)
+                self._comment.append(comment)
                 region = len(self._around) - 1
         if not dropped and tag in ("article", "main") and region == above.region:
             at = region
@@ -154,18 +170,22 @@ class Page:
         inside = above.inside or (tag in ("article", "main") and not dropped)
         path = above.path
         container = above.container
-        if tag in CONTAINERS and tag != "body":
+        if tag in CONTAINERS and tag != "body" and not deep:
             token = ".".join([tag, *sorted({re.sub(r"[0-9]+", "N", c) for c in classes.split()})])
             path = f"{above.path}>{token}"
             if not dropped:
                 self.paths.append(path)
                 self.parents.append(container)
                 self.good.append(tag in ("article", "main") or attributes.get("role", "").lower() == "main" or bool(names & GOOD_NAMES))
+                self.doubtful.append(region > 0)
                 container = len(self.paths) - 1
         return _Element(tag, path, dropped, container, inside, heading_only, region)
 
     def _judge(self) -> None:
-        """Blocks of all text but that of the small or link-heavy elements that a name or a form speaks against."""
+        """Blocks of all text but that of comments and of the small or link-heavy elements that a name or a form speaks against.
+
+        Comments go however long they are, unless an article is in them or there is no prose beside them.
+        """
         sizes, linked = [0] * len(self._around), [0] * len(self._around)
         for pieces, _ in self._pieces:
             for region, piece, link in pieces:
@@ -176,10 +196,17 @@ class Page:
             around = max(self._around[at], 0)
             sizes[around] += sizes[at]
             linked[around] += linked[at]
+        remarks, within = 0, [False] * len(sizes)
+        for at in range(1, len(sizes)):
+            around = max(self._around[at], 0)
+            told = self._comment[at] and not self._holds[at]
+            within[at] = within[around] or told
+            remarks += (sizes[at] - linked[at]) * (told and not within[around])
+        beside = sizes[0] - linked[0] - remarks >= PROSE
         gone = [False] * len(sizes)
         for at in range(1, len(sizes)):
             n = sizes[at]
-            gone[at] = gone[max(self._around[at], 0)] or (
+            gone[at] = gone[max(self._around[at], 0)] or (beside and self._comment[at] and not self._holds[at]) or (
                 not self._holds[at] and n <= MOST * sizes[0] and (n <= self._most[at] * sizes[0] or 2 * linked[at] > n))
         for pieces, container in self._pieces:
             block = " ".join(html.unescape("".join([piece for region, piece, _ in pieces if not gone[region]])).split())
@@ -194,7 +221,8 @@ class Page:
     def _parse(self, source: str) -> None:
         stack = [_Element("", "html>body", 0, 0, False, False, 0)]
         text: list[tuple[int, str, bool]] = []
-        links = 0
+        links, menu = 0, False
+        opened: Counter = Counter()  # open elements by tag
 
         def end_block() -> None:
             nonlocal text
@@ -209,6 +237,8 @@ class Page:
 
         def close_to(at: int) -> None:
             nonlocal links
+            for e in stack[at:]:
+                opened[e.tag] -= 1
             if at == len(stack) - 1:
                 if stack[at].tag in BLOCKS:
                     end_block()
@@ -222,6 +252,8 @@ class Page:
             del stack[at:]
 
         def find(tags, scope) -> int:
+            if not any(opened[t] for t in tags):
+                return 0
             for at in range(len(stack) - 1, 0, -1):
                 if stack[at].tag in tags:
                     return at
@@ -272,24 +304,35 @@ class Page:
                 if beyond:
                     position = beyond
                     continue
+                if tag in SOFT_TAGS and 2 * position < end and _unclosed(source, tag, position):
+                    menu = True  # its end was forgotten: the list that comes first is its own, not the rest of the page
+                    continue
             if m[0].endswith("/>") and tag not in BLOCKS and tag not in ("a", "b", "i", "span", "em", "strong"):
                 continue
-            if len(stack) < MAX_DEPTH:
-                stack.append(self._open(tag, m[3], stack[-1]))
-                links += tag == "a"
+            stack.append(self._open(tag, m[3], stack[-1], len(stack) >= MAX_DEPTH))
+            opened[tag] += 1
+            links += tag == "a"
+            if menu and tag not in ("a", "span", "b", "i", "em", "strong"):
+                if tag in ("ul", "ol", "dl"):
+                    stack[-1].dropped = max(stack[-1].dropped, SOFT)
+                menu = False
         end_block()
 
     def best(self) -> tuple[int, float]:
         """The container that scores highest: text without links counts fully for the nearest one, less and less above."""
-        scores = [0.0] * len(self.paths)
-        for text, linked, chain in self.blocks:
-            value = max(0.0, len(text) - 2.0 * linked)
-            for at in reversed(chain):
-                scores[at] += value
-                value *= 0.6
-        for at, good in enumerate(self.good):
-            if good:
-                scores[at] *= 1.5
+        def scored(doubt: float) -> list[float]:
+            scores = [0.0] * len(self.paths)
+            for text, linked, chain in self.blocks:
+                value = max(0.0, len(text) - 2.0 * linked) * (doubt if self.doubtful[chain[-1]] else 1.0)
+                for at in reversed(chain):
+                    scores[at] += value
+                    value *= 0.6
+            return [x * 1.5 if good else x for x, good in zip(scores, self.good)]
+
+        scores = scored(1.0)
+        # Where a good name stands apart from what names speak against, that hardly counts.
+        if any(self.doubtful) and any(good and not self.doubtful[at] and scores[at] >= PROSE for at, good in enumerate(self.good)):
+            scores = scored(DOUBT)
         top = max(range(len(scores)), key=lambda at: (scores[at], -at))
         return top, scores[top]
 
