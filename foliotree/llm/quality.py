@@ -11,6 +11,7 @@ scores all texts, those with contradicting or missing votes too.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,29 @@ REJECT_AT = 0.5
 _SLOT = ((np.arange(1 << 12, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)).astype(np.int64)  # 11 bits
 
 
+# Scripts without blanks between words: such a text is read in groups of four characters, as if they were words.
+_UNSPACED_BYTES = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef][\x80-\xbf]{2}")
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f]{1,4})")
+_WIDE_MARKS = str.maketrans({"\u3002": ". ", "\uff01": "! ", "\uff1f": "? ", "\uff0c": ", ", "\u3001": ", ", "\uff1a": ": ", "\uff1b": "; ", "\u300c": '"',
+                             "\u300d": '"', "\uff08": "(", "\uff09": ")", "\u3000": " "})
+_BEFORE_MARK = re.compile(r" ([.,!?:;)\"])")
+# What ends a sentence before a blank, and elsewhere (danda, Arabic, Armenian and Ethiopic marks, ellipsis).
+_ENDS = (b". ", b".\n", b"? ", b"?\n", b"! ", b"!\n", b'." ', b'?" ', b".) ", b"\xe0\xa5\xa4", b"\xe0\xa5\xa5", b"\xd8\x9f", b"\xdb\x94", b"\xd6\x89", b"\xe1\x8d\xa2",
+         b"\xe2\x80\xa6")
+
+
+def spaced(data: bytes) -> bytes:
+    """The text with blanks in stretches of scripts that have none; others as they are."""
+    if not _UNSPACED_BYTES.search(data):
+        return data
+    grouped = _UNSPACED.sub(r"\1 ", data.decode("utf-8", "replace").translate(_WIDE_MARKS))
+    return _BEFORE_MARK.sub(r"\1", grouped).encode()
+
+
+def sentence_ends(data: bytes) -> int:
+    return sum(map(data.count, _ENDS)) + data.endswith((b".", b"?", b"!"))
+
+
 def _facts(data: bytes) -> tuple[np.ndarray, np.ndarray, int, float, float]:
     """Character classes, their counts, words, share of words equal to the one before, and to either neighbour."""
     classes = _CLASS[np.frombuffer(data, np.uint8)]
@@ -54,7 +78,9 @@ def votes(data: bytes) -> tuple[int, ...]:
 
     Most labellers know one sort of junk and say nothing about other texts; the
     last two also know prose. Each sort of junk is seen by two labellers or more.
+    Scripts without blanks are read in groups of characters.
     """
+    given, data = data, spaced(data)
     classes, counts, n, repeats, runs = _facts(data)
     if not n:
         return (ABSTAIN,) * len(LABELLERS)
@@ -68,13 +94,14 @@ def votes(data: bytes) -> tuple[int, ...]:
     odd = float((last >= SHOUT).mean())
     lone = blank[:-2] & blank[2:] & ~blank[1:-1]
     marks = int((classes[lone] >= PROSE).sum()) / n
-    sentences = data.count(b". ") + data.count(b".\n") + data.endswith(b".")
+    sentences = sentence_ends(data)
+    lines = len(data.split(b"\n"))  # verse and code end in lines
     junk = lambda sign: JUNK if sign else ABSTAIN
     return (
         junk(counts[SYMBOL] > 0.4 * n), junk(odd > 0.3), junk(counts[UPPER] > 0.4 * letters), junk(counts[SHOUT] > 0.3 * n),
         junk(counts[PIPE] > 0.3 * n), junk(marks > 0.2), junk(n >= 8 and repeats > 0.3), junk(n >= 8 and runs > 0.45),
         CLEAN if plain > 0.95 * shown and varied else junk(plain < 0.85 * shown),
-        ABSTAIN if n < 30 else CLEAN if n < 40 * sentences and varied else junk(n > 100 * sentences),
+        ABSTAIN if n < 30 else CLEAN if n < 40 * sentences and varied else junk(data is given and n > 100 * (sentences + lines - 1)),
     )
 
 
@@ -83,6 +110,7 @@ def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
     A text without words has none.
     """
+    data = spaced(data)
     classes, _, n, repeats, runs = _facts(data)
     if not n:
         return np.empty(0, np.uint16), np.empty(0, np.float32)
@@ -158,7 +186,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
 
     Vote patterns are counted over all rows; at most 3 ** 10 counts come to the
     driver. The scorer is trained on a sample of about ``train_rows`` rows by a hash
-    of the id, at most twice as many. Without rows the scorer keeps everything.
+    of id and text, at most twice as many; if that hits none, as where all rows are
+    one, on the first ``train_rows`` rows. Without rows the scorer keeps everything.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -168,7 +197,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
     total = int(found[:, 1].sum())
     lookup = dict(zip(found[:, 0].tolist(), post.tolist()))
     slots = 1 << 24
-    sample = texts.where(F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(1)), F.lit(slots)) < min(slots, slots * train_rows // max(1, total) + 1))
+    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("text"), F.lit(1)), F.lit(slots))
+    sample = texts.where(drawn < min(slots, slots * train_rows // max(1, total) + 1))
 
     def run(batches):
         for batch in batches:
@@ -177,7 +207,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.float64()), pa.array(slots, pa.binary()), pa.array(values, pa.binary())],
                                              names=["y", "slots", "values"])
 
-    rows = sample.limit(2 * train_rows).mapInArrow(run, "y double, slots binary, values binary").toArrow()
+    taken = lambda of, n: of.limit(n).mapInArrow(run, "y double, slots binary, values binary").toArrow()
+    rows = taken(sample, 2 * train_rows)
+    if total and not rows.num_rows:
+        rows = taken(texts, train_rows)
     y = rows["y"].to_numpy().astype(np.float32)
     if not len(y):
         weights = np.zeros(DIMENSIONS + 1, np.float32)
