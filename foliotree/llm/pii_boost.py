@@ -2,15 +2,17 @@
 
 Generators of high recall propose overlapping spans (anything around an at
 sign, chains of digits with and without blanks). Boosted trees judge a proposal
-by its format and context; they are fitted on counts of feature patterns over
-all texts, labelled by the strict patterns of known kinds, and become one SQL
-expression. A threshold calibrated on the other half of the documents selects
+by its format and context, and become one SQL expression. They are fitted on
+made-up values, personal ones of many formats and harmless look-alikes, which
+are put between words of a bounded sample of the texts; the corpus's own
+proposals have no labels. A threshold calibrated on other made-up values selects
 what is added to the spans of the strict patterns, which are always reported.
 """
 
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,7 +26,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GENERATORS = {
-    "around_at": r"[^\x20\x09-\x0D@]{1,64}+@[^\x20\x09-\x0D@]{1,255}+",
+    "around_at": r"[\p{L}0-9._%+-]{1,64}+@[\p{L}0-9-]{1,63}+(?:\.[\p{L}0-9-]{1,63}+)*+",
     "digit_chain": r"[+(]?[0-9](?:[\x20().,/:-]{0,3}[0-9])++",
     "digit_word": r"[+(]?[0-9]++(?:[().,/:-]{1,2}[0-9]++)*+",
 }
@@ -32,9 +34,13 @@ EXTRA = "extra"
 LEAST_DIGITS = 7  # of a proposal without an at sign
 BLOCK = 256  # hits whose offsets are summed up one after another
 SPAN = "array<struct<start:int,end:int,hit:string>>"
-FEATURES = ("generator", "digits", "length", "kinds", "plus", "parens", "luhn", "octets", "at", "left", "right")
-#: Trees, their depth, the step, the least share of true ones among the selected, and the least weight of a leaf.
-TREES, DEPTH, RATE, PRECISION, LEAF = 20, 3, 0.4, 0.95, 4.0
+FEATURES = ("generator", "digits", "length", "kinds", "plus", "parens", "luhn", "octets", "at", "left", "right", "groups", "lead", "tail", "dots")
+#: Trees, their depth, the step, the least share of true ones in each band of scores that is selected, and the least weight of a leaf.
+TREES, DEPTH, RATE, PRECISION, LEAF = 24, 4, 0.4, 0.95, 4.0
+#: Weight of a band of scores.
+BAND = 25.0
+#: Made-up values that are fitted on, as many that the threshold is calibrated on, and texts whose first words stand around them.
+SEEDED, SAMPLE_TEXTS, SAMPLE_CHARS = 4000, 100, 300
 
 
 def digits_of(hit: Column) -> Column:
@@ -118,6 +124,10 @@ def proposals(generator: int, spans: Column, text: Column) -> Column:
     def side(c: Column) -> Column:
         return F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"[\p{L}0-9_]"), 2).otherwise(3)
 
+    def groups(hit: Column) -> Column:
+        """Its groups of digits."""
+        return F.split(F.trim(F.regexp_replace(hit, "[^0-9]+", " ")), " ")
+
     def found(s: Column) -> Column:
         hit, digits = s["hit"], digits_of(s["hit"])
         n = F.length(digits)
@@ -129,9 +139,13 @@ def proposals(generator: int, spans: Column, text: Column) -> Column:
             hit.startswith("+").cast("int").alias("plus"), F.contains(hit, F.lit("(")).cast("int").alias("parens"),
             F.when(n.between(12, 19), luhn(digits)).otherwise(False).cast("int").alias("luhn"),
             F.when(octet, octets(hit)).otherwise(False).cast("int").alias("octets"),
-            hit.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$").cast("int").alias("at"),
+            F.when(hit.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"), 2)
+            .when(hit.rlike(r"^[\p{L}0-9._%+-]+@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.[\p{L}]{2,}$"), 1).otherwise(0).alias("at"),
             side(F.substring(text, s["start"], F.lit(1)) if generator else F.lit("")).alias("left"),
             side(F.substring(text, s["end"] + 1, F.lit(1)) if generator else F.lit("")).alias("right"),
+            F.least(F.size(groups(hit)), F.lit(8)).alias("groups"), F.least(F.length(F.coalesce(F.get(groups(hit), 0), F.lit(""))), F.lit(9)).alias("lead"),
+            F.least(F.length(F.coalesce(F.element_at(groups(hit), -1), F.lit(""))), F.lit(9)).alias("tail"),
+            F.least(F.length(F.regexp_replace(hit, r"[^.,/:]", "")), F.lit(4)).alias("dots"),
         )
 
     kept = spans if generator == 0 else F.filter(spans, lambda s: F.length(digits_of(s["hit"])) >= LEAST_DIGITS)
@@ -153,24 +167,83 @@ def analysed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select("doc_id", *KINDS, "proposed")
 
 
-def _known(p: Column) -> Column:
-    """Whether a strict span covers most of a proposal or the other way round."""
-    def covers(s: Column) -> Column:
-        common = F.least(s["end"], p["end"]) - F.greatest(s["start"], p["start"])
-        return common * 10 >= F.greatest(s["end"] - s["start"], p["end"] - p["start"]) * 8
-
-    out = F.lit(False)
-    for k in KINDS:
-        out = out | F.exists(k, covers)
+def made_up(draw: random.Random) -> tuple[str, str, str, bool]:
+    """What stands before a value, the value, what stands behind, and whether it is personal."""
+    n = lambda k, first="0123456789": draw.choice(first) + "".join(draw.choice("0123456789") for _ in range(k - 1))
+    some = "123456789"
+    word = lambda letters="abcdefghijklmnopqrstuvwxyz": "".join(draw.choice(letters) for _ in range(draw.randint(3, 9)))
+    wide = "abcdefghiklmnoprstuvwzäöüéèñçøßłж"
+
+    def card(length: int, right: bool) -> str:
+        body = n(length - 1, "3456")
+        total = sum(sum(divmod(2 * int(c), 10)) if k % 2 == 0 else int(c) for k, c in enumerate(reversed(body)))
+        return body + str((-total + (0 if right else draw.randint(1, 9))) % 10)
+
+    def grouped(digits: str, mark: str) -> str:
+        return mark.join(digits[k : k + 4] for k in range(0, len(digits), 4))
+
+    area, mark = n(3, "23456789"), draw.choice("-. ")
+    personal = [
+        lambda: f"({area}) {n(3, some)}-{n(4)}", lambda: f"{area}-{n(3, some)}-{n(4)}", lambda: f"{area}.{n(3, some)}.{n(4)}", lambda: f"1-{area}-{n(3, some)}-{n(4)}",
+        lambda: f"00{n(2, some)} {n(2, some)} {n(draw.randint(5, 8))}", lambda: f"00{n(2, some)} {n(3, some)} {n(3)} {n(4)}", lambda: f"0{n(2, some)}/{n(draw.randint(6, 8), some)}",
+        lambda: f"0{n(3, some)} {n(3)} {n(3)}", lambda: f"(0{n(1, some)}) {n(4, some)} {n(4)}", lambda: f"+{n(1, some)} ({area}) {n(3)}-{n(4)}",
+        lambda: f"{n(3, some)}-{n(2)}-{n(4)}", lambda: f"{word(wide)}@{word(wide)}.{draw.choice(('de', 'fr', 'com', 'org', 'рф'))}",
+        lambda: f"{word()}.{word()}@{word()}.{draw.choice(('com', 'example.org'))}", lambda: f"{word()}{n(2)}@{word(wide)}.{word()}.net",
+        lambda: grouped(n(draw.choice((20, 22, 24)), some), " "), lambda: card(16, True), lambda: grouped(card(16, True), draw.choice(" -")),
+    ]
+    harmless = [
+        lambda: f"{n(4, '12')}-0{n(1, some)}-{n(2, '012')}", lambda: f"{n(2, '0123')}.{n(2, '01')}.{n(4, '12')}", lambda: f"{n(2, '01')}/{n(2, '0123')}/{n(4, '12')}",
+        lambda: f"{n(4, '12')}-{n(2, '01')}-{n(2, '012')} {n(2, '012')}:{n(2, '012345')}:{n(2, '012345')}", lambda: f"{n(1)}.{n(draw.randint(7, 14))}",
+        lambda: f"{n(1, some)},{n(3)},{n(3)}.{n(2)}", lambda: f"{n(1, some)}.{n(3)}.{n(3)},{n(2)}", lambda: n(draw.choice((7, 8, 9, 10, 11, 12, 13, 14, 15, 17, 18, 20, 24)), some),
+        lambda: f"978-{n(1)}-{n(2)}-{n(6)}-{n(1)}", lambda: f"{n(draw.randint(4, 7), some)}-{n(draw.randint(4, 7), some)}", lambda: f"{n(2)}.{n(1)}.{n(5)}.{n(1)}",
+        lambda: card(16, False), lambda: grouped(card(16, False), draw.choice(" -")), lambda: grouped(n(15, some), draw.choice(" -")),
+        lambda: f"{n(3, '3456789')}.{n(3, '3456789')}.{n(2)}.{n(1)}", lambda: f"{word()}@{word()}", lambda: f"{n(2)}:{n(2)}:{n(2)}:{n(2)}:{n(2)}", lambda: f"{n(4, some)} {n(4, some)}",
+        lambda: "{}", lambda: "{}", lambda: "{}", lambda: f"{n(4, some)} {mark} {n(4, some)}",
+    ]
+    before, behind = draw.choice((("", ""), ("", "."), ("", ","), ("(", ")"), ('"', '"'), ("\n", "\n"), (": ", ";"), ("", "")))
+    if draw.random() < 0.5:
+        value = draw.choice(personal)()
+        if draw.random() < 0.15 and "@" not in value and " " not in value:
+            behind = " " + n(draw.randint(2, 4))  # another number beside it
+        return before, value, behind, True
+    value = draw.choice(harmless)()
+    if value == "{}":  # digits inside of hexadecimal numbers, names and keys
+        value = draw.choice(("".join(draw.choice("0123456789abcdef") for _ in range(draw.randint(24, 64))),
+                             f"{word()}{n(draw.randint(7, 16))}{word()}", f"{word().upper()}{n(draw.randint(8, 12))}", f"{word()}_{n(10)}.png"))
+    return before, value, behind, False
+
+
+def seeded_texts(words: list[str], seed: int, count: int) -> list[tuple[int, str, int, int]]:
+    """``id, text, start, end`` (of the personal value; -1 if there is none) of made-up values between given words."""
+    draw, out = random.Random(seed), []
+    for k in range(count):
+        before, value, behind, personal = made_up(draw)
+        head = " ".join(draw.choice(words) for _ in range(draw.randint(0, 4))) if words else ""
+        head += (" " if head else "") + before
+        tail = behind + " " + " ".join(draw.choice(words) for _ in range(draw.randint(0, 4)) if words)
+        out.append((k, head + value + tail, len(head) if personal else -1, len(head) + len(value) if personal else -1))
     return out
 
 
-def pattern_counts(found: DataFrame) -> DataFrame:
-    """Per feature pattern and half of the documents: proposals ``n`` and those that are known ``y``."""
-    half = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2)).cast("int")
-    labelled = F.transform("proposed", lambda p: F.struct(*[p[f].alias(f) for f in FEATURES], _known(p).cast("int").alias("y")))
-    rows = found.select(half.alias("half"), F.explode_outer(labelled).alias("p")).where("p IS NOT NULL")
-    return rows.groupBy("half", *[F.col(f"p.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.sum("p.y").alias("y"))
+def sample_words(docs: DataFrame, text_col: str, texts: int = SAMPLE_TEXTS) -> list[str]:
+    """Words without digits from the beginnings of at most so many texts, in a fixed order."""
+    heads = docs.select(F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("t")).where("t <> ''").orderBy(F.xxhash64("t"), "t").limit(texts)
+    return sorted({w for r in heads.collect() for w in r[0].split()[:-1] if w.isalpha()})
+
+
+def pattern_counts(spark, texts: list[tuple[int, str, int, int]]) -> list[tuple[tuple[int, ...], float, float]]:
+    """Per feature pattern the proposals in made-up texts, and those that are the value: most of the one is most of the other."""
+    given = spark.createDataFrame(texts, "doc_id long, text string, a int, b int")
+    found = analysed(given, "doc_id", "text").join(given.drop("text"), "doc_id")
+
+    def known(p: Column) -> Column:
+        common = F.least(F.col("b"), p["end"]) - F.greatest(F.col("a"), p["start"])
+        return (F.col("a") >= 0) & (common * 10 >= F.greatest(F.col("b") - F.col("a"), p["end"] - p["start"]) * 8)
+
+    labelled = F.transform("proposed", lambda p: F.struct(*[p[f].alias(f) for f in FEATURES], known(p).cast("int").alias("y")))
+    rows = found.select(F.explode_outer(labelled).alias("p")).where("p IS NOT NULL")
+    counts = rows.groupBy(*[F.col(f"p.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.sum("p.y").alias("y"))
+    return sorted((tuple(features), float(n), float(y)) for *features, n, y in counts.collect())
 
 
 def fit_trees(rows: list[tuple[tuple[int, ...], float, float]]) -> list:
@@ -219,8 +292,11 @@ def value_of(tree, features: tuple[int, ...]) -> float:
     return tree
 
 
-def threshold(trees: list, rows: list[tuple[tuple[int, ...], float, float]], precision: float = PRECISION) -> float:
-    """The lowest score from which on at least ``precision`` of the other half's proposals are known (one virtual miss); infinite if none."""
+def threshold(trees: list, rows: list[tuple[tuple[int, ...], float, float]], precision: float = PRECISION, band: float = BAND) -> float:
+    """The lowest score down to which each band of scores has at least ``precision`` of true ones (one virtual miss a band); infinite if none.
+
+    A band weighs ``band`` or more, so what is plainly true above doesn't make up for what is doubtful below.
+    """
     if not trees:
         return math.inf
     by: dict[float, list[float]] = {}
@@ -228,21 +304,24 @@ def threshold(trees: list, rows: list[tuple[tuple[int, ...], float, float]], pre
         sums = by.setdefault(round(sum(value_of(t, x) for t in trees), 9), [0.0, 0.0])
         sums[0] += n
         sums[1] += y
-    out, n, y = math.inf, 1.0, 0.0
-    for score in sorted(by, reverse=True):
+    out, n, y = math.inf, 0.0, 0.0
+    scores = sorted(by, reverse=True)
+    for score in scores:
         n, y = n + by[score][0], y + by[score][1]
-        if y >= precision * n:
-            out = score - 1e-6
+        if n < band and score != scores[-1]:
+            continue
+        if y < precision * (n + (1.0 if n < band else 0.0)):
+            break
+        out, n, y = score - 1e-6, 0.0, 0.0
     return out
 
 
-def fit(found: DataFrame) -> tuple[list, float]:
-    """Trees and threshold from the pattern counts of all documents, which are bounded by the product of the features' levels."""
-    halves: tuple[list, list] = ([], [])
-    for half, *features, n, y in pattern_counts(found).collect():
-        halves[half].append((tuple(features), float(n), float(y)))
-    trees = fit_trees(sorted(halves[0]))
-    return trees, threshold(trees, sorted(halves[1]))
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[list, float]:
+    """Trees and threshold, each from ``SEEDED`` made-up texts of its own; the corpus gives at most ``SAMPLE_TEXTS`` beginnings of texts."""
+    words = sample_words(docs, text_col)
+    fitted, other = (pattern_counts(docs.sparkSession, seeded_texts(words, seed, SEEDED)) for seed in (11, 12))
+    trees = fit_trees(fitted)
+    return trees, threshold(trees, other)
 
 
 def score(trees: list, p: Column) -> Column:
@@ -263,7 +342,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     columns of ``docs`` are not read.
     """
     found = analysed(docs, id_col, text_col)
-    trees, least = fit(found)
+    trees, least = fit(docs, text_col)
     none = F.array().cast("array<struct<start:int,end:int>>")
     bare = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
     strict = [F.transform(k, bare).alias(k) for k in KINDS]

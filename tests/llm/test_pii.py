@@ -64,7 +64,7 @@ def test_added_spans_touch_nothing(found):
 
 
 def test_trees_learn_and_thresholds_hold():
-    rows = [((0, d, 0, 0, s, 0, 0, 0, 0, 0, 0), 50.0, 50.0 * (d > 3 and s == 1)) for d in range(8) for s in (0, 1)]
+    rows = [((0, d, 0, 0, s, *[0] * (len(p.FEATURES) - 5)), 50.0, 50.0 * (d > 3 and s == 1)) for d in range(8) for s in (0, 1)]
     trees = p.fit_trees(rows)
     score = lambda x: sum(p.value_of(t, x) for t in trees)
     assert min(score(x) for x, n, y in rows if y) > max(score(x) for x, n, y in rows if not y)
@@ -79,3 +79,58 @@ def test_repeats_nulls_and_no_rows(spark):
     assert p.find(docs.limit(0)).count() == 0
     plan = p.analysed(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+WORDS = "the sea was wide and nobody heard lion of that time".split()
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    docs = spark.createDataFrame([(i, " ".join(WORDS)) for i in range(5)], "doc_id long, text string")
+    return p.fit(docs)
+
+
+@pytest.fixture
+def fitted(monkeypatch, model):
+    monkeypatch.setattr(p, "fit", lambda docs, text_col="text": model)
+
+
+def test_formats_beyond_the_strict_ones(spark, fitted):
+    wanted = {"call (386) 555-3733 or": "(386) 555-3733", "me@müller.de": "me@müller.de", "dial 0049 30 123456.": "0049 30 123456", "no 386-555-3733": "386-555-3733",
+              "386.555.3733": "386.555.3733", "id 123-45-6789,": "123-45-6789", "pay 4539578763621486 4845168114407329 now": None}
+    none = ["4111-1111-1111-111", "3f4123456789ab0123456789ffe0123456789 x", "on 2021-05-11 at 10:22:33", "version 10.4.12345.7", "3.14159265358979", "1,234,567.89",
+            "ISBN 978-3-16-148410-0", "order AB20231234567", "img_2023051110.png", "user@host"]
+    given = [*wanted, *none]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    for r in p.find(docs).collect():
+        text = given[r.doc_id]
+        found = [text[s.start : s.end] for s in r[p.EXTRA]]
+        if text in wanted and wanted[text]:
+            assert found == [wanted[text]], (text, found)
+        elif text in none:
+            assert found == [], (text, found)
+
+
+def test_held_out_values(spark, fitted):
+    """Made-up values of another seed, which neither the trees nor the threshold have seen."""
+    held = p.seeded_texts(WORDS, 4711, 2500)
+    docs = spark.createDataFrame([(k, t) for k, t, _, _ in held], "doc_id long, text string")
+    got = {r.doc_id: r for r in p.find(docs).collect()}
+    same = lambda a, b, s: min(b, s.end) - max(a, s.start) >= 0.8 * max(b - a, s.end - s.start)
+    caught = total = wrong = added = 0
+    for k, _, a, b in held:
+        extra = got[k][p.EXTRA]
+        added += len(extra)
+        wrong += sum(a < 0 or not same(a, b, s) for s in extra)
+        if a >= 0:
+            total += 1
+            caught += any(same(a, b, s) for kind in (*p.KINDS, p.EXTRA) for s in got[k][kind])
+    assert caught > 0.97 * total and wrong <= 0.03 * added and added > 500, (caught, total, wrong, added)
+
+
+def test_bands_do_not_hide_doubtful_scores():
+    """Very many true values above don't make up for doubtful ones below."""
+    tree = [(1, 5, -1.0, 2.0)]
+    x = lambda d: (0, d, *[0] * (len(p.FEATURES) - 2))
+    assert p.threshold(tree, [(x(6), 1e6, 1e6), (x(4), 1000.0, 500.0)]) == pytest.approx(2.0, abs=1e-3)
+    assert p.threshold(tree, [(x(6), 10.0, 10.0)]) == float("inf")
