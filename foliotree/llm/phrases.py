@@ -10,9 +10,10 @@ phrase of up to five words lies whole in the chunk where it begins; one that
 begins in the trailing overlap belongs to the next chunk.
 
 Phrases are counted level by level, as one can be frequent only if its parts are:
-words, pairs of frequent words, then longer phrases of frequent pairs. Counts go
-by the words themselves. What was frequent is passed on as a bitmap of hashes, of
-fixed size, which lets some others through where it is full but keeps nothing back.
+words, pairs of frequent words, then longer phrases of frequent pairs. These
+counts go by hash; what was frequent is passed on as a bitmap of fixed size, which
+lets some others through where it is full but keeps nothing back. A last pass
+counts what came through, and the words in it, by the words themselves.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from foliotree.functions.durable import stored
 from foliotree.llm.batches import small_batches
 
-LONGEST, LEAST, TOP, MODULUS = 5, 100, 2000, 32
+LONGEST, LEAST, TOP, MODULUS = 5, 100, 2000, 64
 OVERLAP = LONGEST - 1
 #: Bits of the bitmap of frequent phrases, whatever the corpus: 8 MB.
 BITMAP_BITS = 1 << 26
@@ -186,54 +187,90 @@ def _after(mask: np.ndarray) -> np.ndarray:
 
 
 def _frequent(chunks: DataFrame, frequent: Bitmap, first: int, last: int, least: int) -> DataFrame:
-    """``lang, phrase, words, f, h`` of the phrases of ``first`` to ``last`` words that occur ``least`` times.
+    """``h, part``: hashes of the phrases of ``first`` to ``last`` words that occur ``least`` times by their hash.
 
-    Only those are counted whose parts of ``first - 1`` words the bitmap knows. A
-    buffer's phrases are told apart by the numbers of their words, not by hashes.
+    Only those are counted whose parts of ``first - 1`` words the bitmap knows. With
+    ``part`` come the hashes of single words of such parts, if these are pairs.
     """
     shared = chunks.sparkSession.sparkContext.broadcast(frequent.bits)
 
     def run(batches):
         known = Bitmap(shared.value)
         for spread in _spreads(batches):
-            number = {t: k for k, t in enumerate(dict.fromkeys(spread.tokens))}
-            plain = np.fromiter(map(number.__getitem__, spread.tokens), np.int64, len(spread.tokens))
-            _, codes = np.unique(spread.lang, return_inverse=True)
-            likely = None
+            keys, weights, likely, parts, single = [], [], None, np.empty(0, _U), None
             for words, hashes, whole in spread.levels(last):
+                single = hashes if single is None else single
                 if words < first:
                     likely = whole & known.has(hashes) if words == first - 1 else None
+                    if words == first - 1 == 2:
+                        at = np.flatnonzero(likely)
+                        parts = np.unique(np.concatenate([single[at], single[at + 1]]))
                     continue
                 likely = whole if likely is None else likely & _after(likely) & whole
-                here = np.flatnonzero(spread.own & likely)
-                code = codes[here]
-                for k in range(words - 1 if words == first else 0):
-                    code = np.unique(code * len(number) + plain[here + k], return_inverse=True)[1]
+                here = np.flatnonzero(likely & spread.own)
+                keys.append(hashes[here])
+                weights.append(spread.weight[here])
+            found, place = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(place, np.concatenate(weights), len(found)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([found, parts]).view(np.int64)), pa.array(np.concatenate([total, np.zeros(len(parts), np.int64)])),
+                pa.array(np.arange(len(found) + len(parts)) >= len(found)),
+            ], names=["h", "n", "part"])
+
+    counts = chunks.select("lang", "chunk", "n").mapInArrow(run, "h long, n long, part boolean")
+    return counts.groupBy("h", "part").agg(F.sum("n").alias("n")).where(F.col("part") | (F.col("n") >= least)).select("h", "part")
+
+
+def _exact(chunks: DataFrame, longer: Bitmap, single: Bitmap, least: int) -> DataFrame:
+    """``lang, phrase, words, f`` of the phrases of two words and more in ``longer`` and the words in ``single`` that occur ``least`` times.
+
+    A buffer's phrases are told apart by the numbers of their words, and then by the words themselves, not by hashes.
+    """
+    spark = chunks.sparkSession.sparkContext
+    shared, shared_single = spark.broadcast(longer.bits), spark.broadcast(single.bits)
+
+    def run(batches):
+        known, words_known = Bitmap(shared.value), Bitmap(shared_single.value)
+        for spread in _spreads(batches):
+            number = {t: k for k, t in enumerate(dict.fromkeys(spread.tokens))}
+            plain = np.fromiter(map(number.__getitem__, spread.tokens), np.int64, len(spread.tokens))
+            _, codes = np.unique(spread.lang, return_inverse=True)
+            tokens_ = spread.tokens
+            for words, hashes, whole in spread.levels(LONGEST):
+                here = np.flatnonzero(spread.own & whole & (words_known if words == 1 else known).has(hashes))
+                if words <= 2:
+                    code = codes[here]
+                    for k in range(words - 1):
+                        code = np.unique(code * len(number) + plain[here + k], return_inverse=True)[1]
+                else:  # what is known has a known beginning
+                    here = here[longer_codes[here] >= 0]
+                    code = longer_codes[here]
                 _, at, same = np.unique(code * len(number) + plain[here + words - 1], return_index=True, return_inverse=True)
-                codes[here] = same
+                if words > 1:
+                    longer_codes = np.full(len(plain), -1)
+                    longer_codes[here] = same
                 total = np.bincount(same, spread.weight[here], len(at)).astype(np.int64)
-                at = here[at]
-                rows = spread.rows[at].tolist()
-                tokens_ = spread.tokens
-                texts = [tokens_[k] for k in at.tolist()] if words == 1 else [b" ".join(tokens_[k : k + words]) for k in at.tolist()]
+                at = here[at].tolist()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([spread.langs[r] for r in rows], pa.string()), pa.array(texts, pa.binary()).cast(pa.string()),
-                    pa.array(np.full(len(at), words, np.int32)), pa.array(total), pa.array(hashes[at].view(np.int64)),
-                ], names=["lang", "phrase", "words", "n", "h"])
+                    pa.array([spread.langs[r] for r in spread.rows[at].tolist()], pa.string()),
+                    pa.array([b" ".join(tokens_[k : k + words]) for k in at], pa.binary()).cast(pa.string()),
+                    pa.array(np.full(len(at), words, np.int32)), pa.array(total),
+                ], names=["lang", "phrase", "words", "n"])
 
-    counts = chunks.select("lang", "chunk", "n").mapInArrow(run, "lang string, phrase string, words int, n long, h long")
-    return counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"), F.min("h").alias("h")).where(F.col("f") >= least)
+    counts = chunks.select("lang", "chunk", "n").mapInArrow(run, "lang string, phrase string, words int, n long")
+    return counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
 
 
 def frequent_phrases(chunks: DataFrame, least: int = LEAST, bits: int = BITMAP_BITS) -> DataFrame:
-    """``lang, phrase, words, f`` of all phrases of up to ``LONGEST`` words that occur ``least`` times. ``chunks`` is a stored dictionary."""
-    known = Bitmap.empty(bits)
-    words = stored(_frequent(chunks, known, 1, 1, least), "words")
-    known = known.with_keys(words)
-    pairs = stored(_frequent(chunks, known, 2, 2, least), "pairs")
-    known = known.with_keys(pairs)
+    """``lang, phrase, words, f`` of the phrases of two to ``LONGEST`` words that occur ``least`` times, and of the words in them.
+
+    ``chunks`` is a stored dictionary.
+    """
+    none = Bitmap.empty(bits)
+    pairs = stored(_frequent(chunks, none.with_keys(_frequent(chunks, none, 1, 1, least)), 2, 2, least), "pairs")
+    known = none.with_keys(pairs)
     longer = stored(_frequent(chunks, known, 3, LONGEST, least), "longer")
-    return words.unionByName(pairs).unionByName(longer).drop("h")
+    return _exact(chunks, known.with_keys(longer.where("NOT part")), none.with_keys(longer.where("part")), least)
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
@@ -291,6 +328,6 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     chunks = stored(dictionary(docs, text_col, lang_col, modulus), "chunks")
     totals = stored(chunks.groupBy("lang").agg(F.sum(F.col("words") * F.col("n")).alias("n")), "totals")
-    phrases = frequent_phrases(chunks, least, bits)
+    phrases = stored(frequent_phrases(chunks, least, bits), "phrases")
     candidates = stored(scored(phrases, totals), "candidates")
     return ranked(without_parts(candidates), top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -88,7 +88,9 @@ def test_counts_of_the_dictionary(spark):
     chunks = stored(dictionary(docs, modulus=3))
     n, f = slow_counts(data)
     got = {(r.lang, *r.phrase.split(" ")): r.f for r in frequent_phrases(chunks, 2).collect()}
-    assert got == {k: v for k, v in f.items() if v >= 2}
+    expected = {k: v for k, v in f.items() if v >= 2}
+    inside = {(k[0], w) for k in expected if len(k) > 2 for w in k[1:]}
+    assert got == {k: v for k, v in expected.items() if len(k) > 2 or k in inside}
     assert chunks.count() == chunks.select("lang", "chunk").distinct().count() < chunks.groupBy().sum("n").first()[0]
 
 
