@@ -6,7 +6,7 @@ third child, [3, 1] a child of that. Sorting by path is the pre-order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec, functions as F
 
 from foliotree.completer import Completer, asks
 from foliotree.functions.durable import cut
@@ -255,8 +255,9 @@ def nest_tree(nodes: DataFrame) -> DataFrame:
 def unnest_tree(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, errors) of JSON trees (doc_id, index_tree) of any depth; a missing id is made, missing texts are ''.
 
-    One narrow step per level, until a level is empty; each is stored, and parent
-    ids come down with the children, so nothing is joined on the way. A tree that
+    One narrow step per level, until a level has no children; each is one job that
+    stores the level and counts them, and parent ids come down with the children,
+    so nothing is joined on the way. A tree that
     is no JSON object, or one of whose nodes lacks its title, pages or level, has
     no nodes but a row (doc_id, error_message).
     """
@@ -265,6 +266,7 @@ def unnest_tree(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
     listed, errors = None, None
     while True:
         own = F.coalesce(variant_text(_field(F.col("v"), "id")), node_id(F.col("doc_id"), F.col("path")))
+        children = Observation()
         typed = cut(level.select(
             "doc_id", "path", "parent_id", own.alias("node_id"), variant_int(_field(F.col("v"), "level")).alias("level"),
             variant_text(_field(F.col("v"), "title")).alias("title"), variant_int(_field(F.col("v"), "page_start")).alias("page_start"),
@@ -273,14 +275,14 @@ def unnest_tree(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.coalesce(variant_text(_field(F.col("v"), "raw_content")), F.lit("")).alias("raw_content"),
             F.try_variant_get(F.col("v"), "$.children", "array<variant>").alias("__children"),
             F.coalesce(variant_kind(F.col("v")) == "OBJECT", F.lit(False)).alias("__object"),
-        ))
+        ).observe(children, F.coalesce(F.sum(F.coalesce(F.array_size("__children"), F.lit(0))), F.lit(0)).alias("n")))
         complete = F.col("__object") & F.col("title").isNotNull() & F.col("page_start").isNotNull() & F.col("page_end").isNotNull() & F.col("level").isNotNull()
         bad = typed.where(~complete).select("doc_id")
         listed = typed if listed is None else listed.unionByName(typed)
         errors = bad if errors is None else errors.unionByName(bad)
         below = typed.select("doc_id", "path", "node_id", F.posexplode_outer("__children").alias("__i", "v")).where(F.col("__i").isNotNull()).select(
             "doc_id", "v", F.concat("path", F.array(F.col("__i") + 1)).alias("path"), F.col("node_id").alias("parent_id"))
-        if below.isEmpty():
+        if not children.get["n"]:
             break
         level = below
     failed = errors.groupBy("doc_id").agg(F.lit("the tree is no JSON, or a node lacks its title, pages or level").alias("error_message"))
