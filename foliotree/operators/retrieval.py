@@ -114,7 +114,7 @@ def ranges_to_pages(ranges: DataFrame, pages: DataFrame, small: bool = False) ->
 
 def _clustered(pages: DataFrame) -> bool:
     """Whether pages come from the layout that is bucketed by document and slice."""
-    return "slice" in pages.columns
+    return "page_slice" in pages.columns
 
 
 def _join_slices(wanted: DataFrame, pages: DataFrame, which: Column) -> DataFrame:
@@ -124,14 +124,14 @@ def _join_slices(wanted: DataFrame, pages: DataFrame, which: Column) -> DataFram
     that hold more than their share of what is wanted are joined apart, where
     their rows are spread and only their pages are moved.
     """
-    bodies = pages.where(F.col("content") != "").select("doc_id", "slice", "page_number", "content", "char_count")
+    bodies = pages.where(F.col("content") != "").select("doc_id", "page_slice", "page_number", "content", "char_count")
     hot = stored(hot_keys(wanted, "doc_id", shuffle_width(wanted)).select("doc_id"), "hot")
     if hot.isEmpty():
-        return wanted.join(bodies, ["doc_id", "slice"]).where(which)
-    plain = wanted.join(F.broadcast(hot), "doc_id", "left_anti").join(bodies, ["doc_id", "slice"])
-    key = F.struct("doc_id", "slice")
+        return wanted.join(bodies, ["doc_id", "page_slice"]).where(which)
+    plain = wanted.join(F.broadcast(hot), "doc_id", "left_anti").join(bodies, ["doc_id", "page_slice"])
+    key = F.struct("doc_id", "page_slice")
     asked = wanted.join(F.broadcast(hot), "doc_id", "left_semi").withColumn("__key", key)
-    held = bodies.join(F.broadcast(hot), "doc_id", "left_semi").withColumn("__key", key).drop("doc_id", "slice")
+    held = bodies.join(F.broadcast(hot), "doc_id", "left_semi").withColumn("__key", key).drop("doc_id", "page_slice")
     return plain.unionByName(join_hot(asked, held, "__key", ["question_id", "rank"]).drop("__key")).where(which)
 
 
@@ -141,7 +141,7 @@ def ranges_to_slices(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     last = F.least(F.col("page_end"), F.col("page_count").cast("bigint"))
     wanted = ranges.where(first <= last).select(
         "question_id", "doc_id", "rank", "reason", first.alias("first"), last.alias("last"),
-        F.explode(F.sequence(slice_of(first), slice_of(last))).alias("slice"))
+        F.explode(F.sequence(slice_of(first), slice_of(last))).alias("page_slice"))
     found = _join_slices(wanted, pages, F.col("page_number").between(F.col("first"), F.col("last")))
     return found.withColumnRenamed("page_number", "page").select(*RETRIEVED_COLUMNS)
 
@@ -161,7 +161,7 @@ def first_pages(pages: DataFrame, top_k: int = TOP_K) -> DataFrame:
 def fallback_pages(questions: DataFrame, pages: DataFrame, top_k: int = TOP_K, small: bool = False) -> DataFrame:
     """The first pages of each question's document. ``small`` as in :func:`ranges_to_pages`, of the questions."""
     if _clustered(pages):
-        wanted = questions.select("question_id", "doc_id", F.lit(0).alias("rank"), F.explode(F.sequence(F.lit(0), slice_of(F.lit(top_k)))).alias("slice"))
+        wanted = questions.select("question_id", "doc_id", F.lit(0).alias("rank"), F.explode(F.sequence(F.lit(0), slice_of(F.lit(top_k)))).alias("page_slice"))
         found = _join_slices(wanted, pages.where(F.col("page_number") <= top_k), F.lit(True))
         return found.withColumns({"rank": F.col("page_number"), "page": F.col("page_number"), "reason": F.lit(FALLBACK_REASON)}).select(*RETRIEVED_COLUMNS)
     asked, heads = questions.select("question_id", "doc_id"), first_pages(pages, top_k)

@@ -551,7 +551,7 @@ def stored_index_clustered(i: Inputs) -> DataFrame:
     decoded = files.with_decoder_columns(i.documents.select("doc_id", F.lit(".txt").alias("file_type"), "text", none))
     indexing.store_index(i.catalog, decoded, lambda table: f"{folder}/{table}", clustered=f"{folder}/clustered", buckets=8)
     held = open_clustered(i.spark, f"{folder}/clustered")
-    lone = held["doc_pages"].join(held["page_summaries"].where("summary IS NOT NULL"), ["doc_id", "slice", "page_number"], "left_anti")
+    lone = held["doc_pages"].join(held["page_summaries"].where("summary IS NOT NULL"), ["doc_id", "page_slice", "page_number"], "left_anti")
     return tree.tree_text(held["nodes"]).join(lone.where("content <> ''").select("doc_id"), "doc_id", "left_anti")
 
 

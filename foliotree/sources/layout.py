@@ -17,8 +17,8 @@ SLICE_PAGES = 64
 
 # By which columns a table is dealt to buckets, and how a bucket is sorted.
 BUCKETED = {
-    "doc_pages": (("doc_id", "slice"), ("doc_id", "slice", "page_number")),
-    "page_summaries": (("doc_id", "slice"), ("doc_id", "slice", "page_number")),
+    "doc_pages": (("doc_id", "page_slice"), ("doc_id", "page_slice", "page_number")),
+    "page_summaries": (("doc_id", "page_slice"), ("doc_id", "page_slice", "page_number")),
     "nodes": (("doc_id",), ("doc_id", "path")),
 }
 _LAYOUT = "name string, buckets int, columns string"
@@ -40,7 +40,7 @@ def save_clustered(tables: dict[str, DataFrame], path: str, buckets: int) -> Non
     """
     for name, df in tables.items():
         by, order = BUCKETED[name]
-        rows = df.withColumn("slice", slice_of(F.col("page_number"))) if "slice" in by else df
+        rows = df.withColumn("page_slice", slice_of(F.col("page_number"))) if "page_slice" in by else df
         table = _table_name(path, name)
         (rows.repartition(buckets, *by).write.mode("errorifexists").bucketBy(buckets, *by).sortBy(*order[:2])
          .option("path", f"{path}/{name}").format("parquet").saveAsTable(table))

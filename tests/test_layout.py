@@ -40,13 +40,13 @@ def test_same_pages_and_buckets(spark, tmp_path, rows):
     pages = data(spark)
     save_clustered({"doc_pages": pages}, str(tmp_path), 5)
     stored = open_clustered(spark, str(tmp_path))["doc_pages"]
-    assert rows(stored.drop("slice")) == rows(pages)
+    assert rows(stored.drop("page_slice")) == rows(pages)
     for share in (2, 1000):
         wanted = ranges(spark, share)
         assert rows(retrieval.ranges_to_slices(wanted, stored)) == rows(retrieval.ranges_to_pages(wanted, pages))
         questions = wanted.select("question_id", "doc_id").distinct()
         assert rows(retrieval.fallback_pages(questions, stored)) == rows(retrieval.fallback_pages(questions, pages))
-    held = {r[0]: r[1] for r in stored.groupBy("slice").agg(F.count("*")).collect()}
+    held = {r[0]: r[1] for r in stored.groupBy("page_slice").agg(F.count("*")).collect()}
     assert max(held.values()) <= SLICE_PAGES + 1000
     per_file = [r[1] for r in stored.where("doc_id = 0").groupBy(F.input_file_name()).agg(F.count("*")).collect()]
     assert len(per_file) == 5 and max(per_file) < 3000 / 2
@@ -65,7 +65,7 @@ def test_pages_are_not_exchanged(spark, tmp_path):
         plans = {
             "ranges": retrieval.ranges_to_slices(wanted, held["doc_pages"]),
             "fallback": retrieval.fallback_pages(wanted.select("question_id", "doc_id").distinct(), held["doc_pages"]),
-            "beside": held["doc_pages"].join(held["page_summaries"].drop("page_number"), ["doc_id", "slice"]),
+            "beside": held["doc_pages"].join(held["page_summaries"].drop("page_number"), ["doc_id", "page_slice"]),
             "text": tree.tree_text(held["nodes"]),
         }
         for name, df in plans.items():
@@ -84,5 +84,5 @@ def test_opened_by_another_session(spark, tmp_path, rows):
     for table in spark.catalog.listTables("default", "clustered_doc_pages_*"):
         spark.sql(f"DROP TABLE {table.name}")  # the files stay
     stored = open_clustered(spark, str(tmp_path))["doc_pages"]
-    assert rows(stored.drop("slice")) == rows(pages)
-    assert "Bucketed: true" in stored.join(stored.select("doc_id", "slice").distinct(), ["doc_id", "slice"])._jdf.queryExecution().executedPlan().toString()
+    assert rows(stored.drop("page_slice")) == rows(pages)
+    assert "Bucketed: true" in stored.join(stored.select("doc_id", "page_slice").distinct(), ["doc_id", "page_slice"])._jdf.queryExecution().executedPlan().toString()
