@@ -15,6 +15,7 @@ from foliotree.operators.catalog import PENDING, READY, apply_status, mark_index
 from foliotree.operators.pagers import PagerRegistry, default_registry, page_counts
 from foliotree.operators.summaries import page_summaries
 from foliotree.operators.tree import build_tree, plan_trees, tree_errors
+from foliotree.session import plain_unions
 from foliotree.sources.layout import save_clustered
 
 
@@ -55,6 +56,7 @@ def index_pages(catalog: DataFrame, handed: DataFrame, pages: DataFrame, parse_e
 
     Shuffles page counts, summary lines and page heads, never whole pages.
     """
+    plain_unions(catalog.sparkSession)
     own = catalog.join(handed.select("doc_id").distinct(), "doc_id", "left_semi")
     parsed = own.select("doc_id").join(parse_errors, "doc_id", "left_anti")
     docs = page_counts(parsed, pages).join(titles(own, title_from), "doc_id")

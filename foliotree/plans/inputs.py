@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from foliotree.functions.text import WHITESPACE
 from foliotree.operators.catalog import conversation_title
 from foliotree.operators.pagers import page_fixed
+from foliotree.session import plain_unions
 from foliotree.sources.tables import spread
 
 EPOCH = 1_700_000_000
@@ -23,6 +24,7 @@ class Inputs:
     """Lazily derived tables of one data directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        plain_unions(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:

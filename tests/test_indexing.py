@@ -3,6 +3,7 @@
 from foliotree.operators import summaries, tree
 from foliotree.operators.pagers import page_fixed
 from foliotree.plans.indexing import Index, build_index, reindex
+from foliotree.plans.queries import QUERIES
 from foliotree.sources.files import with_decoder_columns
 
 CATALOG = "doc_id int, name string, index_status string, page_count int, has_tree boolean, error_message string"
@@ -35,3 +36,18 @@ def test_reindex_replaces_pending_documents_only(spark):
     assert pages == [(1, 1, "yyy"), (1, 2, "yyy"), (1, 3, "y"), (2, 1, "old"), (3, 1, "old"), (4, 1, "old")]
     assert sorted((r.doc_id, len(r.path)) for r in made.nodes.collect()) == [(1, 0), (1, 1), (1, 1), (1, 1)] + [(d, k) for d in (2, 3, 4) for k in (0, 1)]
     assert sorted({r.doc_id for r in made.page_summaries.collect()}) == [1, 2, 3, 4]
+
+
+def test_counts_of_a_partial_index_without_broadcasts(spark, tmp_path):
+    """Nodes are a union of joined tables; at sizes where nothing is broadcast, what is joined after it once met a union of twice its partitions."""
+    spark.range(40).selectExpr("id AS doc_id", "repeat('x', int(1500 * id + 1)) AS text", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
+    try:
+        rows = QUERIES["build_index_partial"](spark, str(tmp_path)).select("doc_id", "error_message", "new_pages", "new_nodes").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    old = {d: ("the file is not valid UTF-8" if d % 10 == 7 else None, 0, 0) for d in range(40)}
+    new = {d: ("Unsupported file type: .bin", 0, 0) if d % 12 == 0 else (old[d][0], d + 1, d + 2) for d in range(0, 40, 3)}
+    assert sorted(map(tuple, rows)) == [(d, *(old | new)[d]) for d in range(40)]
