@@ -91,12 +91,11 @@ def _line_fold(lines: str, cap: int) -> Column:
 
 
 def _line_spans(df: DataFrame, text: str, cap: int) -> DataFrame:
-    """``doc_id``, the lines of each text and their spans, one row per document."""
-    return (
-        df.where(F.col(text).isNotNull())
-        .select("doc_id", F.split(F.col(text), "\n", -1).alias("__lines"))
-        .withColumn("__spans", _line_fold("__lines", cap))
-    )
+    """``doc_id``, the lines of each text and their spans, one row per document; both null where the text is.
+
+    A test for null would make the optimizer compute an expensive text twice.
+    """
+    return df.select("doc_id", F.split(F.col(text), "\n", -1).alias("__lines")).withColumn("__spans", _line_fold("__lines", cap))
 
 
 def _fenced(lines: str) -> Column:

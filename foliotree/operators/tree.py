@@ -6,10 +6,12 @@ third child, [3, 1] a child of that. Sorting by path is the pre-order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec, functions as F
 
 from foliotree.completer import Completer, asks
-from foliotree.functions.durable import cut
+from foliotree.functions.durable import cut, stored
 from foliotree.functions.text import (
     json_object_span, strip_think, truncate, variant_int, variant_kind, variant_text, with_strict_json,
 )
@@ -226,7 +228,7 @@ def nest_tree(nodes: DataFrame) -> DataFrame:
     """
     fields = F.struct(F.col("node_id").alias("id"), *_TREE_FIELDS[1:])
     listed = nodes.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("path", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json")))).alias("__n")
+        F.sort_array(F.collect_list(F.struct("path", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json")))).alias("__n")
     )
 
     def depth(i: Column) -> Column:
@@ -256,43 +258,43 @@ def unnest_tree(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, errors) of JSON trees (doc_id, index_tree) of any depth; a missing id is made, missing texts are ''.
 
     One narrow step per level, until a level has no children; each is one job that
-    stores the level and counts them, and parent ids come down with the children,
-    so nothing is joined on the way. A tree that
-    is no JSON object, or one of whose nodes lacks its title, pages or level, has
-    no nodes but a row (doc_id, error_message).
+    stores the level and counts its children and faulty nodes. Parent ids come down
+    with the children, so nothing is joined on the way, and trees without a fault
+    are not joined at all. A tree that is no JSON object, or one of whose nodes lacks its
+    title, pages or level, has no nodes but a row (doc_id, error_message).
     """
+    def text(name: str) -> Column:
+        return F.try_variant_get("v", f"$.{name}", "string")
+
     none = F.lit(None).cast("string")
     level = trees.select("doc_id", F.try_parse_json(F.col("index_tree")).alias("v"), _empty_path().alias("path"), none.alias("parent_id"))
-    listed, errors = None, None
+    # What is no object has no title.
+    incomplete = F.col("title").isNull() | F.col("page_start").isNull() | F.col("page_end").isNull() | F.col("level").isNull()
+    listed, faults = [], []
     while True:
-        own = F.coalesce(variant_text(_field(F.col("v"), "id")), node_id(F.col("doc_id"), F.col("path")))
-        children = Observation()
+        seen = Observation()
         typed = cut(level.select(
-            "doc_id", "path", "parent_id", own.alias("node_id"), variant_int(_field(F.col("v"), "level")).alias("level"),
-            variant_text(_field(F.col("v"), "title")).alias("title"), variant_int(_field(F.col("v"), "page_start")).alias("page_start"),
-            variant_int(_field(F.col("v"), "page_end")).alias("page_end"),
-            F.coalesce(variant_text(_field(F.col("v"), "content_summary")), F.lit("")).alias("content_summary"),
-            F.coalesce(variant_text(_field(F.col("v"), "raw_content")), F.lit("")).alias("raw_content"),
-            F.try_variant_get(F.col("v"), "$.children", "array<variant>").alias("__children"),
-            F.coalesce(variant_kind(F.col("v")) == "OBJECT", F.lit(False)).alias("__object"),
-        ).observe(children, F.coalesce(F.sum(F.coalesce(F.array_size("__children"), F.lit(0))), F.lit(0)).alias("n")))
-        complete = F.col("__object") & F.col("title").isNotNull() & F.col("page_start").isNotNull() & F.col("page_end").isNotNull() & F.col("level").isNotNull()
-        bad = typed.where(~complete).select("doc_id")
-        listed = typed if listed is None else listed.unionByName(typed)
-        errors = bad if errors is None else errors.unionByName(bad)
-        below = typed.select("doc_id", "path", "node_id", F.posexplode_outer("__children").alias("__i", "v")).where(F.col("__i").isNotNull()).select(
-            "doc_id", "v", F.concat("path", F.array(F.col("__i") + 1)).alias("path"), F.col("node_id").alias("parent_id"))
-        if not children.get["n"]:
+            "doc_id", "path", "parent_id", F.coalesce(text("id"), node_id(F.col("doc_id"), F.col("path"))).alias("node_id"),
+            text("level").try_cast("int").alias("level"), text("title").alias("title"),
+            text("page_start").try_cast("int").alias("page_start"), text("page_end").try_cast("int").alias("page_end"),
+            F.coalesce(text("content_summary"), F.lit("")).alias("content_summary"), F.coalesce(text("raw_content"), F.lit("")).alias("raw_content"),
+            F.try_variant_get("v", "$.children", "array<variant>").alias("__children"),
+        ).observe(seen, F.coalesce(F.sum(F.coalesce(F.array_size("__children"), F.lit(0))), F.lit(0)).alias("children"),
+                  F.count_if(incomplete).alias("faults")))
+        listed.append(typed.drop("__children"))
+        if seen.get["faults"]:
+            faults.append(typed.where(incomplete).select("doc_id"))
+        if not seen.get["children"]:
             break
-        level = below
-    failed = errors.groupBy("doc_id").agg(F.lit("the tree is no JSON, or a node lacks its title, pages or level").alias("error_message"))
-    nodes = (
-        listed.join(failed.select("doc_id"), "doc_id", "left_anti")
-        .withColumn("depth", F.size("path"))
-        .withColumn("ord", F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(0)))
-        .select(*NODE_COLUMNS)
+        level = typed.select("doc_id", "path", "node_id", F.posexplode_outer("__children").alias("__i", "v")).where(F.col("__i").isNotNull()).select(
+            "doc_id", "v", F.concat("path", F.array(F.col("__i") + 1)).alias("path"), F.col("node_id").alias("parent_id"))
+    faulty = stored(reduce(DataFrame.union, faults or [listed[0].where(F.lit(False)).select("doc_id")]).distinct(), "faulty")
+    nodes = reduce(DataFrame.union, listed)
+    nodes = nodes.join(faulty, "doc_id", "left_anti") if faults else nodes
+    return (
+        nodes.withColumn("depth", F.size("path")).withColumn("ord", F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(0))).select(*NODE_COLUMNS),
+        faulty.select("doc_id", F.lit("the tree is no JSON, or a node lacks its title, pages or level").alias("error_message")),
     )
-    return nodes, failed
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
@@ -360,7 +362,8 @@ def heading_tree(lines: DataFrame, docs: DataFrame, max_level: int = MAX_HEADING
     Every document has its root. The parent of a heading is the nearest earlier
     one of a lower level, else the root. A heading ends on the page of the next
     heading of its own or a lower level, else on the last page. Lines between code
-    fences are no headings. Only headings are shuffled, once, by document; all else
+    fences are no headings. Only headings and roots are shuffled, once, by document,
+    and what groups the nodes by document needs no shuffle of its own; all else
     are running maxima and minima of one number or pair per level, over windows
     that are sorted within that partitioning and spill, so a document of very many
     headings takes time and memory in proportion.
@@ -370,6 +373,9 @@ def heading_tree(lines: DataFrame, docs: DataFrame, max_level: int = MAX_HEADING
         "doc_id", "line_no", F.length(F.regexp_extract("line", mark, 1)).alias("level"),
         F.regexp_extract("line", mark, 2).alias("title"), F.col("page_number").alias("page_start"), "last_page",
     )
+    # A root goes before all headings, and is none of the levels that they look for.
+    heads = heads.unionByName(docs.select(
+        "doc_id", F.lit(-1).alias("line_no"), F.lit(0).alias("level"), "title", F.lit(1).alias("page_start"), F.col("page_count").alias("last_page")))
     levels = range(1, max_level + 1)
     level = F.col("level")
 
@@ -389,7 +395,7 @@ def heading_tree(lines: DataFrame, docs: DataFrame, max_level: int = MAX_HEADING
         over_levels(F.least, [F.when(level >= k, F.col(f"__next{k}")) for k in levels])["page_start"], F.col("last_page")))
     parents = ended.select("doc_id", "line_no", "level", "title", "page_start", "page_end", *[F.max(at(k, F.col("line_no"))).over(before).alias(f"__line{k}") for k in levels])
     parents = parents.withColumn("__parent", over_levels(F.greatest, [F.when(level > k, F.col(f"__line{k}")) for k in levels]))
-    placed = parents.withColumn("__place", F.row_number().over(Window.partitionBy("doc_id", "__parent").orderBy("line_no")))
+    placed = parents.withColumn("__place", F.row_number().over(Window.partitionBy("doc_id", "__parent", level == 0).orderBy("line_no")))
     # A heading is still open if no lower level has come since; the open ones are the way to the next heading.
     way = placed.withColumns({f"__last{k}": F.max(at(k, F.struct("line_no", "__place"))).over(before) for k in levels})
 
@@ -398,5 +404,5 @@ def heading_tree(lines: DataFrame, docs: DataFrame, max_level: int = MAX_HEADING
         return F.coalesce((level > k) & (F.col(f"__last{k}.line_no") > F.coalesce(lower, F.lit(-1))), F.lit(False))
 
     steps = [F.when(open_at(k), F.array(F.col(f"__last{k}.__place"))).otherwise(_empty_path()) for k in levels]
-    path = F.concat(*steps, F.array("__place"))
-    return root_nodes(docs).unionByName(node_rows(way.select("doc_id", path.alias("path"), "level", "title", "page_start", "page_end")))
+    path = F.when(level == 0, _empty_path()).otherwise(F.concat(*steps, F.array("__place")))
+    return node_rows(way.select("doc_id", path.alias("path"), "level", "title", "page_start", "page_end"))

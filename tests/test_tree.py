@@ -216,6 +216,24 @@ def test_headings_are_shuffled_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_trees_of_headings_need_no_shuffle_of_their_own(spark):
+    """Nesting groups the nodes where the headings were shuffled to, and trees without a fault are not joined with faulty ones."""
+    lines = spark.createDataFrame([(1, 0, 1, "# a", 1, False)], "doc_id int, line_no int, page_number int, line string, last_page int, fenced boolean")
+    trees = tree.nest_tree(tree.heading_tree(lines, documents(spark, [1, 2])))
+    assert trees._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    nodes, errors = tree.unnest_tree(trees)
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {d: len(n) for d, n in listed(nodes).items()} == {1: 2, 2: 1} and errors.count() == 0
+
+
+def test_an_expensive_text_is_computed_once(spark, tmp_path):
+    spark.sql("SELECT * FROM VALUES (1, 'a.B'), (2, NULL), (3, '') AS t(doc_id, text)").write.parquet(str(tmp_path / "t"))
+    lines = doc_lines(spark.read.parquet(str(tmp_path / "t")).selectExpr("doc_id", "regexp_replace(text, '[.]', '\n# ') AS text"))
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert sorted((r.doc_id, r.line) for r in lines.collect()) == [(1, "# B"), (1, "a"), (3, "")]
+
+
 def test_a_document_of_very_many_headings_and_fences(spark):
     """Time in proportion: four times the headings and fences, well below sixteen times the time."""
     import time
