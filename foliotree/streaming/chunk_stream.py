@@ -24,7 +24,8 @@ class FoldPart(StatefulProcessor):
 
     Beside the list the state holds one bit per sequence number of the part, so
     that a replayed event is known without reading the list, which is read once,
-    when the part is whole.
+    when the part is whole. A part whose events come all at once has no list:
+    every call to the state is a round trip between Python and the JVM.
     """
 
     def __init__(self, part_chunks: int) -> None:
@@ -39,31 +40,33 @@ class FoldPart(StatefulProcessor):
         message_id, part = key
         first = part * self.part_chunks
         bits, n, last, emitted, timer = self.progress.get() or (bytes(-(-self.part_chunks // 8)), 0, None, False, None)
-        seen, newest = bytearray(bits), None
+        seen, newest, fresh, kept = bytearray(bits), None, [], n > 0
         for batch in rows:
-            newest = batch["ts"].max() if newest is None else max(newest, batch["ts"].max())
-            ends = batch.loc[batch["done"], "seq"]
-            if len(ends):
-                last = int(ends.iloc[0])
-            fresh = []
+            latest = batch["ts"].max()
+            newest = latest if newest is None else max(newest, latest)
+            done = batch["done"].to_numpy()
+            if done.any():
+                last = int(batch["seq"].to_numpy()[done.argmax()])
             for seq, chunk in zip(batch["seq"].tolist() if not emitted else [], batch["chunk"].tolist()):
                 at, bit = divmod(seq - first, 8)
                 if not seen[at] >> bit & 1:
                     seen[at] |= 1 << bit
                     fresh.append((seq, chunk))
-            if fresh:
-                self.chunks.appendList(fresh)
-                n += len(fresh)
+        n += len(fresh)
         end = last + 1 if last is not None else first + self.part_chunks
-        if not emitted and n == end - first:
-            held = dict(self.chunks.get())
+        whole = not emitted and n == end - first
+        if fresh and (kept or not whole):
+            self.chunks.appendList(fresh)
+        if whole:
+            held = dict(self.chunks.get() if kept else fresh)
             yield pd.DataFrame({
                 "message_id": [message_id], "part": [part],
                 "content": ["".join(held[s] for s in range(first, end))], "final": [last is not None], "expired": [False],
             })
             # A finished part only remembers that it is finished, until replays of it are too late to count.
             emitted, seen = True, bytearray()
-            self.chunks.clear()
+            if kept:
+                self.chunks.clear()
         at = max(int(newest.timestamp() * 1000), timerValues.getCurrentWatermarkInMs() + 1) + 1
         if timer is None or at > timer:
             if timer is not None:
@@ -75,9 +78,9 @@ class FoldPart(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         message_id, part = key
         progress = self.progress.get()
-        self.chunks.clear()
         self.progress.clear()
         if progress and not progress[3]:
+            self.chunks.clear()
             yield pd.DataFrame({"message_id": [message_id], "part": [part], "content": [None], "final": [False], "expired": [True]})
 
     def close(self) -> None:

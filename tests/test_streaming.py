@@ -244,3 +244,28 @@ def test_an_event_writes_itself_only():
         assert len(handle.value[0]) <= 512 and len(handle.timers) == 1
     assert sorted(s for s, _ in handle.appended) == list(range(4096)) and handle.cleared
     assert len(out) == 1 and out[0]["content"][0] == "".join(f"{s} " for s in range(4096))
+
+
+def test_a_part_that_comes_at_once_has_no_list():
+    """Its events never go to the state and back; those of a part that comes in two calls do."""
+    import pandas as pd
+
+    from foliotree.streaming.chunk_stream import FoldPart
+
+    class Values:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    def folded(*calls):
+        handle, fold = FakeHandle(), FoldPart(4)
+        fold.init(handle)
+        used = []
+        for name in ("appendList", "get", "clear"):
+            whole = getattr(fold.chunks, name)
+            setattr(fold.chunks, name, lambda *a, name=name, whole=whole: (used.append(name), whole(*a))[1])
+        rows = [r for call in calls for r in fold.handleInputRows(("m", 1), iter([
+            pd.DataFrame({"seq": [s], "chunk": [f"c{s}"], "done": [False], "ts": pd.to_datetime([s], unit="s")}) for s in call]), Values())]
+        return [r["content"][0] for r in rows], used
+
+    assert folded([5, 4, 7, 5, 6], [6, 4]) == (["c4c5c6c7"], [])
+    assert folded([5, 4], [7, 5, 6], [6, 4]) == (["c4c5c6c7"], ["appendList", "appendList", "get", "clear"])
