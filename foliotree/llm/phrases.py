@@ -12,17 +12,20 @@ begins in the trailing overlap belongs to the next chunk.
 Phrases are counted level by level, as one can be frequent only if its parts are:
 words, pairs of frequent words, then longer phrases of frequent pairs. These
 counts go by hash; what was frequent is passed on as a bitmap of fixed size, which
-lets some others through where it is full but keeps nothing back. A last pass
-counts what came through, and the words in it, by the words themselves.
+lets some others through where it is full but keeps nothing back. With its count,
+a hash keeps a sum of checks of its phrases and one place where it occurs. A last
+pass reads the words of each frequent hash there, and only there: one row a phrase,
+not one for every task that meets it. If a sum of checks does not fit the words
+found, several phrases share the hash, and all are counted by their words instead.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliotree.functions.durable import stored
@@ -32,6 +35,8 @@ LONGEST, LEAST, TOP, MODULUS = 5, 100, 2000, 64
 OVERLAP = LONGEST - 1
 #: Bits of the bitmap of frequent phrases, whatever the corpus: 8 MB.
 BITMAP_BITS = 1 << 26
+#: Checks of phrases have 31 bits, their sums are kept modulo a power of two; places are told apart by multiples of an odd number.
+CHECKS, CHECK_SHIFT, PLACES = 1 << 32, np.uint64(33), 2_654_435_761
 #: Phrases that a task combines before it hands their counts on.
 BUFFER = 1 << 20
 MAX_WORDS = 200_000
@@ -39,7 +44,9 @@ MAX_WORDS = 200_000
 RANK_ROWS, RANK_PARTS = 200_000, 1000
 
 PIECE_END = b"\n"
-_ENDS = re.compile(rb"[ \t]*[.,;:!?\n\x0b\x0c\r][ \t.,;:!?\n\x0b\x0c\r]*")
+_UPPER, _ENDS = bytes(range(65, 91)), b".,;:!?\x0b\x0c\r"
+#: A-Z lower-cased, all that ends a piece made one byte, tabs made spaces.
+_PLAIN = bytes.maketrans(_UPPER + _ENDS + b"\t", _UPPER.lower() + PIECE_END * len(_ENDS) + b" ")
 _U = np.uint64
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=_U)
 
@@ -64,52 +71,66 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def tokens(text: bytes | None) -> list[bytes]:
     """The words, A-Z lower-cased, with one token between pieces; nothing for a text without words."""
-    plain = _ENDS.sub(b" \n ", (text or b"").lower()).replace(b"\t", b" ")
-    found = [t for t in plain.split(b" ") if t]
-    begin = found[:1] == [PIECE_END]
-    end = len(found) - (found[-1:] == [PIECE_END])
-    return found[begin:end] if begin < end else []
+    plain = (text or b"").translate(_PLAIN).replace(PIECE_END, b" \n ")
+    for several, one in ((b"  ", b" "), (b"\n \n", PIECE_END)):
+        while several in plain:  # a run halves each time
+            plain = plain.replace(several, one)
+    plain = plain.strip(b" \n")
+    return plain.split(b" ") if plain else []
+
+
+def _chunks(padded: list[bytes], hashes: np.ndarray, sizes: list[int], modulus: int) -> list[list[bytes]]:
+    """The chunks of texts of so many tokens, which lie one after another in ``padded``, each with ``OVERLAP`` ends of pieces after it."""
+    value = np.zeros(max(len(padded) - OVERLAP, 0), _U)
+    for k in range(OVERLAP):
+        value = _mixed(value + hashes[k : len(value) + k] * _MIX[k])
+    at = np.flatnonzero(value % _U(modulus) == 0)
+    ends = np.cumsum(np.array(sizes, np.int64) + OVERLAP) - OVERLAP
+    begins = ends - sizes
+    inner, places = at.tolist(), zip(begins.tolist(), ends.tolist(), np.searchsorted(at, begins, "right").tolist(), np.searchsorted(at, ends).tolist())
+    out = []
+    for begin, end, first, last in places:
+        cuts = [begin, *inner[first:last], end]
+        out.append([b" ".join(padded[a : b + OVERLAP]) for a, b in zip(cuts, cuts[1:]) if a < b])
+    return out
 
 
 def parse(found: list[bytes], hashes: np.ndarray, modulus: int = MODULUS) -> list[bytes]:
     """The chunks of a text's tokens, as tokens joined by one space; the last one ends in ends of pieces."""
-    size = len(found)
-    if not size:
-        return []
     # The text and the ends of pieces that close it; the hash of those is 0.
-    ended = np.append(hashes, np.zeros(OVERLAP, _U))
-    value = np.zeros(size, _U)
-    for k in range(OVERLAP):
-        value = _mixed(value + ended[k : size + k] * _MIX[k])
-    at = np.flatnonzero(value % _U(modulus) == 0)
-    cuts = [0, *at[at > 0].tolist()]
-    padded = found + [PIECE_END] * OVERLAP
-    return [b" ".join(padded[a : b + OVERLAP]) for a, b in zip(cuts, [*cuts[1:], size])]
+    return _chunks(found + [PIECE_END] * OVERLAP, np.append(hashes, np.zeros(OVERLAP, _U)), [len(found)], modulus)[0]
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", modulus: int = MODULUS) -> DataFrame:
-    """``lang, chunk, words, n``: every distinct chunk of a language, the words that begin in it and its frequency."""
+    """``lang, chunk, words, n, place``: every distinct chunk of a language, the words that begin in it, its frequency and the task that made it."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         hashed = _WordHashes()
         for batch in batches:
             seen: Counter = Counter()
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            padded, sizes = [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
                 found = tokens(text)
-                hashes = np.fromiter(map(hashed.__getitem__, found), _U, len(found))
-                seen.update((lang, chunk) for chunk in parse(found, hashes, modulus))
+                padded += found
+                padded += [PIECE_END] * OVERLAP
+                sizes.append(len(found))
+            coded = pa.array(padded, pa.binary()).dictionary_encode()
+            numbers = np.fromiter(map(hashed.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), _U, len(coded.dictionary))
+            for lang, own in zip(batch.column(0).to_pylist(), _chunks(padded, numbers[coded.indices.to_numpy()], sizes, modulus)):
+                seen.update((lang, chunk) for chunk in own)
             words = []
             for _, chunk in seen:
-                own = chunk.split(b" ")[:-OVERLAP]
-                words.append(len(own) - own.count(PIECE_END))
+                own = chunk.rsplit(b" ", OVERLAP)[0]
+                words.append(own.count(b" ") + 1 - own.count(PIECE_END))
             yield pa.RecordBatch.from_arrays([
                 pa.array([x for x, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.binary()),
                 pa.array(words, pa.int64()), pa.array(seen.values(), pa.int64()),
             ], names=["lang", "chunk", "words", "n"])
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "lang string, chunk binary, words long, n long").groupBy("lang", "chunk", "words").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(run, "lang string, chunk binary, words long, n long").groupBy("lang", "chunk", "words").agg(F.sum("n").alias("n"))
+    return counted.withColumn("place", F.spark_partition_id())
 
 
 class Bitmap:
@@ -139,46 +160,60 @@ class Bitmap:
 class Spread:
     """The tokens of many chunks one after another, with the hash of the phrase of each length that begins at each."""
 
-    def __init__(self, langs: list[str], chunks: list[bytes], counts: np.ndarray, hashed: dict):
+    def __init__(self, chunks: pa.Table):
         import xxhash
 
-        self.tokens = b" ".join(chunks).split(b" ")
-        size = len(self.tokens)
-        lengths = np.fromiter((c.count(b" ") + 1 for c in chunks), np.int64, len(chunks))
-        self.word = np.fromiter(map(hashed.__getitem__, self.tokens), _U, size)
-        self.rows = np.repeat(np.arange(len(chunks)), lengths)
-        self.weight = counts[self.rows]
-        self.langs = langs
-        self.own = np.arange(size) < (np.cumsum(lengths) - OVERLAP)[self.rows]
-        by_lang = {x: xxhash.xxh3_64_intdigest(x) for x in set(langs)}
-        self.lang = np.array([by_lang[x] for x in langs], _U)[self.rows]
-        self.inside = self.word != 0
+        split = pc.split_pattern(chunks.column("chunk").combine_chunks(), " ")
+        langs = chunks.column("lang").combine_chunks().dictionary_encode()
+        lengths = np.diff(split.offsets.to_numpy())
+        coded = split.values.dictionary_encode()
+        #: The tokens as they are, and as numbers below ``distinct``.
+        self.tokens, self.codes, self.distinct = split.values, coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        self.rows = np.repeat(np.arange(len(lengths)), lengths)
+        self.weight = chunks.column("n").to_numpy()[self.rows]
+        self.place = chunks.column("place").to_numpy()
+        self.langs, self.lang_codes = langs.dictionary, langs.indices.to_numpy()
+        self.own = np.arange(len(self.codes)) < (np.cumsum(lengths) - OVERLAP)[self.rows]
+        digests = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        numbers = np.frombuffer(digests, _U).reshape(-1, 2)
+        ends = coded.dictionary.index(PIECE_END).as_py()
+        numbers = np.where((np.arange(len(numbers)) == ends)[:, None], _U(0), numbers | _U(1))
+        self.word, self.check = numbers[self.codes, 0], numbers[self.codes, 1]
+        self.lang = _mixed(np.array([xxhash.xxh3_64_intdigest(x) for x in self.langs.to_pylist()], _U))[self.lang_codes][self.rows]
 
     def levels(self, last: int):
-        """``(words, hash, whole)`` of each length up to ``last``; ``whole``: whether a phrase that begins here meets no end of a piece."""
-        hashes, whole = _mixed(self.word + self.lang), self.inside
-        yield 1, hashes, whole
+        """``(words, hash, check, whole)`` of each length up to ``last``; ``whole``: whether a phrase that begins here meets no end of a piece.
+
+        ``check`` comes of other bits of the words than ``hash``; its last ``CHECK_SHIFT`` bits do not count.
+        """
+        size, none = len(self.word), np.zeros(last, _U)
+        further, check = np.append(self.word, none), np.append(self.check, none)
+        inside = further != 0
+        hashes, checks, whole = _mixed(self.word + self.lang), self.check + self.lang, inside[:size]
+        yield 1, hashes, checks, whole
         for k in range(1, last):
-            further, inside = np.zeros_like(self.word), np.zeros_like(self.inside)
-            further[:-k], inside[:-k] = self.word[k:], self.inside[k:]
-            hashes, whole = _mixed(hashes * _MIX[0] + further), whole & inside
-            yield k + 1, hashes, whole
+            hashes = _mixed(hashes * _MIX[0] + further[k : size + k])
+            checks, whole = checks * _MIX[3] + check[k : size + k], whole & inside[k : size + k]
+            yield k + 1, hashes, checks, whole
+
+    def texts(self, at: np.ndarray, words: int) -> tuple[pa.Array, pa.Array]:
+        """Language and words of the phrases of so many words that begin at ``at``."""
+        found = self.tokens.take(pa.array((at[:, None] + np.arange(words)).ravel())).to_pylist()
+        joined = pa.array([b" ".join(found[k : k + words]) for k in range(0, len(found), words)], pa.binary())
+        return self.langs.take(pa.array(self.lang_codes[self.rows[at]])), joined.cast(pa.string())
 
 
 def _spreads(batches):
     """Chunks gathered to parts of about ``BUFFER`` bytes and more."""
-    hashed = _WordHashes()
-    langs, chunks, counts, size = [], [], [], 0
+    held, size = [], 0
     for batch in batches:
-        langs += batch.column(0).to_pylist()
-        chunks += batch.column(1).to_pylist()
-        counts.append(batch.column(2).to_numpy())
-        size += batch.column(1).nbytes
+        held.append(batch)
+        size += batch.column("chunk").nbytes
         if size > 4 * BUFFER:
-            yield Spread(langs, chunks, np.concatenate(counts), hashed)
-            langs, chunks, counts, size = [], [], [], 0
-    if chunks:
-        yield Spread(langs, chunks, np.concatenate(counts), hashed)
+            yield Spread(pa.Table.from_batches(held))
+            held, size = [], 0
+    if sum(map(len, held)):
+        yield Spread(pa.Table.from_batches(held))
 
 
 def _after(mask: np.ndarray) -> np.ndarray:
@@ -186,78 +221,103 @@ def _after(mask: np.ndarray) -> np.ndarray:
     return np.append(mask[1:], False)
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, and where in it each group begins."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    return order, np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(keys)])
+
+
 def _frequent(chunks: DataFrame, frequent: Bitmap, first: int, last: int, least: int) -> DataFrame:
-    """``h, part``: hashes of the phrases of ``first`` to ``last`` words that occur ``least`` times by their hash.
+    """``h, n, checks, place`` of the phrases of ``first`` to ``last`` words that occur ``least`` times by their hash.
 
-    Only those are counted whose parts of ``first - 1`` words the bitmap knows. With
-    ``part`` come the hashes of single words of such parts, if these are pairs.
+    Only those are counted whose parts of ``first - 1`` words the bitmap knows.
+    ``checks`` sums the phrases' checks over all occurrences, modulo ``CHECKS``;
+    ``place`` is one place in whose chunks the phrase occurs.
     """
     shared = chunks.sparkSession.sparkContext.broadcast(frequent.bits)
 
     def run(batches):
         known = Bitmap(shared.value)
         for spread in _spreads(batches):
-            keys, weights, likely, parts, single = [], [], None, np.empty(0, _U), None
-            for words, hashes, whole in spread.levels(last):
-                single = hashes if single is None else single
+            found, likely = [], None
+            for words, hashes, checks, whole in spread.levels(last):
                 if words < first:
                     likely = whole & known.has(hashes) if words == first - 1 else None
-                    if words == first - 1 == 2:
-                        at = np.flatnonzero(likely)
-                        parts = np.unique(np.concatenate([single[at], single[at + 1]]))
                     continue
                 likely = whole if likely is None else likely & _after(likely) & whole
                 here = np.flatnonzero(likely & spread.own)
-                keys.append(hashes[here])
-                weights.append(spread.weight[here])
-            found, place = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(place, np.concatenate(weights), len(found)).astype(np.int64)
+                found.append((hashes[here], checks[here] >> CHECK_SHIFT, here))
+            hashes, checks, here = map(np.concatenate, zip(*found))
+            if not len(hashes):
+                continue
+            order, begin = _groups(hashes)
+            weight, one = spread.weight[here[order]], order[begin]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([found, parts]).view(np.int64)), pa.array(np.concatenate([total, np.zeros(len(parts), np.int64)])),
-                pa.array(np.arange(len(found) + len(parts)) >= len(found)),
-            ], names=["h", "n", "part"])
+                pa.array(hashes[one].view(np.int64)), pa.array(np.add.reduceat(weight, begin)),
+                pa.array((np.add.reduceat(weight.astype(_U) * checks[order], begin) & _U(CHECKS - 1)).astype(np.int64)),
+                pa.array(spread.place[spread.rows[here[one]]]),
+            ], names=["h", "n", "checks", "place"])
+
+    counts = chunks.select("lang", "chunk", "n", "place").mapInArrow(run, "h long, n long, checks long, place int")
+    return counts.groupBy("h").agg(F.sum("n").alias("n"), F.sum("checks").alias("checks"), F.min("place").alias("place")).where(F.col("n") >= least)
+
 
-    counts = chunks.select("lang", "chunk", "n").mapInArrow(run, "h long, n long, part boolean")
-    return counts.groupBy("h", "part").agg(F.sum("n").alias("n")).where(F.col("part") | (F.col("n") >= least)).select("h", "part")
+def _placed(hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return hashes ^ (place.astype(_U) * _U(PLACES))
 
 
-def _exact(chunks: DataFrame, longer: Bitmap, single: Bitmap, least: int) -> DataFrame:
-    """``lang, phrase, words, f`` of the phrases of two words and more in ``longer`` and the words in ``single`` that occur ``least`` times.
+def _texts(chunks: DataFrame, frequent: Bitmap, placed: Bitmap) -> DataFrame:
+    """``h, check, lang, phrase, words``: the frequent phrases by their words, each from its own place only.
 
-    A buffer's phrases are told apart by the numbers of their words, and then by the words themselves, not by hashes.
+    A bitmap may let others through, and a place's tasks or buffers may each hand a phrase on.
     """
     spark = chunks.sparkSession.sparkContext
-    shared, shared_single = spark.broadcast(longer.bits), spark.broadcast(single.bits)
+    shared, shared_placed = spark.broadcast(frequent.bits), spark.broadcast(placed.bits)
 
     def run(batches):
-        known, words_known = Bitmap(shared.value), Bitmap(shared_single.value)
+        known, own_place = Bitmap(shared.value), Bitmap(shared_placed.value)
         for spread in _spreads(batches):
-            number = {t: k for k, t in enumerate(dict.fromkeys(spread.tokens))}
-            plain = np.fromiter(map(number.__getitem__, spread.tokens), np.int64, len(spread.tokens))
-            _, codes = np.unique(spread.lang, return_inverse=True)
-            tokens_ = spread.tokens
-            for words, hashes, whole in spread.levels(LONGEST):
-                here = np.flatnonzero(spread.own & whole & (words_known if words == 1 else known).has(hashes))
-                if words <= 2:
-                    code = codes[here]
-                    for k in range(words - 1):
-                        code = np.unique(code * len(number) + plain[here + k], return_inverse=True)[1]
-                else:  # what is known has a known beginning
-                    here = here[longer_codes[here] >= 0]
-                    code = longer_codes[here]
-                _, at, same = np.unique(code * len(number) + plain[here + words - 1], return_index=True, return_inverse=True)
-                if words > 1:
-                    longer_codes = np.full(len(plain), -1)
-                    longer_codes[here] = same
-                total = np.bincount(same, spread.weight[here], len(at)).astype(np.int64)
-                at = here[at].tolist()
+            for words, hashes, checks, whole in spread.levels(LONGEST):
+                here = np.flatnonzero(spread.own & whole if words <= 2 else spread.own & whole & likely & _after(likely))
+                here = here[known.has(hashes[here])]
+                if words == 2:  # longer ones consist of known pairs
+                    likely = np.zeros_like(whole)
+                    likely[np.flatnonzero(whole)] = known.has(hashes[whole])
+                elif words > 2:
+                    likely = likely & _after(likely)
+                here = here[own_place.has(_placed(hashes[here], spread.place[spread.rows[here]]))]
+                order, begin = _groups(hashes[here])
+                at = here[order[begin]]
+                lang, phrase = spread.texts(at, words)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(hashes[at].view(np.int64)), pa.array((checks[at] >> CHECK_SHIFT).astype(np.int64)), lang, phrase, pa.array(np.full(len(at), words, np.int32)),
+                ], names=["h", "check", "lang", "phrase", "words"])
+
+    return chunks.select("lang", "chunk", "n", "place").mapInArrow(run, "h long, check long, lang string, phrase string, words int")
+
+
+def _exact(chunks: DataFrame, frequent: Bitmap, least: int) -> DataFrame:
+    """``lang, phrase, words, f`` of the phrases in ``frequent`` that occur ``least`` times, counted by their words and not by hashes."""
+    shared = chunks.sparkSession.sparkContext.broadcast(frequent.bits)
+
+    def run(batches):
+        known = Bitmap(shared.value)
+        for spread in _spreads(batches):
+            codes = spread.lang_codes[spread.rows].astype(np.int64)
+            for words, hashes, _, whole in spread.levels(LONGEST):
+                further = spread.codes if words == 1 else np.append(spread.codes[words - 1 :], np.zeros(words - 1, np.int64))
+                codes = np.unique(codes * spread.distinct + further, return_inverse=True)[1]
+                here = np.flatnonzero(spread.own & whole & known.has(hashes))
+                order, begin = _groups(codes[here])
+                if not len(order):
+                    continue
+                lang, phrase = spread.texts(here[order[begin]], words)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([spread.langs[r] for r in spread.rows[at].tolist()], pa.string()),
-                    pa.array([b" ".join(tokens_[k : k + words]) for k in at], pa.binary()).cast(pa.string()),
-                    pa.array(np.full(len(at), words, np.int32)), pa.array(total),
+                    lang, phrase, pa.array(np.full(len(begin), words, np.int32)), pa.array(np.add.reduceat(spread.weight[here[order]], begin)),
                 ], names=["lang", "phrase", "words", "n"])
 
-    counts = chunks.select("lang", "chunk", "n").mapInArrow(run, "lang string, phrase string, words int, n long")
+    counts = chunks.select("lang", "chunk", "n", "place").mapInArrow(run, "lang string, phrase string, words int, n long")
     return counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
 
 
@@ -267,10 +327,20 @@ def frequent_phrases(chunks: DataFrame, least: int = LEAST, bits: int = BITMAP_B
     ``chunks`` is a stored dictionary.
     """
     none = Bitmap.empty(bits)
-    pairs = stored(_frequent(chunks, none.with_keys(_frequent(chunks, none, 1, 1, least)), 2, 2, least), "pairs")
-    known = none.with_keys(pairs)
-    longer = stored(_frequent(chunks, known, 3, LONGEST, least), "longer")
-    return _exact(chunks, known.with_keys(longer.where("NOT part")), none.with_keys(longer.where("part")), least)
+    single = stored(_frequent(chunks, none, 1, 1, least), "words")
+    pairs = stored(_frequent(chunks, none.with_keys(single), 2, 2, least), "pairs")
+    longer = stored(_frequent(chunks, none.with_keys(pairs), 3, LONGEST, least), "longer")
+    counts = single.unionByName(pairs).unionByName(longer)
+    known = none.with_keys(counts)
+    placed = counts.select(F.col("h").bitwiseXOR(F.col("place").cast("long") * F.lit(PLACES)).alias("h"))
+    # A hash that several phrases share has other checks than so many times those of one.
+    one = F.expr(f"pmod(pmod(n, {CHECKS}L) * check, {CHECKS}L) = pmod(checks, {CHECKS}L)")
+    found = counts.join(_texts(chunks, known, none.with_keys(placed)).distinct(), "h").where(one)
+    found = stored(found.select("lang", "phrase", "words", F.col("n").alias("f")), "found")
+    if found.count() != counts.count():
+        found = stored(_exact(chunks, known, least), "found")
+    inside = found.where("words = 2").select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
+    return found.where("words >= 2").unionByName(found.where("words = 1").join(inside, ["lang", "phrase"], "left_semi").select(found.columns))
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:

@@ -94,6 +94,44 @@ def test_counts_of_the_dictionary(spark):
     assert chunks.count() == chunks.select("lang", "chunk").distinct().count() < chunks.groupBy().sum("n").first()[0]
 
 
+def test_the_last_pass_makes_one_row_a_phrase(spark, monkeypatch):
+    """Not one for every task that meets it."""
+    draw = random.Random(5)
+    often = [" ".join(draw.choice("abcdefgh") + str(k) for k in range(3)) for _ in range(12)]
+    data = [(" ".join(draw.choice([draw.choice(often), f"x{draw.random()}"]) for _ in range(60)), "en") for _ in range(300)]
+    docs = spark.createDataFrame([(t, x, "no", 1, 2) for t, x in data], SCHEMA).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chunks = stored(dictionary(docs, modulus=8))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    made, passes = phrases._texts, []
+    monkeypatch.setattr(phrases, "_texts", lambda *a: passes.append(stored(made(*a))) or passes[-1])
+    monkeypatch.setattr(phrases, "_exact", None)
+    found = frequent_phrases(chunks, 20)
+    places = chunks.select("place").distinct().count()
+    assert places > 2 and found.where("words > 1").count() > 12
+    assert passes[0].count() <= 1.2 * found.count()
+
+
+@pytest.mark.parametrize("wrong", ["check + 1", "if(phrase = 'a b', null, check)"])
+def test_phrases_of_one_hash_are_counted_by_their_words(spark, rows, monkeypatch, wrong):
+    """As if the words found were not all that the hash counted."""
+    data = made_up(14)
+    docs = spark.createDataFrame([(t, x, "no", 1, 2) for t, x in data], SCHEMA)
+    made, exact, passes = phrases._texts, phrases._exact, []
+    monkeypatch.setattr(phrases, "_texts", lambda *a: made(*a).selectExpr("h", f"{wrong} AS check", "lang", "phrase", "words"))
+    monkeypatch.setattr(phrases, "_exact", lambda *a: passes.append(1) or exact(*a))
+    assert rows(collocations(docs, least=4)) == slow_collocations(data, 4) and passes == [1]
+
+
+def test_a_word_that_is_named_like_a_language(spark):
+    """Their hashes differ, as each language has its own hashes of words."""
+    docs = spark.createDataFrame([("de de x", "en", "no", 1, 2), ("en en x", "de", "no", 1, 2)], SCHEMA)
+    counts = phrases._frequent(stored(dictionary(docs)), Bitmap.empty(), 1, 1, 1)
+    assert sorted(r.n for r in counts.collect()) == [1, 1, 2, 2]
+
+
 def test_parse_is_prefix_free_and_whole():
     draw = random.Random(3)
     hashed = _WordHashes()
