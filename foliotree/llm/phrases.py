@@ -35,9 +35,9 @@ LONGEST, LEAST, TOP, MODULUS = 5, 100, 2000, 64
 OVERLAP = LONGEST - 1
 #: Bits of the bitmap of frequent phrases, whatever the corpus: 8 MB.
 BITMAP_BITS = 1 << 26
-#: Checks of phrases have 31 bits, their sums are kept modulo a power of two; places are told apart by multiples of an odd number.
-CHECKS, CHECK_SHIFT, PLACES = 1 << 32, np.uint64(33), 2_654_435_761
-#: Phrases that a task combines before it hands their counts on.
+#: Checks of phrases have 31 bits, their sums are compared modulo a prime; places are told apart by multiples of an odd number.
+CHECKS, CHECK_SHIFT, PLACES = (1 << 31) - 1, np.uint64(33), 2_654_435_761
+#: Tokens that a task cuts at once; a task combines the phrases of chunks of four times as many bytes before it hands their counts on.
 BUFFER = 1 << 20
 MAX_WORDS = 200_000
 #: Candidates of a language in one sort, and the most parts that they are ranked in.
@@ -85,11 +85,11 @@ def _chunks(padded: list[bytes], hashes: np.ndarray, sizes: list[int], modulus:
     for k in range(OVERLAP):
         value = _mixed(value + hashes[k : len(value) + k] * _MIX[k])
     at = np.flatnonzero(value % _U(modulus) == 0)
-    ends = np.cumsum(np.array(sizes, np.int64) + OVERLAP) - OVERLAP
-    begins = ends - sizes
-    inner, places = at.tolist(), zip(begins.tolist(), ends.tolist(), np.searchsorted(at, begins, "right").tolist(), np.searchsorted(at, ends).tolist())
-    out = []
-    for begin, end, first, last in places:
+    size = np.array(sizes, np.int64)
+    ends = np.cumsum(size + OVERLAP) - OVERLAP
+    begins = ends - size
+    inner, out = at.tolist(), []
+    for begin, end, first, last in zip(begins.tolist(), ends.tolist(), np.searchsorted(at, begins, "right").tolist(), np.searchsorted(at, ends).tolist()):
         cuts = [begin, *inner[first:last], end]
         out.append([b" ".join(padded[a : b + OVERLAP]) for a, b in zip(cuts, cuts[1:]) if a < b])
     return out
@@ -107,18 +107,26 @@ def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     def run(batches):
         hashed = _WordHashes()
+
+        def cut(langs, padded, sizes):
+            coded = pa.array(padded, pa.binary()).dictionary_encode()
+            numbers = np.fromiter(map(hashed.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), _U, len(coded.dictionary))
+            own = _chunks(padded, numbers[coded.indices.to_numpy()], sizes, modulus)
+            return ((lang, chunk) for lang, found in zip(langs, own) for chunk in found)
+
         for batch in batches:
             seen: Counter = Counter()
-            padded, sizes = [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            langs, padded, sizes = [], [], []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 found = tokens(text)
+                langs.append(lang)
                 padded += found
                 padded += [PIECE_END] * OVERLAP
                 sizes.append(len(found))
-            coded = pa.array(padded, pa.binary()).dictionary_encode()
-            numbers = np.fromiter(map(hashed.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), _U, len(coded.dictionary))
-            for lang, own in zip(batch.column(0).to_pylist(), _chunks(padded, numbers[coded.indices.to_numpy()], sizes, modulus)):
-                seen.update((lang, chunk) for chunk in own)
+                if len(padded) > BUFFER:
+                    seen.update(cut(langs, padded, sizes))
+                    langs, padded, sizes = [], [], []
+            seen.update(cut(langs, padded, sizes))
             words = []
             for _, chunk in seen:
                 own = chunk.rsplit(b" ", OVERLAP)[0]
@@ -216,6 +224,11 @@ def _spreads(batches):
         yield Spread(pa.Table.from_batches(held))
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Smaller numbers that are the same modulo ``CHECKS``."""
+    return (x & _U(CHECKS)) + (x >> _U(31))
+
+
 def _after(mask: np.ndarray) -> np.ndarray:
     """The value at the next place."""
     return np.append(mask[1:], False)
@@ -232,7 +245,7 @@ def _frequent(chunks: DataFrame, frequent: Bitmap, first: int, last: int, least:
     """``h, n, checks, place`` of the phrases of ``first`` to ``last`` words that occur ``least`` times by their hash.
 
     Only those are counted whose parts of ``first - 1`` words the bitmap knows.
-    ``checks`` sums the phrases' checks over all occurrences, modulo ``CHECKS``;
+    ``checks`` is the sum of the phrases' checks over all occurrences, modulo ``CHECKS``;
     ``place`` is one place in whose chunks the phrase occurs.
     """
     shared = chunks.sparkSession.sparkContext.broadcast(frequent.bits)
@@ -255,7 +268,7 @@ def _frequent(chunks: DataFrame, frequent: Bitmap, first: int, last: int, least:
             weight, one = spread.weight[here[order]], order[begin]
             yield pa.RecordBatch.from_arrays([
                 pa.array(hashes[one].view(np.int64)), pa.array(np.add.reduceat(weight, begin)),
-                pa.array((np.add.reduceat(weight.astype(_U) * checks[order], begin) & _U(CHECKS - 1)).astype(np.int64)),
+                pa.array(_folded(np.add.reduceat(_folded(weight.view(_U) * checks[order]), begin)).view(np.int64)),
                 pa.array(spread.place[spread.rows[here[one]]]),
             ], names=["h", "n", "checks", "place"])
 

@@ -125,6 +125,12 @@ def test_phrases_of_one_hash_are_counted_by_their_words(spark, rows, monkeypatch
     assert rows(collocations(docs, least=4)) == slow_collocations(data, 4) and passes == [1]
 
 
+def test_folded_numbers_are_the_same_modulo_the_prime():
+    x = np.random.default_rng(4).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    folded = phrases._folded(x)
+    assert (folded % np.uint64(phrases.CHECKS) == x % np.uint64(phrases.CHECKS)).all() and folded.max() < 1 << 34
+
+
 def test_a_word_that_is_named_like_a_language(spark):
     """Their hashes differ, as each language has its own hashes of words."""
     docs = spark.createDataFrame([("de de x", "en", "no", 1, 2), ("en en x", "de", "no", 1, 2)], SCHEMA)
@@ -132,6 +138,17 @@ def test_a_word_that_is_named_like_a_language(spark):
     assert sorted(r.n for r in counts.collect()) == [1, 1, 2, 2]
 
 
+def test_texts_cut_together_are_cut_like_each_alone():
+    draw = random.Random(6)
+    hashed = _WordHashes()
+    texts = [tokens(" ".join(draw.choice(["a", "b", "C,", "d.\n", "e\t"]) for _ in range(draw.choice([0, 1, 30]))).encode()) for _ in range(60)]
+    hashes = [np.fromiter(map(hashed.__getitem__, x), np.uint64, len(x)) for x in texts]
+    padded = [t for x in texts for t in x + [phrases.PIECE_END] * 4]
+    together = phrases._chunks(padded, np.concatenate([np.append(h, np.zeros(4, np.uint64)) for h in hashes]), [len(x) for x in texts], 3)
+    assert together == [parse(x, h, 3) for x, h in zip(texts, hashes)] and max(map(len, together)) > 5
+    assert phrases._chunks([], np.zeros(0, np.uint64), [], 3) == []
+
+
 def test_parse_is_prefix_free_and_whole():
     draw = random.Random(3)
     hashed = _WordHashes()
